@@ -10,12 +10,17 @@ Each document draws `BANDS * ROWS` consistent weighted samples (Ioffe's improved
 scheme); two documents share a sample with probability equal to their similarity.
 `ROWS` samples make a band, and documents that share a band are candidates.
 Texts with the same words are one node from the start.  Within a band's bucket,
-up to `SMALL` nodes are paired with each other; in a larger one all nodes are
-compared with one leader, and then only such nodes as are not linked to it are
-compared with others, as far as the triangle inequality (the distance is a
-metric) leaves a link possible.  Every candidate is verified on its whole text.
-Classes are the connected components of the links, found by alternating large
-and small stars.
+up to `SMALL` nodes are paired with each other.  In a larger one all nodes are
+compared with one leader; then, for some rounds, those outside the bucket's
+largest component with another member of that component.  Nodes that are still
+outside are compared with every node of a large bucket that may be alike by two
+bounds, both exact.  Alike texts share a shingle of their prefixes: shingles in
+order of rarity, as many as hold more weight than alike texts may differ in.  And
+what each of two texts has to itself, among all these nodes, can only be in one
+of them, which limits their similarity.  So no link between components is lost,
+and variants of one text are not all compared in pairs.
+Every candidate is verified on its whole text.  Classes are the connected
+components of the links, found by alternating large and small stars.
 """
 
 from __future__ import annotations
@@ -34,8 +39,8 @@ SHINGLE, BANDS, ROWS = 5, 12, 4
 #: Similarity, as a ratio of whole numbers.
 SIMILARITY = (4, 5)
 BUCKETS, SHARD = 1 << 18, 1 << 12
-#: Buckets of up to so many nodes are paired in full.
-SMALL = 8
+#: Buckets of up to so many nodes are paired in full; rounds of further leaders in larger ones.
+SMALL, LEADERS = 8, 1
 #: Inverse document frequencies are whole multiples of 1 / UNIT.
 UNIT = 64
 
@@ -184,6 +189,47 @@ def _verified(pairs: DataFrame, texts: DataFrame, idf: np.ndarray) -> DataFrame:
     return rows.mapInArrow(weigh, "a bigint, b bigint, lesser bigint, greater bigint").groupBy("a", "b").agg(F.max("lesser").alias("lesser"), F.min("greater").alias("greater"))
 
 
+def _weighed_shingles(texts: DataFrame, idf: np.ndarray) -> DataFrame:
+    """node, shingle, weight, prefix: whether the shingles from this one on, in order of rarity, hold at least SIMILARITY of the text's weight."""
+    known = texts.sparkSession.sparkContext.broadcast(idf)
+
+    def rarest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        units = known.value
+        for batch in batches:
+            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            for run in words(batch.column(1), ALNUM, lower=True):
+                of, hashes, counts = _sets(run, SHINGLE)
+                rare = units[(hashes & np.uint64(BUCKETS - 1)).astype(np.int64)]
+                order = np.lexsort((hashes, -rare, of))
+                of, hashes, weights = of[order], hashes[order], (counts * rare)[order]
+                total = np.bincount(of, weights, len(run.rows))
+                upto = np.cumsum(weights)
+                before = np.concatenate([[0], upto])[np.searchsorted(of, of)]  # the weight of the texts before
+                rest = total[of] - (upto - weights - before)  # from this shingle on
+                prefix = rest * SIMILARITY[1] >= total[of] * SIMILARITY[0]
+                yield pa.RecordBatch.from_arrays([pa.array(ids[run.rows.start + of]), pa.array(hashes.view(np.int64)), pa.array(weights, pa.int64()), pa.array(prefix)], ["node", "shingle", "weight", "prefix"])
+
+    return texts.select("doc_id", "text").mapInArrow(rarest, "node bigint, shingle bigint, weight bigint, prefix boolean")
+
+
+def _possible(texts: DataFrame, idf: np.ndarray, placed: DataFrame, outside: DataFrame) -> DataFrame:
+    """a, b: pairs of a node in `outside` and a node in `placed` with another label that may be alike."""
+    named = placed.select("node", "label").distinct()
+    rows = _weighed_shingles(texts.join(named.select(F.col("node").alias("doc_id")), "doc_id", "left_semi"), idf)
+    rows = cut(rows.groupBy("node", "shingle").agg(F.max("weight").alias("weight"), F.max("prefix").alias("prefix")))  # a doc_id may have several texts
+    shared = rows.groupBy("shingle").agg(F.count("*").alias("n"))
+    rows = rows.join(shared, "shingle")
+    alone = rows.groupBy("node").agg(F.sum("weight").alias("all"), F.sum(F.when(F.col("n") == 1, F.col("weight")).otherwise(0)).alias("alone"))
+    nodes = cut(alone.join(named, "node"))
+    # Similarity is at most m / (m + what either has alone), m being the lesser of what the two do not have alone.
+    fits = lambda m, alone: m * SIMILARITY[1] >= (m + alone) * SIMILARITY[0]
+    nodes = nodes.withColumn("rest", F.col("all") - F.col("alone")).filter(fits(F.col("rest"), F.col("alone")))
+    marked = cut(rows.filter("prefix AND n > 1").select("node", "shingle").join(nodes.select("node", "label", "rest", "alone"), "node"))
+    mine = marked.join(outside.select("node").distinct(), "node", "left_semi").select("shingle", F.col("node").alias("x"), F.col("label").alias("own"), F.col("rest").alias("rest_x"), F.col("alone").alias("alone_x"))
+    met = marked.join(mine, "shingle").filter((F.col("label") != F.col("own")) & fits(F.least("rest", "rest_x"), F.col("alone") + F.col("alone_x")))
+    return met.select(F.least("node", "x").alias("a"), F.greatest("node", "x").alias("b"))
+
+
 def components(links: DataFrame) -> DataFrame:
     """node, label (the component's least node) of every node with a link; links: a, b."""
     edges = cut(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v").distinct())
@@ -231,15 +277,23 @@ def near_duplicates(documents: DataFrame, bands: int = BANDS, rows: int = ROWS,
     starred = members.filter((F.col("size") > small) & (F.col("leader") != F.col("node"))).select(F.col("leader").alias("a"), F.col("node").alias("b"))
     weighed = cut(_verified(paired.unionByName(starred).distinct(), texts, idf))
     alike = F.col("lesser") * SIMILARITY[1] >= F.col("greater") * SIMILARITY[0]
-    # In large buckets: nodes that are not linked to the leader, with those that may be linked to them.
-    distance = 1 - F.col("lesser") / F.col("greater")
-    large = members.filter((F.col("size") > small) & (F.col("leader") != F.col("node")))
-    placed = large.join(weighed.select(F.col("a").alias("leader"), F.col("b").alias("node"), distance.alias("d"), alike.alias("linked")), ["leader", "node"])
-    strays = placed.filter("NOT linked").select("band", "key", F.col("node").alias("x"), F.col("d").alias("dx"))
-    rest = strays.join(placed.select("band", "key", F.col("node").alias("y"), F.col("d").alias("dy"), "linked"), ["band", "key"])
-    rest = rest.filter((F.abs(F.col("dx") - F.col("dy")) <= 1 - SIMILARITY[0] / SIMILARITY[1] + 1e-9) & ((F.col("x") < F.col("y")) | (F.col("linked") & (F.col("x") != F.col("y")))))
-    rest = rest.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(weighed.select("a", "b"), ["a", "b"], "left_anti")
-    links = weighed.filter(alike).select("a", "b").unionByName(_verified(rest, texts, idf).filter(alike).select("a", "b"))
+    large = members.filter(F.col("size") > small).select("band", "key", "node")
+    if large.limit(1).count():
+        for nth in range(LEADERS + 1):
+            labels = cut(components(weighed.filter(alike).select("a", "b")))
+            placed = large.join(labels, "node", "left").select("band", "key", "node", F.coalesce("label", "node").alias("label"))
+            parts = placed.groupBy("band", "key", "label").agg(F.count("*").alias("n"), F.min_by("node", F.xxhash64("node", F.lit(nth))).alias("leader"))
+            top = parts.groupBy("band", "key").agg(F.max(F.struct("n", "label", "leader")).alias("top"), F.count("*").alias("parts")).filter("parts > 1")
+            outside = cut(placed.join(top, ["band", "key"]).filter("label != top.label").select("node", "label", F.col("top.leader").alias("leader")))
+            if not outside.limit(1).count():
+                break
+            if nth < LEADERS:
+                more = outside.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b"))
+            else:
+                more = _possible(texts, idf, placed, outside)
+            more = more.distinct().join(weighed.select("a", "b"), ["a", "b"], "left_anti")
+            weighed = weighed.unionByName(cut(_verified(more, texts, idf)))
+    links = weighed.filter(alike).select("a", "b")
     # A doc_id that has several texts ties their nodes together.
     of_node = signed.join(nodes.select("same1", "same2", "node"), ["same1", "same2"], "left").select("doc_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("node", "doc_id")).alias("node"))
     ties = of_node.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b")).filter("a < b").select("a", "b")
