@@ -29,7 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .columns import cut
@@ -41,6 +41,8 @@ SIMILARITY = (4, 5)
 BUCKETS, SHARD = 1 << 18, 1 << 12
 #: Buckets of up to so many nodes are paired in full; rounds of further leaders in larger ones.
 SMALL, LEADERS = 8, 1
+#: Shingles before one in a prefix that are looked at to tell whether a pair has met already.
+BEFORE = 16
 #: Inverse document frequencies are whole multiples of 1 / UNIT.
 UNIT = 64
 
@@ -190,43 +192,41 @@ def _verified(pairs: DataFrame, texts: DataFrame, idf: np.ndarray) -> DataFrame:
 
 
 def _weighed_shingles(texts: DataFrame, idf: np.ndarray) -> DataFrame:
-    """node, shingle, weight, prefix: whether the shingles from this one on, in order of rarity, hold at least SIMILARITY of the text's weight."""
+    """node, shingle, rare (the shingle's inverse document frequency), weight, of each distinct shingle of each text."""
     known = texts.sparkSession.sparkContext.broadcast(idf)
 
-    def rarest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         units = known.value
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             for run in words(batch.column(1), ALNUM, lower=True):
                 of, hashes, counts = _sets(run, SHINGLE)
                 rare = units[(hashes & np.uint64(BUCKETS - 1)).astype(np.int64)]
-                order = np.lexsort((hashes, -rare, of))
-                of, hashes, weights = of[order], hashes[order], (counts * rare)[order]
-                total = np.bincount(of, weights, len(run.rows))
-                upto = np.cumsum(weights)
-                before = np.concatenate([[0], upto])[np.searchsorted(of, of)]  # the weight of the texts before
-                rest = total[of] - (upto - weights - before)  # from this shingle on
-                prefix = rest * SIMILARITY[1] >= total[of] * SIMILARITY[0]
-                yield pa.RecordBatch.from_arrays([pa.array(ids[run.rows.start + of]), pa.array(hashes.view(np.int64)), pa.array(weights, pa.int64()), pa.array(prefix)], ["node", "shingle", "weight", "prefix"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids[run.rows.start + of]), pa.array(hashes.view(np.int64)), pa.array(rare), pa.array(counts * rare)], ["node", "shingle", "rare", "weight"])
 
-    return texts.select("doc_id", "text").mapInArrow(rarest, "node bigint, shingle bigint, weight bigint, prefix boolean")
+    return texts.select("doc_id", "text").mapInArrow(weigh, "node bigint, shingle bigint, rare bigint, weight bigint")
 
 
 def _possible(texts: DataFrame, idf: np.ndarray, placed: DataFrame, outside: DataFrame) -> DataFrame:
     """a, b: pairs of a node in `outside` and a node in `placed` with another label that may be alike."""
     named = placed.select("node", "label").distinct()
     rows = _weighed_shingles(texts.join(named.select(F.col("node").alias("doc_id")), "doc_id", "left_semi"), idf)
-    rows = cut(rows.groupBy("node", "shingle").agg(F.max("weight").alias("weight"), F.max("prefix").alias("prefix")))  # a doc_id may have several texts
+    rows = cut(rows.groupBy("node", "shingle").agg(F.max("rare").alias("rare"), F.max("weight").alias("weight")))  # a doc_id may have several texts
     shared = rows.groupBy("shingle").agg(F.count("*").alias("n"))
-    rows = rows.join(shared, "shingle")
-    alone = rows.groupBy("node").agg(F.sum("weight").alias("all"), F.sum(F.when(F.col("n") == 1, F.col("weight")).otherwise(0)).alias("alone"))
-    nodes = cut(alone.join(named, "node"))
+    own = Window.partitionBy("node")
+    onward = own.orderBy(F.desc("rare"), "shingle").rowsBetween(0, Window.unboundedFollowing)
+    common = F.when(F.col("n") > 1, F.col("weight")).otherwise(0)
+    rows = rows.join(shared, "shingle").select("node", "shingle", "rare", "n", F.sum("weight").over(own).alias("all"), F.sum(common).over(own).alias("rest"), F.sum(common).over(onward).alias("from_here"))
     # Similarity is at most m / (m + what either has alone), m being the lesser of what the two do not have alone.
     fits = lambda m, alone: m * SIMILARITY[1] >= (m + alone) * SIMILARITY[0]
-    nodes = nodes.withColumn("rest", F.col("all") - F.col("alone")).filter(fits(F.col("rest"), F.col("alone")))
-    marked = cut(rows.filter("prefix AND n > 1").select("node", "shingle").join(nodes.select("node", "label", "rest", "alone"), "node"))
-    mine = marked.join(outside.select("node").distinct(), "node", "left_semi").select("shingle", F.col("node").alias("x"), F.col("label").alias("own"), F.col("rest").alias("rest_x"), F.col("alone").alias("alone_x"))
-    met = marked.join(mine, "shingle").filter((F.col("label") != F.col("own")) & fits(F.least("rest", "rest_x"), F.col("alone") + F.col("alone_x")))
+    # A common shingle of alike texts is in both prefixes: from it on, what is not alone holds SIMILARITY of each text's weight.
+    prefix = (F.col("n") > 1) & (F.col("from_here") * SIMILARITY[1] >= F.col("all") * SIMILARITY[0])
+    rows = rows.withColumn("alone", F.col("all") - F.col("rest")).filter(prefix & fits(F.col("rest"), F.col("alone")))
+    # A pair is wanted once: not again at a shingle when one of the few before it is common too.
+    before = F.collect_list("shingle").over(own.orderBy(F.desc("rare"), "shingle").rowsBetween(-BEFORE, -1))
+    marked = cut(rows.withColumn("before", before).join(named, "node").select("node", "shingle", "label", "rest", "alone", "before"))
+    mine = marked.join(outside.select("node").distinct(), "node", "left_semi").select("shingle", F.col("node").alias("x"), F.col("label").alias("own"), F.col("rest").alias("rest_x"), F.col("alone").alias("alone_x"), F.col("before").alias("before_x"))
+    met = marked.join(mine, "shingle").filter((F.col("label") != F.col("own")) & fits(F.least("rest", "rest_x"), F.col("alone") + F.col("alone_x")) & ~F.arrays_overlap("before", "before_x"))
     return met.select(F.least("node", "x").alias("a"), F.greatest("node", "x").alias("b"))
 
 
