@@ -115,8 +115,9 @@ class Test:
 Rule = tuple[Test, ...]
 
 
-def cells(labelled: DataFrame, bins: int = BINS) -> tuple[dict[str, list[float]], list[tuple[tuple[int, ...], int, int, int, int]]]:
-    """Thresholds by statistic; (interval of each statistic, good and bad to grow on, good and bad to prune on) by cell."""
+def cells(labelled: DataFrame, bins: int = BINS) -> tuple[dict[str, list[float]], list[tuple]]:
+    """Thresholds by statistic; by cell: the interval of each statistic, good and bad to grow on, good and bad
+    to prune on, and for each statistic its least and greatest value among the good and among the bad."""
     names = [n for n in labelled.columns if n not in ("label", "grow")]
     shares_of = [i / bins for i in range(1, bins)]
     row = labelled.agg(*(F.percentile_approx(n, shares_of, 10_000).alias(n) for n in names)).first()
@@ -125,8 +126,23 @@ def cells(labelled: DataFrame, bins: int = BINS) -> tuple[dict[str, list[float]]
     cuts = {n: sorted({x for r in (row, bad) for x in (r[n] or ())}) for n in names}
     place = [sum((F.when(F.col(n) > c, 1).otherwise(0) for c in cuts[n]), F.lit(0)).alias(n) for n in names]
     count = lambda grow, label: F.count(F.when((F.col("grow") == grow) & (F.col("label") == label), 1))
-    rows = labelled.select(*place, "label", "grow").groupBy(*names).agg(*(count(g, y).alias(f"c{g}{y}") for g in (True, False) for y in (1, 0))).collect()
-    return cuts, [(tuple(r[: len(names)]), *r[len(names) :]) for r in rows]
+    ends = [f(F.when(F.col("label") == y, F.col(f"v_{n}"))) for n in names for y in (1, 0) for f in (F.min, F.max)]
+    counts = [count(g, y) for g in (True, False) for y in (1, 0)]
+    kept = labelled.select(*place, *(F.col(n).alias(f"v_{n}") for n in names), "label", "grow")
+    rows = kept.groupBy(*names).agg(*(c.alias(f"_{i}") for i, c in enumerate(counts + ends))).collect()
+    at = len(names) + len(counts)
+    return cuts, [(tuple(r[: len(names)]), *r[len(names) : at], tuple(r[at:])) for r in rows]
+
+
+def middle(name: int, above: bool, cut: float, covered: list[tuple], outside: list[tuple]) -> float:
+    """A test's threshold: half way between the bad that its rule covers and the good on its other side, if they are apart; else the cut."""
+    of = lambda at, y, last: [x for c in at if (x := c[5][4 * name + 2 * y + last]) is not None]
+    bad, good = of(covered, 1, not above), of(outside, 0, above)
+    if bad and good:
+        near, far = (max(good), min(bad)) if above else (max(bad), min(good))
+        if near <= cut and near < far:
+            return (near + far) / 2
+    return cut
 
 
 def cover(cuts: dict[str, list[float]], counted: list, rules: int = RULES, tests: int = TESTS, precision: float = PRECISION, least: int = LEAST) -> list[Rule]:
@@ -170,7 +186,8 @@ def cover(cuts: dict[str, list[float]], counted: list, rules: int = RULES, tests
         held_good, held_bad = total(rule, left, 3, 4)
         if bad < least or bad < precision * (good + bad) or held_bad < precision * (held_good + held_bad):
             break
-        found.append(tuple(Test(name, above, cuts[name][k]) for name, above, k in rule))
+        covered = [c for c in left if all(holds(t, c) for t in rule)]
+        found.append(tuple(Test(t[0], t[1], middle(names.index(t[0]), t[1], cuts[t[0]][t[2]], covered, [c for c in left if not holds(t, c)])) for t in rule))
         left = [c for c in left if not all(holds(t, c) for t in rule)]
     return found
 
@@ -185,10 +202,13 @@ def learn(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE, **limit
     ids = labels.filter("doc_id IS NOT NULL AND quality IN (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("label"))
     ids = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     rows = documents.select("doc_id", "text").join(F.broadcast(ids), "doc_id")  # at most `sample` rows
-    rows = rows.select("doc_id", "label", statistics(F.col("text")).alias("s")).filter(~base_failed(F.col("s")))
-    rows = rows.select(*(c.alias(n) for n, c in shares(F.col("s")).items()), "label", (F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(3)) > 0).alias("grow")).cache()
+    rows = rows.select("doc_id", "label", statistics(F.col("text")).alias("s"))
+    # What fails the base test is marked and left out of the kept rows: as a filter here, Spark would
+    # apply it to all documents, before the join.
+    grow = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(3)) > 0
+    rows = rows.select(*(c.alias(n) for n, c in shares(F.col("s")).items()), F.when(~base_failed(F.col("s")), F.col("label")).alias("label"), grow.alias("grow")).cache()
     try:
-        return cover(*cells(rows), **limits)
+        return cover(*cells(rows.filter("label IS NOT NULL")), **limits)
     finally:
         rows.unpersist()
 
