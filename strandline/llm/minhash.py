@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .columns import cut
+from .columns import cut, stored
 from .text import ALNUM, Words, mix, small_batches, words
 
 SHINGLE, BANDS, ROWS = 5, 12, 4
@@ -214,16 +214,17 @@ def _possible(texts: DataFrame, idf: np.ndarray, placed: DataFrame, outside: Dat
     rows = cut(rows.groupBy("node", "shingle").agg(F.max("rare").alias("rare"), F.max("weight").alias("weight")))  # a doc_id may have several texts
     shared = rows.groupBy("shingle").agg(F.count("*").alias("n"))
     own = Window.partitionBy("node")
-    onward = own.orderBy(F.desc("rare"), "shingle").rowsBetween(0, Window.unboundedFollowing)
+    rarest_first = own.orderBy(F.desc("rare"), "shingle")
+    upto = rarest_first.rowsBetween(Window.unboundedPreceding, 0)
     common = F.when(F.col("n") > 1, F.col("weight")).otherwise(0)
-    rows = rows.join(shared, "shingle").select("node", "shingle", "rare", "n", F.sum("weight").over(own).alias("all"), F.sum(common).over(own).alias("rest"), F.sum(common).over(onward).alias("from_here"))
+    rows = rows.join(shared, "shingle").select("node", "shingle", "rare", "n", F.sum("weight").over(own).alias("all"), F.sum(common).over(own).alias("rest"), (F.sum(common).over(own) - F.sum(common).over(upto) + common).alias("from_here"))
     # Similarity is at most m / (m + what either has alone), m being the lesser of what the two do not have alone.
     fits = lambda m, alone: m * SIMILARITY[1] >= (m + alone) * SIMILARITY[0]
     # A common shingle of alike texts is in both prefixes: from it on, what is not alone holds SIMILARITY of each text's weight.
     prefix = (F.col("n") > 1) & (F.col("from_here") * SIMILARITY[1] >= F.col("all") * SIMILARITY[0])
     rows = rows.withColumn("alone", F.col("all") - F.col("rest")).filter(prefix & fits(F.col("rest"), F.col("alone")))
     # A pair is wanted once: not again at a shingle when one of the few before it is common too.
-    before = F.collect_list("shingle").over(own.orderBy(F.desc("rare"), "shingle").rowsBetween(-BEFORE, -1))
+    before = F.collect_list("shingle").over(rarest_first.rowsBetween(-BEFORE, -1))
     marked = cut(rows.withColumn("before", before).join(named, "node").select("node", "shingle", "label", "rest", "alone", "before"))
     mine = marked.join(outside.select("node").distinct(), "node", "left_semi").select("shingle", F.col("node").alias("x"), F.col("label").alias("own"), F.col("rest").alias("rest_x"), F.col("alone").alias("alone_x"), F.col("before").alias("before_x"))
     met = marked.join(mine, "shingle").filter((F.col("label") != F.col("own")) & fits(F.least("rest", "rest_x"), F.col("alone") + F.col("alone_x")) & ~F.arrays_overlap("before", "before_x"))
@@ -271,6 +272,8 @@ def near_duplicates(documents: DataFrame, bands: int = BANDS, rows: int = ROWS,
     entries = nodes.select("node", F.posexplode("keys").alias("band", "key"))
     buckets = entries.groupBy("band", "key").agg(F.count("*").alias("size"), F.min("node").alias("leader")).filter("size > 1")
     members = cut(entries.join(buckets, ["band", "key"]))
+    # From here on only texts that have a candidate are read.
+    texts = stored(texts.join(members.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi"))
     mine = members.filter(F.col("size") <= small)
     other = mine.select("band", "key", F.col("node").alias("b"))
     paired = mine.join(other, ["band", "key"]).filter("node < b").select(F.col("node").alias("a"), "b")
@@ -290,7 +293,7 @@ def near_duplicates(documents: DataFrame, bands: int = BANDS, rows: int = ROWS,
             if nth < LEADERS:
                 more = outside.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b"))
             else:
-                more = _possible(texts, idf, placed, outside)
+                more = _possible(texts, idf, placed.join(top.select("band", "key"), ["band", "key"], "left_semi"), outside)
             more = more.distinct().join(weighed.select("a", "b"), ["a", "b"], "left_anti")
             weighed = weighed.unionByName(cut(_verified(more, texts, idf)))
     links = weighed.filter(alike).select("a", "b")
