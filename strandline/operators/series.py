@@ -69,24 +69,25 @@ def past(key: Sequence[str], time: str):
 
 
 def future(key: Sequence[str], time: str):
-    return Window.partitionBy(*key).orderBy(time).rowsBetween(0, Window.unboundedFollowing)
+    """From the last row back to this one; a frame that starts at the far end grows by a row at a time, as past() does."""
+    return Window.partitionBy(*key).orderBy(F.desc(time)).rowsBetween(Window.unboundedPreceding, 0)
 
 
 def locf(x: Column, key: Sequence[str], time: str) -> Column:
     """The last value so far; before the first one, the next."""
-    return F.coalesce(F.last(x, True).over(past(key, time)), F.first(x, True).over(future(key, time)))
+    return F.coalesce(F.last(x, True).over(past(key, time)), F.last(x, True).over(future(key, time)))
 
 
 def nocb(x: Column, key: Sequence[str], time: str) -> Column:
     """The next value; after the last one, the previous."""
-    return F.coalesce(F.first(x, True).over(future(key, time)), F.last(x, True).over(past(key, time)))
+    return F.coalesce(F.last(x, True).over(future(key, time)), F.last(x, True).over(past(key, time)))
 
 
 def linear(x: Column, key: Sequence[str], time: str) -> Column:
     """Between neighbours by time; beyond the ends, the nearest value."""
     t = F.when(x.isNotNull(), F.col(time))
     xl, tl = F.last(x, True).over(past(key, time)), F.last(t, True).over(past(key, time))
-    xr, tr = F.first(x, True).over(future(key, time)), F.first(t, True).over(future(key, time))
+    xr, tr = F.last(x, True).over(future(key, time)), F.last(t, True).over(future(key, time))
     between = xl + (xr - xl) * ((F.col(time) - tl).cast("double") / (tr - tl).cast("double"))
     return F.when(x.isNotNull(), x).when(xl.isNull(), xr).when(xr.isNull(), xl).otherwise(between)
 
