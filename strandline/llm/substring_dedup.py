@@ -13,9 +13,10 @@ Pass 2: windows whose anchor is estimated repeated are grouped exactly, by a
 that a window of which there are many copies sends one row per task; what is left
 is ordered by (doc_id, start) within each hash, and all but the first are removed.
 
-The merged sketch is sized with the input up to `MAX_CELLS` cells a row, which
-bounds what each task holds to 2 * MAX_CELLS / 8 bytes.  Beyond that the sketch
-lets more windows through to the exact pass, never fewer: results stay whole.
+The merged sketch is sized with the input.  Up to `MAX_CELLS` cells a row it goes to
+every task, which bounds what a task holds to 2 * MAX_CELLS / 8 bytes.  A larger one
+stays in shards: each document's anchors are joined to the shard that has their
+cell, and go back to their document if it was hit twice; nothing is broadcast then.
 """
 
 from __future__ import annotations
@@ -68,8 +69,8 @@ def _cells(hashes: np.ndarray, row: int, bits: int) -> np.ndarray:
     return mix(hashes ^ np.uint64(ROWS[row])) >> np.uint64(64 - bits)
 
 
-def _sketch(texts: DataFrame, bits: int, window: int, anchor: int) -> list[np.ndarray]:
-    """For each row of the merged sketch, a bitmap of the cells that were hit at least twice."""
+def _sketch(texts: DataFrame, bits: int, window: int, anchor: int, depth: int = len(ROWS)) -> DataFrame:
+    """row, shard, bitmap: of each shard of each row of the merged sketch, the cells that were hit at least twice."""
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -77,7 +78,7 @@ def _sketch(texts: DataFrame, bits: int, window: int, anchor: int) -> list[np.nd
         def out() -> pa.RecordBatch:
             rows, shards, packed = [], [], []
             hashes = np.concatenate(held)
-            for row in range(len(ROWS)):
+            for row in range(depth):
                 cells, counts = np.unique(_cells(hashes, row, bits), return_counts=True)
                 cells = np.repeat(cells, np.minimum(counts, 2))
                 shard = (cells // SHARD).astype(np.int64)
@@ -110,16 +111,43 @@ def _sketch(texts: DataFrame, bits: int, window: int, anchor: int) -> list[np.nd
         bitmaps = [np.packbits(seen[k] >= 2, bitorder="little").tobytes() for k in keys]
         yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.int32()), pa.array([k[1] for k in keys], pa.int64()), pa.array(bitmaps, pa.binary())], ["row", "shard", "bitmap"])
 
-    merged = texts.mapInArrow(partial, "row int, shard bigint, cells binary").repartition("row", "shard").mapInArrow(merge, "row int, shard bigint, bitmap binary")
+    return texts.mapInArrow(partial, "row int, shard bigint, cells binary").repartition("row", "shard").mapInArrow(merge, "row int, shard bigint, bitmap binary")
+
+
+def _bitmaps(merged: DataFrame, bits: int) -> list[np.ndarray]:
+    """The rows of the merged sketch whole: 2 * 2**bits / 8 bytes in all, bounded by MAX_CELLS."""
     bitmaps = [np.zeros(max((1 << bits) // 8, SHARD // 8), np.uint8) for _ in ROWS]
-    for row, shard, bitmap in merged.toLocalIterator():  # 2 * 2**bits / 8 bytes in all, bounded by MAX_CELLS
+    for row, shard, bitmap in merged.toLocalIterator():
         bitmaps[row][shard * SHARD // 8 : (shard + 1) * SHARD // 8] = np.frombuffer(bitmap, np.uint8)
     return bitmaps
 
 
-def _repeats(keyed: DataFrame, bitmaps: list[np.ndarray], bits: int, window: int, anchor: int) -> DataFrame:
-    """key, start, n: runs of window starts that are to be removed."""
-    known = keyed.sparkSession.sparkContext.broadcast(bitmaps)
+def _with_repeated(keyed: DataFrame, merged: DataFrame, bits: int, window: int, anchor: int) -> DataFrame:
+    """key, text, anchors (hashes of those that are estimated repeated), of the documents that have any; by joins to the sketch's shards."""
+
+    def marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = batch.column(0).to_numpy(zero_copy_only=False)
+            for run in words(batch.column(1), SPACED):
+                shingles, chosen, _, _ = _anchors(run, window, anchor)
+                at = np.flatnonzero(chosen)
+                cells = _cells(shingles[at], 0, bits)
+                text = np.searchsorted(run.at, at, "right") - 1
+                columns = (cells // np.uint64(SHARD)).astype(np.int64), (cells % np.uint64(SHARD)).astype(np.int32), keys[run.rows.start + text], shingles[at].view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["shard", "cell", "key", "anchor"])
+
+    rows = keyed.mapInArrow(marks, "shard bigint, cell int, key bigint, anchor bigint")
+    joined = rows.join(merged.select("shard", "bitmap"), "shard")
+    hit = joined.filter("(cast(conv(hex(substring(bitmap, (cell >> 3) + 1, 1)), 16, 10) AS int) >> (cell & 7)) & 1 = 1")
+    return keyed.join(hit.groupBy("key").agg(F.collect_set("anchor").alias("anchors")), "key").select("key", "text", "anchors")
+
+
+def _repeats(keyed: DataFrame, bitmaps: list[np.ndarray] | None, bits: int, window: int, anchor: int) -> DataFrame:
+    """key, run (start, n): runs of window starts that are to be removed.
+
+    keyed: key, text and, where there are no bitmaps, anchors: which of the text's are estimated repeated.
+    """
+    known = keyed.sparkSession.sparkContext.broadcast(bitmaps or [])
 
     def settle(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
         h1, h2, key, start = (np.concatenate(x) for x in zip(*held, strict=True))
@@ -153,6 +181,9 @@ def _repeats(keyed: DataFrame, bitmaps: list[np.ndarray], bits: int, window: int
                 for row, bitmap in enumerate(maps):
                     cells = _cells(shingles[at], row, bits)
                     twice &= (bitmap[cells >> np.uint64(3)] >> (cells & np.uint64(7)).astype(np.uint8)) & 1 == 1
+                if not maps:
+                    own = batch.column(2).slice(run.rows.start, len(run.rows)).flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+                    twice = np.isin(shingles[at], own)  # an anchor of a neighbouring text lets a window through, never holds one back
                 repeated = np.zeros(len(shingles), bool)
                 repeated[at[twice]] = True
                 hit, n = np.zeros(len(least), bool), len(least)
@@ -194,9 +225,14 @@ def remove_repeats(documents: DataFrame, window: int = WINDOW, anchor: int = ANC
     keyed = keyed.withColumn("key", F.col("key").cast("bigint"))
     # About six characters to a word, seven words to an anchor, six cells to an anchor.
     chars = keyed.agg(F.sum(F.length("text"))).first()[0] or 0
-    bits = max(16, min(max_cells.bit_length() - 1, int(np.ceil(np.log2(max(chars / 7, 2))))))
-    bitmaps = _sketch(keyed.select("text"), bits, window, anchor)
-    gone = _repeats(keyed.select("key", "text"), bitmaps, bits, window, anchor).groupBy("key").agg(F.collect_list("run").alias("runs"))
+    bits = max(16, int(np.ceil(np.log2(max(chars / 7, 2)))))
+    texts = keyed.select("key", "text")
+    if 1 << bits <= max_cells:
+        repeats = _repeats(texts, _bitmaps(_sketch(texts.select("text"), bits, window, anchor), bits), bits, window, anchor)
+    else:
+        shards = _sketch(texts.select("text"), bits, window, anchor, depth=1)
+        repeats = _repeats(_with_repeated(texts, shards, bits, window, anchor), None, bits, window, anchor)
+    gone = repeats.groupBy("key").agg(F.collect_list("run").alias("runs"))
     joined = keyed.join(gone, "key", "left").select("doc_id", "text", "runs")
     kind = documents.schema["doc_id"].dataType.simpleString()
 

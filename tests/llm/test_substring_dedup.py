@@ -59,9 +59,10 @@ def test_empty_table(spark):
     assert run(spark, [], 20, 8) == []
 
 
-def test_a_full_sketch_loses_nothing(spark):
+@pytest.mark.parametrize("cells", [1 << 16, 2])
+def test_sketch_in_every_task_or_in_shards(spark, cells):
     rng = random.Random(3)
-    docs = [(i, " ".join(rng.choice("abcdefgh") for _ in range(400))) for i in range(30)]
-    df = spark.createDataFrame(docs, "doc_id bigint, text string")
-    got = sd.remove_repeats(df, 5, 2, max_cells=2)
+    docs = [(i, " ".join(rng.choice("abcdefgh") for _ in range(rng.choice([2, 9, 400])))) for i in range(40)] + [(99, None)]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(3)
+    got = sd.remove_repeats(df, 5, 2, max_cells=cells)
     assert order(map(tuple, got.collect())) == order(brute(docs, 5))
