@@ -30,6 +30,8 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 #: Words of class, id and role that mark what is not the article.
 MARKS = frozenset("ad ads advert adverts advertisement advertising adslot banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disqus footer gdpr header masthead menu nav navbar navigation newsletter notice notices pagination popup promo promoted promotion related share sharing sidebar signup social sponsor sponsored subscribe toolbar widget alert contentinfo complementary search login modal overlay skip toc respond reply replies".split())
 WORD = re.compile(r"[A-Za-z]+")
+#: Parts in which the pages of each host are joined to its winning path.
+SALTS = 64
 
 
 def attributes(rest: str) -> dict[str, str]:
@@ -173,8 +175,9 @@ def extract(pages: DataFrame) -> DataFrame:
     pages: page_id, url, html; other columns are not read.  Null, empty and text-free
     pages give an empty text.  Pages without a host vote together.  Ties between paths
     go to the higher total score, then to the path that sorts first.  One row comes
-    out for each row that goes in.  Votes are summed before they are shuffled, so a
-    host with many pages is no burden; the winning paths are joined by host.
+    out for each row that goes in.  Votes are summed before they are shuffled; the
+    winning paths are joined by host and one of SALTS salts, so that neither step
+    brings the pages of a large host together.
     """
     small_batches(pages.sparkSession, 500, 16)
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
@@ -207,5 +210,6 @@ def extract(pages: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
     kind = pages.schema["page_id"].dataType.simpleString()
-    joined = source.join(won, "host", "left").select("page_id", "url", "html", "path")
+    salted = won.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    joined = source.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int")).join(salted, ["host", "salt"], "left").select("page_id", "url", "html", "path")
     return joined.mapInArrow(read, f"page_id {kind}, url string, text string").withColumn("n_chars", F.length("text").cast("bigint"))
