@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -154,7 +155,15 @@ def words(texts: pa.Array, is_word: np.ndarray, lower: bool = False, max_bytes:
 
 
 def small_batches(spark: SparkSession, rows: int = 1000, mb: int = 32) -> None:
-    """Bound what Spark hands to Python at once, by rows and by bytes, unless the session asks for less."""
+    """Bound what Spark hands to Python at once, by rows and by bytes, unless the session asks for less.
+
+    Python workers also get the folder that this package was imported from on their path,
+    for sessions that were started elsewhere; on a cluster without that folder, ship the
+    package as any other (--py-files).
+    """
+    root, paths = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
+    if root not in paths.get("PYTHONPATH", "").split(":"):
+        paths["PYTHONPATH"] = ":".join(filter(None, [paths.get("PYTHONPATH"), root]))
     for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", mb << 20)):
         now = spark.conf.get(key, None)
         digits = "".join(c for c in now or "" if c.isdigit())
