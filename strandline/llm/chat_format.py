@@ -86,7 +86,8 @@ def digest(chats: DataFrame) -> DataFrame:
 
 def with_probe(turns: DataFrame) -> DataFrame:
     """The rows and conversation -1, whose texts are control strings."""
-    probe = turns.sparkSession.createDataFrame([(-1, n, role, "</s>[INST] ok [/INST]") for n, role in enumerate(("user", "assistant"))], "conv_id bigint, turn bigint, role string, text string")
+    role = F.when(F.col("id") == 0, F.lit("user")).otherwise(F.lit("assistant"))
+    probe = turns.sparkSession.range(2).select(F.lit(-1).cast("bigint").alias("conv_id"), F.col("id").alias("turn"), role.alias("role"), F.lit("</s>[INST] ok [/INST]").alias("text"))
     return turns.select("conv_id", "turn", "role", "text").unionByName(probe)
 
 

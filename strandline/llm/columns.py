@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -22,6 +22,21 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def lowest(df: DataFrame, key: str, most: int, by: str | None = None) -> DataFrame:
+    """At most `most` rows (of each value of `by`), those whose keys hash lowest: a fixed sample of bounded size.
+
+    A cut at the share of hashes that leaves about four times as many rows comes first,
+    so that ordering them is bounded too, however many rows and tasks there are.
+    """
+    keys = [by] if by else []
+    counts = df.groupBy(*keys).agg(F.least(F.lit(1.0), F.lit(4.0 * most) / F.count("*")).alias("_share"))
+    with_share = df.join(counts, by) if by else df.crossJoin(F.broadcast(counts))  # one row
+    place = F.pmod(F.xxhash64(key), F.lit(1 << 32)) / F.lit(float(1 << 32))
+    near = with_share.withColumn("_place", place).filter("_place < _share")
+    nth = F.row_number().over(Window.partitionBy(*keys).orderBy("_place", key))
+    return near.withColumn("_nth", nth).filter(F.col("_nth") <= most).drop("_share", "_place", "_nth")
+
+
 def shared_dir(spark: SparkSession) -> None:
     """Make checkpoint() usable: the cluster's folder if it names one, one of our own otherwise."""
     sc = spark.sparkContext

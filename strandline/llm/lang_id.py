@@ -17,10 +17,11 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import category_class
+from .columns import lowest
 from .text import small_batches
 
 #: Labelled documents per language that are learned from, at most; rounds of learning.
@@ -129,8 +130,7 @@ def learn(documents: DataFrame, path: str, sample: int = SAMPLE, rounds: int = R
     spark = documents.sparkSession
     small_batches(spark)
     usable = documents.filter("text IS NOT NULL AND lang IS NOT NULL AND doc_id IS NOT NULL")
-    nth = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    chosen = usable.select("doc_id", "lang").withColumn("nth", nth).filter(F.col("nth") <= sample).select("doc_id", "lang")
+    chosen = lowest(usable.select("doc_id", "lang"), "doc_id", sample, "lang")
     texts = usable.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("lang", "text")  # `sample` rows a language
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

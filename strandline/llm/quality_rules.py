@@ -19,7 +19,7 @@ from math import log2
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .columns import let
+from .columns import let, lowest
 
 #: Labelled documents that the rules are learned from, at most: those whose ids hash lowest.
 SAMPLE = 20_000
@@ -200,7 +200,7 @@ def learn(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE, **limit
     test decides them.  No labels, or none of a kind, give no rules: all is kept.
     """
     ids = labels.filter("doc_id IS NOT NULL AND quality IN (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("label"))
-    ids = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    ids = lowest(ids, "doc_id", sample)
     rows = documents.select("doc_id", "text").join(F.broadcast(ids), "doc_id")  # at most `sample` rows
     rows = rows.select("doc_id", "label", statistics(F.col("text")).alias("s"))
     # What fails the base test is marked and left out of the kept rows: as a filter here, Spark would
