@@ -9,6 +9,7 @@ hashes in every batch, task and run.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from pathlib import Path
@@ -165,7 +166,7 @@ def small_batches(spark: SparkSession, rows: int = 1000, mb: int = 32) -> None:
     if root not in paths.get("PYTHONPATH", "").split(":"):
         paths["PYTHONPATH"] = ":".join(filter(None, [paths.get("PYTHONPATH"), root]))
     for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", mb << 20)):
-        now = spark.conf.get(key, None)
-        digits = "".join(c for c in now or "" if c.isdigit())
-        if not digits or not 0 < int(digits) <= most or now.strip().isalpha():
+        said = re.fullmatch(r"(-?\d+)\s*([kmg]?)b?", (spark.conf.get(key, None) or "0").strip().lower())
+        now = int(said[1]) << {"": 0, "k": 10, "m": 20, "g": 30}[said[2]] if said else 0
+        if not 0 < now <= most:
             spark.conf.set(key, str(most))
