@@ -7,8 +7,10 @@ between.  Base kinds, in order of report: email, ip, card, phone; each kind is
 matched leftmost, without overlap, and a match that fails its check is passed
 over as a whole.  Added kinds: login (user and password in an address with a
 scheme), secret (a value after a cue such as token, password, api_key, or a key
-with a known head), iban (checked modulo 97) and ssn (after its cue).  An added
-span never lies inside a base span and never changes one.
+with a known head), iban (checked modulo 97), ssn (after its cue), and what a failed
+match may hide: account (a card number among other groups of digits) and tel (a
+grouped phone number with other digits after it).  An added span never lies inside
+a base span and never changes one.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from .columns import sha256
 from .text import small_batches
 
 BASE = ("email", "ip", "card", "phone")
-KINDS = (*BASE, "login", "secret", "iban", "ssn")
+KINDS = (*BASE, "login", "secret", "iban", "ssn", "account", "tel")
 #: Cues in lower case, and heads of well-known keys as they are written.
 CUES = {"token": "secret", "password": "secret", "passwd": "secret", "secret": "secret", "api_key": "secret", "api-key": "secret", "apikey": "secret", "access_key": "secret", "bearer": "secret", "iban": "iban", "ssn": "ssn", "social security": "ssn"}
 HEADS = {"AKIA": 20, "ghp_": 40, "gho_": 40, "xoxb-": 24, "xoxp-": 24, "sk_live_": 24, "AIza": 39}
@@ -36,6 +38,8 @@ DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 ADDRESS = re.compile(r"([0-9]+)\.([0-9]+)\.([0-9]+)\.([0-9]+)")
 RUN = re.compile(r"[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
+GROUPED = re.compile(r"\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)|[0-9]{1,4})(?:[ .-]?[0-9]{2,4}){2}(?![0-9])")
+GROUP = re.compile(r"[0-9]+")
 LOGIN = re.compile(r"[^\s/?#@]+@")
 VALUE = re.compile(r"[\"']?(?:\s{0,2}[:=]\s{0,2}|\s{1,2})[\"']?([A-Za-z0-9_\-+/=.~]{12,})")
 KEY = re.compile(r"[A-Za-z0-9_-]+")
@@ -57,6 +61,23 @@ def iban_end(text: str, start: int, end: int) -> int:
     return -1
 
 
+def accounts(text: str, start: int, end: int) -> list[tuple[int, int]]:
+    """Card numbers among the groups of a run of digits: neighbouring groups of four or more digits, 13 to 19 in all, that pass the check."""
+    groups = [m.span() for m in GROUP.finditer(text, start, end)]
+    out, i = [], 0
+    while i < len(groups):
+        digits, j = "", i
+        while j < len(groups) and groups[j][1] - groups[j][0] >= 4 and len(digits) + groups[j][1] - groups[j][0] <= 19:
+            digits += text[slice(*groups[j])]
+            j += 1
+            if len(digits) >= 13 and luhn(digits):
+                out.append((groups[i][0], groups[j - 1][1]))
+                i = j - 1
+                break
+        i += 1
+    return out
+
+
 @lru_cache(1)
 def automaton():
     """Once for each Python worker: anchors and what to do at each."""
@@ -90,6 +111,8 @@ def find(text: str) -> list[tuple[str, int, int]]:
                     end["phone"] = m.end()
                     if 9 <= sum(c in DIGITS for c in m[0]) <= 15:
                         out["phone"].append(m.span())
+                    elif (m := GROUPED.match(text, at)) and 9 <= sum(c in DIGITS for c in m[0]) <= 15:
+                        out["tel"].append(m.span())
                 continue
             if at >= run_end:  # the first digit of a run: the one place in it where an address could start
                 if at >= end["ip"] and (m := ADDRESS.match(text, at)):
@@ -104,6 +127,8 @@ def find(text: str) -> list[tuple[str, int, int]]:
                 digits = m[0].replace(" ", "").replace("-", "")
                 if 13 <= len(digits) <= 19 and luhn(digits):
                     out["card"].append(m.span())
+                elif len(digits) > 13:
+                    out["account"] += accounts(text, *m.span())
         elif anchor == "at":
             start, floor = at, end["email"]
             while start > floor and text[start - 1] in LOCAL:
