@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.functions import aggregates as agg
+from strandline.operators.joins import range_join
 
 #: A grid point's window, as multiples of its width before and after the point.
 SIDES = {"both": (0.5, 0.5), "left": (1.0, 0.0), "right": (0.0, 1.0)}
@@ -58,6 +59,20 @@ def resample(events: DataFrame, spans: DataFrame, key: str, time: str, item: str
     return grid.filter((F.col("n") > 0) | (F.col("_first") if keep_first else F.lit(False))).drop("_first")
 
 
+def resample_at(events: DataFrame, grid: DataFrame, key: str, at: str, time: str, item: str, value: str, specs: Mapping[str, str], width: float, direction: str = "both", keep_empty: bool = True, keep_first: bool | None = None) -> DataFrame:
+    """resample() on any grid of (key, at): each point's closed window is joined to the events of its key by key and time bucket."""
+    before, after = (width * x for x in SIDES[direction])
+    windows = grid.select(key, at, (F.col(at) - before).alias("_low"), (F.col(at) + after).alias("_high"))
+    met = range_join(events.select(key, F.col(time).alias("_time"), F.col(item).alias("_item"), F.col(value).alias("_value")), windows, key, "_time", "_low", "_high", bucket=max(width, 1))
+    columns = [agg.aggregate(how)(F.when(F.col("_item") == name, F.col("_value")), F.col("_time"), F.lit(1.0)).alias(name) for name, how in specs.items()]
+    filled = met.groupBy(key, at).agg(*columns, F.count("*").alias("n"))
+    out = grid.select(key, at).join(filled, [key, at], "left").withColumn("n", F.coalesce("n", F.lit(0).cast("bigint")))
+    if keep_empty:
+        return out
+    nth = F.row_number().over(Window.partitionBy(key).orderBy(at))
+    return out.withColumn("_first", nth == 1).filter((F.col("n") > 0) | (F.col("_first") if keep_first else F.lit(False))).drop("_first")
+
+
 def resample_wide(df: DataFrame, spans: DataFrame, key: str, time: str, specs: Mapping[str, str], low: str, high: str, step: int, width: int, direction: str = "both", keep_empty: bool = True) -> DataFrame:
     """The same from one column per variable."""
     long = df.select(key, time, *(F.col(c).cast("double").alias(c) for c in specs)).unpivot([key, time], list(specs), "item", "value").filter("value IS NOT NULL")

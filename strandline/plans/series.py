@@ -66,6 +66,16 @@ def resample_keep_first(spark: SparkSession, d: str) -> DataFrame:
     return _grid(spark, d, "both", keep_empty=False, keep_first=True)
 
 
+@query(f"""WITH {EV}, g AS (SELECT DISTINCT user_id, us AS t FROM ev WHERE event_type = 'purchase')
+SELECT g.user_id, t, round(avg(value) FILTER (event_type = 'click'), 6) AS click, round(quantile_cont(value, 0.5) FILTER (event_type = 'view'), 9) AS view,
+  CASE WHEN count(us) > 0 THEN round(coalesce(sum(value) FILTER (event_type = 'error'), 0), 6) END AS error, arg_max(value, us) FILTER (event_type = 'signup') AS signup, count(us) AS n
+FROM g LEFT JOIN ev ON ev.user_id = g.user_id AND us BETWEEN t - {DAY} AND t GROUP BY g.user_id, t""")
+def range_grid_irregular(spark: SparkSession, d: str) -> DataFrame:
+    e = events(spark, d)
+    grid = e.filter("event_type = 'purchase'").select("user_id", C("us").alias("t")).distinct()
+    return _rounded(series.resample_at(e, grid, "user_id", "t", "us", "event_type", "value", SPECS, DAY, "left"))
+
+
 @query(f"""WITH {GAPS}, u AS (SELECT DISTINCT user_id FROM ev), s AS (SELECT user_id, unnest(generate_series({FIRST_DAY}, {LAST_DAY}, {DAY})) AS t FROM u)
 SELECT s.user_id, t, round(avg(x), 6) AS x, max(y) AS y FROM s LEFT JOIN g ON g.user_id = s.user_id AND us BETWEEN t - {DAY // 2} AND t + {DAY // 2} GROUP BY s.user_id, t""")
 def resample_wide(spark: SparkSession, d: str) -> DataFrame:
