@@ -28,12 +28,14 @@ def lowest(df: DataFrame, key: str, most: int, by: str | None = None) -> DataFra
     A cut at the share of hashes that leaves about four times as many rows comes first,
     so that ordering them is bounded too, however many rows and tasks there are.
     """
-    keys = [by] if by else []
-    counts = df.groupBy(*keys).agg(F.least(F.lit(1.0), F.lit(4.0 * most) / F.count("*")).alias("_share"))
-    with_share = df.join(counts, by) if by else df.crossJoin(F.broadcast(counts))  # one row
     place = F.pmod(F.xxhash64(key), F.lit(1 << 32)) / F.lit(float(1 << 32))
-    near = with_share.withColumn("_place", place).filter("_place < _share")
-    nth = F.row_number().over(Window.partitionBy(*keys).orderBy("_place", key))
+    share = F.least(F.lit(1.0), F.lit(4.0 * most) / F.greatest(F.count("*"), F.lit(1)))
+    if by:
+        near = df.join(df.groupBy(by).agg(share.alias("_share")), by)
+    else:
+        near = df.withColumn("_share", F.lit(df.agg(share).first()[0]))
+    near = near.withColumn("_place", place).filter("_place < _share")
+    nth = F.row_number().over(Window.partitionBy(*([by] if by else [])).orderBy("_place", key))
     return near.withColumn("_nth", nth).filter(F.col("_nth") <= most).drop("_share", "_place", "_nth")
 
 
