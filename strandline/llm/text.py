@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import SparkSession
 
 #: Bytes of text that are worked on at once; a longer text is worked on alone.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
 
 # Odd multipliers and their inverses modulo 2**64.
 BYTE_BASE = 0x9E3779B97F4A7C15
