@@ -30,12 +30,11 @@ def lowest(df: DataFrame, key: str, most: int, by: str | None = None) -> DataFra
     """
     place = F.pmod(F.xxhash64(key), F.lit(1 << 32)) / F.lit(float(1 << 32))
     share = F.least(F.lit(1.0), F.lit(4.0 * most) / F.greatest(F.count("*"), F.lit(1)))
-    if by:
-        near = df.join(df.groupBy(by).agg(share.alias("_share")), by)
-    else:
-        near = df.withColumn("_share", F.lit(df.agg(share).first()[0]))
-    near = near.withColumn("_place", place).filter("_place < _share")
-    nth = F.row_number().over(Window.partitionBy(*([by] if by else [])).orderBy("_place", key))
+    if not by:
+        near = df.withColumn("_place", place).filter(F.col("_place") < df.agg(share).first()[0])
+        return near.orderBy("_place", key).limit(most).drop("_place")
+    near = df.join(df.groupBy(by).agg(share.alias("_share")), by).withColumn("_place", place).filter("_place < _share")
+    nth = F.row_number().over(Window.partitionBy(by).orderBy("_place", key))
     return near.withColumn("_nth", nth).filter(F.col("_nth") <= most).drop("_share", "_place", "_nth")
 
 
