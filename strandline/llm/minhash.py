@@ -41,6 +41,8 @@ SIMILARITY = (4, 5)
 BUCKETS, SHARD = 1 << 18, 1 << 12
 #: Buckets of up to so many nodes are paired in full; rounds of further leaders in larger ones.
 SMALL, LEADERS = 8, 1
+#: Parts in which the nodes of each bucket are joined to what is known of the bucket.
+SALTS = 16
 #: Shingles before one in a prefix that are looked at to tell whether a pair has met already.
 BEFORE = 16
 #: Inverse document frequencies are whole multiples of 1 / UNIT.
@@ -231,6 +233,13 @@ def _possible(texts: DataFrame, idf: np.ndarray, placed: DataFrame, outside: Dat
     return met.select(F.least("node", "x").alias("a"), F.greatest("node", "x").alias("b"))
 
 
+def _of_bucket(nodes: DataFrame, buckets: DataFrame, how: str = "inner") -> DataFrame:
+    """Nodes joined to one row of their bucket, by band, key and salt, so that a large bucket is spread over tasks."""
+    salted = buckets.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    own = nodes.withColumn("_salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int"))
+    return own.join(salted, ["band", "key", "_salt"], how).drop("_salt")
+
+
 def components(links: DataFrame) -> DataFrame:
     """node, label (the component's least node) of every node with a link; links: a, b."""
     edges = cut(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v").distinct())
@@ -271,7 +280,7 @@ def near_duplicates(documents: DataFrame, bands: int = BANDS, rows: int = ROWS,
     nodes = cut(nodes)
     entries = nodes.select("node", F.posexplode("keys").alias("band", "key"))
     buckets = entries.groupBy("band", "key").agg(F.count("*").alias("size"), F.min("node").alias("leader")).filter("size > 1")
-    members = cut(entries.join(buckets, ["band", "key"]))
+    members = cut(_of_bucket(entries, buckets))
     # From here on only texts that have a candidate are read.
     texts = stored(texts.join(members.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi"))
     mine = members.filter(F.col("size") <= small)
@@ -287,13 +296,13 @@ def near_duplicates(documents: DataFrame, bands: int = BANDS, rows: int = ROWS,
             placed = large.join(labels, "node", "left").select("band", "key", "node", F.coalesce("label", "node").alias("label"))
             parts = placed.groupBy("band", "key", "label").agg(F.count("*").alias("n"), F.min_by("node", F.xxhash64("node", F.lit(nth))).alias("leader"))
             top = parts.groupBy("band", "key").agg(F.max(F.struct("n", "label", "leader")).alias("top"), F.count("*").alias("parts")).filter("parts > 1")
-            outside = cut(placed.join(top, ["band", "key"]).filter("label != top.label").select("node", "label", F.col("top.leader").alias("leader")))
+            outside = cut(_of_bucket(placed, top).filter("label != top.label").select("node", "label", F.col("top.leader").alias("leader")))
             if not outside.limit(1).count():
                 break
             if nth < LEADERS:
                 more = outside.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b"))
             else:
-                more = _possible(texts, idf, placed.join(top.select("band", "key"), ["band", "key"], "left_semi"), outside)
+                more = _possible(texts, idf, _of_bucket(placed, top.select("band", "key"), "left_semi"), outside)
             more = more.distinct().join(weighed.select("a", "b"), ["a", "b"], "left_anti")
             weighed = weighed.unionByName(cut(_verified(more, texts, idf)))
     links = weighed.filter(alike).select("a", "b")
