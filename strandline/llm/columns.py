@@ -25,7 +25,7 @@ def let(value: Column, body) -> Column:
 def lowest(df: DataFrame, key: str, most: int, by: str | None = None) -> DataFrame:
     """At most `most` rows (of each value of `by`), those whose keys hash lowest: a fixed sample of bounded size.
 
-    A cut at the share of hashes that leaves about four times as many rows comes first,
+    `by` must have few values (one row each is sent to every task).  A cut at the share of hashes that leaves about four times as many rows comes first,
     so that ordering them is bounded too, however many rows and tasks there are.
     """
     place = F.pmod(F.xxhash64(key), F.lit(1 << 32)) / F.lit(float(1 << 32))
@@ -33,7 +33,7 @@ def lowest(df: DataFrame, key: str, most: int, by: str | None = None) -> DataFra
     if not by:
         near = df.withColumn("_place", place).filter(F.col("_place") < df.agg(share).first()[0])
         return near.orderBy("_place", key).limit(most).drop("_place")
-    near = df.join(df.groupBy(by).agg(share.alias("_share")), by).withColumn("_place", place).filter("_place < _share")
+    near = df.join(F.broadcast(df.groupBy(by).agg(share.alias("_share"))), by).withColumn("_place", place).filter("_place < _share")
     nth = F.row_number().over(Window.partitionBy(by).orderBy("_place", key))
     return near.withColumn("_nth", nth).filter(F.col("_nth") <= most).drop("_share", "_place", "_nth")
 
