@@ -25,8 +25,9 @@ def let(value: Column, body) -> Column:
 def lowest(df: DataFrame, key: str, most: int, by: str | None = None) -> DataFrame:
     """At most `most` rows (of each value of `by`), those whose keys hash lowest: a fixed sample of bounded size.
 
-    `by` must have few values (one row each is sent to every task).  A cut at the share of hashes that leaves about four times as many rows comes first,
-    so that ordering them is bounded too, however many rows and tasks there are.
+    A cut at the share of hashes that leaves about four times as many rows comes first,
+    so that ordering them is bounded too, however many rows and tasks there are.  `by`
+    must have few values, such as languages: one row each is sent to every task.
     """
     place = F.pmod(F.xxhash64(key), F.lit(1 << 32)) / F.lit(float(1 << 32))
     share = F.least(F.lit(1.0), F.lit(4.0 * most) / F.greatest(F.count("*"), F.lit(1)))
