@@ -1,6 +1,7 @@
 """Lookups, set tests, range joins, as-of joins and interval overlap.
 
-Time joins always carry the entity as an equality, so Spark hashes or merges by
+As-of joins merge events and anchors by entity and time and carry values along.
+Range joins always carry the entity as an equality, so Spark hashes or merges by
 entity and the range is a residual condition.  Where an entity has many rows on
 both sides, `bucket` adds a second equality: each window is listed under the time
 buckets that it touches and each event under its own, so an entity's rows are
@@ -11,7 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Comparisons by the kind of an end of a window.
@@ -57,20 +58,37 @@ def range_join(events: DataFrame, windows: DataFrame, on: str, time: str, low: s
     return windows.alias("w").join(events.alias("e"), condition).select(*shown)
 
 
-def asof(events: DataFrame, anchors: DataFrame, on: str, time: str, at: str, value: str, key: str, direction: str = "backward", out: str | None = None, since: str | None = None, until: str | None = None) -> DataFrame:
+def asof(events: DataFrame, anchors: DataFrame, on: str, time: str, at: str, value: str, key: str, direction: str = "backward", out: str | None = None, since: str | None = None, until: str | None = None, bucket: int | None = None) -> DataFrame:
     """Each anchor with the last value at or before it, or the first at or after it, and that value's time.
 
     since, until: columns of the anchor that bound the look.  An anchor without such a
-    value gets nulls.  `key` identifies anchors; equal times are told apart by value.
+    value gets nulls.  `key` identifies anchors; of values of one time the greatest is
+    last and the least first.  Events and anchors are merged in time order and values
+    carried along, so an entity costs one sort, however many events and anchors it has.
+    bucket, in units of time: entities are cut into such buckets, so that a busy one is
+    spread over tasks; values are carried into a bucket from the ones before it.
     """
     out = out or value
-    backward = direction == "backward"
-    low, high = (since or at, at) if backward else (at, until or at)
-    ends = ("closed" if since else "none", "closed") if backward else ("closed", "closed" if until else "none")
-    met = range_join(events.select(on, time, value).filter(F.col(value).isNotNull()), anchors.select(key, on, *{low, high}), on, time, low, high, ends)
-    pick = F.max(F.struct(time, value)) if backward else F.min(F.struct(time, value))
-    found = met.groupBy(key).agg(pick.alias("_found")).select(key, F.col(f"_found.{time}").alias(f"{out}_time"), F.col(f"_found.{value}").alias(out))
-    return anchors.join(found, key, "left")
+    back = direction == "backward"
+    order = (lambda c: F.col(c)) if back else (lambda c: F.desc(c))
+    number = (F.floor(F.col(time) / F.lit(bucket)) if bucket else F.lit(0)).cast("bigint")
+    seen = events.filter(F.col(value).isNotNull() & F.col(time).isNotNull()).select(on, F.col(time).alias("_t"), F.struct(F.col(time).alias("t"), F.col(value).alias("v")).alias("_x"), number.alias("_b"))
+    asked = anchors.filter(F.col(at).isNotNull()).select(on, F.col(at).alias("_t"), F.col(key).alias("_key"), (F.floor(F.col(at) / F.lit(bucket)) if bucket else F.lit(0)).cast("bigint").alias("_b"))
+    merged = seen.withColumn("_asked", F.lit(0)).unionByName(asked.withColumn("_asked", F.lit(1)), allowMissingColumns=True)
+    carried = F.last("_x", True).over(Window.partitionBy(on, "_b").orderBy(order("_t"), "_asked", order("_x")).rowsBetween(Window.unboundedPreceding, 0))
+    found = merged.withColumn("_found", carried).filter("_asked = 1").select(on, "_b", "_key", "_found")
+    if bucket:
+        ends = seen.groupBy(on, "_b").agg((F.max if back else F.min)("_x").alias("_end"))
+        wanted = asked.select(on, "_b").distinct().join(ends, [on, "_b"], "full")
+        earlier = F.last("_end", True).over(Window.partitionBy(on).orderBy(order("_b")).rowsBetween(Window.unboundedPreceding, -1))
+        found = found.join(wanted.select(on, "_b", earlier.alias("_earlier")), [on, "_b"], "left").withColumn("_found", F.coalesce("_found", "_earlier"))
+    joined = anchors.join(found.select(F.col("_key").alias(key), "_found"), key, "left")
+    bound = F.lit(True)
+    if back and since:
+        bound = F.col("_found.t") >= F.col(since)
+    if not back and until:
+        bound = F.col("_found.t") <= F.col(until)
+    return joined.select(*anchors.columns, F.when(bound, F.col("_found.t")).alias(f"{out}_time"), F.when(bound, F.col("_found.v")).alias(out))
 
 
 def flags(events: DataFrame, windows: DataFrame, on: str, key: str, time: str, low: str, high: str, item: str, items: Sequence[str], ends: tuple[str, str] = ("closed", "closed"), bucket: int | None = None) -> DataFrame:

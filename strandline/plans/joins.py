@@ -114,12 +114,12 @@ AFTER = "(SELECT min_by(value, us) FROM ev WHERE user_id = subject_id AND event_
 
 @query(f"WITH {OPS} SELECT op_id, {BEFORE.format('view', '')} AS before, {BEFORE.format('view', '').replace('max_by(value, us)', 'max(us)')} AS before_time FROM ops")
 def asof_backward(spark: SparkSession, d: str) -> DataFrame:
-    return _asof(spark, d, operations(spark, d), "view", "orin", "backward", "before").select("op_id", "before", "before_time")
+    return _asof(spark, d, operations(spark, d), "view", "orin", "backward", "before", bucket=2 * DAY).select("op_id", "before", "before_time")
 
 
 @query(f"WITH {OPS} SELECT op_id, {AFTER.format('view', 'AND us <= disch')} AS after, {AFTER.format('view', 'AND us <= disch').replace('min_by(value, us)', 'min(us)')} AS after_time FROM ops")
 def asof_forward(spark: SparkSession, d: str) -> DataFrame:
-    return _asof(spark, d, operations(spark, d), "view", "orout", "forward", "after", until="disch").select("op_id", "after", "after_time")
+    return _asof(spark, d, operations(spark, d), "view", "orout", "forward", "after", until="disch", bucket=DAY).select("op_id", "after", "after_time")
 
 
 @query(f"""WITH {OPS}, x AS (SELECT op_id, {BEFORE.format('error', 'AND us >= adm')} AS v1, {AFTER.format('error', 'AND us <= disch')} AS v2 FROM ops)

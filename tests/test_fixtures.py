@@ -1,6 +1,7 @@
 """Small hand-made cases, one per rule that is easy to get wrong."""
 
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -122,6 +123,22 @@ def test_asof_bounds(spark):
     assert rows(joins.asof(e, a.filter("id = 2"), "k", "t", "at", "v", "id", "forward").select("v")) == [(1.0,)]
 
 
+def test_asof_in_buckets(spark):
+    rng = random.Random(4)
+    events = [(k, rng.randrange(60), float(rng.randrange(5)) if rng.random() < 0.8 else None) for k in range(3) for _ in range(40 * (k > 0))]
+    anchors = [(i, i % 4, rng.randrange(-5, 70)) for i in range(80)]
+    e = spark.createDataFrame(events, "k int, t bigint, v double")
+    a = spark.createDataFrame(anchors, "id int, k int, at bigint")
+    for direction in ("backward", "forward"):
+        want = []
+        for i, k, at in anchors:
+            own = [(t, v) for j, t, v in events if j == k and v is not None and (t <= at if direction == "backward" else t >= at)]
+            t, v = (max(own) if direction == "backward" else min(own)) if own else (None, None)
+            want.append((i, v, t))
+        for bucket in (None, 1, 7, 1000):
+            assert rows(joins.asof(e, a, "k", "t", "at", "v", "id", direction, bucket=bucket).select("id", "v", "v_time"), "id") == want, (direction, bucket)
+
+
 def test_kidney_stages(spark):
     cases = [(1.0, 1.2, 100.0, 0), (1.0, 1.5, 100.0, 1), (1.0, 2.0, 100.0, 2), (1.0, 3.0, 100.0, 3), (2.0, 4.0, 999.0, 3), (0.7, 1.0, 48.0, 1), (None, 2.0, 1.0, None), (1.0, 3.5, 200.0, 0)]
     d = spark.createDataFrame([(i, *c) for i, c in enumerate(cases)], "i int, a double, b double, h double, want int")
