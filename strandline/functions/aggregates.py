@@ -55,9 +55,51 @@ def iqr(x: Column) -> Column:
     return F.percentile(x, F.lit(0.75)) - F.percentile(x, F.lit(0.25))
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body(value)`, with `value` computed once."""
+    return F.transform(F.array(value), body)[0]
+
+
+def mode(x: Column, time: Column, weight: Column | None = None) -> Column:
+    """The most frequent value, of equally frequent ones that which occurs last.
+
+    This and the next two gather a group's values, for groups such as the windows of a
+    series; stats.mode_last and its like count by value instead, for groups of any size.
+    """
+    seen = F.transform(F.sort_array(F.collect_list(F.when(x.isNotNull(), F.struct(time.alias("t"), x.alias("v"))))), lambda s: s.v)
+    count = lambda v, all_: F.size(F.filter(all_, lambda y: y == v))
+    best = lambda all_: F.array_max(F.transform(F.array_distinct(all_), lambda v: F.struct(count(v, all_).alias("n"), (-F.array_position(F.reverse(all_), v)).alias("last"), v.alias("v")))).v
+    return _let(seen, best)
+
+
+def _pairs(x: Column, weight: Column) -> Column:
+    return F.collect_list(F.when(x.isNotNull() & weight.isNotNull(), F.struct(x.alias("v"), weight.cast("double").alias("w"))))
+
+
+def weighted_mode(x: Column, time: Column | None, weight: Column) -> Column:
+    """The value of the greatest total weight, of equal ones the least."""
+
+    def best(pairs: Column) -> Column:
+        total_of = lambda v: F.aggregate(F.filter(pairs, lambda p: p.v == v), F.lit(0.0), lambda a, p: a + p.w)
+        return F.array_min(F.transform(F.array_distinct(F.transform(pairs, lambda p: p.v)), lambda v: F.struct((-total_of(v)).alias("n"), v.alias("v")))).v
+
+    return _let(_pairs(x, weight), best)
+
+
+def weighted_median(x: Column, time: Column | None, weight: Column) -> Column:
+    """The greatest value up to which at most half of the weight lies; null if there is none."""
+
+    def upto(pairs: Column) -> Column:
+        whole = F.aggregate(pairs, F.lit(0.0), lambda a, p: a + p.w)
+        share = lambda v: F.aggregate(F.filter(pairs, lambda p: p.v <= v), F.lit(0.0), lambda a, p: a + p.w) / F.nullif(whole, F.lit(0.0))
+        return F.array_max(F.filter(F.array_distinct(F.transform(pairs, lambda p: p.v)), lambda v: share(v) <= 0.5))
+
+    return _let(_pairs(x, weight), upto)
+
+
 REGISTRY: dict[str, Builder] = {
     "mean": plain(F.avg), "min": plain(F.min), "max": plain(F.max), "median": plain(median), "sd": plain(F.stddev_samp), "iqr": plain(iqr),
-    "sum": total, "first": earliest, "last": latest, "any": any_of, "all": all_of, "mean_w": weighted_mean, "sum_w": weighted_total, "count": plain(F.count),
+    "sum": total, "first": earliest, "last": latest, "any": any_of, "all": all_of, "mean_w": weighted_mean, "sum_w": weighted_total, "mode": mode, "mode_w": weighted_mode, "median_w": weighted_median, "count": plain(F.count),
 }
 
 

@@ -99,6 +99,16 @@ def test_weighted(spark):
     assert rows(stats.mode_weighted(d, ["k"], "x", "w"), "k") == [(1, 3.0), (2, 5.0)]
 
 
+def test_gathered_and_counted_modes_agree(spark):
+    rng = random.Random(5)
+    d = spark.createDataFrame([(i % 9, i, rng.choice([1.0, 2.0, 3.0, None]), rng.choice([1.0, 2.0, None])) for i in range(120)], "k int, t int, x double, w double")
+    x, t, w = F.col("x"), F.col("t"), F.col("w")
+    one = rows(d.groupBy("k").agg(aggregate("mode")(x, t), aggregate("mode_w")(x, t, w), aggregate("median_w")(x, t, w)), "k")
+    parts = (stats.mode_last(d, ["k"], "x", "t"), stats.mode_weighted(d, ["k"], "x", "w"), stats.median_weighted(d, ["k"], "x", "w"))
+    assert one == [(a[0], a[1], b[1], c[1]) for a, b, c in zip(*(rows(p, "k") for p in parts))]
+    assert rows(d.filter("k = 99").agg(aggregate("mode")(x, t))) == [(None,)]
+
+
 def test_overlap(spark):
     e = spark.createDataFrame([(1, 0, 10, 4.0), (1, 7, None, 2.0), (1, 6, 6, 1.0), (1, 16, 20, 1.0)], "k int, s bigint, t bigint, v double")
     w = spark.createDataFrame([(1, 5, 15)], "k int, a bigint, b bigint")
