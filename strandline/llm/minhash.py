@@ -41,6 +41,8 @@ SIMILARITY = (4, 5)
 BUCKETS, SHARD = 1 << 18, 1 << 12
 #: Buckets of up to so many nodes are paired in full; rounds of further leaders in larger ones.
 SMALL, LEADERS = 8, 1
+#: Links to a task in the steps that find components.
+PER_TASK = 200_000
 #: Parts in which the nodes of each bucket are joined to what is known of the bucket.
 SALTS = 16
 #: Shingles before one in a prefix that are looked at to tell whether a pair has met already.
@@ -241,19 +243,24 @@ def _of_bucket(nodes: DataFrame, buckets: DataFrame, how: str = "inner") -> Data
 
 
 def components(links: DataFrame) -> DataFrame:
-    """node, label (the component's least node) of every node with a link; links: a, b."""
+    """node, label (the component's least node) of every node with a link; links: a, b.
+
+    Each step runs in as many tasks as its links fill, PER_TASK to each: there are far
+    fewer links than documents, and a step of many empty tasks costs more than its work.
+    """
     edges = cut(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v").distinct())
     state = lambda e: e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
     before = state(edges)
     while before[0]:
+        tasks = 1 + before[0] // PER_TASK
         # Large star: greater neighbours of each node go to the least of its neighbourhood.
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).coalesce(tasks)
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).coalesce(tasks).distinct()
         # Small star: lesser neighbours of each node, and the node, go to the least of them.
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = cut(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
+        edges = cut(small.unionByName(low.select("u", F.col("m").alias("v"))).coalesce(tasks).distinct().coalesce(tasks))
         now = state(edges)
         if now == before:
             break
