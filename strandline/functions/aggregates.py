@@ -36,7 +36,7 @@ def all_of(x: Column, time: Column | None = None, weight: Column | None = None)
 def weighted_mean(x: Column, time: Column | None, weight: Column) -> Column:
     """Over pairs without nulls."""
     both = x.isNotNull() & weight.isNotNull()
-    return F.sum(F.when(both, x * weight)) / F.sum(F.when(both, weight))
+    return F.try_divide(F.sum(F.when(both, x * weight)), F.sum(F.when(both, weight)))
 
 
 def weighted_total(x: Column, time: Column | None, weight: Column) -> Column:

@@ -40,7 +40,7 @@ def denormalise(x: Column, mean: Column | float, sd: Column | float) -> Column:
 
 def z(x: Column, mean: Column, sd: Column) -> Column:
     """0 where the deviation is 0."""
-    return F.when(sd == 0, F.lit(0.0)).otherwise((x - mean) / sd)
+    return F.when(sd == 0, F.lit(0.0)).otherwise(F.try_divide(x - mean, sd))
 
 
 def z_back(x: Column, mean: Column, sd: Column) -> Column:

@@ -105,7 +105,7 @@ def overlap(start: Column, end: Column, low: Column, high: Column) -> tuple[Colu
     A point inside the window has width 0 and share 1; an event of no length has a null share.
     """
     width = F.when(end.isNull(), F.lit(0)).otherwise(F.least(end, high) - F.greatest(start, low))
-    share = F.when(end.isNull(), F.lit(1.0)).when(end > start, width / (end - start))
+    share = F.when(end.isNull(), F.lit(1.0)).when(end > start, F.try_divide(width, end - start))
     return width, share
 
 

@@ -37,8 +37,8 @@ def area(df: DataFrame, keys: Sequence[str], score: str = "score", label: str =
     """keys, auroc (ties count half), auprc (sum of recall steps times precision); null where a class is missing."""
     r = running(df, keys, score, label, weight)
     d = lambda c: F.col(c).cast("double")
-    roc = F.sum(d("pos") * (d("N") - d("fp") + d("neg") / 2.0)) / (F.max(d("P")) * F.max(d("N")))
-    prc = F.sum(d("pos") * d("tp") / (d("tp") + d("fp"))) / F.max(d("P"))
+    roc = F.try_divide(F.sum(d("pos") * (d("N") - d("fp") + d("neg") / 2.0)), F.max(d("P")) * F.max(d("N")))
+    prc = F.try_divide(F.sum(d("pos") * F.try_divide(d("tp"), d("tp") + d("fp"))), F.max(d("P")))
     both = (F.max("P") > 0) & (F.max("N") > 0)
     return r.groupBy(*keys).agg(F.when(both, roc).alias("auroc"), F.when(both, prc).alias("auprc"))
 
@@ -50,21 +50,21 @@ def neighbours(r: DataFrame, keys: Sequence[str], score: str) -> DataFrame:
 
 def roc_points(df: DataFrame, keys: Sequence[str], score: str = "score", label: str = "y") -> DataFrame:
     """keys, threshold, fpr, tpr at each distinct score."""
-    return running(df, keys, score, label).select(*keys, F.col(score).alias("threshold"), (F.col("fp") / F.col("N")).alias("fpr"), (F.col("tp") / F.col("P")).alias("tpr"))
+    return running(df, keys, score, label).select(*keys, F.col(score).alias("threshold"), F.try_divide("fp", "N").alias("fpr"), F.try_divide("tp", "P").alias("tpr"))
 
 
 def prc_points(df: DataFrame, keys: Sequence[str], score: str = "score", label: str = "y") -> DataFrame:
     """keys, threshold, recall, precision at each distinct score."""
-    return running(df, keys, score, label).select(*keys, F.col(score).alias("threshold"), (F.col("tp") / F.col("P")).alias("recall"), (F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precision"))
+    return running(df, keys, score, label).select(*keys, F.col(score).alias("threshold"), F.try_divide("tp", "P").alias("recall"), F.try_divide(F.col("tp"), F.col("tp") + F.col("fp")).alias("precision"))
 
 
 def pr_trapezoid(df: DataFrame, keys: Sequence[str], score: str = "score", label: str = "y") -> DataFrame:
     """keys, pr_auc: trapezoids under precision by recall, from (0, 1)."""
     r = neighbours(running(df, keys, score, label), keys, score)
     d = lambda c: F.col(c).cast("double")
-    above = F.when(F.col("tp_above") + F.col("fp_above") == 0, 1.0).otherwise(d("tp_above") / (d("tp_above") + d("fp_above")))
-    here = d("tp") / (d("tp") + d("fp"))
-    return r.groupBy(*keys).agg((F.sum(d("pos") * (above + here) / 2.0) / F.max(d("P"))).alias("pr_auc"))
+    above = F.when(F.col("tp_above") + F.col("fp_above") == 0, 1.0).otherwise(F.try_divide(d("tp_above"), d("tp_above") + d("fp_above")))
+    here = F.try_divide(d("tp"), d("tp") + d("fp"))
+    return r.groupBy(*keys).agg(F.try_divide(F.sum(d("pos") * (above + here) / 2.0), F.max(d("P"))).alias("pr_auc"))
 
 
 def best_threshold(df: DataFrame, keys: Sequence[str], score: str = "score", label: str = "y") -> DataFrame:
@@ -80,7 +80,7 @@ def confusion(df: DataFrame, keys: Sequence[str], threshold: str, score: str = "
     over, y = F.col(score) > F.col(threshold), F.col(label) == 1
     n = lambda c: F.count(F.when(c, 1)).cast("double")
     counts = df.filter(F.col(label).isNotNull()).groupBy(*keys).agg(n(over & y).alias("tp"), n(over & ~y).alias("fp"), n(~over & y).alias("fn"), n(~over & ~y).alias("tn"))
-    share = lambda a, b: F.when(b == 0, 0.0).otherwise(a / b)
+    share = lambda a, b: F.coalesce(F.try_divide(a, b), F.lit(0.0))
     tp, fp, fn, tn = (F.col(c) for c in ("tp", "fp", "fn", "tn"))
     return counts.select(*keys, share(tp + tn, tp + fp + fn + tn).alias("accuracy"), share(tp, tp + fn).alias("sensitivity"), share(tn, tn + fp).alias("specificity"), share(tp, tp + fp).alias("precision"), share(2.0 * tp, 2.0 * tp + fp + fn).alias("f1"))
 
@@ -124,12 +124,12 @@ def macro_roc(df: DataFrame, group: str, points: int = 100, score: str = "score"
     Each step of a curve lists the grid points below it, so grid and curves never meet in full.
     """
     r = neighbours(running(df, [group], score, label), [group], score)
-    share = lambda a, b: F.col(a) / F.col(b)
+    share = lambda a, b: F.try_divide(a, b)
     steps = r.select(group, share("fp_above", "N").alias("x0"), share("fp", "N").alias("x1"), share("tp_above", "P").alias("y0"), share("tp", "P").alias("y1"))
     last = points - 1
     grid = F.explode(F.sequence(F.floor(F.col("x0") * last), F.ceil(F.col("x1") * last)))
     listed = steps.filter("x0 < x1").withColumn("i", grid).withColumn("fpr", F.col("i") / F.lit(float(last))).filter("fpr >= x0 AND fpr < x1")
-    inner = listed.select(group, "i", "fpr", (F.col("y0") + (F.col("y1") - F.col("y0")) * (F.col("fpr") - F.col("x0")) / (F.col("x1") - F.col("x0"))).alias("tpr"))
+    inner = listed.select(group, "i", "fpr", (F.col("y0") + F.try_divide((F.col("y1") - F.col("y0")) * (F.col("fpr") - F.col("x0")), F.col("x1") - F.col("x0"))).alias("tpr"))
     ends = steps.select(group).distinct().select(group, F.lit(last).cast("bigint").alias("i"), F.lit(1.0).alias("fpr"), F.lit(1.0).alias("tpr"))
     return inner.unionByName(ends).groupBy("i", "fpr").agg(F.avg("tpr").alias("tpr")).drop("i")
 

@@ -13,7 +13,7 @@ from strandline.dictionary import Variable
 
 def bmi(weight: Column, height_cm: Column) -> Column:
     metres = height_cm / F.lit(100.0)
-    return weight / (metres * metres)
+    return F.try_divide(weight, metres * metres)
 
 
 def mean_pressure(systolic: Column, diastolic: Column) -> Column:

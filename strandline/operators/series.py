@@ -103,8 +103,8 @@ def linear(x: Column, key: Sequence[str], time: str) -> Column:
     t = F.when(x.isNotNull(), F.col(time))
     xl, tl = F.last(x, True).over(past(key, time)), F.last(t, True).over(past(key, time))
     xr, tr = F.last(x, True).over(future(key, time)), F.last(t, True).over(future(key, time))
-    between = xl + (xr - xl) * ((F.col(time) - tl).cast("double") / (tr - tl).cast("double"))
-    return F.when(x.isNotNull(), x).when(xl.isNull(), xr).when(xr.isNull(), xl).otherwise(between)
+    between = xl + (xr - xl) * F.try_divide((F.col(time) - tl).cast("double"), (tr - tl).cast("double"))
+    return F.when(x.isNotNull(), x).when(xl.isNull(), xr).when(xr.isNull(), xl).otherwise(F.coalesce(between, xl))
 
 
 def own(f: Column, key: Sequence[str]) -> Column:

@@ -150,7 +150,7 @@ def test_asof_in_buckets(spark):
 
 
 def test_kidney_stages(spark):
-    cases = [(1.0, 1.2, 100.0, 0), (1.0, 1.5, 100.0, 1), (1.0, 2.0, 100.0, 2), (1.0, 3.0, 100.0, 3), (2.0, 4.0, 999.0, 3), (0.7, 1.0, 48.0, 1), (None, 2.0, 1.0, None), (1.0, 3.5, 200.0, 0)]
+    cases = [(1.0, 1.2, 100.0, 0), (1.0, 1.5, 100.0, 1), (1.0, 2.0, 100.0, 2), (1.0, 3.0, 100.0, 3), (2.0, 4.0, 999.0, 3), (0.7, 1.0, 48.0, 1), (None, 2.0, 1.0, None), (1.0, 3.5, 200.0, 0), (0.0, 0.2, 9.0, 3), (0.0, 0.0, 9.0, 0)]
     d = spark.createDataFrame([(i, *c) for i, c in enumerate(cases)], "i int, a double, b double, h double, want int")
     got = d.select("i", "want", labels.kidney_stage(F.col("a"), F.col("b"), F.col("h"), F.lit(0)).alias("got"))
     assert all(r[1] == r[2] for r in rows(got, "i")), rows(got, "i")
