@@ -2,9 +2,13 @@
 
 A document is a weighted set: its `SHINGLE`-word shingles, each with its count in
 the document times an inverse document frequency.  Frequencies are counted over
-all documents in `BUCKETS` hashed buckets, so their table has a fixed size.  Two
-documents are alike if the weighted Jaccard similarity of their sets (sum of the
-lesser weights over sum of the greater) is at least `SIMILARITY`.
+all documents in `BUCKETS` hashed buckets, so their table has a fixed size.  The
+inverse frequencies lie between 1 and `RANGE`, whatever the input: what a large
+group of variants shares does not get light against each variant's own edits.  Two
+documents are alike if the Jaccard similarity of their sets (sum of the lesser
+weights over sum of the greater) is at least `SIMILARITY`, by these weights or by
+the counts alone.  By the bounds of the weights, the weighted similarity of alike
+documents is at least `REACH`, which is what candidates are sought by.
 
 Each document draws `BANDS * ROWS` consistent weighted samples (Ioffe's improved
 scheme); two documents share a sample with probability equal to their similarity.
@@ -38,6 +42,9 @@ from .text import ALNUM, Words, mix, small_batches, words
 SHINGLE, BANDS, ROWS = 5, 12, 4
 #: Similarity, as a ratio of whole numbers.
 SIMILARITY = (4, 5)
+#: Greatest inverse document frequency, the least being 1; the least weighted similarity of alike texts, if counts alone make them so.
+RANGE = (5, 4)
+REACH = (SIMILARITY[0] * RANGE[1], SIMILARITY[0] * RANGE[1] + (SIMILARITY[1] - SIMILARITY[0]) * RANGE[0])
 BUCKETS, SHARD = 1 << 18, 1 << 12
 #: Buckets of up to so many nodes are paired in full; rounds of further leaders in larger ones.
 SMALL, LEADERS = 8, 1
@@ -101,7 +108,8 @@ def _frequencies(documents: DataFrame) -> np.ndarray:
             n = int(np.frombuffer(counts, np.int64)[0])
         else:
             total[shard * SHARD : (shard + 1) * SHARD] = np.frombuffer(counts, np.int64)
-    return np.rint((np.log((1 + n) / (1 + np.minimum(total, n))) + 1) * UNIT).astype(np.int64)
+    rare = np.log((1 + n) / (1 + np.minimum(total, n))) / np.log(2 + n)
+    return np.rint((1 + rare * (RANGE[0] / RANGE[1] - 1)) * UNIT).astype(np.int64)
 
 
 def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -162,37 +170,39 @@ def _signatures(documents: DataFrame, idf: np.ndarray, bands: int, rows: int) ->
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, idf: np.ndarray) -> DataFrame:
-    """a, b, lesser, greater: the sums of the lesser and of the greater weights of each pair."""
+    """a, b, alike: whether the sum of the lesser weights, or of the lesser counts, is SIMILARITY of that of the greater."""
     known = pairs.sparkSession.sparkContext.broadcast(idf)
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         units = known.value
 
-        def sets(column: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
+        def sets(column: pa.Array) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
             out = []
             for run in words(column, ALNUM, lower=True):
                 of, hashes, counts = _sets(run, SHINGLE)
                 weights = counts * units[(hashes & np.uint64(BUCKETS - 1)).astype(np.int64)]
                 edges = np.searchsorted(of, np.arange(len(run.rows) + 1))
-                out += [(hashes[a:b], weights[a:b]) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+                out += [(hashes[a:b], weights[a:b], counts[a:b]) for a, b in zip(edges[:-1], edges[1:], strict=True)]
             return out
 
+        def reaches(x: np.ndarray, y: np.ndarray, both: np.ndarray, at: np.ndarray) -> bool:
+            common = int(np.minimum(x[both], y[at[both]]).sum()) if len(y) else 0
+            return common * SIMILARITY[1] >= (int(x.sum() + y.sum()) - common) * SIMILARITY[0]
+
         for whole in batches:
             for low in range(0, whole.num_rows, 64):  # few pairs at once: texts may be long
                 batch = whole.slice(low, 64)
-                lesser, greater = [], []
-                for (h, w), (g, v) in zip(sets(batch.column(2)), sets(batch.column(3)), strict=True):
+                alike = []
+                for (h, w, n), (g, v, m) in zip(sets(batch.column(2)), sets(batch.column(3)), strict=True):
                     at = np.minimum(np.searchsorted(g, h), max(len(g) - 1, 0))
                     both = g[at] == h if len(g) else np.zeros(len(h), bool)
-                    common = int(np.minimum(w[both], v[at[both]]).sum()) if len(g) else 0
-                    lesser.append(common)
-                    greater.append(int(w.sum() + v.sum()) - common)
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(lesser, pa.int64()), pa.array(greater, pa.int64())], ["a", "b", "lesser", "greater"])
+                    alike.append(reaches(w, v, both, at) or reaches(n, m, both, at))
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(alike, pa.bool_())], ["a", "b", "alike"])
 
     left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
     rows = pairs.join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b")
-    return rows.mapInArrow(weigh, "a bigint, b bigint, lesser bigint, greater bigint").groupBy("a", "b").agg(F.max("lesser").alias("lesser"), F.min("greater").alias("greater"))
+    return rows.mapInArrow(weigh, "a bigint, b bigint, alike boolean").groupBy("a", "b").agg(F.max("alike").alias("alike"))
 
 
 def _weighed_shingles(texts: DataFrame, idf: np.ndarray) -> DataFrame:
@@ -223,9 +233,9 @@ def _possible(texts: DataFrame, idf: np.ndarray, placed: DataFrame, outside: Dat
     common = F.when(F.col("n") > 1, F.col("weight")).otherwise(0)
     rows = rows.join(shared, "shingle").select("node", "shingle", "rare", "n", F.sum("weight").over(own).alias("all"), F.sum(common).over(own).alias("rest"), (F.sum(common).over(own) - F.sum(common).over(upto) + common).alias("from_here"))
     # Similarity is at most m / (m + what either has alone), m being the lesser of what the two do not have alone.
-    fits = lambda m, alone: m * SIMILARITY[1] >= (m + alone) * SIMILARITY[0]
-    # A common shingle of alike texts is in both prefixes: from it on, what is not alone holds SIMILARITY of each text's weight.
-    prefix = (F.col("n") > 1) & (F.col("from_here") * SIMILARITY[1] >= F.col("all") * SIMILARITY[0])
+    fits = lambda m, alone: m * REACH[1] >= (m + alone) * REACH[0]
+    # A common shingle of alike texts is in both prefixes: from it on, what is not alone holds REACH of each text's weight.
+    prefix = (F.col("n") > 1) & (F.col("from_here") * REACH[1] >= F.col("all") * REACH[0])
     rows = rows.withColumn("alone", F.col("all") - F.col("rest")).filter(prefix & fits(F.col("rest"), F.col("alone")))
     # A pair is wanted once: not again at a shingle when one of the few before it is common too.
     before = F.collect_list("shingle").over(rarest_first.rowsBetween(-BEFORE, -1))
@@ -295,11 +305,10 @@ def near_duplicates(documents: DataFrame, bands: int = BANDS, rows: int = ROWS,
     paired = mine.join(other, ["band", "key"]).filter("node < b").select(F.col("node").alias("a"), "b")
     starred = members.filter((F.col("size") > small) & (F.col("leader") != F.col("node"))).select(F.col("leader").alias("a"), F.col("node").alias("b"))
     weighed = cut(_verified(paired.unionByName(starred).distinct(), texts, idf))
-    alike = F.col("lesser") * SIMILARITY[1] >= F.col("greater") * SIMILARITY[0]
     large = members.filter(F.col("size") > small).select("band", "key", "node")
     if large.limit(1).count():
         for nth in range(LEADERS + 1):
-            labels = cut(components(weighed.filter(alike).select("a", "b")))
+            labels = cut(components(weighed.filter("alike").select("a", "b")))
             placed = large.join(labels, "node", "left").select("band", "key", "node", F.coalesce("label", "node").alias("label"))
             parts = placed.groupBy("band", "key", "label").agg(F.count("*").alias("n"), F.min_by("node", F.xxhash64("node", F.lit(nth))).alias("leader"))
             top = parts.groupBy("band", "key").agg(F.max(F.struct("n", "label", "leader")).alias("top"), F.count("*").alias("parts")).filter("parts > 1")
@@ -312,7 +321,7 @@ def near_duplicates(documents: DataFrame, bands: int = BANDS, rows: int = ROWS,
                 more = _possible(texts, idf, _of_bucket(placed, top.select("band", "key"), "left_semi"), outside)
             more = more.distinct().join(weighed.select("a", "b"), ["a", "b"], "left_anti")
             weighed = weighed.unionByName(cut(_verified(more, texts, idf)))
-    links = weighed.filter(alike).select("a", "b")
+    links = weighed.filter("alike").select("a", "b")
     # A doc_id that has several texts ties their nodes together.
     of_node = signed.join(nodes.select("same1", "same2", "node"), ["same1", "same2"], "left").select("doc_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("node", "doc_id")).alias("node"))
     ties = of_node.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b")).filter("a < b").select("a", "b")

@@ -53,6 +53,15 @@ def test_chain_in_one_large_bucket(spark):
     assert {r[1] for r in got} == {0}
 
 
+def test_variants_that_are_a_third_of_the_rows(spark):
+    """Every variant is 0.811 like each other one by plain Jaccard; the group's size must not part them."""
+    words = [f"v{i}" for i in range(9000)]
+    docs = [(i, " ".join([*words[:at], f"own{i}", *words[at + 1 : 100]])) for i, at in enumerate(range(5, 95, 5))]
+    docs += [(100 + i, " ".join(words[200 + 100 * i : 300 + 100 * i])) for i in range(36)]
+    got = {r[0]: r[1] for r in mh.near_duplicates(spark.createDataFrame(docs, "doc_id bigint, text string").repartition(4)).collect()}
+    assert got == brute(docs) == {i: 0 if i < 100 else i for i, _ in docs}
+
+
 def test_components(spark):
     links = [(1, 2), (2, 3), (9, 8), (8, 7), (5, 5)] + [(i, i + 1) for i in range(100, 160)]
     got = dict(map(tuple, mh.components(spark.createDataFrame(links, "a bigint, b bigint")).collect()))
