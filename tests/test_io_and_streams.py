@@ -75,3 +75,12 @@ def test_streams(spark, tmp_path):
     assert run(windows.sliding(stream(), "ts", "10 minutes", "5 minutes", ["k"], n), "slid", "complete") == want
     assert len(windows.sessions(batch, "ts", "10 minutes", ["k"], n).collect()) == 3
     assert sorted((r[0], r[2]) for r in run(windows.carry_forward(stream(), "k", "ts", "v"), "carried", "append") if r[0] == 1) == [(1, 1.0), (1, 1.0), (1, 3.0)]
+
+
+def test_pmm_matches_over_all_donors(spark):
+    """Each missing row takes one of its five nearest of 12,000 donors, whatever the shards."""
+    d = spark.range(24_000).select(F.col("id"), F.col("id").cast("double").alias("x"), F.when(F.col("id") % 2 == 0, 3.0 * F.col("id")).alias("v"))
+    got = {r.id: r.v for r in models.impute_pmm(d, "id", "v", ["x"], F.lit(True), shard=1000).collect()}
+    assert len(got) == 24_000 and all(got[i] == 3.0 * i for i in range(0, 24_000, 2))
+    assert all(abs(got[i] - 3.0 * i) <= 3 * (5 if 5 < i < 23_990 else 10) for i in range(1, 24_000, 2))
+    assert got == {r.id: r.v for r in models.impute_pmm(d.repartition(3), "id", "v", ["x"], F.lit(True)).collect()}
