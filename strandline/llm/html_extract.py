@@ -5,6 +5,10 @@ generalised path (tags and classes from the body down, digits left out) is the
 page's vote.  Spark counts the votes of each host; then each page is read again,
 and what lies in elements at the host's winning path is its text.  A page that has
 no such element is read at its own best container.
+
+Elements whose class, id or role has a word of `MARKS` are left out, unless the page
+itself says that they hold the article (see `Page.spared`); then it is read again
+with these elements as any other.
 """
 
 from __future__ import annotations
@@ -39,10 +43,12 @@ def attributes(rest: str) -> dict[str, str]:
 
 
 def left_out(tag: str, own: dict[str, str]) -> bool:
-    if tag in OUT or "hidden" in own or own.get("aria-hidden") == "true" or "display:none" in own.get("style", "").replace(" ", "").lower():
-        return True
+    return tag in OUT or "hidden" in own or own.get("aria-hidden") == "true" or "display:none" in own.get("style", "").replace(" ", "").lower()
+
+
+def marked(own: dict[str, str]) -> bool:
     names = f"{own.get('class', '')} {own.get('id', '')} {own.get('role', '')}"
-    return names != "  " and tag not in ("body", "html", "main", "article") and any(w.lower() in MARKS for w in WORD.findall(names))
+    return names != "  " and any(w.lower() in MARKS for w in WORD.findall(names))
 
 
 def name(tag: str, own: dict[str, str]) -> str:
@@ -60,12 +66,28 @@ class Page:
         self.tags: list[str] = ["body"]
         self.score: list[float] = [0.0]
         self.blocks: list[tuple[list[int], str]] = []  # the open containers, and a block's text
-        self._read(html)
+        self.marks: list[list[int]] = []  # of each marked element: text outside links, titles, articles, whether it is in another
+        self.all, self.kept, self.articles = 0, 0, 0  # text outside links, that of it outside marked elements; articles
+        self._read(html, frozenset())
+        if spared := self.spared():
+            self.paths, self.parents, self.tags, self.score, self.blocks = ["body"], [-1], ["body"], [0.0], []
+            self._read(html, spared)
 
-    def _read(self, html: str) -> None:
-        stack: list[tuple[str, int, bool]] = []  # tag, container or -1, left out
+    def spared(self) -> frozenset[int]:
+        """Marked elements that hold the article: most of the text outside links, and either a title or article while no article is elsewhere, or nothing is outside of marked elements."""
+        found = set()
+        for i, (text, titles, articles, inner) in enumerate(self.marks):
+            leads = (titles or articles) and articles == self.articles
+            if 2 * text > self.all and (leads or not self.kept and not inner):
+                found.add(i)
+        return frozenset(found)
+
+    def _read(self, html: str, spared: frozenset[int]) -> None:
+        stack: list[tuple[str, int, bool]] = []  # tag, container or -1 (-2 for a marked element), left out
         open_: list[int] = [0]
-        skipped = links = 0
+        marks: list[int] = []  # the open marked elements
+        skipped = links = nth = 0
+        self.marks, self.all, self.kept, self.articles = [], 0, 0, 0
         text: list[str] = []
         linked = 0
 
@@ -87,16 +109,25 @@ class Page:
             if links:
                 linked += len(piece.strip())
 
+        def take(piece: str) -> None:
+            if skipped == len(marks) and not links:  # only marks leave it out, if anything does
+                n = len(piece.strip())
+                self.all += n
+                self.kept += 0 if marks else n
+                for i in marks:
+                    self.marks[i][0] += n
+            if not skipped:
+                add(piece)
+
         at = 0
         size = len(html)
         while at < size:
             m = TOKEN.search(html, at)
             if not m:
-                if not skipped:
-                    add(html[at:])
+                take(html[at:])
                 break
-            if m.start() > at and not skipped:
-                add(html[at : m.start()])
+            if m.start() > at:
+                take(html[at : m.start()])
             at = m.end()
             tag = (m[2] or m[5] or "").lower()
             if not tag:
@@ -111,12 +142,16 @@ class Page:
                         for _, container, out in reversed(stack[k:]):
                             if out:
                                 skipped -= 1
+                                if container == -2:
+                                    marks.pop()
                             elif container > 0 and not skipped:
                                 open_.pop()
                         del stack[k:]
                         break
                 continue
             if tag in RAW:
+                if tag in ("svg", "math") and (m[3] or m[6] or "").endswith("/"):  # the only ones of these that can close themselves
+                    continue
                 end = re.compile(rf"</{tag}\s*>", re.I).search(html, at)
                 at = end.end() if end else size
                 continue
@@ -130,10 +165,24 @@ class Page:
             rest = m[3] or m[6]
             own = attributes(rest) if rest else {}
             out = tag in OUT if not own else left_out(tag, own)
-            if out:
+            mark = bool(own) and not out and marked(own)
+            if not out and skipped == len(marks) and (tag in ("h1", "main") or tag == "article" and not mark):
+                self.articles += tag != "h1"
+                for i in marks:
+                    self.marks[i][1] += tag == "h1"
+                    self.marks[i][2] += tag != "h1"
+            if mark and tag not in ("body", "html", "main", "article"):
+                nth += 1
+                mark = nth - 1 not in spared
+                self.marks.append([0, 0, 0, len(marks)])
+            else:
+                mark = False
+            if out or mark:
                 flush()
                 skipped += 1
-                stack.append((tag, -1, True))
+                if mark:
+                    marks.append(nth - 1)
+                stack.append((tag, -2 if mark else -1, True))
             elif tag in HOLDS:
                 container = -1
                 if not skipped and tag != "body":

@@ -20,6 +20,27 @@ def test_article_without_its_surroundings():
     assert text_of(html) == "Title & more\nOne two three.\nFour five!\nitem\nLast"
 
 
+def test_marked_wrappers_hold_the_article():
+    article = "<article><h1>Title</h1><p>" + "some text " * 30 + "</p></article>"
+    want = "Title\n" + " ".join(["some text"] * 30)
+    rest = '<div class="sidebar"><p>more and more</p></div><section id="comments"><p>first!</p></section>'
+    for wrapper in ('class="layout has-sidebar"', 'class="site no-comments"', 'id="page-header-fixed"'):
+        for before, after in (("", ""), ("<p>brand</p>", "<div>Copyright</div>")):
+            assert text_of(f"{HEAD}{before}<div {wrapper}>{article}{rest}</div>{after}") == want
+            assert text_of(f'{HEAD}{before}<div {wrapper}><div class="no-toc">{article}</div>{rest}</div>{after}') == want
+    assert text_of(f'{HEAD}<div id="page-header-fixed"><p>only this</p></div><nav>x</nav>') == "only this"
+    # What is longer than the article is not the article.
+    assert text_of(f'{HEAD}<article><p>short</p></article><div class="comments"><h1>Comments</h1>{"<p>a long answer</p>" * 50}</div>') == "short"
+    assert text_of(f'{HEAD}<div><p>short</p></div><div class="comments">{"<p>a long answer</p>" * 50}</div>') == "short"
+    assert text_of(f'{HEAD}<div><p>short</p></div><div class="nav">{"<a>a long link</a>" * 50}</div>') == "short"
+
+
+def test_drawings_that_close_themselves():
+    for tag in ("svg", "math", "SVG"):
+        assert text_of(f'<article><p>one <{tag} class="x"/> two</p></article>') == "one two"
+        assert text_of(f"<article><p>one <{tag}/> two</p><p>three <{tag}><p>no</p></{tag}></p></article>") == "one two\nthree"
+
+
 def test_broken_and_plain_pages():
     assert text_of("") == text_of("<nav>x</nav>") == ""
     assert text_of("just text & more") == "just text & more"
