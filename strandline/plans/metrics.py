@@ -150,6 +150,6 @@ def perf_table(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def perf_cells(spark: SparkSession, d: str) -> DataFrame:
     """Formatted intervals, one column per metric; rows only, since languages round half-way cases differently."""
-    made = metrics.bootstrap(predictions(spark, d), ["lang"], "doc_id", REPLICATES, SEED)
+    made = metrics.bootstrap(predictions(spark, d), ["lang"], "doc_id", seed=SEED)
     cell = made.withColumn("cell", cells.with_interval(C("point"), C("low"), C("high")))
     return cell.groupBy("lang").pivot("metric", ["auroc", "auprc"]).agg(F.max("cell"))

@@ -1,10 +1,12 @@
 """Every query of the library against its SQL, on the smallest tables."""
 
+import inspect
 import os
 
 import pytest
 
 from strandline import plans
+from strandline.operators import metrics
 
 DATA = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no tables here")
@@ -46,3 +48,17 @@ def test_time_joins_keep_their_entity(spark):
         plan = plans.queries()[name](spark, DATA)._jdf.queryExecution().toString()
         assert "BroadcastNestedLoop" not in plan and "CartesianProduct" not in plan, name
     assert "PushedFilters: [IsNotNull(l_shipdate), LessThan(l_shipdate" in plans.queries()["project_dict"](spark, DATA)._jdf.queryExecution().toString()
+
+
+def test_formatted_intervals_have_fifty_replicates(spark, monkeypatch):
+    seen, real = [], metrics.bootstrap
+
+    def bootstrap(*args, **named):
+        call = inspect.signature(real).bind(*args, **named)
+        call.apply_defaults()
+        seen.append(call.arguments["n"])
+        return real(*args, **named)
+
+    monkeypatch.setattr(metrics, "bootstrap", bootstrap)
+    plans.queries()["perf_cells"](spark, DATA)
+    assert seen == [50]
