@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .columns import sha256
-from .text import small_batches
+from .text import find_package, slices
 
 #: Words that a task remembers.
 STORE = 200_000
@@ -138,11 +138,11 @@ def encode(documents: DataFrame, path: str) -> DataFrame:
     has it.  A null or empty text has no ids and decodes to an empty string.  One
     row comes out for each row that goes in, repeated ones too.
     """
-    small_batches(documents.sparkSession, 500, 8)
+    find_package(documents.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path)
-        for batch in batches:
+        for batch in slices(batches):
             done = [bpe.encode(text or "") for text in batch.column(1).to_pylist()]
             ends = np.cumsum([0, *(len(ids) for ids, _ in done)])
             flat = np.fromiter(chain.from_iterable(ids for ids, _ in done), np.int32, ends[-1])

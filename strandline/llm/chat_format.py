@@ -1,6 +1,7 @@
 """Chat conversations as text, with a loss mask, in Spark expressions only.
 
-Turns of a conversation are sorted; adjacent turns of one role share a block:
+Turns of a conversation are collected as structs and sorted; adjacent turns of one
+role are merged by array functions and share a block:
 
     <|im_start|>role<|im_middle|>text<|im_sep|>text<|im_end|>\n
 
@@ -11,7 +12,7 @@ stands in the output but the template's own, and reading back is exact.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .columns import let, sha256
@@ -19,6 +20,8 @@ from .columns import let, sha256
 START, MIDDLE, SEP, END = "<|im_start|>", "<|im_middle|>", "<|im_sep|>", "<|im_end|>"
 #: What follows the first character of each control string that is escaped.
 REST = r"(/?s>|/?INST\]|/?SYS>>|\|(?:im_start|im_middle|im_sep|im_end|endoftext|startoftext|user|assistant|system)\|>)"
+#: Array elements in a piece of a running sum; code points in a part of a formatted conversation that is read back.
+PIECE, PART = 512, 4096
 
 
 def escape(text: Column) -> Column:
@@ -29,30 +32,68 @@ def unescape(text: Column) -> Column:
     return F.regexp_replace(text, r"([<\[])\\(\\*)" + REST, "$1$2$3")
 
 
+def sums(numbers: Column) -> Column:
+    """Running sums of an array of bigints, each without its own number.
+
+    An aggregation that appends to an array copies it at each step, so it is done for
+    pieces of PIECE numbers and for the totals of the pieces.
+    """
+    zero, none = F.lit(0).cast("bigint"), F.array().cast("array<bigint>")
+
+    def within(piece: Column) -> Column:
+        start = F.struct(zero.alias("sum"), none.alias("before"))
+        return F.aggregate(piece, start, lambda a, x: F.struct((a.sum + x).alias("sum"), F.concat(a.before, F.array(a.sum)).alias("before")))
+
+    def whole(pieces: Column) -> Column:
+        totals = within(F.transform(pieces, lambda p: p.sum)).before
+        return let(totals, lambda t: F.flatten(F.transform(pieces, lambda p, i: F.transform(p.before, lambda x: x + F.get(t, i)))))
+
+    def of(x: Column) -> Column:
+        places = F.when(F.size(x) > 0, F.sequence(F.lit(1), F.size(x), F.lit(PIECE))).otherwise(F.array().cast("array<int>"))
+        return let(F.transform(places, lambda i: within(F.slice(x, i, PIECE))), whole)
+
+    return let(numbers, of)
+
+
+def blocks(turns: Column) -> Column:
+    """Adjacent turns of one role as one: array of (role, texts), from sorted turns of (turn, role, text)."""
+    first = lambda t: F.filter(F.transform(t, lambda x, i: F.when((i == 0) | (F.get(t, i - 1).role != x.role), i)), lambda i: i.isNotNull())
+
+    def of(t: Column) -> Column:
+        def merged(starts: Column) -> Column:
+            upto = lambda k: F.coalesce(F.get(starts, k + 1), F.size(t))
+            return F.transform(starts, lambda s, k: F.struct(F.get(t, s).role.alias("role"), F.transform(F.slice(t, s + 1, upto(k) - s), lambda x: x.text).alias("texts")))
+
+        return let(first(t), merged)
+
+    return let(turns, of)
+
+
 def format_chats(turns: DataFrame, loss_role: str = "assistant") -> DataFrame:
     """One row per conversation: conv_id, formatted, loss (array of start, n: spans in code points).
 
     turns: conv_id, turn, role, text; other columns are not read.  Turns are ordered by
     (turn, role, text), nulls first; repeated rows are turns of their own.  A null text
     or role counts as empty; rows without conv_id make one conversation with a null id.
-    The spans cover each text of `loss_role` and nothing else.  A conversation becomes
-    one string, so its rows meet in one task whatever the plan; all else is spread.
+    The spans cover each text of `loss_role` and nothing else.  An empty table gives no
+    rows.  The turn structs of a conversation are collected and sorted as one array,
+    merged by role, and concatenated: a conversation becomes one string, so its rows
+    meet in one task whatever the plan; all else is spread.
     """
     role, text = F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))
-    rows = turns.select("conv_id", "turn", role.alias("role"), text.alias("text"))
-    order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
-    last = F.lag("role").over(order)
-    nth = F.row_number().over(order)
-    head = F.when(nth == 1, F.concat(F.lit(START), escape(F.col("role")), F.lit(MIDDLE)))
-    head = head.when(last == F.col("role"), F.lit(SEP)).otherwise(F.concat(F.lit(END + "\n" + START), escape(F.col("role")), F.lit(MIDDLE)))
-    rows = rows.select("conv_id", nth.alias("nth"), "role", head.alias("head"), escape(F.col("text")).alias("body"))
-    rows = rows.withColumn("chars", (F.length("head") + F.length("body")).cast("bigint"))
-    upto = Window.partitionBy("conv_id").orderBy("nth").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    start = F.sum("chars").over(upto) - F.length("body")
-    rows = rows.select("conv_id", F.struct("nth", F.concat("head", "body").alias("piece"), F.when(F.col("role") == loss_role, F.struct(start.alias("start"), F.length("body").cast("bigint").alias("n"))).alias("span")).alias("turn"))
-    per = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list("turn")).alias("turns"))
-    spans = F.filter(F.transform("turns", lambda t: t.span), lambda s: s.isNotNull())
-    return per.select("conv_id", F.concat(F.array_join(F.transform("turns", lambda t: t.piece), ""), F.lit(END + "\n")).alias("formatted"), spans.alias("loss"))
+    rows = turns.select("conv_id", F.struct("turn", role.alias("role"), text.alias("text")).alias("turn"))
+    per = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list("turn")).alias("turns")).select("conv_id", blocks(F.col("turns")).alias("blocks"))
+    # Each text with what stands before it: the head of its block, or the mark between texts.
+    head = lambda b: F.concat(F.lit(START), escape(b.role), F.lit(MIDDLE))
+    opened = lambda b, k: F.when(k == 0, head(b)).otherwise(F.concat(F.lit(END + "\n"), head(b)))
+    piece = lambda b, k, x, i: F.struct(F.when(i == 0, opened(b, k)).otherwise(F.lit(SEP)).alias("head"), escape(x).alias("body"), (b.role == loss_role).alias("learn"))
+    pieces = F.flatten(F.transform("blocks", lambda b, k: F.transform(b.texts, lambda x, i: piece(b, k, x, i))))
+    per = per.select("conv_id", pieces.alias("pieces"))
+    long = lambda x: F.length(x).cast("bigint")
+    starts = sums(F.transform("pieces", lambda p: long(p.head) + long(p.body)))
+    spans = lambda s: F.transform("pieces", lambda p, i: F.when(p.learn, F.struct((F.get(s, i) + F.length(p.head)).alias("start"), long(p.body).alias("n"))))
+    loss = F.filter(let(starts, spans), lambda x: x.isNotNull())
+    return per.select("conv_id", F.concat(F.array_join(F.transform("pieces", lambda p: F.concat(p.head, p.body)), ""), F.lit(END + "\n")).alias("formatted"), loss.alias("loss"))
 
 
 def read_back(formatted: Column) -> Column:
@@ -72,7 +113,12 @@ def read_back(formatted: Column) -> Column:
 
 def digest(chats: DataFrame) -> DataFrame:
     """The contract's columns, read back from the output."""
-    under = F.array_join(F.transform("loss", lambda s: unescape(F.substr("formatted", s.start.cast("int") + 1, s.n.cast("int")))), "")
+    # Cut into parts first: a place in a long string is found by walking to it.
+    parts = F.transform(F.sequence(F.lit(0), F.floor(F.length("formatted") / F.lit(PART)).cast("int")), lambda i: F.substr("formatted", i * PART + 1, F.lit(PART)))
+    nth = lambda n: F.floor(n / F.lit(PART)).cast("int")
+    near = lambda p, s: F.array_join(F.slice(p, nth(s.start) + 1, nth(s.start + s.n) - nth(s.start) + 1), "")
+    spans = lambda p: F.transform("loss", lambda s: unescape(F.substr(near(p, s), (s.start % PART).cast("int") + 1, s.n.cast("int"))))
+    under = F.array_join(let(parts, spans), "")
     rows = chats.select("conv_id", "formatted", read_back(F.col("formatted")).alias("turns"), under.alias("under"))
     return rows.select(
         "conv_id",

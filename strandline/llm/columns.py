@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -39,11 +40,38 @@ def lowest(df: DataFrame, key: str, most: int, by: str | None = None) -> DataFra
     return near.withColumn("_nth", nth).filter(F.col("_nth") <= most).drop("_share", "_place", "_nth")
 
 
-def shared_dir(spark: SparkSession) -> None:
-    """Make checkpoint() usable: the cluster's folder if it names one, one of our own otherwise."""
+def join_hot(left: DataFrame, right: DataFrame, on: list[str], by: str, how: str = "left", salts: int = 64) -> DataFrame:
+    """left joined to the one row that `right` has for each key, where a third of `left` may have one key.
+
+    The rows of a key are spread by a hash of `by` over `salts` parts; of `right` a key
+    has as many rows as its rows in `left` fill parts.  `left` is read twice.
+    """
+    spread = F.when(F.col(by).isNull(), F.spark_partition_id()).otherwise(F.xxhash64(by))
+    salted = left.withColumn("_salt", F.pmod(spread, F.lit(salts)).cast("int"))
+    return salted.join(salted.select(*on, "_salt").distinct().join(right, on), [*on, "_salt"], how).drop("_salt")
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The checkpoint folder that the cluster names.  Without one, a session on one machine gets a folder of its own; a cluster, an error."""
+    sc = spark.sparkContext
+    held = sc._jsc.sc().getCheckpointDir()
+    if held.isEmpty():
+        named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+        if not named:
+            if not sc.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            named = tempfile.mkdtemp(prefix="checkpoints-")
+        sc.setCheckpointDir(named)
+        held = sc._jsc.sc().getCheckpointDir()
+        remove_at_end(spark, held.get())
+    return held.get()
+
+
+def remove_at_end(spark: SparkSession, path: str) -> None:
+    """Have the driver remove a folder of intermediate rows when it ends."""
     sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None) or "/tmp/checkpoints")
+    place = sc._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(place)
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -55,7 +83,7 @@ def cut(df: DataFrame) -> DataFrame:
 def stored(df: DataFrame) -> DataFrame:
     """The same rows as a Parquet table in the shared folder: smaller than a checkpoint, for rows with texts."""
     spark = df.sparkSession
-    shared_dir(spark)
-    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{uuid.uuid4()}"
+    path = f"{shared_dir(spark)}/{uuid.uuid4()}"
     df.write.parquet(path)
+    remove_at_end(spark, path)
     return spark.read.schema(df.schema).parquet(path)

@@ -24,8 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .columns import sha256
-from .text import ALNUM, Words, small_batches, words
+from .columns import cut, sha256
+from .text import ALNUM, Words, find_package, slices, words
 
 #: Words in a window, and in a shingle.
 WINDOW, SHINGLE = 13, 5
@@ -44,7 +44,7 @@ def benchmark_windows(benchmark: DataFrame, item: str = "item_id", text: str = "
     """One row per distinct window: words, n, shingles (hash by place), items (ids as strings)."""
 
     def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             ids, ws, shs = [], [], []
             for run in words(batch.column(1), ALNUM, lower=True):
                 for i, row in enumerate(run.rows):
@@ -69,58 +69,73 @@ def _counts(documents: DataFrame, hashes: np.ndarray, sizes: list[int]) -> DataF
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys = known.value
         total = np.zeros(len(keys), np.int64)
-        for batch in batches:
-            for run in words(batch.column(0), ALNUM, lower=True):
-                _, found = _shingles(run, sizes)
-                place = np.minimum(np.searchsorted(keys, found), len(keys) - 1)
-                total += np.bincount(place[keys[place] == found], minlength=len(keys))
+        for batch in slices(batches):
+            for whole in words(batch.column(0), ALNUM, lower=True):
+                for run in whole.parts(max(sizes) - 1):  # a short shingle where parts meet is counted twice; only order and zero matter
+                    _, found = _shingles(run, sizes)
+                    place = np.minimum(np.searchsorted(keys, found), len(keys) - 1)
+                    np.add.at(total, place[keys[place] == found], 1)
         hit = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(keys[hit].view(np.int64)), pa.array(total[hit])], ["shingle", "n"])
 
     return documents.select("text").mapInArrow(count, "shingle bigint, n bigint").groupBy("shingle").agg(F.sum("n").alias("count"))
 
 
-def _scan(documents: DataFrame, prefixes: np.ndarray, reach: int, sizes: list[int]) -> DataFrame:
-    """One row per document: doc_id, text_key, n_words, finds (place, shingle, context words and their first place)."""
+def _scan(documents: DataFrame, prefixes: np.ndarray, reach: int, sizes: list[int], marks: bool) -> DataFrame:
+    """A row for each find: doc_id, text_key, part, n_words, at, shingle, low and context (words around it and the first one's place).
+
+    marks: with a row for each document too, whose `at` is -1 and whose shingle is its text's hash, so that rows without finds are spread.
+    """
     known = documents.sparkSession.sparkContext.broadcast(prefixes)
-    find = pa.struct([("at", pa.int64()), ("shingle", pa.int64()), ("low", pa.int64()), ("context", pa.list_(pa.string()))])
+    kind = documents.schema["doc_id"].dataType.simpleString()
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys = known.value
-        for batch in batches:
-            n_words, finds = np.zeros(batch.num_rows, np.int64), [[] for _ in range(batch.num_rows)]
-            for run in words(batch.column(2), ALNUM, lower=True):
-                n_words[run.rows.start : run.rows.stop] = run.counts()
-                starts, found = _shingles(run, sizes)
-                if not len(keys) or not len(found):
-                    continue
-                place = np.minimum(np.searchsorted(keys, found), len(keys) - 1)
-                hits = np.flatnonzero(keys[place] == found)
-                for w, h in zip(starts[hits].tolist(), found[hits].view(np.int64).tolist(), strict=True):
-                    i = int(np.searchsorted(run.at, w, "right")) - 1
-                    low, high = max(int(run.at[i]), w - reach), min(int(run.at[i + 1]), w + reach)
-                    finds[run.rows.start + i].append((w - int(run.at[i]), h, low - int(run.at[i]), [run.word(j) for j in range(low, high)]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n_words), pa.array([[dict(zip(("at", "shingle", "low", "context"), x, strict=True)) for x in f] for f in finds], pa.list_(find))], ["doc_id", "text_key", "n_words", "finds"])
-
-    kind = documents.schema["doc_id"].dataType.simpleString()
-    return documents.select("doc_id", F.xxhash64("text").alias("text_key"), "text").mapInArrow(scan, f"doc_id {kind}, text_key bigint, n_words bigint, finds array<struct<at:bigint,shingle:bigint,low:bigint,context:array<string>>>")
+        for batch in slices(batches):
+            n_words, rows = np.zeros(batch.num_rows, np.int64), []
+            for whole in words(batch.column(2), ALNUM, lower=True):
+                n_words[whole.rows.start : whole.rows.stop] = whole.counts()
+                for run in whole.parts(max(sizes) - 1) if len(keys) else ():
+                    starts, found = _shingles(run, sizes)
+                    place = np.minimum(np.searchsorted(keys, found), len(keys) - 1)
+                    hits = np.flatnonzero(keys[place] == found)
+                    for w, h in zip((starts[hits] + run.base).tolist(), found[hits].view(np.int64).tolist(), strict=True):
+                        i = int(np.searchsorted(whole.at, w, "right")) - 1
+                        low, high = max(int(whole.at[i]), w - reach), min(int(whole.at[i + 1]), w + reach)
+                        rows.append((whole.rows.start + i, w - int(whole.at[i]), h, low - int(whole.at[i]), [whole.word(j) for j in range(low, high)]))
+            if marks:
+                rows += [(i, -1, h, 0, None) for i, h in enumerate(batch.column(1).to_pylist())]
+            if rows:
+                of = pa.array([r[0] for r in rows], pa.int64())
+                columns = [batch.column(0).take(of), batch.column(1).take(of), batch.column(3).take(of), pa.array(n_words).take(of)]
+                columns += [pa.array([r[i] for r in rows], t) for i, t in ((1, pa.int64()), (2, pa.int64()), (3, pa.int64()), (4, pa.list_(pa.string())))]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_key", "part", "n_words", "at", "shingle", "low", "context"])
+
+    rows = documents.select("doc_id", F.xxhash64("text").alias("text_key"), "text", F.spark_partition_id().alias("part"))
+    return rows.mapInArrow(scan, f"doc_id {kind}, text_key bigint, part int, n_words bigint, at bigint, shingle bigint, low bigint, context array<string>")
+
+
+def _hashes(column: DataFrame) -> np.ndarray:
+    """A column of at most `block` hashes, sorted."""
+    return np.sort(column.toArrow().column(0).to_numpy().view(np.uint64))
 
 
 def decontaminate(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, share: int = 20, block: int = BLOCK) -> DataFrame:
     """Which words of each document lie in a window of a benchmark item.
 
     documents: doc_id, text (other columns are not read); benchmark: item_id, text.
-    Returns doc_id, n_words, n_hit (words inside any occurrence of a window), hits
+    Returns doc_id, text_key, n_words, n_hit (words inside any occurrence of a window), hits
     (array of start, n), items (sorted array of item ids as strings), contaminated
     (n_hit > 0 and share * n_hit >= n_words).
 
     Null or empty texts have no words and are not contaminated.  Items without
-    words are ignored; an empty benchmark contaminates nothing.  Rows that repeat
-    a doc_id and its text give one row; a doc_id with several texts gives one row
-    for each.  Equal windows of several items name all of these items.
+    words are ignored; an empty benchmark contaminates nothing.  One row comes out for
+    each row that goes in, repeated ones and those without doc_id too; `text_key` (the
+    xxhash64 of the text) tells the texts of one doc_id apart.  Equal windows of several
+    items name all of these items.
     """
     spark = documents.sparkSession
-    small_batches(spark)
+    find_package(spark)
     windows = benchmark_windows(benchmark, window=window, shingle=shingle)
     # The benchmark's own shingles: counted first, then taken in blocks of bounded size.
     sizes = sorted(r[0] for r in windows.select(F.least("n", F.lit(shingle)).alias("n")).distinct().collect()) or [shingle]
@@ -129,7 +144,7 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, window: int = WIND
     prefixed, scans = None, []
     for b in range(blocks):
         mine = marks.filter(F.pmod(F.xxhash64("shingle"), F.lit(blocks)) == b)
-        hashes = np.sort(np.array([r[0] for r in mine.collect()], np.int64).view(np.uint64))
+        hashes = _hashes(mine)
         counts = _counts(documents, hashes, sizes) if len(hashes) else spark.createDataFrame([], "shingle bigint, count bigint")
         prefixed = counts if prefixed is None else prefixed.unionByName(counts)
     rarity = prefixed
@@ -138,23 +153,22 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, window: int = WIND
     ranked = places.join(rarity, "shingle", "left").withColumn("count", F.coalesce("count", F.lit(0)))
     chosen = ranked.groupBy("words", "items", "n").agg(F.min(F.struct("count", "shingle", "place")).alias("rarest"))
     chosen = chosen.filter("rarest.count > 0").select("words", "items", "n", F.col("rarest.shingle").alias("shingle"), F.col("rarest.place").alias("place"))
-    chosen = chosen.cache()
+    chosen = cut(chosen)
     prefixes = chosen.select("shingle").distinct()
     for b in range(blocks):
         mine = prefixes if blocks == 1 else prefixes.filter(F.pmod(F.xxhash64("shingle"), F.lit(blocks)) == b)
-        hashes = np.sort(np.array([r[0] for r in mine.collect()], np.int64).view(np.uint64))
-        scans.append(_scan(documents, hashes, window, sizes))
-    scanned = scans[0]
+        scans.append(_scan(documents, _hashes(mine), window, sizes, marks=b == 0))
+    found = scans[0]
     for more in scans[1:]:
-        scanned = scanned.unionByName(more)
-    found = scanned.select("doc_id", "text_key", "n_words", F.explode_outer("finds").alias("find"))
-    found = found.select("doc_id", "text_key", "n_words", F.col("find.at").alias("at"), F.col("find.shingle").alias("shingle"), F.col("find.low").alias("low"), F.col("find.context").alias("context"))
+        found = found.unionByName(more)
     start = F.col("at") - F.col("place")
     fits = (start >= 0) & (start + F.col("n") <= F.col("n_words")) & (start >= F.col("low"))
     same = F.slice("context", F.when(fits, (start - F.col("low") + 1).cast("int")).otherwise(1), F.col("n")) == F.col("words")
-    joined = found.join(chosen, "shingle", "left").withColumn("hit", F.when(fits & same, F.struct(start.alias("start"), F.col("n").cast("bigint").alias("n"))))
-    per = joined.groupBy("doc_id", "text_key").agg(
+    candidates = chosen.select(F.col("shingle").alias("of"), "words", "items", "n", "place")
+    joined = found.join(candidates, (F.col("shingle") == F.col("of")) & (F.col("at") >= 0), "left").withColumn("hit", F.when(fits & same, F.struct(start.alias("start"), F.col("n").cast("bigint").alias("n"))))
+    per = joined.groupBy("doc_id", "text_key", "part").agg(
         F.max("n_words").alias("n_words"),
+        F.count(F.when(F.col("at") < 0, 1)).alias("copies"),
         F.sort_array(F.collect_set("hit")).alias("hits"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.when(F.col("hit").isNotNull(), F.col("items")))))).alias("items"),
     )
@@ -166,8 +180,8 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, window: int = WIND
         return F.struct(F.greatest(a.end, end).alias("end"), (a.n + F.greatest(F.lit(0).cast("bigint"), end - F.greatest(a.end, x.start))).alias("n"))
 
     n_hit = F.aggregate("hits", empty, add, lambda a: a.n)
-    per = per.withColumn("n_hit", n_hit)
-    return per.select("doc_id", "n_words", "n_hit", "hits", "items", ((F.col("n_hit") > 0) & (F.col("n_hit") * share >= F.col("n_words"))).alias("contaminated"))
+    per = per.withColumn("n_hit", n_hit).withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("copies"))))
+    return per.select("doc_id", "text_key", "n_words", "n_hit", "hits", "items", ((F.col("n_hit") > 0) & (F.col("n_hit") * share >= F.col("n_words"))).alias("contaminated"))
 
 
 def digest(result: DataFrame) -> DataFrame:

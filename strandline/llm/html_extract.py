@@ -2,28 +2,36 @@
 
 Each page's containers are scored by the text that is not in links; the best one's
 generalised path (tags and classes from the body down, digits left out) is the
-page's vote.  Spark counts the votes of each host; then each page is read again,
-and what lies in elements at the host's winning path is its text.  A page that has
-no such element is read at its own best container.
-
-Elements whose class, id or role has a word of `MARKS` are left out, unless the page
-itself says that they hold the article (see `Page.spared`); then it is read again
-with these elements as any other.
+page's vote.  Spark counts the votes of each host; then the text of each page is
+taken again from its blocks, by those that lie in elements at the host's winning
+path.  A page that has no such element is read at its own best container.
+
+A page is parsed once, into its blocks of text, each with the paths around it; these
+are kept in the shared folder, and what follows is Spark expressions over them.  No
+html is shuffled.
+
+Elements with a class, id or role that says nothing but `MARKS` and `FILLERS`, such as
+"sidebar-left" but not "related-work", are left out, elements of running text only by
+the marks of adverts, unless the page itself says that they hold the article (see
+`Page.spared`); then it is read again with these elements as any other.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .text import small_batches
+from .columns import join_hot, let, stored
+from .text import find_package, slices
 
-TOKEN = re.compile(r"<(?:!--(?:.*?-->|.*)|(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[!?/][^>]*>|(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>)", re.S)
+OPENING = re.compile(r"<(?:(!--)|(/?)([a-zA-Z][a-zA-Z0-9:-]*)|[!?/])")
+QUOTE_OR_END = re.compile("[>\"']")
 ATTRIBUTE = re.compile(r"\b(class|id|role|style|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 #: Tags whose content is not text, that are left out, that hold text, that end a block.
 RAW = frozenset("script style textarea title noscript template iframe svg math canvas object video audio".split())
@@ -34,8 +42,14 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 #: Words of class, id and role that mark what is not the article.
 MARKS = frozenset("ad ads advert adverts advertisement advertising adslot banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disqus footer gdpr header masthead menu nav navbar navigation newsletter notice notices pagination popup promo promoted promotion related share sharing sidebar signup social sponsor sponsored subscribe toolbar widget alert contentinfo complementary search login modal overlay skip toc respond reply replies".split())
 WORD = re.compile(r"[A-Za-z]+")
+#: Words beside which a mark is still one; elements of running text, and the marks that leave these out.
+FILLERS = frozenset("area article bar block body bottom bottoms box button buttons center column container content div fixed floating form global group head id inline inner item items js left link links list main mobile module outer page panel post reader region right row section site sticky title top unit user widgets wp wrap wrapper zone".split())
+RUNNING = frozenset("p h1 h2 h3 h4 h5 h6 li blockquote pre td th dd dt figure figcaption code em strong b i span".split())
+ADVERTS = frozenset("ad ads advert adverts advertisement advertising adslot banner consent cookie cookies gdpr promo promoted sponsor sponsored subscribe newsletter".split())
+#: Containers or marked elements in each other that are told apart; what is deeper counts as its ancestor's.
+DEPTH = 64
 #: Parts in which the pages of each host are joined to its winning path.
-SALTS = 64
+SALTS = 1024
 
 
 def attributes(rest: str) -> dict[str, str]:
@@ -46,9 +60,25 @@ def left_out(tag: str, own: dict[str, str]) -> bool:
     return tag in OUT or "hidden" in own or own.get("aria-hidden") == "true" or "display:none" in own.get("style", "").replace(" ", "").lower()
 
 
-def marked(own: dict[str, str]) -> bool:
-    names = f"{own.get('class', '')} {own.get('id', '')} {own.get('role', '')}"
-    return names != "  " and any(w.lower() in MARKS for w in WORD.findall(names))
+def marked(tag: str, own: dict[str, str]) -> bool:
+    marks = ADVERTS if tag in RUNNING else MARKS
+    for token in f"{own.get('class', '')} {own.get('id', '')} {own.get('role', '')}".split():
+        said = [w.lower() for w in WORD.findall(token)]
+        if any(w in marks for w in said) and all(w in MARKS or w in FILLERS for w in said):
+            return True
+    return False
+
+
+def tag_end(html: str, at: int) -> int:
+    """Where the `>` of a tag is whose name ends at `at`: the first outside quotes, or if they do not close, the first."""
+    j = at
+    while m := QUOTE_OR_END.search(html, j):
+        if m[0] == ">":
+            return m.start()
+        j = html.find(m[0], m.end()) + 1
+        if not j:
+            break
+    return html.find(">", at)
 
 
 def name(tag: str, own: dict[str, str]) -> str:
@@ -119,26 +149,40 @@ class Page:
             if not skipped:
                 add(piece)
 
-        at = 0
-        size = len(html)
+        def push(item: tuple[str, int, bool]) -> None:
+            stack.append(item)
+            open_tags[item[0]] += 1
+
+        at, size, last = 0, len(html), html.rfind(">")
+        open_tags: Counter = Counter()  # of the stack
         while at < size:
-            m = TOKEN.search(html, at)
+            m = OPENING.search(html, at)
+            while m and not m[1] and m.start() > last:  # without a `>` to come only a comment can begin
+                m = OPENING.search(html, k) if (k := html.find("<!--", m.end())) >= 0 else None
             if not m:
                 take(html[at:])
                 break
             if m.start() > at:
                 take(html[at : m.start()])
-            at = m.end()
-            tag = (m[2] or m[5] or "").lower()
+            if m[1]:
+                at = html.find("-->", m.end()) + 3
+                if at < 3:
+                    break
+                continue
+            tag = (m[3] or "").lower()
+            end = tag_end(html, m.end()) if tag else html.find(">", m.end())
+            rest = html[m.end() : end] if tag else ""
+            at = end + 1
             if not tag:
                 continue
-            if m[1] or m[4]:  # an end tag closes its element and all that is open in it
+            if m[2]:  # an end tag closes its element and all that is open in it
                 if tag in BREAKS and not skipped:
                     flush()
                 if tag == "a":
                     links = max(0, links - 1)
-                for k in range(len(stack) - 1, -1, -1):
+                for k in range(len(stack) - 1, -1, -1) if open_tags[tag] else ():
                     if stack[k][0] == tag:
+                        open_tags.subtract(s[0] for s in stack[k:])
                         for _, container, out in reversed(stack[k:]):
                             if out:
                                 skipped -= 1
@@ -150,22 +194,21 @@ class Page:
                         break
                 continue
             if tag in RAW:
-                if tag in ("svg", "math") and (m[3] or m[6] or "").endswith("/"):  # the only ones of these that can close themselves
+                if tag in ("svg", "math") and rest.endswith("/"):  # the only ones of these that can close themselves
                     continue
                 end = re.compile(rf"</{tag}\s*>", re.I).search(html, at)
                 at = end.end() if end else size
                 continue
             if tag in BREAKS and not skipped:
                 flush()
-            if tag in VOID or (m[3] or m[6] or "").endswith("/"):
+            if tag in VOID or rest.endswith("/"):
                 continue
             if tag == "a":
                 links += 1
                 continue
-            rest = m[3] or m[6]
             own = attributes(rest) if rest else {}
             out = tag in OUT if not own else left_out(tag, own)
-            mark = bool(own) and not out and marked(own)
+            mark = bool(own) and not out and len(marks) < DEPTH and marked(tag, own)
             if not out and skipped == len(marks) and (tag in ("h1", "main") or tag == "article" and not mark):
                 self.articles += tag != "h1"
                 for i in marks:
@@ -182,10 +225,10 @@ class Page:
                 skipped += 1
                 if mark:
                     marks.append(nth - 1)
-                stack.append((tag, -2 if mark else -1, True))
+                push((tag, -2 if mark else -1, True))
             elif tag in HOLDS:
                 container = -1
-                if not skipped and tag != "body":
+                if not skipped and tag != "body" and len(open_) <= DEPTH:
                     container = len(self.paths)
                     self.paths.append(f"{self.paths[open_[-1]]}>{name(tag, own)}")
                     self.parents.append(open_[-1])
@@ -193,9 +236,9 @@ class Page:
                     self.score.append(0.0)
                     open_.append(container)
                 if tag != "body":
-                    stack.append((tag, container, False))
+                    push((tag, container, False))
             elif own:
-                stack.append((tag, -1, False))
+                push((tag, -1, False))
         flush()
 
     def best(self) -> str:
@@ -225,40 +268,40 @@ def extract(pages: DataFrame) -> DataFrame:
     pages give an empty text.  Pages without a host vote together.  Ties between paths
     go to the higher total score, then to the path that sorts first.  One row comes
     out for each row that goes in.  Votes are summed before they are shuffled; the
-    winning paths are joined by host and one of SALTS salts, so that neither step
-    brings the pages of a large host together.
+    winning paths are joined by host and, as far as a host has pages, SALTS salts, so
+    that neither step brings the pages of a large host together.
     """
-    small_batches(pages.sparkSession, 500, 16)
+    find_package(pages.sparkSession)
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
-    source = pages.select("page_id", "url", "html", host.alias("host"))
-
-    def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            hosts, paths, scores = [], [], []
-            for of, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                page = Page(html or "")
-                if path := page.best():
-                    hosts.append(of)
-                    paths.append(path)
-                    scores.append(int(max(page.score)))
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(paths, pa.string()), pa.array(scores, pa.int64())], ["host", "path", "score"])
-
-    votes = source.select("host", "html").mapInArrow(vote, "host string, path string, score bigint")
-    counted = votes.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("score").alias("score"))
+    kind = pages.schema["page_id"].dataType.simpleString()
+    block = pa.struct([("text", pa.string()), ("at", pa.list_(pa.int32()))])
+
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 200):
+            read = [Page(html or "") for html in batch.column(3).to_pylist()]
+            best, scores, paths, blocks = [], [], [], []
+            for page in read:
+                places: dict[str, int] = {}
+                numbers = [places.setdefault(p, len(places)) for p in page.paths]
+                best.append(page.best())
+                scores.append(int(max(page.score)))
+                paths.append(list(places))
+                blocks.append([{"text": text, "at": sorted({numbers[i] for i in containers})} for containers, text in page.blocks])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), batch.column(2), pa.array(best, pa.string()), pa.array(scores, pa.int64()), pa.array(paths, pa.list_(pa.string())), pa.array(blocks, pa.list_(block))],
+                ["page_id", "url", "host", "best", "score", "paths", "blocks"],
+            )
+
+    source = pages.select("page_id", "url", host.alias("host"), "html")
+    parsed = stored(source.mapInArrow(parse, f"page_id {kind}, url string, host string, best string, score bigint, paths array<string>, blocks array<struct<text:string,at:array<int>>>"))
+    counted = parsed.filter("best <> ''").groupBy("host", F.col("best").alias("path")).agg(F.count("*").alias("n"), F.sum("score").alias("score"))
     won = counted.groupBy("host").agg(F.min(F.struct(-F.col("n"), -F.col("score"), F.col("path"))).alias("best")).select("host", F.col("best.path").alias("path"))
+    joined = join_hot(parsed, won, ["host"], "page_id", salts=SALTS)
 
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = []
-            for html, path in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                page = Page(html or "")
-                text = page.text(path) if path else None
-                if not text:
-                    text = page.text(page.best())
-                texts.append(text or "")
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], ["page_id", "url", "text"])
+    def at(path: str) -> Column:
+        """The blocks in all elements at a path, one to a line."""
+        of = lambda place: F.array_join(F.transform(F.filter("blocks", lambda b: F.array_contains(b.at, place)), lambda b: b.text), "\n")
+        return F.coalesce(let(F.array_position("paths", F.col(path)).cast("int") - 1, of), F.lit(""))
 
-    kind = pages.schema["page_id"].dataType.simpleString()
-    salted = won.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    joined = source.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int")).join(salted, ["host", "salt"], "left").select("page_id", "url", "html", "path")
-    return joined.mapInArrow(read, f"page_id {kind}, url string, text string").withColumn("n_chars", F.length("text").cast("bigint"))
+    text = let(at("path"), lambda t: F.when(t != "", t).otherwise(at("best")))
+    return joined.select("page_id", "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("bigint"))

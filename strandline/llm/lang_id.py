@@ -22,14 +22,14 @@ from pyspark.sql import functions as F
 
 from .bpe import category_class
 from .columns import lowest
-from .text import small_batches
+from .text import find_package, slices
 
 #: Labelled documents per language that are learned from, at most; rounds of learning.
 SAMPLE, ROUNDS = 400, 3
-#: Letters of a word that are scored together; a longer run is scored in parts.
+#: Letters of a word up to which words are scored together; a longer one is scored alone, letter by letter.
 LONGEST = 24
-#: Words that a task remembers.
-STORE = 200_000
+#: Scores of words that a task remembers: words times languages, at eight bytes.
+STORE = 800_000
 #: Added to each piece's expected count; probability of a character that is no piece.
 SMOOTH, UNKNOWN = 0.05, 1e-7
 MARK = "▁"
@@ -37,13 +37,13 @@ MARK = "▁"
 
 @lru_cache(1)
 def letters() -> re.Pattern:
-    return re.compile(f"[{category_class('L')}]{{1,{LONGEST}}}")
+    return re.compile(f"[{category_class('L')}]+")
 
 
 def words_of(text: str) -> list[str]:
     """Lower-case runs of letters."""
     if text.isascii():
-        return re.findall(f"[a-z]{{1,{LONGEST}}}", text.lower())
+        return re.findall("[a-z]+", text.lower())
     return letters().findall(unicodedata.normalize("NFC", text).lower())
 
 
@@ -53,30 +53,54 @@ def vocabulary(path: str) -> list[str]:
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     pieces = {model.id_to_piece(i).lower() for i in range(model.get_piece_size()) if not model.is_control(i) and not model.is_byte(i)}
-    return sorted(p for p in pieces if p.lstrip(MARK).isalpha() and p.count(MARK) <= 1 and len(p) <= LONGEST)
+    return sorted(p for p in pieces if p.lstrip(MARK).isalpha() and p.count(MARK) <= 1)
 
 
 class Segmenter:
     """All segmentations of words at once, words of one length at a time.
 
-    index: piece -> row of `table`; table: probability of each piece (row) under each
-    language (column); the last row stands for a character that is no piece.
+    table: probability of each piece (row) under each language (column); the last row
+    stands for a character that is no piece.
     """
 
     def __init__(self, pieces: list[str], table: np.ndarray):
-        self.index = {p: i for i, p in enumerate(pieces)}
+        import ahocorasick
+
         self.longest = max(map(len, pieces), default=1)
         self.table = table
+        self.index = {p: i for i, p in enumerate(pieces)}
+        self.automaton = ahocorasick.Automaton()
+        for row, piece in enumerate(pieces):
+            self.automaton.add_word(piece, (row, len(piece)))
+        self.automaton.make_automaton()
+
+    def pieces_of(self, word: str) -> Iterator[tuple[int, int, int]]:
+        """(start, end, piece) of a long word, in order of the end, in letters; the word-start mark is part of the first piece."""
+        last, single, unknown = 0, False, len(self.table) - 1
+        for end, (row, size) in self.automaton.iter(MARK + word) if len(self.automaton) else ():
+            start = max(end + 1 - size, 0)  # in the marked word; a letter's own place there is its number plus one
+            marked = start == 0
+            start = 0 if marked else start - 1
+            if end == 0 or start == 0 and not marked:
+                continue
+            while last < end:  # ends that are past: each letter is a piece of its own if the vocabulary lacks it
+                if last and not single:
+                    yield last - 1, last, unknown
+                last, single = last + 1, False
+            single = single or start == end - 1
+            yield start, end, row
+        while last <= len(word):
+            if last and not single:
+                yield last - 1, last, unknown
+            last, single = last + 1, False
 
     def _steps(self, words: list[str]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-        """(start, end, which words, which piece), in order of the end; the mark is part of the first piece."""
-        n = len(words[0])
-        unknown = len(self.table) - 1
+        """(start, end, which words, which piece), in order of the end, for words of one length."""
+        n, unknown, get = len(words[0]), len(self.table) - 1, self.index.get
         marked = [MARK + w for w in words]
         for j in range(1, n + 1):
             for i in range(max(0, j - self.longest), j):
-                ids = [self.index.get(w[i + 1 : j + 1] if i else w[: j + 1], -1) for w in marked]
-                ids = np.array(ids)
+                ids = np.array([get(w[i + 1 : j + 1] if i else w[: j + 1], -1) for w in marked])
                 if j == i + 1:
                     ids[ids < 0] = unknown
                 at = np.flatnonzero(ids >= 0)
@@ -95,10 +119,31 @@ class Segmenter:
         """log P(word | language), for words of any lengths."""
         out = np.zeros((len(words), self.table.shape[1]))
         for own in by_length(words):
+            if len(words[own[0]]) > LONGEST:
+                for i in own:
+                    out[i] = self.log_probability(words[i])
+                continue
             alpha, _ = self.forward([words[i] for i in own])
             out[own] = np.log(np.maximum(alpha[-1], 1e-300))
         return out
 
+    def log_probability(self, word: str) -> np.ndarray:
+        """The same for one word of any length, in memory for the longest piece only: the state is scaled as it goes."""
+        reach = self.longest + 1
+        alpha, log = np.zeros((reach, self.table.shape[1])), np.zeros(self.table.shape[1])
+        alpha[0] = 1
+        at = 0
+        for start, end, row in self.pieces_of(word):
+            if end != at:
+                if at and at % 8 == 0:
+                    scale = np.maximum(alpha[at % reach], 1e-300)
+                    alpha /= scale
+                    log += np.log(scale)
+                at = end
+                alpha[at % reach] = 0
+            alpha[end % reach] += alpha[start % reach] * self.table[row]
+        return log + np.log(np.maximum(alpha[at % reach], 1e-300))
+
     def expected(self, words: list[str], counts: np.ndarray) -> np.ndarray:
         """Expected count of each piece under each language, given word counts (words x languages)."""
         out = np.zeros_like(self.table)
@@ -124,20 +169,20 @@ def learn(documents: DataFrame, path: str, sample: int = SAMPLE, rounds: int = R
     """(languages, pieces, table) from at most `sample` documents of each language.
 
     documents: doc_id, text, lang, of which those with a null in either are not used.
-    The sample is that of the lowest hashes of doc_id.  What the driver gets is one
-    number for each piece and language, however many documents there are.
+    The sample is that of the lowest hashes of doc_id; words of more than LONGEST letters
+    are learned from in parts.  What the driver gets is one number for each piece and
+    language, however many documents there are.
     """
     spark = documents.sparkSession
-    small_batches(spark)
+    find_package(spark)
     usable = documents.filter("text IS NOT NULL AND lang IS NOT NULL AND doc_id IS NOT NULL")
-    chosen = lowest(usable.select("doc_id", "lang"), "doc_id", sample, "lang")
-    texts = usable.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("lang", "text")  # `sample` rows a language
+    texts = lowest(usable.select("doc_id", "lang", "text"), "doc_id", sample, "lang").select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
-        for batch in batches:
+        for batch in slices(batches):
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                seen.update((lang, w) for w in words_of(text))
+                seen.update((lang, w[i : i + LONGEST]) for w in words_of(text) for i in range(0, len(w), LONGEST))
         yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in seen], pa.string()), pa.array([k[1] for k in seen], pa.string()), pa.array(seen.values(), pa.int64())], ["lang", "word", "n"])
 
     counted = texts.mapInArrow(count, "lang string, word string, n bigint").groupBy("word", "lang").agg(F.sum("n").alias("n"))
@@ -153,7 +198,7 @@ def learn(documents: DataFrame, path: str, sample: int = SAMPLE, rounds: int = R
             def expect(batches: Iterator[pa.RecordBatch], now=now) -> Iterator[pa.RecordBatch]:
                 languages, pieces, table = now.value
                 total, segmenter = np.zeros_like(table), Segmenter(pieces, table)
-                for batch in batches:
+                for batch in slices(batches):
                     counts = np.array([[n.get(x, 0) for x in languages] for n in map(dict, batch.column(1).to_pylist())], float)
                     if len(counts):
                         total += segmenter.expected(batch.column(0).to_pylist(), counts)
@@ -180,15 +225,16 @@ def identify(documents: DataFrame, model: tuple[list[str], list[str], np.ndarray
     that sorts first.  One row comes out for each row that goes in.
     """
     spark = documents.sparkSession
-    small_batches(spark)
+    find_package(spark)
     shared = spark.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         languages, pieces, table = shared.value
         segmenter = Segmenter(pieces, table)
         place: dict[str, int] = {}
-        known = np.zeros((STORE, max(len(languages), 1)))
-        for batch in batches:
+        store = STORE // max(len(languages), 1) + 1
+        known = np.zeros((store, max(len(languages), 1)))
+        for batch in slices(batches):
             counted = [Counter(words_of(t)) if t else Counter() for t in batch.column(1).to_pylist()]
             preds, scores = ["und"] * len(counted), np.zeros(len(counted))
             low = 0
@@ -196,10 +242,10 @@ def identify(documents: DataFrame, model: tuple[list[str], list[str], np.ndarray
                 # As many texts as have new words that still fit; one text with more is scored alone.
                 new: dict[str, None] = {}
                 high = low
-                while high < len(counted) and (high == low or len(place) + len(new) + len(counted[high]) <= STORE):
+                while high < len(counted) and (high == low or len(place) + len(new) + len(counted[high]) <= store):
                     new.update((w, None) for w in counted[high] if w not in place)
                     high += 1
-                if len(place) + len(new) > STORE:
+                if len(place) + len(new) > store:
                     place, new, high = {}, dict.fromkeys(counted[low]), low + 1
                     if len(new) > len(known):
                         known = np.zeros((len(new), len(languages)))

@@ -36,8 +36,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .columns import cut, stored
-from .text import ALNUM, Words, mix, small_batches, words
+from .columns import cut, join_hot, stored
+from .text import ALNUM, Words, find_package, mix, slices, words
 
 SHINGLE, BANDS, ROWS = 5, 12, 4
 #: Similarity, as a ratio of whole numbers.
@@ -50,7 +50,7 @@ BUCKETS, SHARD = 1 << 18, 1 << 12
 SMALL, LEADERS = 8, 1
 #: Links to a task in the steps that find components.
 PER_TASK = 200_000
-#: Parts in which the nodes of each bucket are joined to what is known of the bucket.
+#: Parts in which the nodes of each bucket are joined to what is known of the bucket, and the pairs of a node to its text.
 SALTS = 16
 #: Shingles before one in a prefix that are looked at to tell whether a pair has met already.
 BEFORE = 16
@@ -83,7 +83,7 @@ def _frequencies(documents: DataFrame) -> np.ndarray:
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, n = np.zeros(BUCKETS, np.int32), 0
-        for batch in batches:
+        for batch in slices(batches):
             n += batch.num_rows
             for run in words(batch.column(0), ALNUM, lower=True):
                 _, hashes, _ = _sets(run, SHINGLE)
@@ -122,6 +122,7 @@ def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def _bands(texts: np.ndarray, hashes: np.ndarray, weights: np.ndarray, bands: int, rows: int, tables: tuple) -> tuple[np.ndarray, np.ndarray]:
     """Which texts have shingles, and their band keys (texts x bands)."""
     first = np.flatnonzero(np.diff(texts, prepend=-1))
+    sizes = np.diff(np.append(first, len(texts)))
     log_w = np.log(weights.astype(np.float32))
     r_of, inverse_of, beta_of = tables
     keys = np.zeros((len(first), bands), np.uint64)
@@ -138,17 +139,21 @@ def _bands(texts: np.ndarray, hashes: np.ndarray, weights: np.ndarray, bands: in
         # ln a = ln c - r (t - beta) - r, with c = -ln(u1 u2) from Gamma(2, 1).
         log_a = np.log(-np.log(np.minimum(u1 * u2, np.float32(1 - 1e-7)))) - r * (t - beta + np.float32(1))
         least = np.minimum.reduceat(log_a, first)
-        keys[:, k // rows] = mix(keys[:, k // rows] * np.uint64(31) + least.view(np.uint32).astype(np.uint64) + np.uint64(k + 1))
+        # A sample is the shingle that wins and its t, whatever the last bits of logarithms are.
+        won = np.flatnonzero(log_a == np.repeat(least, sizes))
+        won = won[np.searchsorted(won, first)]
+        sample = hashes[won] + t[won].astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        keys[:, k // rows] = mix(keys[:, k // rows] * np.uint64(31) + sample + np.uint64(k + 1))
     return texts[first], keys
 
 
 def _signatures(documents: DataFrame, idf: np.ndarray, bands: int, rows: int) -> DataFrame:
-    """doc_id, same1, same2 (a 128-bit hash of all words), keys (band keys; null for a text without words)."""
+    """doc_id, same1, same2 (a 128-bit BLAKE2 digest of all words), keys (band keys; null for a text without words)."""
     known = documents.sparkSession.sparkContext.broadcast(idf)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         units, tables = known.value, _tables()
-        for batch in batches:
+        for batch in slices(batches):
             same1, same2 = np.zeros(batch.num_rows, np.uint64), np.zeros(batch.num_rows, np.uint64)
             keys: list = [None] * batch.num_rows
             for run in words(batch.column(1), ALNUM, lower=True):
@@ -156,10 +161,8 @@ def _signatures(documents: DataFrame, idf: np.ndarray, bands: int, rows: int) ->
                 if not len(texts):
                     continue
                 filled = np.flatnonzero(run.counts())
-                place = np.arange(len(run.hashes)) - np.repeat(run.at[:-1], run.counts())
-                for same, seed in ((same1, 0x9E3779B97F4A7C15), (same2, 0xC2B2AE3D27D4EB4F)):
-                    each = mix(run.hashes + mix(place.astype(np.uint64) + np.uint64(seed)))
-                    same[run.rows.start + filled] = mix(np.add.reduceat(each, run.at[filled]))
+                digests = run.same_words(run.at[filled], run.counts()[filled])
+                same1[run.rows.start + filled], same2[run.rows.start + filled] = digests[:, 0], digests[:, 1]
                 which, own = _bands(texts, hashes, counts * units[(hashes & np.uint64(BUCKETS - 1)).astype(np.int64)], bands, rows, tables)
                 for i, row in zip(which.tolist(), own.view(np.int64).tolist(), strict=True):
                     keys[run.rows.start + i] = row
@@ -169,8 +172,18 @@ def _signatures(documents: DataFrame, idf: np.ndarray, bands: int, rows: int) ->
     return documents.select("doc_id", "text").mapInArrow(sign, f"doc_id {kind}, same1 bigint, same2 bigint, keys array<bigint>")
 
 
+def _with_text(pairs: DataFrame, texts: DataFrame, side: str, other: str, out: str) -> DataFrame:
+    """Pairs with the text of one side; a node with pairs in a large bucket has its pairs spread by the other side."""
+    salted = pairs.withColumn("_salt", F.when(F.col("wide"), F.pmod(F.xxhash64(other), F.lit(SALTS))).otherwise(0).cast("int"))
+    heads = salted.select(side, "_salt").distinct().join(texts.select(F.col("doc_id").alias(side), F.col("text").alias(out)), side)
+    return salted.join(heads, [side, "_salt"]).drop("_salt")
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, idf: np.ndarray) -> DataFrame:
-    """a, b, alike: whether the sum of the lesser weights, or of the lesser counts, is SIMILARITY of that of the greater."""
+    """a, b, similarity, alike: whether the sum of the lesser weights, or of the lesser counts, is SIMILARITY of that of the greater.
+
+    pairs: a, b, wide (whether a or b may be in very many pairs).  similarity: the greater of the two.
+    """
     known = pairs.sparkSession.sparkContext.broadcast(idf)
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,24 +198,23 @@ def _verified(pairs: DataFrame, texts: DataFrame, idf: np.ndarray) -> DataFrame:
                 out += [(hashes[a:b], weights[a:b], counts[a:b]) for a, b in zip(edges[:-1], edges[1:], strict=True)]
             return out
 
-        def reaches(x: np.ndarray, y: np.ndarray, both: np.ndarray, at: np.ndarray) -> bool:
+        def jaccard(x: np.ndarray, y: np.ndarray, both: np.ndarray, at: np.ndarray) -> tuple[int, int]:
             common = int(np.minimum(x[both], y[at[both]]).sum()) if len(y) else 0
-            return common * SIMILARITY[1] >= (int(x.sum() + y.sum()) - common) * SIMILARITY[0]
+            return common, int(x.sum() + y.sum()) - common
 
-        for whole in batches:
-            for low in range(0, whole.num_rows, 64):  # few pairs at once: texts may be long
-                batch = whole.slice(low, 64)
-                alike = []
-                for (h, w, n), (g, v, m) in zip(sets(batch.column(2)), sets(batch.column(3)), strict=True):
-                    at = np.minimum(np.searchsorted(g, h), max(len(g) - 1, 0))
-                    both = g[at] == h if len(g) else np.zeros(len(h), bool)
-                    alike.append(reaches(w, v, both, at) or reaches(n, m, both, at))
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(alike, pa.bool_())], ["a", "b", "alike"])
+        for batch in slices(batches, 64):  # few pairs at once: texts may be long
+            alike, similar = [], []
+            for (h, w, n), (g, v, m) in zip(sets(batch.column(2)), sets(batch.column(3)), strict=True):
+                at = np.minimum(np.searchsorted(g, h), max(len(g) - 1, 0))
+                both = g[at] == h if len(g) else np.zeros(len(h), bool)
+                ratios = jaccard(w, v, both, at), jaccard(n, m, both, at)
+                alike.append(any(c * SIMILARITY[1] >= u * SIMILARITY[0] for c, u in ratios))
+                similar.append(max(c / max(u, 1) for c, u in ratios))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(similar, pa.float64()), pa.array(alike, pa.bool_())], ["a", "b", "similarity", "alike"])
 
-    left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
-    right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
-    rows = pairs.join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b")
-    return rows.mapInArrow(weigh, "a bigint, b bigint, alike boolean").groupBy("a", "b").agg(F.max("alike").alias("alike"))
+    pairs = cut(pairs.groupBy("a", "b").agg(F.max("wide").alias("wide")))
+    rows = _with_text(_with_text(pairs, texts, "a", "b", "text_a"), texts, "b", "a", "text_b").select("a", "b", "text_a", "text_b")
+    return rows.mapInArrow(weigh, "a bigint, b bigint, similarity double, alike boolean").groupBy("a", "b").agg(F.max("similarity").alias("similarity"), F.max("alike").alias("alike"))
 
 
 def _weighed_shingles(texts: DataFrame, idf: np.ndarray) -> DataFrame:
@@ -211,7 +223,7 @@ def _weighed_shingles(texts: DataFrame, idf: np.ndarray) -> DataFrame:
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         units = known.value
-        for batch in batches:
+        for batch in slices(batches):
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             for run in words(batch.column(1), ALNUM, lower=True):
                 of, hashes, counts = _sets(run, SHINGLE)
@@ -279,16 +291,19 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def near_duplicates(documents: DataFrame, bands: int = BANDS, rows: int = ROWS, small: int = SMALL) -> DataFrame:
-    """The near-duplicate class of each document: doc_id, class_id (the least doc_id of the class).
+    """The near-duplicate class of each document: doc_id, class_id (the least doc_id of the class), n_links, least_similarity.
 
     documents: doc_id (integer), text; other columns are not read.  One row comes
     out for each row that goes in.  A text without words (null, empty, only signs)
     is like no other and is a class of its own.  A text of fewer than five words is
     one shingle.  Rows that share a doc_id share its class.  A row without doc_id
     is compared with none and has a null class.  Ties: the least doc_id.
+    n_links: how many other texts this text was verified to be alike to, on the way to
+    its class (not all texts of a class are compared); least_similarity: the least of
+    these links' similarities, null without one.  Copies of one text share both.
     """
     spark = documents.sparkSession
-    small_batches(spark)
+    find_package(spark)
     texts = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     idf = _frequencies(texts)
     signed = cut(_signatures(texts, idf, bands, rows))
@@ -302,9 +317,9 @@ def near_duplicates(documents: DataFrame, bands: int = BANDS, rows: int = ROWS,
     texts = stored(texts.join(members.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi"))
     mine = members.filter(F.col("size") <= small)
     other = mine.select("band", "key", F.col("node").alias("b"))
-    paired = mine.join(other, ["band", "key"]).filter("node < b").select(F.col("node").alias("a"), "b")
-    starred = members.filter((F.col("size") > small) & (F.col("leader") != F.col("node"))).select(F.col("leader").alias("a"), F.col("node").alias("b"))
-    weighed = cut(_verified(paired.unionByName(starred).distinct(), texts, idf))
+    paired = mine.join(other, ["band", "key"]).filter("node < b").select(F.col("node").alias("a"), "b", F.lit(False).alias("wide"))
+    starred = members.filter((F.col("size") > small) & (F.col("leader") != F.col("node"))).select(F.col("leader").alias("a"), F.col("node").alias("b"), F.lit(True).alias("wide"))
+    weighed = cut(_verified(paired.unionByName(starred), texts, idf))
     large = members.filter(F.col("size") > small).select("band", "key", "node")
     if large.limit(1).count():
         for nth in range(LEADERS + 1):
@@ -319,12 +334,15 @@ def near_duplicates(documents: DataFrame, bands: int = BANDS, rows: int = ROWS,
                 more = outside.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b"))
             else:
                 more = _possible(texts, idf, _of_bucket(placed, top.select("band", "key"), "left_semi"), outside)
-            more = more.distinct().join(weighed.select("a", "b"), ["a", "b"], "left_anti")
+            more = more.distinct().join(weighed.select("a", "b"), ["a", "b"], "left_anti").withColumn("wide", F.lit(True))
             weighed = weighed.unionByName(cut(_verified(more, texts, idf)))
-    links = weighed.filter("alike").select("a", "b")
+    links = weighed.filter("alike").select("a", "b", "similarity")
     # A doc_id that has several texts ties their nodes together.
-    of_node = signed.join(nodes.select("same1", "same2", "node"), ["same1", "same2"], "left").select("doc_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("node", "doc_id")).alias("node"))
+    named = nodes.select("same1", "same2", "node")
+    of_node = cut(join_hot(signed.select("doc_id", "same1", "same2"), named, ["same1", "same2"], "doc_id").select("doc_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("node", "doc_id")).alias("node")))
     ties = of_node.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b")).filter("a < b").select("a", "b")
-    labels = components(links.unionByName(ties))
+    labels = components(links.select("a", "b").unionByName(ties))
+    ends = links.select(F.explode(F.array("a", "b")).alias("node"), "similarity").groupBy("node").agg(F.count("*").alias("n_links"), F.min("similarity").alias("least_similarity"))
     kind = documents.schema["doc_id"].dataType.simpleString()
-    return of_node.join(labels, "node", "left").select(F.col("doc_id").cast(kind).alias("doc_id"), F.coalesce("label", "node").cast(kind).alias("class_id"))
+    found = join_hot(of_node, labels.join(ends, "node", "left"), ["node"], "doc_id")
+    return found.select(F.col("doc_id").cast(kind).alias("doc_id"), F.coalesce("label", "node").cast(kind).alias("class_id"), F.coalesce("n_links", F.lit(0).cast("bigint")).alias("n_links"), "least_similarity")

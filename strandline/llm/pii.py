@@ -16,15 +16,17 @@ a base span and never changes one.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .columns import sha256
-from .text import small_batches
+from .text import find_package, slices
 
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "login", "secret", "iban", "ssn", "account", "tel")
@@ -34,6 +36,7 @@ HEADS = {"AKIA": 20, "ghp_": 40, "gho_": 40, "xoxb-": 24, "xoxp-": 24, "sk_live_
 
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DIGITS = frozenset("0123456789")
+DIGIT = re.compile("[0-9]")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 ADDRESS = re.compile(r"([0-9]+)\.([0-9]+)\.([0-9]+)\.([0-9]+)")
 RUN = re.compile(r"[0-9](?:[ -]?[0-9])+")
@@ -102,7 +105,7 @@ def find(text: str) -> list[tuple[str, int, int]]:
     """(kind, start, end) in code points, by kind in the order of KINDS, then start."""
     out: dict[str, list[tuple[int, int]]] = {k: [] for k in KINDS}
     end = dict.fromkeys(BASE, 0)  # where the last match of each kind ended, passed or not
-    run_end = 0
+    run_end = value_end = key_end = key_digit = 0  # where runs that were looked at end: what begins inside one is not read again
     for last, (anchor, size) in automaton().iter(text):
         at = last - size + 1
         if anchor in ("digit", "plus"):
@@ -140,21 +143,30 @@ def find(text: str) -> list[tuple[str, int, int]]:
             if (m := LOGIN.match(text, last + 1)) and ":" in m[0]:
                 out["login"].append((m.start(), m.end() - 1))
         elif anchor == "secret":
-            if (at == 0 or not text[at - 1].isalnum()) and (m := VALUE.match(text, last + 1)) and any(c in DIGITS for c in m[1]):
-                out["secret"].append(m.span(1))
+            # A later cue inside a value has the same end: it is in the same secret, or there is no digit for either.
+            if last >= value_end and (at == 0 or not text[at - 1].isalnum()) and (m := VALUE.match(text, last + 1)):
+                value_end = m.end()
+                if DIGIT.search(text, *m.span(1)):
+                    out["secret"].append(m.span(1))
         elif anchor == "key":
-            if (at == 0 or not text[at - 1].isalnum()) and (m := KEY.match(text, at)) and len(m[0]) >= HEADS[text[at : last + 1]] and any(c in DIGITS for c in m[0]):
-                out["secret"].append(m.span())
+            if at == 0 or not text[at - 1].isalnum():
+                if at >= key_end:
+                    key_end = KEY.match(text, at).end()
+                    key_digit = max(text.rfind(d, at, key_end) for d in DIGITS)
+                if key_end - at >= HEADS[text[at : last + 1]] and key_digit >= at:
+                    out["secret"].append((at, key_end))
         elif anchor == "iban":
             if (m := IBAN.match(text, last + 1)) and (stop := iban_end(text, *m.span(1))) > 0:
                 out["iban"].append((m.start(1), stop))
         elif anchor == "ssn" and (m := SSN.match(text, last + 1)):
             out["ssn"].append(m.span(1))
     base = sorted(s for k in BASE for s in out[k])
+    begins, furthest = [a for a, _ in base], list(accumulate((b for _, b in base), max))
+    held = lambda a, b: (i := bisect_right(begins, a)) and furthest[i - 1] >= b
     for kind in KINDS[len(BASE) :]:
         mine, floor = [], 0
         for a, b in sorted(set(out[kind])):
-            if a >= floor and not any(c <= a and b <= d for c, d in base):
+            if a >= floor and not held(a, b):
                 mine.append((a, b))
                 floor = b
         out[kind] = mine
@@ -186,12 +198,12 @@ def scan(documents: DataFrame, rewrite: bool = False) -> DataFrame:
     replaced.  Null and empty texts have no spans (a null text stays null).  Offsets
     are code points, ends exclusive.  One row comes out for each row that goes in.
     """
-    small_batches(documents.sparkSession)
+    find_package(documents.sparkSession)
     source = documents.drop("spans")
     at = source.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             columns = list(batch.columns)
             texts = columns[at].to_pylist()
             found = [find(t) if t else [] for t in texts]

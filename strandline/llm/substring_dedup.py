@@ -5,18 +5,22 @@ the one with the least hash is its anchor; equal windows have equal anchors, so
 window cannot repeat unless its anchor does (neighbouring windows mostly share an
 anchor, which leaves about a seventh as many things to count).
 
-Pass 1: each task counts its anchors in a sparse count-min sketch, two rows of
-cells; the partition sketches are merged in Spark and say which cells were hit
-at least twice.  Collisions only add hits, so counts are never too low.
-Pass 2: windows whose anchor is estimated repeated are grouped exactly, by a
-128-bit hash of their words.  A task first settles what repeats within itself, so
+Pass 1: each task counts its anchors in a sparse count-min sketch of one row, whose
+cells are dealt over shards.  The partition sketches are merged shard by shard in
+Spark; a cell that was hit at least twice in all marks its anchors.  Collisions only
+add hits, so counts are never too low.  With its cells a task sends where the anchor
+stands, so that the merged shard itself says which anchors of which documents are
+estimated repeated.  An anchor that a task has met twice needs no answer: its places
+go past the shard, over all tasks, and the shard gets the count alone.  So a passage
+that is in every document sends one entry per task to its shard.
+Pass 2: windows whose anchor is estimated repeated are grouped exactly, by a 128-bit
+BLAKE2 digest of their words.  A task first settles what repeats within itself, so
 that a window of which there are many copies sends one row per task; what is left
-is ordered by (doc_id, start) within each hash, and all but the first are removed.
+is ordered by (doc_id, start) within each digest, and all but the first are removed.
 
-The merged sketch is sized with the input.  Up to `MAX_CELLS` cells a row it goes to
-every task, which bounds what a task holds to 2 * MAX_CELLS / 8 bytes.  A larger one
-stays in shards: each document's anchors are joined to the shard that has their
-cell, and go back to their document if it was hit twice; nothing is broadcast then.
+The sketch has CELLS cells for each anchor expected, whatever the size of the input;
+no task holds more of it than a shard, and nothing is broadcast.  Texts are shuffled
+once, by document; both passes' joins use that one exchange.
 """
 
 from __future__ import annotations
@@ -29,16 +33,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .columns import cut, sha256
-from .text import SPACED, WORD_BASE_2, Words, mix, small_batches, words
+from .text import SPACED, Words, find_package, mix, slices, words
 
 #: Words in a window and in an anchor.
 WINDOW, ANCHOR = 20, 8
-#: Rows of the sketch; each mixes hashes with its own constant (fixed values).
-ROWS = (0x2545F4914F6CDD1D, 0x5851F42D4C957F2D)
-#: Cells a row: at most, and to each shard of the merged sketch.
-MAX_CELLS, SHARD = 1 << 28, 1 << 16
+#: Cells of the sketch: for each anchor expected (at 42 characters an anchor), and in a shard, as a power of two.
+CELLS, SHARD_BITS = 64, 16
 #: Anchors or windows that a task holds before it hands them on.
 HELD = 1 << 21
+#: An anchor's entry in a shard: its cell, the document's key, the place in it (-1: met twice in the task, no answer wanted).
+ENTRY = np.dtype([("cell", "<u2"), ("key", "<i8"), ("place", "<i4")])
 
 
 def _least(values: np.ndarray, span: int) -> np.ndarray:
@@ -65,93 +69,95 @@ def _anchors(run: Words, window: int, anchor: int) -> tuple[np.ndarray, np.ndarr
     return shingles, chosen, least, inside
 
 
-def _cells(hashes: np.ndarray, row: int, bits: int) -> np.ndarray:
-    return mix(hashes ^ np.uint64(ROWS[row])) >> np.uint64(64 - bits)
+def _packed(shards: np.ndarray, entries: np.ndarray) -> pa.RecordBatch:
+    """One row (shard, entries as bytes) for each run of equal shards."""
+    at = np.flatnonzero(np.diff(shards, prepend=shards[0] - 1)) if len(shards) else np.empty(0, np.int64)
+    ends = (np.append(at, len(shards)) * ENTRY.itemsize).astype(np.int32)
+    binary = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(ends), pa.py_buffer(entries.tobytes())])
+    return pa.RecordBatch.from_arrays([pa.array(shards[at], pa.int64()), binary], ["shard", "entries"])
 
 
-def _sketch(texts: DataFrame, bits: int, window: int, anchor: int, depth: int = len(ROWS)) -> DataFrame:
-    """row, shard, bitmap: of each shard of each row of the merged sketch, the cells that were hit at least twice."""
+def _estimated(keyed: DataFrame, bits: int, window: int, anchor: int) -> DataFrame:
+    """key, place (of anchors, by words): those that the merged sketch of 2**bits cells estimates to be repeated."""
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-
-        def out() -> pa.RecordBatch:
-            rows, shards, packed = [], [], []
-            hashes = np.concatenate(held)
-            for row in range(depth):
-                cells, counts = np.unique(_cells(hashes, row, bits), return_counts=True)
-                cells = np.repeat(cells, np.minimum(counts, 2))
-                shard = (cells // SHARD).astype(np.int64)
-                edges = np.flatnonzero(np.diff(shard, prepend=-1))
-                low = (cells % np.uint64(SHARD)).astype(np.uint16)
-                for a, b in zip(edges, [*edges[1:], len(cells)], strict=True):
-                    rows.append(row)
-                    shards.append(int(shard[a]))
-                    packed.append(low[a:b].tobytes())
-            return pa.RecordBatch.from_arrays([pa.array(rows, pa.int32()), pa.array(shards, pa.int64()), pa.array(packed, pa.binary())], ["row", "shard", "cells"])
-
-        for batch in batches:
-            for run in words(batch.column(0), SPACED):
-                shingles, chosen, _, _ = _anchors(run, window, anchor)
-                held.append(shingles[chosen])
-            if sum(map(len, held)) >= HELD:
-                yield out()
+        held: list[tuple[np.ndarray, ...]] = []
+
+        def out() -> Iterator[pa.RecordBatch]:
+            cells, keys, places = (np.concatenate(x) for x in zip(*held, strict=True))
+            order = np.argsort(cells, kind="stable")
+            cells, keys, places = cells[order], keys[order], places[order]
+            first = np.ones(len(cells), bool)
+            first[1:] = cells[1:] != cells[:-1]
+            at = np.flatnonzero(first)
+            many = np.repeat(np.diff(np.append(at, len(cells))) > 1, np.diff(np.append(at, len(cells))))
+            entries = np.empty(len(cells), ENTRY)
+            entries["cell"], entries["key"], entries["place"] = cells & np.uint64((1 << SHARD_BITS) - 1), keys, places
+            # Met twice here: the places need no answer, the shard gets the count.
+            known = entries[many]
+            entries["place"][many] = -1
+            yield _packed((cells[first] >> np.uint64(SHARD_BITS)).astype(np.int64), entries[first])
+            spread = -1 - (mix(known["key"].astype(np.int64).view(np.uint64)) >> np.uint64(48)).astype(np.int64)
+            order = np.argsort(spread, kind="stable")
+            yield _packed(spread[order], known[order])
+
+        for batch in slices(batches):
+            keys = batch.column(0).to_numpy(zero_copy_only=False)
+            for whole in words(batch.column(1), SPACED):
+                for run in whole.parts(window - 1):
+                    shingles, chosen, _, _ = _anchors(run, window, anchor)
+                    at = np.flatnonzero(chosen)
+                    text = np.searchsorted(run.at, at, "right") - 1
+                    held.append((mix(shingles[at]) >> np.uint64(64 - bits), keys[run.rows.start + text], (at - run.at[text] + run.base).astype(np.int32)))
+            if sum(len(h[0]) for h in held) >= HELD:
+                yield from out()
                 held.clear()
-        if held and sum(map(len, held)):
-            yield out()
+        if sum(len(h[0]) for h in held):
+            yield from out()
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[tuple[int, int], np.ndarray] = {}
-        for batch in batches:
-            for row, shard, cells in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                counts = seen.setdefault((row, shard), np.zeros(SHARD, np.uint8))
-                at, n = np.unique(np.frombuffer(cells, np.uint16), return_counts=True)
-                counts[at] = np.minimum(counts[at] + n, 2)
-        keys = list(seen)
-        bitmaps = [np.packbits(seen[k] >= 2, bitorder="little").tobytes() for k in keys]
-        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.int32()), pa.array([k[1] for k in keys], pa.int64()), pa.array(bitmaps, pa.binary())], ["row", "shard", "bitmap"])
-
-    return texts.mapInArrow(partial, "row int, shard bigint, cells binary").repartition("row", "shard").mapInArrow(merge, "row int, shard bigint, bitmap binary")
-
-
-def _bitmaps(merged: DataFrame, bits: int) -> list[np.ndarray]:
-    """The rows of the merged sketch whole: 2 * 2**bits / 8 bytes in all, bounded by MAX_CELLS."""
-    bitmaps = [np.zeros(max((1 << bits) // 8, SHARD // 8), np.uint8) for _ in ROWS]
-    for row, shard, bitmap in merged.toLocalIterator():
-        bitmaps[row][shard * SHARD // 8 : (shard + 1) * SHARD // 8] = np.frombuffer(bitmap, np.uint8)
-    return bitmaps
-
+        """Rows come ordered by shard; the last shard of a batch may go on in the next."""
+        kept: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def answer(shards: np.ndarray, entries: np.ndarray) -> pa.RecordBatch:
+            cells = shards << SHARD_BITS | entries["cell"].astype(np.int64)
+            order = np.argsort(cells, kind="stable")
+            cells, entries = cells[order], entries[order]
+            at = np.flatnonzero(np.diff(cells, prepend=cells[0] - 1)) if len(cells) else np.empty(0, np.int64)
+            asked = entries["place"] >= 0
+            total = np.add.reduceat(np.where(asked, 1, 2), at) if len(at) else np.empty(0, np.int64)
+            hit = asked & ((np.repeat(total, np.diff(np.append(at, len(cells)))) > 1) | (cells < 0))
+            return pa.RecordBatch.from_arrays([pa.array(entries["key"][hit]), pa.array(entries["place"][hit])], ["key", "place"])
 
-def _with_repeated(keyed: DataFrame, merged: DataFrame, bits: int, window: int, anchor: int) -> DataFrame:
-    """key, text, anchors (hashes of those that are estimated repeated), of the documents that have any; by joins to the sketch's shards."""
-
-    def marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = batch.column(0).to_numpy(zero_copy_only=False)
-            for run in words(batch.column(1), SPACED):
-                shingles, chosen, _, _ = _anchors(run, window, anchor)
-                at = np.flatnonzero(chosen)
-                cells = _cells(shingles[at], 0, bits)
-                text = np.searchsorted(run.at, at, "right") - 1
-                columns = (cells // np.uint64(SHARD)).astype(np.int64), (cells % np.uint64(SHARD)).astype(np.int32), keys[run.rows.start + text], shingles[at].view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["shard", "cell", "key", "anchor"])
-
-    rows = keyed.mapInArrow(marks, "shard bigint, cell int, key bigint, anchor bigint")
-    joined = rows.join(merged.select("shard", "bitmap"), "shard")
-    hit = joined.filter("(cast(conv(hex(substring(bitmap, (cell >> 3) + 1, 1)), 16, 10) AS int) >> (cell & 7)) & 1 = 1")
-    return keyed.join(hit.groupBy("key").agg(F.collect_set("anchor").alias("anchors")), "key").select("key", "text", "anchors")
-
-
-def _repeats(keyed: DataFrame, bitmaps: list[np.ndarray] | None, bits: int, window: int, anchor: int) -> DataFrame:
+            shards = batch.column(0).to_numpy(zero_copy_only=False)
+            blobs = batch.column(1)
+            ends = np.frombuffer(blobs.buffers()[1], np.int32)[blobs.offset : blobs.offset + len(blobs) + 1]
+            if not len(blobs) or ends[0] == ends[-1]:
+                continue
+            entries = np.frombuffer(blobs.buffers()[2], np.uint8)[ends[0] : ends[-1]].view(ENTRY)
+            kept.append((np.repeat(shards, np.diff(ends) // ENTRY.itemsize), entries.copy()))
+            if kept[0][0][0] != shards[-1]:
+                all_shards, all_entries = (np.concatenate(x) for x in zip(*kept, strict=True))
+                cut_at = int(np.searchsorted(all_shards, shards[-1]))
+                yield answer(all_shards[:cut_at], all_entries[:cut_at])
+                kept = [(all_shards[cut_at:], all_entries[cut_at:])]
+        if kept:
+            yield answer(*(np.concatenate(x) for x in zip(*kept, strict=True)))
+
+    sent = keyed.select("key", "text").mapInArrow(partial, "shard bigint, entries binary")
+    return sent.repartition("shard").sortWithinPartitions("shard").mapInArrow(merge, "key bigint, place int")
+
+
+def _repeats(marked: DataFrame, window: int, anchor: int) -> DataFrame:
     """key, run (start, n): runs of window starts that are to be removed.
 
-    keyed: key, text and, where there are no bitmaps, anchors: which of the text's are estimated repeated.
+    marked: key, doc_id, text, places: which of the text's anchors are estimated repeated.
     """
-    known = keyed.sparkSession.sparkContext.broadcast(bitmaps or [])
 
     def settle(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
         h1, h2, key, start = (np.concatenate(x) for x in zip(*held, strict=True))
-        order = np.lexsort((start, key, h1))
+        order = np.lexsort((start, key, h2, h1))
         h1, h2, key, start = h1[order], h2[order], key[order], start[order]
         again = np.zeros(len(h1), bool)
         again[1:] = (h1[1:] == h1[:-1]) & (h2[1:] == h2[:-1])
@@ -162,51 +168,46 @@ def _repeats(keyed: DataFrame, bitmaps: list[np.ndarray] | None, bits: int, wind
         first[1:] = (gone_key[1:] != gone_key[:-1]) | (gone[1:] != gone[:-1] + 1)
         at = np.flatnonzero(first)
         n = np.diff(np.append(at, len(gone)))
-        # A settled run has its own hashes, by which it meets nothing else.
+        # A settled run has hashes of its own, which spread such runs over tasks.
         own = mix(gone_key[at].view(np.uint64) ^ gone[at].astype(np.uint64) << np.uint64(40))
         columns = (np.concatenate([h1[~again], own]), np.concatenate([h2[~again], own]), np.concatenate([key[~again], gone_key[at]]), np.concatenate([start[~again], gone[at]]), np.concatenate([np.zeros((~again).sum(), np.int32), n.astype(np.int32)]))
         arrays = [pa.array(c.view(np.int64) if c.dtype == np.uint64 else c) for c in columns]
         return pa.RecordBatch.from_arrays(arrays, ["h1", "h2", "key", "start", "n"])
 
     def flagged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        maps, held, count = known.value, [], 0
-        for batch in batches:
+        held, count = [], 0
+        for batch in slices(batches):
             keys = batch.column(0).to_numpy(zero_copy_only=False)
-            for run in words(batch.column(1), SPACED):
-                shingles, chosen, least, inside = _anchors(run, window, anchor)
-                if not len(least):
-                    continue
-                at = np.flatnonzero(chosen)
-                twice = np.ones(len(at), bool)
-                for row, bitmap in enumerate(maps):
-                    cells = _cells(shingles[at], row, bits)
-                    twice &= (bitmap[cells >> np.uint64(3)] >> (cells & np.uint64(7)).astype(np.uint8)) & 1 == 1
-                if not maps:
-                    own = batch.column(2).slice(run.rows.start, len(run.rows)).flatten().to_numpy(zero_copy_only=False).view(np.uint64)
-                    twice = np.isin(shingles[at], own)  # an anchor of a neighbouring text lets a window through, never holds one back
-                repeated = np.zeros(len(shingles), bool)
-                repeated[at[twice]] = True
-                hit, n = np.zeros(len(least), bool), len(least)
-                for t in range(window - anchor + 1):
-                    hit |= repeated[t : t + n] & (shingles[t : t + n] == least)
-                where = np.flatnonzero(hit & inside)
-                if len(where):
-                    text = np.searchsorted(run.at, where, "right") - 1
-                    held.append((run.windows(window)[where], run.windows(window, WORD_BASE_2)[where], keys[run.rows.start + text], (where - run.at[text]).astype(np.int32)))
-                    count += len(where)
+            for whole in words(batch.column(2), SPACED):
+                own = batch.column(3).slice(whole.rows.start, len(whole.rows))
+                places = own.flatten().to_numpy(zero_copy_only=False).astype(np.int64) + np.repeat(whole.at[:-1], np.diff(own.offsets.to_numpy()))
+                for run in whole.parts(window - 1):
+                    shingles, _, least, inside = _anchors(run, window, anchor)
+                    n = len(least)
+                    repeated = np.zeros(len(shingles), bool)
+                    repeated[places[(places >= run.base) & (places < run.base + len(shingles))] - run.base] = True
+                    hit = np.zeros(n, bool)
+                    for t in range(window - anchor + 1):
+                        hit |= repeated[t : t + n] & (shingles[t : t + n] == least)
+                    where = np.flatnonzero(hit & inside)
+                    if len(where):
+                        text = np.searchsorted(run.at, where, "right") - 1
+                        digests = run.same_words(where, window)
+                        held.append((digests[:, 0], digests[:, 1], keys[run.rows.start + text], (where - run.at[text] + run.base).astype(np.int32)))
+                        count += len(where)
             if count >= HELD:
                 yield settle(held)
                 held, count = [], 0
         if held:
             yield settle(held)
 
-    rows = keyed.mapInArrow(flagged, "h1 bigint, h2 bigint, key bigint, start int, n int")
-    order = Window.partitionBy("h1", "h2").orderBy("key", "start")
+    rows = marked.mapInArrow(flagged, "h1 bigint, h2 bigint, key bigint, start int, n int")
+    order = Window.partitionBy("h1", "h2").orderBy("n", "key", "start")
     rows = rows.withColumn("nth", F.row_number().over(order)).filter("n > 0 OR nth > 1")
     return rows.select("key", F.struct("start", F.greatest("n", F.lit(1)).alias("n")).alias("run"))
 
 
-def remove_repeats(documents: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, max_cells: int = MAX_CELLS) -> DataFrame:
+def remove_repeats(documents: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, cells: int = CELLS) -> DataFrame:
     """Remove each word in a window whose words also start earlier (a smaller doc_id, or earlier in the document).
 
     documents: doc_id (integer), text; other columns are not read.
@@ -216,30 +217,25 @@ def remove_repeats(documents: DataFrame, window: int = WINDOW, anchor: int = ANC
     than a window loses none.  Rows that share a doc_id, or have none, are told apart
     by their order by (doc_id, text), nulls first.  An empty table gives no rows.
     """
-    spark = documents.sparkSession
-    small_batches(spark)
-    keyed = documents.select(F.col("doc_id").alias("key"), "doc_id", "text")
-    if keyed.groupBy("doc_id").count().filter("count > 1 OR doc_id IS NULL").limit(1).count():
+    find_package(documents.sparkSession)
+    keyed = documents.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(0).cast("bigint")).alias("key"), "doc_id", "text")
+    if documents.groupBy("doc_id").count().filter("count > 1 OR doc_id IS NULL").limit(1).count():
         ordered = documents.select("doc_id", "text").orderBy("doc_id", "text")
         keyed = cut(ordered.select(F.monotonically_increasing_id().alias("key"), "doc_id", "text"))
-    keyed = keyed.withColumn("key", F.col("key").cast("bigint"))
-    # About six characters to a word, seven words to an anchor, six cells to an anchor.
+    # About six characters to a word and seven words to an anchor.
     chars = keyed.agg(F.sum(F.length("text"))).first()[0] or 0
-    bits = max(16, int(np.ceil(np.log2(max(chars / 7, 2)))))
-    texts = keyed.select("key", "text")
-    if 1 << bits <= max_cells:
-        repeats = _repeats(texts, _bitmaps(_sketch(texts.select("text"), bits, window, anchor), bits), bits, window, anchor)
-    else:
-        shards = _sketch(texts.select("text"), bits, window, anchor, depth=1)
-        repeats = _repeats(_with_repeated(texts, shards, bits, window, anchor), None, bits, window, anchor)
-    gone = repeats.groupBy("key").agg(F.collect_list("run").alias("runs"))
-    joined = keyed.join(gone, "key", "left").select("doc_id", "text", "runs")
+    bits = max(SHARD_BITS, int(np.ceil(np.log2(max(chars / 42 * cells, 2)))))
+    places = _estimated(keyed, min(bits, 62), window, anchor).groupBy("key").agg(F.collect_list("place").alias("places"))
+    # Left joins on a key that cannot be null, so that both use one exchange of the texts.
+    marked = keyed.join(places, "key", "left").filter("size(places) > 0")
+    gone = _repeats(marked, window, anchor).groupBy("key").agg(F.collect_list("run").alias("runs"))
+    joined = keyed.join(gone, "key", "left")
     kind = documents.schema["doc_id"].dataType.simpleString()
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             n_words, n_removed, kept = [], [], []
-            for text, runs in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            for text, runs in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 own = (text or "").encode().split()  # white space of bytes is ASCII white space
                 n_words.append(len(own))
                 if runs:
@@ -250,7 +246,7 @@ def remove_repeats(documents: DataFrame, window: int = WINDOW, anchor: int = ANC
                     own = [own[i] for i in np.flatnonzero(stays)]
                 n_removed.append(n_words[-1] - len(own))
                 kept.append(b" ".join(own))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], ["doc_id", "n_words", "n_removed", "text"])
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], ["doc_id", "n_words", "n_removed", "text"])
 
     return joined.mapInArrow(keep, f"doc_id {kind}, n_words bigint, n_removed bigint, text string")
 

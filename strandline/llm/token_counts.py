@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .text import small_batches
+from .text import find_package, slices
 
 #: Bytes of text in one call of the library; characters of a part of a long text, about.
 CALL_BYTES, PART = 1 << 18, 1 << 14
@@ -51,11 +51,11 @@ def count_tokens(documents: DataFrame, path: str, limit: int = 4096) -> DataFram
     or end token), over_limit (n_tokens > limit).  A null or empty text has none.  One
     row comes out for each row that goes in, repeated ones too.
     """
-    small_batches(documents.sparkSession)
+    find_package(documents.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = load(path)
-        for batch in batches:
+        for batch in slices(batches):
             counts = np.zeros(batch.num_rows, np.int64)
             parts, rows, size = [], [], 0
 

@@ -3,6 +3,9 @@
 import hashlib
 import random
 
+import numpy as np
+from pyspark.sql import functions as F
+
 from strandline.llm import chat_format as cf
 
 
@@ -33,3 +36,18 @@ def test_empty_table_and_native_plan(spark):
     assert cf.digest(cf.format_chats(df)).collect() == []
     plan = cf.digest(cf.format_chats(df))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+    assert "Window" not in plan
+
+
+def test_running_sums(spark):
+    rows = [(n, [(7 * i) % 11 for i in range(n)]) for n in (0, 1, 511, 512, 513, 5_000)]
+    df = spark.createDataFrame(rows, "n bigint, x array<bigint>")
+    got = {r[0]: r[1] for r in df.select("n", cf.sums(F.col("x"))).collect()}
+    assert got == {n: [sum(x[:i]) for i in range(n)] if n < 600 else np.cumsum([0, *x[:-1]]).tolist() for n, x in rows}
+
+
+def test_conversation_of_very_many_turns(spark):
+    df = spark.range(20_000).select(F.lit(1).alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 3 == 0, "user").otherwise("assistant").alias("role"), F.col("id").cast("string").alias("text"))
+    row = cf.digest(cf.format_chats(df)).first()
+    want = "".join(str(i) for i in range(20_000) if i % 3)
+    assert (row.n_turns, row.loss_chars, row.loss_sha256) == (20_000, len(want), hashlib.sha256(want.encode()).hexdigest())

@@ -3,7 +3,11 @@
 import hashlib
 import re
 
+import numpy as np
+from pyspark.sql import functions as F
+
 from strandline.llm import decontam
+from strandline.llm.text import PART_WORDS
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -46,10 +50,13 @@ def test_windows_short_items_nulls_and_overlaps(spark):
 def test_empty_tables_and_repeated_rows(spark):
     d = spark.createDataFrame([(1, "a b c"), (1, "a b c"), (2, "a")], "doc_id bigint, text string")
     none = spark.createDataFrame([], "item_id bigint, text string")
-    assert sorted(r[0] for r in decontam.decontaminate(d, none).collect()) == [1, 2]
+    assert sorted(r[0] for r in decontam.decontaminate(d, none).collect()) == [1, 1, 2]
     assert decontam.decontaminate(d.limit(0), none).count() == 0
     small = spark.createDataFrame([(1, "a b")], "item_id bigint, text string")
-    assert {tuple(r)[:3] for r in decontam.decontaminate(d, small).collect()} == {(1, 3, 2), (2, 1, 0)}
+    rows = [(1, "a b c"), (1, "a b c"), (2, "a"), (None, "a b"), (None, "a b"), (None, "c d e"), (None, None), (None, None)]
+    d = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = sorted(((r.doc_id, r.n_words, r.n_hit) for r in decontam.decontaminate(d, small).collect()), key=str)
+    assert got == sorted([(1, 3, 2), (1, 3, 2), (2, 1, 0), (None, 2, 2), (None, 2, 2), (None, 3, 0), (None, 0, 0), (None, 0, 0)], key=str)
 
 
 def test_blocks_give_the_same(spark):
@@ -57,4 +64,24 @@ def test_blocks_give_the_same(spark):
     d = spark.createDataFrame([(i, text[i:]) for i in range(20)], "doc_id bigint, text string")
     b = spark.createDataFrame([(i, " ".join(f"v{j}" for j in range(i, i + 15))) for i in range(30)], "item_id bigint, text string")
     one = sorted(map(tuple, decontam.digest(decontam.decontaminate(d, b)).collect()))
-    assert one == sorted(map(tuple, decontam.digest(decontam.decontaminate(d, b, block=9)).distinct().collect()))
+    assert one == sorted(map(tuple, decontam.digest(decontam.decontaminate(d, b, block=9)).collect()))
+
+
+def test_documents_without_finds_are_spread(spark):
+    d = spark.range(4000).select(F.col("id").alias("doc_id"), F.concat(F.lit("plain "), "id").alias("text"))
+    rows = decontam._scan(d.repartition(4), np.zeros(0, np.uint64), 13, [5], True)
+    assert rows.filter("shingle IS NULL").count() == 0 and rows.select("shingle").distinct().count() == 4000
+
+
+def test_long_text_in_parts(spark):
+    """Passages over the edges of the parts that a very long text is read in."""
+    items = [(1, " ".join(f"w{i}" for i in range(30))), (2, "x y z"), (3, "q")]
+    text = ["f"] * 300_000
+    for edge in (PART_WORDS, 2 * PART_WORDS):
+        text[edge - 9 : edge + 21] = [f"w{i}" for i in range(30)]
+        text[edge + 40], text[edge - 500 : edge - 497] = "q", ["x", "y", "z"]
+    docs = [(1, " ".join(text)), (2, "short")]
+    d = spark.createDataFrame(docs, "doc_id bigint, text string")
+    b = spark.createDataFrame(items, "item_id bigint, text string")
+    got = {r[0]: tuple(r)[1:] for r in decontam.digest(decontam.decontaminate(d, b)).collect()}
+    assert got == brute(docs, items) and got[1][1] == 2 * (30 + 1 + 3)

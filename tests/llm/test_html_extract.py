@@ -1,5 +1,8 @@
 """Main text: what stays, what goes, and what pages of one host tell about each other."""
 
+import random
+import time
+
 from strandline.llm import html_extract as he
 
 HEAD = '<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body>'
@@ -64,3 +67,41 @@ def test_hosts_vote(spark):
 def test_very_long_page():
     html = "<article>" + "".join(f"<p>line {i}</p>" for i in range(50_000)) + "</article>"
     assert text_of(html).count("\n") == 49_999
+
+
+def test_words_that_are_no_marks():
+    keep = '<article><h1>T</h1><p class="social">one</p><section id="related-work"><p>two</p></section><div class="share-price"><p>three</p></div><div class="has-sidebar"><p>four</p></div>'
+    gone = '<div class="share-buttons">x</div><div id="related">x</div><p class="ad">x</p><div class="site-footer">x</div><ul class="social links"><li>x</ul></article>'
+    assert text_of(keep + gone) == "T\none\ntwo\nthree\nfour"
+
+
+def test_time_is_linear():
+    bits = ["<a ", '<a "', "<a '\"", "<!", "</x>", "<div>", "<!-- ", "<p class='ad'>x", '<a href="', "<div class=nav>a", "<svg>", "&amp;", "<"]
+    for bit in bits:
+        for tail in ("", ">", "x</p>"):
+            began = time.perf_counter()
+            he.Page(bit * (1_000_000 // len(bit)) + tail).best()
+            assert time.perf_counter() - began < 5, (bit, tail)
+
+
+def regular_page(rng):
+    """A well-formed page and its article's blocks, by construction."""
+    words = lambda n: " ".join(rng.choice(["alpha", "beta &amp; co", "g\n amma", "<b>delta</b>", "&#233;t&eacute;", "x < y"]) for _ in range(n))
+    plain = lambda t: " ".join(t.replace("<b>", "").replace("</b>", "").replace("&amp;", "&").replace("&#233;", "é").replace("&eacute;", "é").split())
+    blocks = [words(rng.randrange(3, 30)) for _ in range(rng.randrange(1, 8))]
+    body = "".join(f"<p>{b}</p>" if rng.random() < 0.7 else f"<div><p>{b}</p></div><div class='ad'>buy {rng.random()}</div>" for b in blocks)
+    html = f"<html><body><nav><a href=/>menu</a></nav><main>{body}</main><aside>other {words(40)}</aside><footer>end</footer></body></html>"
+    return html, "\n".join(map(plain, blocks))
+
+
+def test_built_pages_give_what_they_were_built_from(spark):
+    rng = random.Random(8)
+    made = [regular_page(rng) for _ in range(120)]
+    df = spark.createDataFrame([(i, f"http://h{i % 3}.example/{i}", h) for i, (h, _) in enumerate(made)], "page_id bigint, url string, html string")
+    assert {r.page_id: r.text for r in he.extract(df).collect()} == {i: t for i, (_, t) in enumerate(made)}
+
+
+def test_html_is_not_shuffled(spark):
+    df = spark.createDataFrame([(1, "http://a.example/", "<p>x</p>")], "page_id bigint, url string, html string")
+    plan = he.extract(df)._jdf.queryExecution().toString()
+    assert "html" not in plan and "Python" not in plan

@@ -50,3 +50,24 @@ def test_learns_tells_apart_and_ignores_labels(spark):
     assert all(0 <= r.score <= 1 and not math.isnan(r.score) for r in got.values())
     assert li.query(df.limit(0), P.path("piece_bpe_32k.model")).collect() == []
     assert {r.lang_pred for r in li.query(df.filter("doc_id = 1003"), P.path("piece_bpe_32k.model")).collect()} == {"und"}
+
+
+def test_long_words_sum_all_segmentations_too():
+    rng = np.random.default_rng(3)
+    pieces = ["▁a", "a", "b", "ab", "▁ab", "ba", "bab", "abba", "▁bb"]
+    segmenter = li.Segmenter(pieces, np.vstack([rng.random((len(pieces), 3)) / 9, [[1e-7] * 3]]))
+    for word in ("ab" * 4, "abbaxbab", "b", "x" * 9, "abbabaab" * 3):
+        assert np.allclose(segmenter.log_probability(word), segmenter.log_probabilities([word])[0]), word
+    long = segmenter.log_probability("abba" * 5000)
+    assert np.isfinite(long).all() and (long < -1000).all()
+    assert np.allclose(long - segmenter.log_probability("abba" * 4000), segmenter.log_probability("abba" * 4000) - segmenter.log_probability("abba" * 3000))
+
+
+def test_words_without_spaces_and_many_languages(spark):
+    rng = random.Random(2)
+    parts = {f"l{i:03}": [f"{chr(97 + i % 26)}{chr(97 + i // 26)}{x}" for x in "aeiou"] for i in range(60)}
+    rows = [(i, "".join(rng.choice(parts[lang]) for _ in range(60)), lang) for i, lang in enumerate(sorted(parts) * 6)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    got = [r for r in li.query(df, P.path("piece_bpe_32k.model")).collect() if r.held_out]
+    right = sum(r.lang_pred == rows[r.doc_id][2] for r in got)
+    assert right >= 0.9 * len(got)

@@ -9,7 +9,7 @@ P = pytest.importorskip("public_tokenizers")
 
 import __spark_entry__  # noqa: E402
 import corpus_pipeline  # noqa: E402
-from strandline.llm import pii, quality_rules  # noqa: E402
+from strandline.llm import columns, pii, quality_rules  # noqa: E402
 
 from . import test_decontam, test_minhash, test_quality_rules  # noqa: E402
 
@@ -94,3 +94,35 @@ def test_stages_on_odd_rows(spark, corpus, tmp_path):
 def test_all_eleven_are_registered():
     names = __spark_entry__.queries()
     assert all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)) and "pipeline" in names
+
+
+def test_decontamination_goes_by_row(spark, corpus):
+    """A contaminated row without doc_id, or of a doc_id with several texts, takes no clean one with it."""
+    folder, docs, bench = corpus
+    rows = [(None, docs[0][1]), (None, bench[0][1]), (7, docs[1][1]), (7, bench[1][1]), (None, None), (8, docs[2][1]), (8, docs[2][1])]
+    kept = corpus_pipeline.decontamination(spark, spark.createDataFrame(rows, "doc_id bigint, text string"), folder)
+    assert sorted(map(tuple, kept.collect()), key=str) == sorted([rows[0], rows[2], rows[4], rows[5], rows[6]], key=str)
+
+
+def test_runs_do_not_share_their_folder(spark, corpus):
+    folder, _, _ = corpus
+    one = corpus_pipeline.run(spark, folder)
+    before = sorted(map(tuple, one.collect()))
+    corpus_pipeline.run(spark, folder)
+    assert sorted(map(tuple, one.collect())) == before
+
+
+def test_a_cluster_needs_a_shared_folder():
+    class Context:
+        master = "spark://host:7077"
+        _jsc = type("J", (), {"sc": staticmethod(lambda: type("S", (), {"getCheckpointDir": staticmethod(lambda: type("O", (), {"isEmpty": staticmethod(lambda: True)}))}))})
+
+        def getConf(self):
+            return {}
+
+    class Session:
+        sparkContext = Context()
+        conf = {}
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        columns.shared_dir(Session())

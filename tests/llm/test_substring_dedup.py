@@ -2,9 +2,12 @@
 
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from strandline.llm import substring_dedup as sd
+from strandline.llm.text import SPACED, words
 
 
 def brute(docs, window):
@@ -59,10 +62,44 @@ def test_empty_table(spark):
     assert run(spark, [], 20, 8) == []
 
 
-@pytest.mark.parametrize("cells", [1 << 16, 2])
-def test_sketch_in_every_task_or_in_shards(spark, cells):
+@pytest.mark.parametrize("cells", [64, 1e-6])
+def test_sketch_wide_or_full_of_collisions(spark, cells):
     rng = random.Random(3)
     docs = [(i, " ".join(rng.choice("abcdefgh") for _ in range(rng.choice([2, 9, 400])))) for i in range(40)] + [(99, None)]
     df = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(3)
-    got = sd.remove_repeats(df, 5, 2, max_cells=cells)
+    got = sd.remove_repeats(df, 5, 2, cells=cells)
     assert order(map(tuple, got.collect())) == order(brute(docs, 5))
+
+
+def test_long_text_in_parts(spark, monkeypatch):
+    rng = random.Random(5)
+    docs = [(i, " ".join(rng.choice("abcdefghij") for _ in range(rng.choice([30, 500, 3000])))) for i in range(12)]
+    keyed = spark.createDataFrame(docs, "key bigint, text string")
+    for whole in words(pa.array([t for _, t in docs]), SPACED, max_bytes=1):
+        for overlap, most in ((4, 7), (5, 100)):
+            parts = list(whole.parts(overlap, most))
+            starts = [p.base + s for p in parts for s in p.starts(overlap + 1).tolist()]
+            assert starts == whole.starts(overlap + 1).tolist()
+            assert np.concatenate([p.windows(overlap + 1) for p in parts]).tolist() == whole.windows(overlap + 1).tolist()
+            assert all((p.same_words(np.array([0]), overlap + 1) == whole.same_words(np.array([p.base]), overlap + 1)).all() for p in parts)
+    assert keyed.count() == 12
+
+
+def test_words_that_collide_modulo_powers_of_two(spark):
+    """A Thue-Morse word and its complement have equal polynomials modulo 2**64, whatever the base."""
+    one = "a"
+    for _ in range(10):
+        one += one.translate(str.maketrans("ab", "ba"))
+    other = one.translate(str.maketrans("ab", "ba"))
+    docs = [(1, " ".join([one, *(f"w{i}" for i in range(19))])), (2, " ".join([other, *(f"w{i}" for i in range(19))])), (3, " ".join([other, *(f"w{i}" for i in range(19))]))]
+    assert order(run(spark, docs, 20, 8)) == order(brute(docs, 20))
+
+
+def test_one_exchange_of_the_texts(spark):
+    df = spark.createDataFrame([(1, "a b")], "doc_id bigint, text string")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = sd.remove_repeats(df)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert "ReusedExchange [key" in plan and "doc_id" in plan.split("ReusedExchange [")[1].split("]")[0]
