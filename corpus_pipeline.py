@@ -1,7 +1,8 @@
 """A corpus from raw documents to token ids: quality, near duplicates, contamination, personal data, encoding.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as
-Parquet and read again as the next stage's docs.
+Parquet and read again as the next stage's docs.  Empty tables give empty tables; other
+columns pass through all stages but the last.
 """
 
 from __future__ import annotations
@@ -10,12 +11,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandline.llm import bpe, decontam, minhash, pii, quality_rules
-from strandline.llm.columns import shared_dir, table
+from strandline.llm.columns import stored, table
 from strandline.llm.queries import tokenizer
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the base test and the learned rules keep."""
+    """Documents that the base test and the learned rules keep; a null text has no words and goes.  Without labels only the base test counts."""
     rules = quality_rules.learn(docs, table(spark, sf_dir, "labels"))
     return docs.filter(quality_rules.verdict(F.col("text"), rules).kept)
 
@@ -33,21 +34,27 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are not contaminated by the benchmark."""
-    found = decontam.decontaminate(docs, table(spark, sf_dir, "benchmark")).filter("contaminated").select("doc_id").distinct()
-    return docs.join(found, docs["doc_id"].eqNullSafe(found["doc_id"]), "left_anti")
+    """Documents that are not contaminated by the benchmark, each row judged by its own text.
+
+    Rows that repeat a doc_id and a text go or stay together; of a doc_id with several
+    texts, or of rows without doc_id, only the contaminated texts go.
+    """
+    found = decontam.decontaminate(docs, table(spark, sf_dir, "benchmark")).filter("contaminated").select("doc_id", "text_key").distinct()
+    same = docs["doc_id"].eqNullSafe(found["doc_id"]) & (F.xxhash64(docs["text"]) == found["text_key"])
+    return docs.join(found, same, "left_anti")
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents with personal data replaced by the names of its kinds."""
-    redacted = pii.scan(docs, rewrite=True)
+    """The documents with personal data replaced by the names of its kinds; a null text stays null, n_chars follows the text."""
+    own = "_spans_of_documents"  # the operator adds a column named spans, which documents may have too
+    redacted = pii.scan(docs.withColumnRenamed("spans", own), rewrite=True).drop("spans").withColumnRenamed(own, "spans")
     if "n_chars" in docs.columns:
         redacted = redacted.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return redacted.select(*(f"`{c}`" for c in docs.columns if c != "spans"))
+    return redacted.select(*(f"`{c}`" for c in docs.columns))
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of what was encoded and of what it decodes to."""
+    """Token counts and digests of what was encoded and of what it decodes to; a null text counts as empty."""
     return bpe.digest(bpe.encode(docs, tokenizer("word_bpe_49k.json")))
 
 
@@ -64,13 +71,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; what each returns is written to the shared folder and read again."""
-    shared_dir(spark)
-    folder = spark.sparkContext._jsc.sc().getCheckpointDir().get()
+    """All stages over documents; what each returns is written to a folder of this run in the shared folder, and read again."""
     docs = table(spark, sf_dir, "documents")
-    for n, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if n < len(STAGES) - 1:
-            docs.write.mode("overwrite").parquet(f"{folder}/pipeline/{name}")
-            docs = spark.read.parquet(f"{folder}/pipeline/{name}")
-    return docs
+    for _, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
