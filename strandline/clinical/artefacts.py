@@ -82,7 +82,7 @@ def vitals(events: DataFrame, cohort: DataFrame, variables: Sequence[Variable],
     """
     spans = cohort.select("op_id", C("orin_time").cast("bigint").alias("_in"), C("orout_time").cast("bigint").alias("_out"))
     grid = series.regular_grid(spans, "op_id", "_in", "_out", VITAL_STEP, "time")
-    raw = series.resample_at(events, grid, "op_id", "time", "chart_time", "item_name", "value", {v.name: v.agg for v in variables}, VITAL_STEP).drop("n")
+    raw = series.resample_at(events, grid, "op_id", "time", "chart_time", "item_name", "value", {v.name: v.agg for v in variables}, VITAL_STEP, keep_first=False).drop("n")
     observed = raw.withColumns({c: F.coalesce(C(c), C(c.replace("nibp", "art"))) for c in ("nibp_sbp", "nibp_dbp")})
     observed = observed.withColumns({f"{d}_mbp": project.mean_pressure(C(f"{d}_sbp"), C(f"{d}_dbp")) for d in ("art", "nibp")})
     names = [c for c in observed.columns if c not in ("op_id", "time")]

@@ -36,8 +36,8 @@ def derive(operations: DataFrame) -> DataFrame:
 
 
 def preoperative(operations: DataFrame, diagnosis: DataFrame) -> DataFrame:
-    """op_id, icd10_cm: the distinct diagnoses of each operation's subject up to the operation."""
-    met = joins.range_join(diagnosis.select("subject_id", "chart_time", "icd10_cm"), operations.select("op_id", "subject_id", "orin_time"), "subject_id", "chart_time", "orin_time", "orin_time", ("none", "closed"))
+    """op_id, icd10_cm: the distinct diagnoses of each operation's subject before the operation."""
+    met = joins.range_join(diagnosis.select("subject_id", "chart_time", "icd10_cm"), operations.select("op_id", "subject_id", "orin_time"), "subject_id", "chart_time", "orin_time", "orin_time", ("none", "open"))
     return met.select("op_id", "icd10_cm").distinct()
 
 
@@ -87,10 +87,10 @@ def kidney(operations: DataFrame, labs: DataFrame, ward: DataFrame) -> DataFrame
 
 
 def liver(operations: DataFrame, labs: DataFrame) -> DataFrame:
-    """Grade by ALT before the start and after the end of the operation, in multiples of the upper limit."""
-    found = _before_after(_item(labs, "alt"), operations, "opstart_time", "opend_time").join(operations.select("op_id", "sex", "inhosp_death_time"), "op_id")
+    """Grade by ALT before the start and after the end of the operation, in multiples of the upper limit; 5 for a death within thirty days."""
+    found = _before_after(_item(labs, "alt"), operations, "opstart_time", "opend_time").join(operations.select("op_id", "sex", "inhosp_death_time", "orout_time"), "op_id")
     limit = F.when(C("sex") == "F", t.ALT_LIMITS["F"]).otherwise(t.ALT_LIMITS["M"])
-    grade = labels.liver_grade(C("_v1"), C("_v2"), limit, C("inhosp_death_time").isNotNull().cast("int"))
+    grade = labels.liver_grade(C("_v1"), C("_v2"), limit, project.within(C("inhosp_death_time"), C("orout_time"), THIRTY_DAYS))
     graded = found.select("op_id", grade.alias("postop_acute_liver_injury"))
     return graded.withColumn("have_ali", (C("postop_acute_liver_injury") > 0).cast("int"))
 

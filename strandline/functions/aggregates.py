@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -55,46 +55,68 @@ def iqr(x: Column) -> Column:
     return F.percentile(x, F.lit(0.75)) - F.percentile(x, F.lit(0.25))
 
 
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """`body(value)`, with `value` computed once."""
     return F.transform(F.array(value), body)[0]
 
 
+def _runs(ordered: Column, new: Callable[[Column], Column], more: Callable[[Column, Column], Column], better: Callable[[Column, Column], Column]) -> Column:
+    """The best run of equal values `v` in an array of structs that is ordered by them, in one pass: new(x) opens a run, more(run, x) extends it."""
+
+    def step(a: Column, x: Column) -> Column:
+        run = F.when(a.run.v == x.v, more(a.run, x)).otherwise(new(x))
+        return let(run, lambda r: F.struct(r.alias("run"), F.when(a.best.isNull() | better(r, a.best), r).otherwise(a.best).alias("best")))
+
+    def whole(all_: Column) -> Column:
+        first = new(F.get(all_, F.lit(0)))
+        return F.when(F.size(all_) > 0, F.aggregate(F.slice(all_, 2, F.greatest(F.size(all_), F.lit(1))), F.struct(first.alias("run"), first.alias("best")), step).best.v)
+
+    return let(ordered, whole)
+
+
 def mode(x: Column, time: Column, weight: Column | None = None) -> Column:
     """The most frequent value, of equally frequent ones that which occurs last.
 
-    This and the next two gather a group's values, for groups such as the windows of a
-    series; stats.mode_last and its like count by value instead, for groups of any size.
+    This and the next two gather and sort a group's values, for groups such as the
+    windows of a series; stats.mode_last and its like count by value instead, for groups
+    of any size.
     """
-    seen = F.transform(F.sort_array(F.collect_list(F.when(x.isNotNull(), F.struct(time.alias("t"), x.alias("v"))))), lambda s: s.v)
-    count = lambda v, all_: F.size(F.filter(all_, lambda y: y == v))
-    best = lambda all_: F.array_max(F.transform(F.array_distinct(all_), lambda v: F.struct(count(v, all_).alias("n"), (-F.array_position(F.reverse(all_), v)).alias("last"), v.alias("v")))).v
-    return _let(seen, best)
+    seen = F.sort_array(F.collect_list(F.when(x.isNotNull(), F.struct(x.alias("v"), time.alias("t")))))
+    new = lambda s: F.struct(F.lit(1).cast("bigint").alias("n"), s.t.alias("t"), s.v.alias("v"))
+    more = lambda r, s: F.struct((r.n + 1).alias("n"), s.t.alias("t"), r.v.alias("v"))
+    return _runs(seen, new, more, lambda r, b: (r.n > b.n) | ((r.n == b.n) & F.coalesce(r.t > b.t, b.t.isNull())))
 
 
 def _pairs(x: Column, weight: Column) -> Column:
-    return F.collect_list(F.when(x.isNotNull() & weight.isNotNull(), F.struct(x.alias("v"), weight.cast("double").alias("w"))))
+    return F.sort_array(F.collect_list(F.when(x.isNotNull() & weight.isNotNull(), F.struct(x.alias("v"), weight.cast("double").alias("w")))))
 
 
 def weighted_mode(x: Column, time: Column | None, weight: Column) -> Column:
     """The value of the greatest total weight, of equal ones the least."""
-
-    def best(pairs: Column) -> Column:
-        total_of = lambda v: F.aggregate(F.filter(pairs, lambda p: p.v == v), F.lit(0.0), lambda a, p: a + p.w)
-        return F.array_min(F.transform(F.array_distinct(F.transform(pairs, lambda p: p.v)), lambda v: F.struct((-total_of(v)).alias("n"), v.alias("v")))).v
-
-    return _let(_pairs(x, weight), best)
+    new = lambda p: F.struct(p.w.alias("n"), p.v.alias("v"))
+    return _runs(_pairs(x, weight), new, lambda r, p: F.struct((r.n + p.w).alias("n"), r.v.alias("v")), lambda r, b: (r.n > b.n) | ((r.n == b.n) & (r.v == b.v)))
 
 
 def weighted_median(x: Column, time: Column | None, weight: Column) -> Column:
     """The greatest value up to which at most half of the weight lies; null if there is none."""
 
     def upto(pairs: Column) -> Column:
-        whole = F.aggregate(pairs, F.lit(0.0), lambda a, p: a + p.w)
-        share = lambda v: F.aggregate(F.filter(pairs, lambda p: p.v <= v), F.lit(0.0), lambda a, p: a + p.w) / F.nullif(whole, F.lit(0.0))
-        return F.array_max(F.filter(F.array_distinct(F.transform(pairs, lambda p: p.v)), lambda v: share(v) <= 0.5))
+        half = F.aggregate(pairs, F.lit(0.0), lambda a, p: a + p.w) / 2
+
+        def step(a: Column, p: Column) -> Column:
+            # Where a value ends, the weight so far is that of all values up to it.
+            found = F.when((a.v != p.v) & (a.sum <= a.half), a.v).otherwise(a.found)
+            return F.struct((a.sum + p.w).alias("sum"), p.v.alias("v"), found.alias("found"), a.half.alias("half"))
+
+        def whole(first: Column) -> Column:
+            none = F.when(F.lit(False), first.v)
+            start = F.struct(first.w.alias("sum"), first.v.alias("v"), none.alias("found"), half.alias("half"))
+            # All of the weight is at most half only where there is none at all.
+            return F.aggregate(F.slice(pairs, 2, F.greatest(F.size(pairs), F.lit(1))), start, step).found
 
-    return _let(_pairs(x, weight), upto)
+        return F.when(half > 0, let(F.get(pairs, F.lit(0)), whole))
+
+    return let(_pairs(x, weight), upto)
 
 
 REGISTRY: dict[str, Builder] = {
@@ -103,6 +125,12 @@ REGISTRY: dict[str, Builder] = {
 }
 
 
+def items(item: Column, value: Column, specs: Mapping[str, str], time: Column | None = None, weight: Column | None = None) -> list[Column]:
+    """One aggregate for each item, of the rows that are of the item; null without one, whatever the aggregate gives for nulls."""
+    own = lambda name, x: F.when(item == name, x)
+    return [F.when(F.count(own(name, F.lit(1))) > 0, aggregate(how)(own(name, value), time, weight)).alias(name) for name, how in specs.items()]
+
+
 def aggregate(name: str) -> Builder:
     if name not in REGISTRY:
         raise ValueError(f"unknown aggregate {name!r}")

@@ -11,7 +11,8 @@ FLOAT_MAX = 3.4028234663852886e38
 
 
 def with_interval(point: Column, low: Column, high: Column) -> Column:
-    return F.format_string("%.4f (%.4f, %.4f)", point, low, high)
+    """Null where one of the numbers is."""
+    return F.when(point.isNotNull() & low.isNotNull() & high.isNotNull(), F.format_string("%.4f (%.4f, %.4f)", point, low, high))
 
 
 def mean_sd(mean: Column, sd: Column) -> Column:

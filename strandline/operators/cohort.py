@@ -61,11 +61,11 @@ def batches(df: DataFrame, key: str, salt: str, size: int, out: str = "batch") -
 
 
 def class_weights(df: DataFrame, label: str, least: float = 0.001, most: float = 0.999) -> DataFrame:
-    """label, n, share, weight, outputs: inverse shares, clamped and scaled to a sum of 1; outputs is 1 for up to two classes."""
+    """label, n, share, weight, outputs: inverses of the clamped shares, scaled to a sum of 1; outputs is 1 for up to two classes."""
     counted = df.filter(F.col(label).isNotNull()).groupBy(label).agg(F.count("*").alias("n"))
     all_ = Window.partitionBy()  # one row per class
     shares = counted.withColumn("share", F.col("n") / F.sum("n").over(all_)).withColumn("classes", F.count("*").over(all_))
-    raw = shares.withColumn("_raw", F.greatest(F.lit(least), F.least(F.lit(most), 1 - F.col("share"))))
+    raw = shares.withColumn("_raw", 1 / F.greatest(F.lit(least), F.least(F.lit(most), F.col("share"))))
     return raw.select(label, "n", "share", (F.col("_raw") / F.sum("_raw").over(all_)).alias("weight"), F.when(F.col("classes") <= 2, 1).otherwise(F.col("classes")).cast("bigint").alias("outputs"))
 
 

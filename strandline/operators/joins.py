@@ -109,11 +109,24 @@ def overlap(start: Column, end: Column, low: Column, high: Column) -> tuple[Colu
     return width, share
 
 
-def interval_join(events: DataFrame, windows: DataFrame, on: str, start: str, end: str, low: str, high: str) -> DataFrame:
-    """Windows with the intervals of their entity that touch them (ends included), with `width` and `share` of the overlap."""
+def interval_join(events: DataFrame, windows: DataFrame, on: str, start: str, end: str, low: str, high: str, bucket: int | None = None) -> DataFrame:
+    """Windows with the intervals of their entity that touch them (ends included), with `width` and `share` of the overlap.
+
+    bucket, in units of time: intervals and windows are listed under all buckets that they
+    touch, and a pair meets in the first that both do.
+    """
+    shown = events.columns
+    if bucket:
+        of = lambda c: F.floor(c / F.lit(bucket)).cast("bigint")
+        until = F.coalesce(F.col(end), F.col(start))
+        windows = windows.filter(F.col(low) <= F.col(high)).withColumn("_bucket", F.explode(F.sequence(of(F.col(low)), of(F.col(high)))))
+        events = events.filter(F.col(start) <= until).withColumn("_bucket", F.explode(F.sequence(of(F.col(start)), of(until))))
     e, w = events.alias("e"), windows.alias("w")
     s, t = F.col(f"e.{start}"), F.col(f"e.{end}")
     a, b = F.col(f"w.{low}"), F.col(f"w.{high}")
-    met = w.join(e, (F.col(f"e.{on}") == F.col(f"w.{on}")) & (s <= b) & (F.coalesce(t, s) >= a))
+    near = (F.col(f"e.{on}") == F.col(f"w.{on}")) & (s <= b) & (F.coalesce(t, s) >= a)
+    if bucket:
+        near = near & (F.col("e._bucket") == F.col("w._bucket")) & (F.col("w._bucket") == F.greatest(of(s), of(a)))
+    met = w.join(e, near)
     width, share = overlap(s, t, a, b)
-    return met.select(*(F.col(f"w.{c}") for c in windows.columns), *(F.col(f"e.{c}") for c in events.columns if c not in windows.columns), width.alias("width"), share.alias("share"))
+    return met.select(*(F.col(f"w.{c}") for c in windows.columns if c != "_bucket"), *(F.col(f"e.{c}") for c in shown if c not in windows.columns), width.alias("width"), share.alias("share"))

@@ -20,15 +20,18 @@ def injury(before: Column, after: Column, rise: float = 14, small: float = 5, lo
 
 
 def kidney_stage(before: Column, after: Column, hours: Column, replaced: Column, top: float = 4.0) -> Column:
-    """0 to 3 by the ratio of two values, their difference and the time between them; null without either value."""
+    """0 to 3 by the ratio of two values, their difference and the time between them; null without either value.
+
+    `replaced` (0/1) or a value of `top` or more gives 3, unless it is not known whether it was replaced.
+    """
     # As in floating-point arithmetic: a rise from 0 has an infinite ratio, 0 to 0 has none.
     ratio = F.when((before == 0) & (after > 0), F.lit(float("inf"))).otherwise(F.try_divide(after, before))
     week, two_days = hours <= 168, hours <= 48
-    staged = F.when(before.isNull() | after.isNull(), None).when((after >= top) | (replaced == 1), 3).when((ratio >= 3) & week, 3)
+    staged = F.when(before.isNull() | after.isNull(), None).when(replaced.isNotNull() & ((after >= top) | (replaced == 1)), 3).when((ratio >= 3) & week, 3)
     return staged.when((ratio >= 2) & (ratio < 3) & week, 2).when((ratio >= 1.5) & (ratio < 2) & week, 1).when((after - before >= 0.3) & two_days, 1).otherwise(0)
 
 
-def liver_grade(before: Column, after: Column, limit: Column, died: Column, cuts: Sequence[tuple[float, int]] = ((20, 4), (5, 4), (3, 2), (1, 1))) -> Column:
+def liver_grade(before: Column, after: Column, limit: Column, died: Column, cuts: Sequence[tuple[float, int]] = ((20, 4), (5, 4), (3, 2), (2, 1))) -> Column:
     """5 for a death, else the grade of the first cut that the value exceeds, in multiples of its limit; null without either value."""
     times = F.try_divide(after, limit)
     out = F.when(before.isNull() | after.isNull(), None).when(died == 1, 5)

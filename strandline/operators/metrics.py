@@ -43,6 +43,29 @@ def area(df: DataFrame, keys: Sequence[str], score: str = "score", label: str =
     return r.groupBy(*keys).agg(F.when(both, roc).alias("auroc"), F.when(both, prc).alias("auprc"))
 
 
+#: All metrics of a score; those after the areas are of "over the threshold of the greatest F1".
+METRICS = ("auroc", "auprc", "accuracy", "sensitivity", "specificity", "precision", "f1")
+
+
+def discrimination(df: DataFrame, keys: Sequence[str], score: str = "score", label: str = "y", weight: str | None = None) -> DataFrame:
+    """keys and METRICS; null where a class is missing, 0 for empty denominators.
+
+    The threshold is chosen anew for each key, as best_threshold() does.  What lies over it
+    is known from the running counts at its own row, so one pass gives all metrics.
+    """
+    r = running(df, keys, score, label, weight)
+    d = lambda c: F.col(c).cast("double")
+    f1 = F.when(F.col("tp") == 0, 0.0).otherwise(2.0 * F.col("tp") / (F.col("tp") + F.col("fp") + F.col("P")))
+    best = F.max(F.struct(f1.alias("f1"), (-F.col(score)).alias("s"), (d("tp") - d("pos")).alias("tp"), (d("fp") - d("neg")).alias("fp")))
+    roc = F.sum(d("pos") * (d("N") - d("fp") + d("neg") / 2.0))
+    prc = F.sum(d("pos") * F.try_divide(d("tp"), d("tp") + d("fp")))
+    g = r.groupBy(*keys).agg(roc.alias("_roc"), prc.alias("_prc"), best.alias("_b"), F.max(d("P")).alias("_p"), F.max(d("N")).alias("_n"))
+    p, n, tp, fp = F.col("_p"), F.col("_n"), F.col("_b.tp"), F.col("_b.fp")
+    share = lambda a, b: F.coalesce(F.try_divide(a, b), F.lit(0.0))
+    made = (F.try_divide(F.col("_roc"), p * n), F.try_divide(F.col("_prc"), p), share(tp + n - fp, p + n), share(tp, p), share(n - fp, n), share(tp, tp + fp), share(2.0 * tp, tp + fp + p))
+    return g.select(*keys, *(F.when((p > 0) & (n > 0), x).alias(name) for name, x in zip(METRICS, made, strict=True)))
+
+
 def neighbours(r: DataFrame, keys: Sequence[str], score: str) -> DataFrame:
     """Running counts with those at the next score above (0 at the highest)."""
     return r.withColumns({"tp_above": F.col("tp") - F.col("pos"), "fp_above": F.col("fp") - F.col("neg")})
@@ -96,13 +119,35 @@ def replicate(df: DataFrame, key: str, n: int, seed: int) -> DataFrame:
     return rep.withColumn("w", sum((F.when(F.col("_u") >= p, 1).otherwise(0) for p in POISSON), F.lit(0)).cast("bigint")).drop("_u").filter("w > 0")
 
 
+def _limits(point: DataFrame, each: DataFrame, on: Sequence[str]) -> DataFrame:
+    limits = each.filter("value IS NOT NULL").groupBy(*on).agg(F.percentile("value", [0.025, 0.975]).alias("_l"), F.count("*").alias("used"))
+    return point.join(limits, list(on), "left").select(*on, "point", F.col("_l")[0].alias("low"), F.col("_l")[1].alias("high"), F.coalesce("used", F.lit(0).cast("bigint")).alias("used"))
+
+
 def bootstrap(df: DataFrame, keys: Sequence[str], key: str, n: int = 50, seed: int = 123, score: str = "score", label: str = "y") -> DataFrame:
-    """keys, metric, point (all rows), low, high (2.5 and 97.5 percentiles of the replicates that have both classes), used."""
-    point = area(df, keys, score, label).unpivot(list(keys), ["auroc", "auprc"], "metric", "point")
-    each = area(replicate(df, key, n, seed), [*keys, "rep"], score, label, "w").unpivot([*keys, "rep"], ["auroc", "auprc"], "metric", "value")
-    limits = each.filter("value IS NOT NULL").groupBy(*keys, "metric").agg(F.percentile("value", [0.025, 0.975]).alias("_l"), F.count("*").alias("used"))
-    on = [*keys, "metric"]
-    return point.join(limits, on, "left").select(*on, "point", F.col("_l")[0].alias("low"), F.col("_l")[1].alias("high"), F.coalesce("used", F.lit(0).cast("bigint")).alias("used"))
+    """keys, metric (each of METRICS), point (all rows), low, high (2.5 and 97.5 percentiles of the replicates that have both classes), used.
+
+    A replicate has a threshold of its own.
+    """
+    point = discrimination(df, keys, score, label).unpivot(list(keys), list(METRICS), "metric", "point")
+    each = discrimination(replicate(df, key, n, seed), [*keys, "rep"], score, label, "w").unpivot([*keys, "rep"], list(METRICS), "metric", "value")
+    return _limits(point, each, [*keys, "metric"])
+
+
+def bootstrap_classes(df: DataFrame, label: str, scores: Sequence[str], key: str, n: int = 50, seed: int = 123) -> DataFrame:
+    """class ("0", "1", ... and "macro"), metric, point, low, high, used: each class against the rest, and the mean over classes.
+
+    A replicate is drawn once for all classes; one that lacks a class has no mean.
+    """
+
+    def by_class(rows: DataFrame, keep: Sequence[str], weight: str | None) -> DataFrame:
+        own = discrimination(one_vs_rest(rows, label, scores, [*keep, *([weight] if weight else [])]), [*keep, "class"], weight=weight)
+        long = own.unpivot([*keep, "class"], list(METRICS), "metric", "value").withColumn("class", F.col("class").cast("string"))
+        mean = F.when(F.count("value") == len(scores), F.avg("value")).alias("value")
+        return long.unionByName(long.groupBy(*keep, "metric").agg(mean).withColumn("class", F.lit("macro")))
+
+    each = by_class(replicate(df, key, n, seed), ["rep"], "w")
+    return _limits(by_class(df, [], None).withColumnRenamed("value", "point"), each, ["class", "metric"])
 
 
 def one_vs_rest(df: DataFrame, label: str, scores: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:

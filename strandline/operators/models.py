@@ -12,6 +12,9 @@ from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandline.operators import metrics
+from strandline.shared import cut
+
 #: Donors that a row may take its value from in predictive mean matching; donors to a shard; parts in which rows of one prediction are joined.
 NEAREST, SHARD, SALTS = 5, 500_000, 16
 
@@ -34,6 +37,48 @@ def classify(df: DataFrame, kind: str, features: Sequence[str], label: str, trai
     return scored.select(*keep, F.col(label).cast("int").alias("y"), vector_to_array("probability")[1].alias("score"))
 
 
+def univariate(df: DataFrame, outcomes: Sequence[str], predictors: Sequence[str], train: Column, key: str) -> DataFrame:
+    """outcome, predictor, part (train or test), auroc, auprc of a logistic model of each outcome on each predictor alone.
+
+    Rows without the outcome or the predictor are left out of both.  There is one fit for
+    each pair, over all rows; their number is that of the names given.
+    """
+    made = None
+    for y in outcomes:
+        for x in predictors:
+            rows = df.select(key, F.col(x).cast("double").alias("x"), F.col(y).cast("int").alias("y"), train.alias("_part")).dropna(subset=["x", "y"])
+            scored = classify(rows, "logit", ["x"], "y", F.col("_part"), [key, "_part"])
+            one = metrics.area(scored.withColumn("part", F.when(F.col("_part"), "train").otherwise("test")), ["part"])
+            one = one.select(F.lit(y).alias("outcome"), F.lit(x).alias("predictor"), "part", "auroc", "auprc")
+            made = one if made is None else made.unionByName(one)
+    return made
+
+
+def impute_chain(df: DataFrame, key: str, columns: Sequence[str], part: str | None = None, seed: int = 123, rounds: int = 10) -> DataFrame:
+    """Chained imputation: in each round each column's nulls are matched anew on the current values of all others, by impute_pmm().
+
+    Nulls start as the column's mean.  part: a column whose values are imputed apart, such
+    as training and test rows; each has its own fits and donors.  A column without any
+    value keeps its nulls and predicts nothing.  Columns become doubles.
+    """
+    if part is not None:
+        made = None
+        for value in [r[0] for r in df.select(part).distinct().orderBy(part).collect()]:  # a few parts
+            own = impute_chain(df.filter(F.col(part).eqNullSafe(F.lit(value))), key, columns, None, seed, rounds)
+            made = own if made is None else made.unionByName(own)
+        return df if made is None else made
+    counts = df.agg(F.count("*").alias("_all"), *(F.count(c).alias(c) for c in columns), *(F.avg(c).alias(f"{c}_mean") for c in columns)).first()
+    known = [c for c in columns if counts[c]]
+    gaps = [c for c in known if counts[c] < counts["_all"]]
+    state = df.withColumns({c: F.col(c).cast("double") for c in columns} | {f"_gap_{c}": F.col(c).isNull() for c in gaps})
+    state = state.withColumns({c: F.coalesce(c, F.lit(counts[f"{c}_mean"])) for c in gaps})
+    for nth in range(rounds if len(known) > 1 else 0):
+        for c in gaps:
+            asked = state.withColumn(c, F.when(~F.col(f"_gap_{c}"), F.col(c)))
+            state = cut(impute_pmm(asked, key, c, [x for x in known if x != c], F.lit(True), seed + nth))
+    return state.select(*df.columns)
+
+
 def impute_pmm(df: DataFrame, key: str, target: str, predictors: Sequence[str], train: Column, seed: int = 123, shard: int = SHARD) -> DataFrame:
     """Nulls of `target` become the value of one of the donors whose predictions are nearest.
 

@@ -57,6 +57,20 @@ def rename_wide(df: DataFrame, old: Sequence[str], new: Sequence[str]) -> DataFr
     return df.withColumnsRenamed({a: b for a, b in zip(old, new, strict=True) if a in df.columns and a != b})
 
 
+def plain_name(x: Column) -> Column:
+    """A name in lower case, without spaces and underscores."""
+    return F.translate(F.lower(x), " _", "")
+
+
+def match_names(x: Column, names: Mapping[str, str]) -> Column:
+    """The value of the first of `names` that contains the name or is contained in it, both as plain_name() has them; the name itself if none does."""
+    own, plain = plain_name(x), {k.lower().replace(" ", "").replace("_", ""): v for k, v in reversed(names.items())}
+    out = x
+    for name, value in plain.items():
+        out = F.when(own.contains(name) | F.lit(name).contains(own), F.lit(value)).otherwise(out)
+    return out
+
+
 def rename_long(df: DataFrame, old: Sequence[str], new: Sequence[str], name: str) -> DataFrame:
     """Rename values one after the other, so that a later pair sees what an earlier one made."""
     if len(old) != len(new):

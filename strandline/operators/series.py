@@ -6,9 +6,10 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from strandline.functions import aggregates as agg
-from strandline.operators.joins import range_join
+from strandline.operators.joins import interval_join, range_join
 
 #: A grid point's window, as multiples of its width before and after the point.
 SIDES = {"both": (0.5, 0.5), "left": (1.0, 0.0), "right": (0.0, 1.0)}
@@ -19,64 +20,113 @@ def regular_grid(spans: DataFrame, key: str, low: str, high: str, step: int, tim
     return spans.filter(F.col(low) <= F.col(high)).select(key, F.explode(F.sequence(low, high, F.lit(step).cast("bigint"))).alias(time))
 
 
-def observed_grid(events: DataFrame, spans: DataFrame, on: str, key: str, time: str, low: str, high: str) -> DataFrame:
+def observed_grid(events: DataFrame, spans: DataFrame, on: str, key: str, time: str, low: str, high: str, bucket: int | None = None) -> DataFrame:
     """key, time: the distinct times of an entity's events in each of its spans; the span's high where there is none.
 
-    on: the entity that events and spans share; key: what identifies a span.
+    on: the entity that events and spans share; key: what identifies a span; bucket, in
+    units of time: spreads a busy entity over tasks, see range_join().
     """
-    e, s = events.alias("e"), spans.alias("s")
-    met = s.join(e, (F.col(f"e.{on}") == F.col(f"s.{on}")) & F.col(f"e.{time}").between(F.col(f"s.{low}"), F.col(f"s.{high}")), "left")
-    return met.select(F.col(f"s.{key}").alias(key), F.coalesce(F.col(f"e.{time}"), F.col(f"s.{high}")).alias(time)).distinct()
+    spans = spans.select(*{on: 0, key: 0}, F.col(low).alias("_low"), F.col(high).alias("_high"))
+    seen = events.select(F.col(on), F.col(time).alias("_time")).distinct()
+    found = range_join(seen, spans, on, "_time", "_low", "_high", bucket=bucket).select(key, F.col("_time").alias(time)).distinct()
+    none = spans.join(found.select(key).distinct(), key, "left_anti").select(key, F.col("_high").alias(time))
+    return found.unionByName(none)
 
 
-def resample(events: DataFrame, spans: DataFrame, key: str, time: str, item: str, value: str, specs: Mapping[str, str], low: str, high: str, step: int, width: int, direction: str = "both", keep_empty: bool = True, keep_first: bool | None = None) -> DataFrame:
+def _rows_kept(grid: DataFrame, key: str, at: str, names: Sequence[str], keep_empty: bool, keep_first: bool) -> DataFrame:
+    """The rows of a series that resampling gives; n: the events of each.
+
+    Without keep_empty: rows with an event, or of a series without any the first row alone.
+    Then, without keep_first, the first row goes if it has no value and others follow.
+    """
+    own = Window.partitionBy(key)
+    nth = F.row_number().over(own.orderBy(at))
+    if not keep_empty:
+        grid = grid.withColumns({"_nth": nth, "_most": F.max("n").over(own)}).filter("n > 0 OR _most = 0 AND _nth = 1").drop("_nth", "_most")
+    if not keep_first:
+        blank = F.lit(True)
+        for name in names:
+            blank = blank & F.col(name).isNull()
+        grid = grid.withColumns({"_nth": nth, "_rows": F.count("*").over(own)}).filter(~(blank & (F.col("_nth") == 1) & (F.col("_rows") > 1))).drop("_nth", "_rows")
+    return grid
+
+
+def _weight(end: str | None, time: Column, low: Column, high: Column) -> tuple[Column, Column]:
+    """(weight, share) of an event in a window: its overlap and the overlap's part of it; null without an end, both 1 where events have none at all."""
+    if end is None:
+        return F.lit(1.0), F.lit(1.0)
+    until = F.col(end)
+    overlap = F.greatest(F.lit(0), F.least(until, high) - F.greatest(time, low))
+    known = lambda x: F.when(until.isNotNull(), x.cast("double"))
+    return known(overlap), known(F.try_divide(overlap.cast("double"), F.nullif((until - time).cast("double"), F.lit(0.0))))
+
+
+def _aggregates(specs: Mapping[str, str]) -> list[Column]:
+    """By item; shares weigh a sum_w, overlaps all else."""
+    item, value, time = F.col("_item"), F.col("_value"), F.col("_time")
+    return [agg.items(item, value, {name: how}, time, F.col("_share" if how == "sum_w" else "_weight"))[0] for name, how in specs.items()]
+
+
+def resample(
+    events: DataFrame, spans: DataFrame, key: str, time: str, item: str, value: str, specs: Mapping[str, str], low: str, high: str, step: int, width: int,
+    direction: str = "both", keep_empty: bool = True, keep_first: bool = True, end: str | None = None, salts: int = 8,
+) -> DataFrame:
     """Wide rows on a regular grid: for each point, each item's aggregate of the events in the point's closed window.
 
     A grid point's windows have fixed places, so each event is listed under the few
     points whose windows hold it and joined to the grid by (key, point): two equalities
     and no range.  The windows are closed, so an event on an edge counts on both sides.
-    n counts the window's events of any item; without keep_empty, points without any are
-    left out.  keep_first (with keep_empty off): a key without events keeps its first
-    point (True) or none; the first point is kept or not where it alone is empty.
+    end: the column of the events' ends, if they last; an event then counts in each window
+    that it touches, weighted by the overlap (mean_w, median_w, mode_w) or by the part of
+    it that lies in the window (sum_w).  One whose end is null is a point without weight.
+    n counts the window's events of any item; an item without a row there is null.  For
+    keep_empty and keep_first see _rows_kept().  A busy key's events are spread over `salts` tasks.
     """
     before, after = (int(width * x) for x in SIDES[direction])
-    e, s = events.alias("e"), spans.alias("s")
     step_ = F.lit(step).cast("bigint")
+    spread = spans.select(key, low, high).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    e = events.withColumn("_salt", F.pmod(F.xxhash64(time, item), F.lit(salts)).cast("int")).alias("e")
+    s = spread.alias("s")
     t, start = F.col(f"e.{time}"), F.col(f"s.{low}")
+    until = F.coalesce(F.col(f"e.{end}"), t) if end else t
     first = F.greatest(F.lit(0).cast("bigint"), F.ceil((t - after - start) / step_).cast("bigint"))
-    last = F.least(F.floor((F.col(f"s.{high}") - start) / step_).cast("bigint"), F.floor((t + before - start) / step_).cast("bigint"))
-    near = s.join(e, (F.col(f"e.{key}") == F.col(f"s.{key}")) & (first <= last))
-    listed = near.select(F.col(f"s.{key}").alias(key), F.explode(F.sequence(first, last)).alias("_k"), start.alias("_start"), t.alias("_time"), F.col(f"e.{item}").alias("_item"), F.col(f"e.{value}").alias("_value"))
-    columns = [agg.aggregate(how)(F.when(F.col("_item") == name, F.col("_value")), F.col("_time"), F.lit(1.0)).alias(name) for name, how in specs.items()]
-    filled = listed.groupBy(key, (F.col("_start") + F.col("_k") * step_).alias("t")).agg(*columns, F.count("*").alias("n"))
-    if not keep_empty and keep_first is None:
-        return filled
+    last = F.least(F.floor((F.col(f"s.{high}") - start) / step_).cast("bigint"), F.floor((until + before - start) / step_).cast("bigint"))
+    near = s.join(e, (F.col(f"e.{key}") == F.col(f"s.{key}")) & (F.col("e._salt") == F.col("s._salt")) & (first <= last))
+    ends = [F.col(f"e.{end}").alias("_end")] if end else []
+    listed = near.select(F.col(f"s.{key}").alias(key), F.explode(F.sequence(first, last)).alias("_k"), start.alias("_start"), t.alias("_time"), *ends, F.col(f"e.{item}").alias("_item"), F.col(f"e.{value}").alias("_value"))
+    listed = listed.withColumn("t", F.col("_start") + F.col("_k") * step_)
+    weight, share = _weight("_end" if end else None, F.col("_time"), F.col("t") - before, F.col("t") + after)
+    filled = listed.withColumns({"_weight": weight, "_share": share}).groupBy(key, "t").agg(*_aggregates(specs), F.count("*").alias("n"))
     grid = regular_grid(spans, key, low, high, step).join(filled, [key, "t"], "left").withColumn("n", F.coalesce("n", F.lit(0).cast("bigint")))
-    if keep_empty:
-        return grid
-    nth = F.row_number().over(Window.partitionBy(key).orderBy("t"))
-    grid = grid.withColumn("_first", nth == 1)
-    return grid.filter((F.col("n") > 0) | (F.col("_first") if keep_first else F.lit(False))).drop("_first")
+    return _rows_kept(grid, key, "t", list(specs), keep_empty, keep_first)
 
 
-def resample_at(events: DataFrame, grid: DataFrame, key: str, at: str, time: str, item: str, value: str, specs: Mapping[str, str], width: float, direction: str = "both", keep_empty: bool = True, keep_first: bool | None = None) -> DataFrame:
+def resample_at(
+    events: DataFrame, grid: DataFrame, key: str, at: str, time: str, item: str, value: str, specs: Mapping[str, str], width: float,
+    direction: str = "both", keep_empty: bool = True, keep_first: bool = True, end: str | None = None,
+) -> DataFrame:
     """resample() on any grid of (key, at): each point's closed window is joined to the events of its key by key and time bucket."""
     before, after = (width * x for x in SIDES[direction])
     windows = grid.select(key, at, (F.col(at) - before).alias("_low"), (F.col(at) + after).alias("_high"))
-    met = range_join(events.select(key, F.col(time).alias("_time"), F.col(item).alias("_item"), F.col(value).alias("_value")), windows, key, "_time", "_low", "_high", bucket=max(width, 1))
-    columns = [agg.aggregate(how)(F.when(F.col("_item") == name, F.col("_value")), F.col("_time"), F.lit(1.0)).alias(name) for name, how in specs.items()]
-    filled = met.groupBy(key, at).agg(*columns, F.count("*").alias("n"))
+    rows = events.select(key, F.col(time).alias("_time"), *([F.col(end).alias("_end")] if end else []), F.col(item).alias("_item"), F.col(value).alias("_value"))
+    if end:
+        met = interval_join(rows, windows, key, "_time", "_end", "_low", "_high", bucket=max(width, 1))
+    else:
+        met = range_join(rows, windows, key, "_time", "_low", "_high", bucket=max(width, 1))
+    weight, share = _weight("_end" if end else None, F.col("_time"), F.col("_low"), F.col("_high"))
+    filled = met.withColumns({"_weight": weight, "_share": share}).groupBy(key, at).agg(*_aggregates(specs), F.count("*").alias("n"))
     out = grid.select(key, at).join(filled, [key, at], "left").withColumn("n", F.coalesce("n", F.lit(0).cast("bigint")))
-    if keep_empty:
-        return out
-    nth = F.row_number().over(Window.partitionBy(key).orderBy(at))
-    return out.withColumn("_first", nth == 1).filter((F.col("n") > 0) | (F.col("_first") if keep_first else F.lit(False))).drop("_first")
+    return _rows_kept(out, key, at, list(specs), keep_empty, keep_first)
 
 
-def resample_wide(df: DataFrame, spans: DataFrame, key: str, time: str, specs: Mapping[str, str], low: str, high: str, step: int, width: int, direction: str = "both", keep_empty: bool = True) -> DataFrame:
+def resample_wide(
+    df: DataFrame, spans: DataFrame, key: str, time: str, specs: Mapping[str, str], low: str, high: str, step: int, width: int,
+    direction: str = "both", keep_empty: bool = True, keep_first: bool = True, end: str | None = None,
+) -> DataFrame:
     """The same from one column per variable."""
-    long = df.select(key, time, *(F.col(c).cast("double").alias(c) for c in specs)).unpivot([key, time], list(specs), "item", "value").filter("value IS NOT NULL")
-    return resample(long, spans, key, time, "item", "value", specs, low, high, step, width, direction, keep_empty)
+    ends = [end] if end else []
+    long = df.select(key, time, *ends, *(F.col(c).cast("double").alias(c) for c in specs)).unpivot([key, time, *ends], list(specs), "item", "value")
+    return resample(long, spans, key, time, "item", "value", specs, low, high, step, width, direction, keep_empty, keep_first, end)
 
 
 def past(key: Sequence[str], time: str):
@@ -112,34 +162,37 @@ def own(f: Column, key: Sequence[str]) -> Column:
 
 
 FIRST = {
-    "num": ("mean", "median", "cont", "mean_k", "median_k", "zero", "nocb"),
-    "cat": ("mode", "cont", "mode_k", "nocb"),
-    "ord": ("mode", "cont", "mode_k", "nocb"),
-    "bin": ("zero", "cont", "mode_k", "nocb"),
+    "num": ("mean", "median", "cont", "mean_k", "median_k", "mode_k", "zero", "nocb"),
+    "cat": ("mode", "cont", "nocb", "zero", "mode_k"),
+    "ord": ("mode", "cont", "nocb", "zero", "mode_k"),
+    "bin": ("cont", "nocb", "zero"),
 }
 REST = {
-    "num": ("lin", "zero", "locf", "cont", "mean", "median", "mean_k", "median_k", "nocb"),
-    "cat": ("locf", "nocb", "mode", "mode_k", "cont"),
-    "ord": ("locf", "nocb", "mode", "mode_k", "cont"),
-    "bin": ("locf", "nocb", "zero", "mode_k", "cont"),
+    "num": ("lin", "zero", "locf", "cont", "mean", "median", "mean_k", "median_k", "mode_k", "nocb"),
+    "cat": ("zero", "locf", "cont", "nocb", "mode", "mode_k"),
+    "ord": ("zero", "locf", "cont", "nocb", "mode", "mode_k"),
+    "bin": ("zero", "cont", "locf", "nocb"),
 }
 
 
-def _filler(how: str, x: Column, key: Sequence[str], time: str, given: Mapping[str, object]) -> Column:
+def _filler(how: str, x: Column, key: Sequence[str], time: str, given: Mapping[str, object], first: bool) -> Column:
+    """What a cell is filled with.  A series without any value has no mean, median or mode of its own, and no next value for its first cell: `cont` then."""
     if how in ("mean", "median", "mode", "cont"):
-        return F.lit(given[how])
+        return F.lit(given[how])  # an unknown one is an error
     made = {
         "zero": lambda: F.lit(0), "locf": lambda: locf(x, key, time), "nocb": lambda: nocb(x, key, time), "lin": lambda: linear(x, key, time),
-        "mean_k": lambda: own(F.avg(x), key), "median_k": lambda: own(agg.median(x), key), "mode_k": lambda: own(F.mode(x, True), key),
+        "mean_k": lambda: own(F.avg(x), key), "median_k": lambda: own(agg.median(x), key), "mode_k": lambda: own(F.max(F.when(x.isNotNull(), F.struct("_count", "_last", x.alias("v")))), key)["v"],
     }
-    return made[how]()
+    fallback = how in ("mean_k", "median_k", "mode_k") or first and how == "nocb"
+    return F.coalesce(made[how](), F.lit(given.get("cont"))) if fallback else made[how]()
 
 
 def fill(df: DataFrame, key: Sequence[str], time: str, rules: Mapping[str, tuple[str, str, str]], stats: Mapping[str, Mapping[str, object]] | None = None) -> DataFrame:
     """Fill the gaps of each series in two passes: its first cell, then the rest, which see the first.
 
     rules: column -> (kind, how to fill the first cell, how to fill the rest); stats:
-    column -> values for mean, median, mode and cont, fitted elsewhere.
+    column -> values for mean, median, mode and cont, fitted elsewhere.  mode_k is the
+    series' most frequent value, of equally frequent ones that which occurs last.
     """
     nth = F.row_number().over(Window.partitionBy(*key).orderBy(time))
     out = df.withColumn("_nth", nth)
@@ -148,8 +201,13 @@ def fill(df: DataFrame, key: Sequence[str], time: str, rules: Mapping[str, tuple
             raise ValueError(f"cannot fill {kind} {name!r} by {first!r} and {rest!r}")
         given = (stats or {}).get(name, {})
         x = F.col(name)
-        out = out.withColumn(name, F.when((F.col("_nth") == 1) & x.isNull(), _filler(first, x, key, time, given)).otherwise(x))
-        out = out.withColumn(name, F.coalesce(x, _filler(rest, x, key, time, given)))
+        for nth, (how, cell) in enumerate(((first, (F.col("_nth") == 1) & x.isNull()), (rest, x.isNull()))):
+            if how == "mode_k":
+                same = Window.partitionBy(*key, name)
+                out = out.withColumns({"_count": F.count("*").over(same), "_last": F.max(time).over(same)})
+            filler = _filler(how, x, key, time, given, first=nth == 0)
+            filler = filler.cast("string") if isinstance(df.schema[name].dataType, StringType) else filler
+            out = out.withColumn(name, F.when(cell, filler).otherwise(x)).drop("_count", "_last")
     return out.drop("_nth")
 
 

@@ -29,15 +29,14 @@ def median_weighted(df: DataFrame, keys: Sequence[str], value: str, weight: str)
     both = df.filter(F.col(value).isNotNull() & F.col(weight).isNotNull())
     summed = both.groupBy(*keys, value).agg(F.sum(weight).alias("_w"))
     w = Window.partitionBy(*keys)
-    upto = F.sum("_w").over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)) / F.sum("_w").over(w)
+    upto = F.try_divide(F.sum("_w").over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)), F.sum("_w").over(w))
     return summed.withColumn("_share", upto).groupBy(*keys).agg(F.max(F.when(F.col("_share") <= 0.5, F.col(value))).alias("median_w"))
 
 
 def by_item(df: DataFrame, keys: Sequence[str], item: str, value: str, specs: Mapping[str, str], time: str | None = None, weight: str | None = None) -> DataFrame:
-    """Wide aggregates of a long table: one column per item, by the item's aggregate."""
+    """Wide aggregates of a long table: one column per item, by the item's aggregate; null where a group has no row of the item."""
     t, w = F.col(time) if time else None, F.col(weight) if weight else None
-    columns = [agg.aggregate(how)(F.when(F.col(item) == name, F.col(value)), t, w).alias(name) for name, how in specs.items()]
-    return df.groupBy(*keys).agg(*columns)
+    return df.groupBy(*keys).agg(*agg.items(F.col(item), F.col(value), specs, t, w))
 
 
 def statistic(name: str, x: Column) -> Column:
@@ -96,7 +95,12 @@ def with_total(df: DataFrame, group: str, total: str, aggregates: Sequence[Colum
 
 
 def histogram(df: DataFrame, value: str, width: float, cap: float, groups: Sequence[str] = ()) -> DataFrame:
-    """Counts in bins of a fixed width, of values below the cap: the maximum and a tenth, up to the next hundred, at most `cap`."""
+    """Counts in bins of a fixed width from 0 on, named by their lower edges.
+
+    The bins reach the maximum and a tenth, up to the next hundred and at most `cap`, the
+    last one as far as its width says; it is closed, all others are open above.
+    """
     top = df.agg(F.max(value).alias("_max")).select(F.least(F.ceil(F.col("_max") * 1.1 / 100) * 100, F.lit(cap)).cast("double").alias("_top"))
-    below = df.filter(F.col(value).isNotNull()).join(F.broadcast(top), F.col(value) < F.col("_top"))  # one row
-    return below.groupBy(*groups, (F.floor(F.col(value) / width) * width).cast("double").alias("bin")).agg(F.count("*").alias("n"))
+    top = top.select(((F.ceil((F.col("_top") + width) / width) - 1) * width).alias("_edge"))
+    below = df.filter(F.col(value) >= 0).join(F.broadcast(top), F.col(value) <= F.col("_edge"))  # one row
+    return below.groupBy(*groups, F.least(F.floor(F.col(value) / width) * width, F.col("_edge") - width).cast("double").alias("bin")).agg(F.count("*").alias("n"))

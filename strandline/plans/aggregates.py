@@ -109,22 +109,23 @@ def cohort_funnel(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""WITH c AS (SELECT label, count(*) AS n FROM embeddings GROUP BY 1), s AS (SELECT *, n / sum(n) OVER () AS share, count(*) OVER () AS classes FROM c),
-r AS (SELECT *, greatest(0.001e0, least(0.999e0, 1 - share)) AS raw FROM s)
+r AS (SELECT *, 1 / greatest(0.001e0, least(0.999e0, share)) AS raw FROM s)
 SELECT label, n, round(share, 9) AS share, round(raw / sum(raw) OVER (), 9) AS weight, CASE WHEN classes <= 2 THEN 1 ELSE classes END AS outputs FROM r""")
 def class_weights(spark: SparkSession, d: str) -> DataFrame:
     made = cohort.class_weights(table(spark, d, "embeddings").select("label"), "label")
     return made.select("label", "n", F.round("share", 9).alias("share"), F.round("weight", 9).alias("weight"), "outputs")
 
 
-TOP = "least(ceil(max(value) * 1.1e0 / 100) * 100, 600)"
+#: The last edge of bins of 15 that reach the maximum and a tenth, up to the next hundred.
+TOP = "(ceil((least(ceil(max(value) * 1.1e0 / 100) * 100, 600) + 15) / 15e0) - 1) * 15"
 
 
-@query(f"WITH {EV}, t AS (SELECT {TOP} AS top FROM ev) SELECT floor(value / 15e0) * 15e0 AS bin, count(*) AS n FROM ev, t WHERE value < top GROUP BY 1")
+@query(f"WITH {EV}, t AS (SELECT {TOP} AS top FROM ev) SELECT least(floor(value / 15e0) * 15e0, top - 15) AS bin, count(*) AS n FROM ev, t WHERE value BETWEEN 0 AND top GROUP BY 1")
 def histogram(spark: SparkSession, d: str) -> DataFrame:
     return stats.histogram(events(spark, d), "value", 15.0, 600.0)
 
 
-@query(f"WITH {EV}, t AS (SELECT {TOP} AS top FROM ev) SELECT event_type, floor(value / 15e0) * 15e0 AS bin, count(*) AS n FROM ev, t WHERE value < top GROUP BY 1, 2")
+@query(f"WITH {EV}, t AS (SELECT {TOP} AS top FROM ev) SELECT event_type, least(floor(value / 15e0) * 15e0, top - 15) AS bin, count(*) AS n FROM ev, t WHERE value BETWEEN 0 AND top GROUP BY 1, 2")
 def histogram_by(spark: SparkSession, d: str) -> DataFrame:
     return stats.histogram(events(spark, d), "value", 15.0, 600.0, ["event_type"])
 

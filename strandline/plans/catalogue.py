@@ -12,8 +12,6 @@ _queries: dict[str, Query] = {}
 _sql: dict[str, str] = {}
 
 HOUR, DAY = 3_600_000_000, 86_400_000_000
-#: 2024-01-02 and 2024-01-28, in microseconds: the days between which series are put on a grid.
-FIRST_DAY, LAST_DAY = 1_704_153_600_000_000, 1_706_400_000_000_000
 
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:

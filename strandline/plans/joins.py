@@ -72,7 +72,7 @@ SELECT op_id, count(*) AS n, CAST(sum(width) AS BIGINT) AS width, round(sum(valu
 def interval_overlap(spark: SparkSession, d: str) -> DataFrame:
     following = F.lead("us").over(Window.partitionBy("user_id").orderBy("us"))
     i = events(spark, d).select(C("user_id").alias("subject_id"), C("us").alias("s"), following.alias("t"), "value")
-    met = joins.interval_join(i, operations(spark, d).select("op_id", "subject_id", "orin", "orout"), "subject_id", "s", "t", "orin", "orout")
+    met = joins.interval_join(i, operations(spark, d).select("op_id", "subject_id", "orin", "orout"), "subject_id", "s", "t", "orin", "orout", bucket=DAY)
     return met.groupBy("op_id").agg(F.count("*").alias("n"), F.sum("width").alias("width"), F.round(F.sum(C("value") * C("share")), 6).alias("sum_w"))
 
 
@@ -150,7 +150,7 @@ def staged_label(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""WITH {OPS}, x AS (SELECT op_id, {BEFORE.format('click', '')} AS v1, {AFTER.format('click', '')} AS v2, CASE WHEN op_id % 2 = 0 THEN 3.5e0 ELSE 4e0 END AS lim, CASE WHEN op_id % 11 = 0 THEN 1 ELSE 0 END AS died FROM ops)
-SELECT op_id, CASE WHEN v1 IS NULL OR v2 IS NULL THEN NULL WHEN died = 1 THEN 5 WHEN v2 / lim > 20 THEN 4 WHEN v2 / lim > 5 THEN 4 WHEN v2 / lim > 3 THEN 2 WHEN v2 / lim > 1 THEN 1 ELSE 0 END AS grade FROM x""")
+SELECT op_id, CASE WHEN v1 IS NULL OR v2 IS NULL THEN NULL WHEN died = 1 THEN 5 WHEN v2 / lim > 20 THEN 4 WHEN v2 / lim > 5 THEN 4 WHEN v2 / lim > 3 THEN 2 WHEN v2 / lim > 2 THEN 1 ELSE 0 END AS grade FROM x""")
 def staged_label2(spark: SparkSession, d: str) -> DataFrame:
     o = _asof(spark, d, operations(spark, d), "click", "orin", "backward", "v1")
     o = _asof(spark, d, o, "click", "orout", "forward", "v2")

@@ -10,7 +10,7 @@ from strandline.operators import joins, metrics
 from strandline.plans.catalogue import DAY, EV, OPS, PRED, events, operations, predictions, query, table
 
 C = F.col
-REPLICATES, SEED = 20, 123
+REPLICATES, SEED = 50, 123
 
 #: Counts by distinct score of a table t(k, score, y, w), and metrics from them.
 TIED = """tied AS (SELECT k, score, sum(CASE WHEN y = 1 THEN w ELSE 0 END)::DOUBLE AS pos, sum(CASE WHEN y = 1 THEN 0 ELSE w END)::DOUBLE AS neg FROM t WHERE y IS NOT NULL AND score IS NOT NULL GROUP BY k, score),
@@ -65,29 +65,50 @@ def confusion_metrics(spark: SparkSession, d: str) -> DataFrame:
 
 
 WEIGHT = " + ".join(f"CASE WHEN u >= {p!r}e0 THEN 1 ELSE 0 END" for p in metrics.POISSON)
-DRAWN = f"""r AS (SELECT {{key}} AS k0, rep, score, y, CAST('0x' || substr(md5('{SEED}:' || CAST(rep AS VARCHAR) || ':' || CAST(doc_id AS VARCHAR)), 1, 8) AS BIGINT) / 4294967296e0 AS u FROM p, (SELECT unnest(generate_series(0, {REPLICATES - 1})) AS rep)),
-t AS (SELECT * FROM (SELECT k0 || '|' || CAST(rep AS VARCHAR) AS k, score, y, {WEIGHT} AS w FROM r) WHERE w > 0 UNION ALL SELECT {{key}} || '|', score, y, 1 FROM p), {TIED},
-m AS (SELECT split_part(k, '|', 1) AS g, split_part(k, '|', 2) AS rep, 'auroc' AS metric, auroc AS v FROM area UNION ALL SELECT split_part(k, '|', 1), split_part(k, '|', 2), 'auprc', auprc FROM area)
-SELECT g{{name}}, metric, round(max(v) FILTER (rep = ''), 9) AS point, round(quantile_cont(v, 0.025) FILTER (rep <> ''), 9) AS low, round(quantile_cont(v, 0.975) FILTER (rep <> ''), 9) AS high, count(v) FILTER (rep <> '') AS used FROM m GROUP BY g, metric"""
+#: All metrics from `run` and `area`, long: k, metric, v.  Over the threshold is what lies above its own row of `run`.
+ALL = """top AS (SELECT k, tp - pos AS tp, fp - neg AS fp, p_all AS p, n_all AS n FROM run QUALIFY row_number() OVER (PARTITION BY k ORDER BY CASE WHEN tp = 0 THEN 0 ELSE 2 * tp / (tp + fp + p_all) END DESC, score) = 1),
+seven AS (SELECT k, auroc, auprc, CASE WHEN p > 0 AND n > 0 THEN (tp + n - fp) / (p + n) END AS accuracy, CASE WHEN p > 0 AND n > 0 THEN tp / p END AS sensitivity, CASE WHEN p > 0 AND n > 0 THEN (n - fp) / n END AS specificity,
+  CASE WHEN p > 0 AND n > 0 THEN CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0 END END AS precision, CASE WHEN p > 0 AND n > 0 THEN 2 * tp / (tp + fp + p) END AS f1 FROM area JOIN top USING (k)),
+long AS (SELECT k, metric, v FROM seven UNPIVOT INCLUDE NULLS (v FOR metric IN (auroc, auprc, accuracy, sensitivity, specificity, precision, f1)))"""
+
+
+def _drawn(key: str, source: str = "p", id_: str = "doc_id") -> str:
+    """m: g (the key), rep ('' for all rows), metric, v, of a table of (key, id, score, y)."""
+    return f"""r AS (SELECT {key} AS k0, rep, score, y, CAST('0x' || substr(md5('{SEED}:' || CAST(rep AS VARCHAR) || ':' || CAST({id_} AS VARCHAR)), 1, 8) AS BIGINT) / 4294967296e0 AS u FROM {source}, (SELECT unnest(generate_series(0, {REPLICATES - 1})) AS rep)),
+t AS (SELECT * FROM (SELECT k0 || '|' || CAST(rep AS VARCHAR) AS k, score, y, {WEIGHT} AS w FROM r) WHERE w > 0 UNION ALL SELECT {key} || '|', score, y, 1 FROM {source}), {TIED}, {ALL},
+m AS (SELECT split_part(k, '|', 1) AS g, split_part(k, '|', 2) AS rep, metric, v FROM long)"""
+
+
+LIMITS = "round(max(v) FILTER (rep = ''), 9) AS point, round(quantile_cont(v, 0.025) FILTER (rep <> ''), 9) AS low, round(quantile_cont(v, 0.975) FILTER (rep <> ''), 9) AS high, count(v) FILTER (rep <> '') AS used"
 
 
 def _interval(df: DataFrame, *keys: str) -> DataFrame:
     return df.select(*keys, "metric", *(F.round(c, 9).alias(c) for c in ("point", "low", "high")), "used")
 
 
-@query(f"WITH {PRED}, {DRAWN.format(key=chr(39) + 'all' + chr(39), name=' AS k')}")
+@query(f"""WITH {PRED}, {_drawn("'all'")} SELECT g AS k, metric, {LIMITS} FROM m GROUP BY g, metric""")
 def bootstrap_ci(spark: SparkSession, d: str) -> DataFrame:
     return _interval(metrics.bootstrap(_all(spark, d), ["k"], "doc_id", REPLICATES, SEED), "k")
 
 
-@query(f"WITH {PRED}, {DRAWN.format(key='lang', name=' AS lang')}")
+@query(f"""WITH {PRED}, {_drawn("lang")} SELECT g AS lang, metric, {LIMITS} FROM m GROUP BY g, metric""")
 def subgroup_metrics(spark: SparkSession, d: str) -> DataFrame:
     return _interval(metrics.bootstrap(predictions(spark, d), ["lang"], "doc_id", REPLICATES, SEED), "lang")
 
 
+def _scored(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "embeddings").select("vec_id", (C("label") % 3).alias("label"), *(F.round(F.element_at("embedding", i + 1).cast("double"), 3).alias(f"s{i}") for i in range(3)))
+
+
 def _classes(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "embeddings").select("vec_id", (C("label") % 3).alias("label"), *(F.round(F.element_at("embedding", i + 1).cast("double"), 3).alias(f"s{i}") for i in range(3)))
-    return metrics.one_vs_rest(e, "label", ["s0", "s1", "s2"], ["vec_id"])
+    return metrics.one_vs_rest(_scored(spark, d), "label", ["s0", "s1", "s2"], ["vec_id"])
+
+
+@query(f"""WITH p AS (SELECT c, vec_id, round(embedding[c + 1]::DOUBLE, 3) AS score, CASE WHEN label % 3 = c THEN 1 ELSE 0 END AS y FROM embeddings, (VALUES (0), (1), (2)) x(c)), {_drawn("CAST(c AS VARCHAR)", id_="vec_id")},
+b AS (SELECT * FROM m UNION ALL SELECT 'macro', rep, metric, CASE WHEN count(v) = 3 THEN avg(v) END FROM m GROUP BY rep, metric)
+SELECT g AS class, metric, {LIMITS} FROM b GROUP BY g, metric""")
+def multiclass_ci(spark: SparkSession, d: str) -> DataFrame:
+    return _interval(metrics.bootstrap_classes(_scored(spark, d), "label", ["s0", "s1", "s2"], "vec_id", REPLICATES, SEED), "class")
 
 
 CLASSES = f"""t AS (SELECT c AS k, round(embedding[c + 1]::DOUBLE, 3) AS score, CASE WHEN label % 3 = c THEN 1 ELSE 0 END AS y, 1 AS w FROM embeddings, (VALUES (0), (1), (2)) v(c)), {TIED}"""
@@ -147,9 +168,10 @@ def perf_table(spark: SparkSession, d: str) -> DataFrame:
     return made.groupBy("task").pivot("lang", ["de", "en", "es", "fr"]).agg(F.max(F.round("auroc", 4)))
 
 
-@query()
+@query(f"""WITH {PRED}, {_drawn("lang")}, l AS (SELECT g AS lang, metric, {LIMITS} FROM m GROUP BY g, metric), c AS (SELECT lang, metric, printf('%.4f (%.4f, %.4f)', point, low, high) AS cell FROM l)
+SELECT lang, max(cell) FILTER (metric = 'auroc') AS auroc, max(cell) FILTER (metric = 'auprc') AS auprc, max(cell) FILTER (metric = 'f1') AS f1 FROM c GROUP BY lang""")
 def perf_cells(spark: SparkSession, d: str) -> DataFrame:
-    """Formatted intervals, one column per metric; rows only, since languages round half-way cases differently."""
-    made = metrics.bootstrap(predictions(spark, d), ["lang"], "doc_id", seed=SEED)
+    """Formatted intervals, one column per metric."""
+    made = _interval(metrics.bootstrap(predictions(spark, d), ["lang"], "doc_id", REPLICATES, SEED), "lang")
     cell = made.withColumn("cell", cells.with_interval(C("point"), C("low"), C("high")))
-    return cell.groupBy("lang").pivot("metric", ["auroc", "auprc"]).agg(F.max("cell"))
+    return cell.groupBy("lang").pivot("metric", ["auroc", "auprc", "f1"]).agg(F.max("cell"))

@@ -42,3 +42,9 @@ def mlp_fit(spark: SparkSession, d: str) -> DataFrame:
 def impute_pmm(spark: SparkSession, d: str) -> DataFrame:
     p = table(spark, d, "part").select("p_partkey", C("p_size").cast("double").alias("p_size"), F.when(C("p_partkey") % 4 != 0, C("p_retailprice")).alias("price"))
     return models.impute_pmm(p.withColumn("k", C("p_partkey") % 200 + 0.0), "p_partkey", "price", ["p_size", "k"], C("p_partkey") % 10 < 7)
+
+
+@query()
+def logit_grid(spark: SparkSession, d: str) -> DataFrame:
+    rows = _rows(spark, d).withColumn("large", (C("o_totalprice") > 200_000).cast("int"))
+    return models.univariate(rows, ["y", "large"], ["n", "discount"], C("o_custkey") % 10 < 7, "o_orderkey")

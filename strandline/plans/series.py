@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandline.operators import project, series
-from strandline.plans.catalogue import DAY, EV, FIRST_DAY, GAPS, HOUR, LAST_DAY, OPS, events, gaps, operations, query
+from strandline.plans.catalogue import DAY, EV, GAPS, HOUR, OPS, events, gaps, operations, query
 
 C = F.col
 
@@ -15,7 +15,7 @@ C = F.col
 def obs_grid(spark: SparkSession, d: str) -> DataFrame:
     o = operations(spark, d).withColumn("until", C("orin") - 1)
     e = events(spark, d).select(C("user_id").alias("subject_id"), "us")
-    return series.observed_grid(e, o, "subject_id", "op_id", "us", "adm", "until")
+    return series.observed_grid(e, o, "subject_id", "op_id", "us", "adm", "until", bucket=DAY)
 
 
 @query(f"WITH {OPS} SELECT op_id, unnest(generate_series(orin, orout, {HOUR // 2})) AS t FROM ops")
@@ -27,15 +27,26 @@ SPECS = {"click": "mean", "view": "median", "error": "sum", "signup": "last"}
 
 
 def _spans(spark: SparkSession, d: str) -> DataFrame:
-    users = events(spark, d).select("user_id").distinct().unionByName(spark.createDataFrame([(-1,)], "user_id bigint"))
-    return users.select("user_id", F.lit(FIRST_DAY).alias("t0"), F.lit(LAST_DAY).alias("t1"))
+    """Each user, and one without events, with whole days from before the first event of all to after the last."""
+    e = events(spark, d)
+    users = e.select("user_id").distinct().unionByName(spark.createDataFrame([(-1,)], "user_id bigint"))
+    day = lambda x: (F.floor(x / F.lit(DAY)) * DAY).cast("bigint")
+    ends = e.agg(day(F.min("us")).alias("t0"), (day(F.max("us")) + DAY).alias("t1"))  # one row
+    return users.crossJoin(F.broadcast(ends))
 
 
-def _grid_sql(before: int, after: int, where: str = "") -> str:
-    return f"""WITH {EV}, u AS (SELECT DISTINCT user_id FROM ev UNION ALL SELECT -1), g AS (SELECT user_id, unnest(generate_series({FIRST_DAY}, {LAST_DAY}, {DAY})) AS t FROM u)
-SELECT g.user_id, t, round(avg(value) FILTER (event_type = 'click'), 6) AS click, round(quantile_cont(value, 0.5) FILTER (event_type = 'view'), 9) AS view,
-  CASE WHEN count(us) > 0 THEN round(coalesce(sum(value) FILTER (event_type = 'error'), 0), 6) END AS error, arg_max(value, us) FILTER (event_type = 'signup') AS signup, count(us) AS n
-FROM g LEFT JOIN ev ON ev.user_id = g.user_id AND us BETWEEN t - {before} AND t + {after} GROUP BY g.user_id, t {where}"""
+SPANS = f"u AS (SELECT DISTINCT user_id FROM ev UNION ALL SELECT -1), ends AS (SELECT min(us) // {DAY} * {DAY} AS t0, max(us) // {DAY} * {DAY} + {DAY} AS t1 FROM ev), grid AS (SELECT user_id, unnest(generate_series(t0, t1, {DAY})) AS t FROM u, ends)"
+
+
+def _grid_sql(before: int, after: int, keep_empty: bool = True, keep_first: bool = True) -> str:
+    """Every window's values; rows with an event (or the first one of a user without any); the first row goes if it is blank and not wanted."""
+    some = "" if keep_empty else "QUALIFY n > 0 OR max(n) OVER (PARTITION BY user_id) = 0 AND row_number() OVER (PARTITION BY user_id ORDER BY t) = 1"
+    rest = "" if keep_first else "QUALIFY NOT (click IS NULL AND view IS NULL AND error IS NULL AND signup IS NULL AND row_number() OVER (PARTITION BY user_id ORDER BY t) = 1 AND count(*) OVER (PARTITION BY user_id) > 1)"
+    return f"""WITH {EV}, {SPANS},
+w AS (SELECT grid.user_id, t, round(avg(value) FILTER (event_type = 'click'), 6) AS click, round(quantile_cont(value, 0.5) FILTER (event_type = 'view'), 9) AS view,
+  CASE WHEN count(*) FILTER (event_type = 'error') > 0 THEN round(coalesce(sum(value) FILTER (event_type = 'error'), 0), 6) END AS error, arg_max(value, us) FILTER (event_type = 'signup') AS signup, count(us) AS n
+  FROM grid LEFT JOIN ev ON ev.user_id = grid.user_id AND us BETWEEN t - {before} AND t + {after} GROUP BY grid.user_id, t),
+k AS (SELECT * FROM w {some}) SELECT * FROM k {rest}"""
 
 
 def _rounded(df: DataFrame) -> DataFrame:
@@ -51,7 +62,7 @@ def range_grid_both(spark: SparkSession, d: str) -> DataFrame:
     return _grid(spark, d, "both")
 
 
-@query(_grid_sql(DAY, 0, "HAVING count(us) > 0"))
+@query(_grid_sql(DAY, 0, keep_empty=False))
 def range_grid_left(spark: SparkSession, d: str) -> DataFrame:
     return _grid(spark, d, "left", keep_empty=False)
 
@@ -61,14 +72,64 @@ def range_grid_right(spark: SparkSession, d: str) -> DataFrame:
     return _grid(spark, d, "right")
 
 
-@query(_grid_sql(DAY // 2, DAY // 2, f"HAVING count(us) > 0 OR t = {FIRST_DAY}"))
+@query(_grid_sql(DAY // 2, DAY // 2, keep_empty=False))
 def resample_keep_first(spark: SparkSession, d: str) -> DataFrame:
     return _grid(spark, d, "both", keep_empty=False, keep_first=True)
 
 
+@query(_grid_sql(DAY // 2, DAY // 2, keep_first=False))
+def resample_drop_first(spark: SparkSession, d: str) -> DataFrame:
+    """All points, but without a blank first one."""
+    return _grid(spark, d, "both", keep_first=False)
+
+
+@query(_grid_sql(0, DAY, keep_empty=False, keep_first=False))
+def resample_drop_both(spark: SparkSession, d: str) -> DataFrame:
+    """Points with an event, and of those no blank first one."""
+    return _grid(spark, d, "right", keep_empty=False, keep_first=False)
+
+
+LASTING = {"click": "mean_w", "view": "median_w", "error": "sum_w", "signup": "mode_w"}
+
+
+def _lasting_sql(before: int, after: int) -> str:
+    """Events that last until the user's next one (each fifth has no end), weighted by their overlap with the window, a sum by their part in it."""
+    return f"""WITH {EV}, {SPANS}, i AS (SELECT user_id, event_type, floor(value) AS value, us, CASE WHEN event_id % 5 <> 0 THEN lead(us) OVER (PARTITION BY user_id ORDER BY us) END AS us2 FROM ev),
+m AS (SELECT grid.user_id, t, us, event_type, value, CASE WHEN us2 IS NOT NULL THEN greatest(0, least(us2, t + {after}) - greatest(us, t - {before}))::DOUBLE END AS w, us2 - us AS total
+  FROM grid LEFT JOIN i ON i.user_id = grid.user_id AND us <= t + {after} AND coalesce(us2, us) >= t - {before}),
+one AS (SELECT user_id, t, CASE WHEN sum(w) FILTER (event_type = 'click') > 0 THEN round(sum(value * w) FILTER (event_type = 'click') / sum(w) FILTER (event_type = 'click'), 6) END AS click,
+  CASE WHEN count(*) FILTER (event_type = 'error') > 0 THEN round(coalesce(sum(CASE WHEN total > 0 THEN value * w / total END) FILTER (event_type = 'error'), 0), 6) END AS error, count(us) AS n FROM m GROUP BY user_id, t),
+v AS (SELECT user_id, t, event_type, value, sum(w) AS w FROM m WHERE w IS NOT NULL AND value IS NOT NULL GROUP BY ALL),
+c AS (SELECT *, sum(w) OVER (PARTITION BY user_id, t ORDER BY value ROWS UNBOUNDED PRECEDING) / nullif(sum(w) OVER (PARTITION BY user_id, t), 0) AS share FROM v WHERE event_type = 'view'),
+med AS (SELECT user_id, t, max(value) FILTER (share <= 0.5) AS view FROM c GROUP BY user_id, t),
+mo AS (SELECT user_id, t, value AS signup FROM v WHERE event_type = 'signup' QUALIFY row_number() OVER (PARTITION BY user_id, t ORDER BY w DESC, value) = 1)
+SELECT user_id, t, click, view, error, signup, n FROM one LEFT JOIN med USING (user_id, t) LEFT JOIN mo USING (user_id, t)"""
+
+
+def _lasting(spark: SparkSession, d: str, direction: str) -> DataFrame:
+    following = F.lead("us").over(Window.partitionBy("user_id").orderBy("us"))
+    e = events(spark, d).withColumns({"us2": F.when(C("event_id") % 5 != 0, following), "value": F.floor("value").cast("double")})
+    return _rounded(series.resample(e, _spans(spark, d), "user_id", "us", "event_type", "value", LASTING, "t0", "t1", DAY, DAY, direction, end="us2"))
+
+
+@query(_lasting_sql(DAY // 2, DAY // 2))
+def resample_lasting_both(spark: SparkSession, d: str) -> DataFrame:
+    return _lasting(spark, d, "both")
+
+
+@query(_lasting_sql(DAY, 0))
+def resample_lasting_left(spark: SparkSession, d: str) -> DataFrame:
+    return _lasting(spark, d, "left")
+
+
+@query(_lasting_sql(0, DAY))
+def resample_lasting_right(spark: SparkSession, d: str) -> DataFrame:
+    return _lasting(spark, d, "right")
+
+
 @query(f"""WITH {EV}, g AS (SELECT DISTINCT user_id, us AS t FROM ev WHERE event_type = 'purchase')
 SELECT g.user_id, t, round(avg(value) FILTER (event_type = 'click'), 6) AS click, round(quantile_cont(value, 0.5) FILTER (event_type = 'view'), 9) AS view,
-  CASE WHEN count(us) > 0 THEN round(coalesce(sum(value) FILTER (event_type = 'error'), 0), 6) END AS error, arg_max(value, us) FILTER (event_type = 'signup') AS signup, count(us) AS n
+  CASE WHEN count(*) FILTER (event_type = 'error') > 0 THEN round(coalesce(sum(value) FILTER (event_type = 'error'), 0), 6) END AS error, arg_max(value, us) FILTER (event_type = 'signup') AS signup, count(us) AS n
 FROM g LEFT JOIN ev ON ev.user_id = g.user_id AND us BETWEEN t - {DAY} AND t GROUP BY g.user_id, t""")
 def range_grid_irregular(spark: SparkSession, d: str) -> DataFrame:
     e = events(spark, d)
@@ -76,8 +137,8 @@ def range_grid_irregular(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(series.resample_at(e, grid, "user_id", "t", "us", "event_type", "value", SPECS, DAY, "left"))
 
 
-@query(f"""WITH {GAPS}, u AS (SELECT DISTINCT user_id FROM ev), s AS (SELECT user_id, unnest(generate_series({FIRST_DAY}, {LAST_DAY}, {DAY})) AS t FROM u)
-SELECT s.user_id, t, round(avg(x), 6) AS x, max(y) AS y FROM s LEFT JOIN g ON g.user_id = s.user_id AND us BETWEEN t - {DAY // 2} AND t + {DAY // 2} GROUP BY s.user_id, t""")
+@query(f"""WITH {GAPS}, {SPANS}
+SELECT grid.user_id, t, round(avg(x), 6) AS x, max(y) AS y FROM grid LEFT JOIN g ON g.user_id = grid.user_id AND us BETWEEN t - {DAY // 2} AND t + {DAY // 2} WHERE grid.user_id >= 0 GROUP BY grid.user_id, t""")
 def resample_wide(spark: SparkSession, d: str) -> DataFrame:
     spans = _spans(spark, d).filter("user_id >= 0")
     made = series.resample_wide(gaps(spark, d), spans, "user_id", "us", {"x": "mean", "y": "max"}, "t0", "t1", DAY, DAY)
@@ -123,6 +184,25 @@ def fill_two_step(spark: SparkSession, d: str) -> DataFrame:
     return series.fill(gaps(spark, d), KEY, "us", rules, {"x": {"median": 33.0}}).select("event_id", "x", "y")
 
 
+BLANKS = f"""{GAPS}, b AS (SELECT user_id, us, event_id, CASE WHEN user_id % 9 <> 0 AND event_id % 4 <> 0 THEN floor(x / 40) END AS m, CASE WHEN user_id % 9 <> 0 AND event_id % 4 <> 0 THEN CASE WHEN floor(x / 40) % 2 = 0 THEN 'even' WHEN x IS NOT NULL THEN 'odd' END END AS c FROM g)"""
+#: The most frequent value of a user, of equally frequent ones that which occurs last.
+MODE = "(SELECT arg_max({0}, (n, last)) FROM (SELECT {0}, count(*) AS n, max(us) AS last FROM {1} q WHERE q.user_id = {2}.user_id AND {0} IS NOT NULL GROUP BY {0}))"
+
+
+@query(f"""WITH {BLANKS}, n AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY us) AS nth FROM b),
+f AS (SELECT user_id, us, event_id, CASE WHEN m IS NULL AND nth = 1 THEN coalesce({MODE.format('m', 'b', 'n')}, -7) ELSE m END AS m,
+  CASE WHEN c IS NULL AND nth = 1 THEN coalesce((SELECT arg_min(c, us) FROM b q WHERE q.user_id = n.user_id AND c IS NOT NULL), 'none') ELSE c END AS c,
+  CASE WHEN m IS NULL AND nth = 1 THEN coalesce((SELECT median(m) FROM b q WHERE q.user_id = n.user_id), -7) ELSE m END AS k FROM n)
+SELECT event_id, coalesce(m, {MODE.format('m', 'f', 'f')}, -7) AS m, coalesce(c, {MODE.format('c', 'f', 'f')}, 'none') AS c, round(coalesce(k, avg(k) OVER (PARTITION BY user_id), -7), 6) AS k FROM f""")
+def fill_own(spark: SparkSession, d: str) -> DataFrame:
+    """Fills from a series' own values; a ninth of the users have none."""
+    m = F.when((C("user_id") % 9 != 0) & (C("event_id") % 4 != 0), F.floor(C("x") / 40).cast("double"))
+    b = gaps(spark, d).select("user_id", "us", "event_id", m.alias("m"), m.alias("k"), F.when(m % 2 == 0, "even").when(m.isNotNull(), "odd").alias("c"))
+    rules = {"m": ("num", "mode_k", "mode_k"), "c": ("cat", "nocb", "mode_k"), "k": ("num", "median_k", "mean_k")}
+    made = series.fill(b, KEY, "us", rules, {"m": {"cont": -7.0}, "c": {"cont": "none"}, "k": {"cont": -7.0}})
+    return made.select("event_id", "m", "c", F.round("k", 6).alias("k"))
+
+
 @query(f"""WITH {GAPS}, m AS (SELECT *, max(CASE WHEN x IS NOT NULL THEN us END) OVER (PARTITION BY user_id) AS last FROM g) SELECT event_id, CASE WHEN us > last THEN -1e0 ELSE x END AS x, CASE WHEN x IS NOT NULL THEN 1 ELSE 0 END AS x_mask FROM m""")
 def fill_last_value(spark: SparkSession, d: str) -> DataFrame:
     return series.fill_after_last(series.masks(gaps(spark, d), ["x"]), KEY, "us", "x", "x_mask", -1.0).select("event_id", "x", "x_mask")

@@ -34,7 +34,7 @@ def test_labs(made):
 
 
 def test_ward(made):
-    assert rows(made["ward_vit"], "time", "nibp_mbp", "hr") == [(1, 100.0, 80.0, 100.0), (1, 200.0, 80.0, 60.0)]
+    assert rows(made["ward_vit"], "time", "nibp_mbp", "hr") == [(1, 100.0, 80.0, 100.0), (1, 200.0, 80.0, 60.0), (2, 500.0, None, 80.0)]
 
 
 def test_vitals_and_labels(made):

@@ -11,7 +11,7 @@ OPS = "op_id bigint, subject_id bigint, hadm_id bigint, age double, weight doubl
 def made(spark):
     op = lambda i, s, **kw: tuple(({"op_id": i, "subject_id": s, "hadm_id": i, "age": 70.0, "weight": 80.0, "height": 200.0, "sex": "F", "race": "x", "asa": 3, "emop": 1, "antype": "General", "icd10_pcs": "0DTJ", "admission_time": 0.0, "discharge_time": 9000.0, "orin_time": 1000.0, "orout_time": 1200.0, "opstart_time": 1020.0, "opend_time": 1180.0, "anstart_time": 1005.0, "anend_time": 1195.0, "cpbon_time": None, "cpboff_time": None, "icuin_time": 1300.0, "icuout_time": 2000.0, "inhosp_death_time": None} | kw).values())
     operations = spark.createDataFrame([op(1, 10), op(2, 20, sex="M", asa=None, icd10_pcs="ZZ", age=80.0, inhosp_death_time=1200.0 + 43200), op(3, 30, antype="Local"), op(4, 40, opend_time=1030.0), op(5, 50, age=16.0)], OPS)
-    diagnosis = spark.createDataFrame([(10, 900.0, "I21"), (10, 900.0, "I21"), (10, 1000.0, "C78"), (10, 1001.0, "E11"), (10, 1500.0, "I63"), (10, 9000.0, "J96"), (20, 2000.0, "I82"), (20, 2000.0, "I81")], "subject_id bigint, chart_time double, icd10_cm string")
+    diagnosis = spark.createDataFrame([(10, 900.0, "I21"), (10, 900.0, "I21"), (10, 999.0, "C78"), (10, 1001.0, "E11"), (10, 1500.0, "I63"), (10, 9000.0, "J96"), (20, 2000.0, "I82"), (20, 2000.0, "I81")], "subject_id bigint, chart_time double, icd10_cm string")
     labs = spark.createDataFrame([(10, 500.0, "troponin_t", 0.001), (10, 600.0, "troponin_t", 0.5), (10, 1300.0, "troponin_t", 0.005), (10, 1400.0, "troponin_t", 0.016), (10, 100.0, "creatinine", 9.0), (10, 990.0, "creatinine", 1.0), (10, 1250.0, "creatinine", 2.0), (10, 1000.0, "alt", 10.0), (10, 1190.0, "alt", 200.0), (20, 1300.0, "troponin_t", 0.065)], "subject_id bigint, chart_time double, item_name string, value double")
     ward = spark.createDataFrame([(10, 1000.0, "ecmo", 1.0), (10, 1300.0, "vent", 0.0), (10, 1400.0, "vent", 1.0), (20, 1201.0, "vent", 1.0), (20, 8999.0, "hr", 80.0)], "subject_id bigint, chart_time double, item_name string, value double")
     rows = cohort.prepare(operations, diagnosis, labs, ward).collect()
@@ -51,6 +51,15 @@ def test_outcomes(made):
     assert (a["postop_ventilation"], a["postop_continuous_renal_replacement_therapy"]) == (1, 0)
 
 
+def test_edges_of_time(spark):
+    rows = [(i, 10, "F", 1000.0, 1000.0, 1100.0, 1100.0, death) for i, death in enumerate([None, 1100.0 + 43200, 1100.0 + 43201, 1100.0 + 31 * 1440])]
+    o = spark.createDataFrame(rows, "op_id bigint, subject_id bigint, sex string, orin_time double, opstart_time double, opend_time double, orout_time double, inhosp_death_time double")
+    alt = spark.createDataFrame([(10, 1000.0, "alt", 10.0), (10, 1100.0, "alt", 52.5)], "subject_id bigint, chart_time double, item_name string, value double")
+    assert [r.postop_acute_liver_injury for r in cohort.liver(o, alt).orderBy("op_id").collect()] == [0, 5, 0, 0]
+    diagnosis = spark.createDataFrame([(10, 999.0, "I10"), (10, 1000.0, "I21")], "subject_id bigint, chart_time double, icd10_cm string")
+    assert {(r.op_id, r.icd10_cm) for r in cohort.preoperative(o, diagnosis).collect()} == {(i, "I10") for i in range(4)}
+
+
 def test_scores(made):
     a, b = made[0][1], made[0][2]
     assert a["sort_score"] == pytest.approx(1.411 + 1.657 + 0.712 + 0.381 + 0.667 + 0.777) and b["sort_score"] is None

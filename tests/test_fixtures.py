@@ -7,9 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from strandline.dictionary import Variable, check_against, from_rows, listed
-from strandline.functions import cells
+from strandline.functions import aggregates, cells
 from strandline.functions.aggregates import aggregate
-from strandline.operators import cohort, encode, joins, labels, metrics, project, series, stats
+from strandline.operators import cohort, encode, joins, labels, metrics, models, project, series, stats
 
 
 def rows(df, *order):
@@ -31,8 +31,69 @@ def test_keep_first(spark):
     e = spark.createDataFrame([(1, 100, "a", 1.0)], "k bigint, us bigint, item string, value double")
     s = spark.createDataFrame([(1, 0, 100), (2, 0, 100)], "k bigint, t0 bigint, t1 bigint")
     made = lambda first: rows(series.resample(e, s, "k", "us", "item", "value", {"a": "mean"}, "t0", "t1", 100, 50, keep_empty=False, keep_first=first), "k", "t")
-    assert made(True) == [(1, 0, None, 0), (1, 100, 1.0, 1), (2, 0, None, 0)]
-    assert made(False) == made(None) == [(1, 100, 1.0, 1)]
+    assert made(True) == made(False) == [(1, 100, 1.0, 1), (2, 0, None, 0)]
+    # With empty rows kept, a blank first row goes if it is not wanted and others follow.
+    full = lambda first: rows(series.resample(e, s, "k", "us", "item", "value", {"a": "mean"}, "t0", "t1", 100, 50, keep_first=first), "k", "t")
+    assert full(True) == [(1, 0, None, 0), (1, 100, 1.0, 1), (2, 0, None, 0), (2, 100, None, 0)]
+    assert full(False) == [(1, 100, 1.0, 1), (2, 100, None, 0)]
+    # A first row with events, but none of the items, is blank too.
+    e = e.unionByName(spark.createDataFrame([(1, 0, "other", 1.0)], e.schema))
+    assert made(True) == [(1, 0, None, 1), (1, 100, 1.0, 1), (2, 0, None, 0)] and made(False) == [(1, 100, 1.0, 1), (2, 0, None, 0)]
+    grid = series.regular_grid(s, "k", "t0", "t1", 100)
+    at = lambda **kw: rows(series.resample_at(e, grid, "k", "t", "us", "item", "value", {"a": "mean"}, 50, **kw), "k", "t")
+    assert [at(keep_empty=False, keep_first=f) for f in (True, False)] == [made(True), made(False)]
+
+
+def test_events_that_last(spark):
+    rows_ = [(1, 0, 10, "a", 4.0), (1, 8, None, "a", 9.0), (1, 9, 9, "a", 7.0), (1, 0, 20, "b", 1.0), (1, 12, 18, "b", 2.0)]
+    e = spark.createDataFrame(rows_, "k bigint, s bigint, t bigint, item string, value double")
+    spans = spark.createDataFrame([(1, 10, 10)], "k bigint, t0 bigint, t1 bigint")
+    grid = series.regular_grid(spans, "k", "t0", "t1", 5, "g")
+    specs = {"a": "sum_w", "b": "mode_w"}
+    # The window [5, 15]: half of the first event, none of the point's or the empty one's weight; of b ten minutes and three.
+    got = rows(series.resample(e, spans, "k", "s", "item", "value", specs, "t0", "t1", 5, 10, end="t"))
+    assert got == [(1, 10, 2.0, 1.0, 5)] == rows(series.resample_at(e, grid, "k", "g", "s", "item", "value", specs, 10, end="t"))
+    means = rows(series.resample(e, spans, "k", "s", "item", "value", {"b": "mean_w", "a": "sum"}, "t0", "t1", 5, 10, end="t"))
+    assert means[0][2:4] == (pytest.approx(16 / 13), 20.0)
+    left = rows(series.resample(e, spans, "k", "s", "item", "value", {"b": "sum_w"}, "t0", "t1", 5, 4, "left", end="t"))
+    assert left == [(1, 10, pytest.approx(4 / 20), 4)]
+
+
+def test_intervals_by_bucket(spark):
+    rng = random.Random(1)
+    e = spark.createDataFrame([(rng.randrange(3), a := rng.randrange(300), None if rng.random() < 0.1 else a + rng.randrange(90)) for _ in range(200)], "k bigint, s bigint, t bigint")
+    w = spark.createDataFrame([(i, rng.randrange(3), a := rng.randrange(300), a + rng.randrange(90)) for i in range(60)], "w bigint, k bigint, a bigint, b bigint")
+    one, two = (sorted(map(tuple, joins.interval_join(e, w, "k", "s", "t", "a", "b", bucket).collect()), key=str) for bucket in (None, 20))
+    assert one == two and len(one) > 100
+    grid = lambda bucket: sorted(map(tuple, series.observed_grid(e, w, "k", "w", "s", "a", "b", bucket).collect()))
+    assert grid(None) == grid(25)
+
+
+def test_fills_of_a_series_without_values_and_of_ties(spark):
+    d = spark.createDataFrame([(1, t, None, None) for t in range(3)] + [(2, t, x, c) for t, (x, c) in enumerate([(None, None), (2.0, "b"), (1.0, "a"), (1.0, "a"), (2.0, "b"), (None, None)])], "k int, t bigint, x double, c string")
+    given = {"x": {"cont": -1.0}, "c": {"cont": "z"}}
+    for how in ("mean_k", "median_k", "mode_k"):
+        got = [r[2] for r in rows(series.fill(d, ["k"], "t", {"x": ("num", how, how)}, given), "k", "t")]
+        assert got[:3] == [-1.0] * 3 and got[3] == {"mean_k": 1.5, "median_k": 1.5, "mode_k": 2.0}[how]
+    got = [r[2] for r in rows(series.fill(d, ["k"], "t", {"x": ("num", "nocb", "locf")}, given), "k", "t")]
+    assert got == [-1, -1, -1, 2, 2, 1, 1, 2, 2]
+    got = [r[3] for r in rows(series.fill(d, ["k"], "t", {"c": ("cat", "mode_k", "mode_k")}, given), "k", "t")]
+    assert got == ["z"] * 3 + ["b", "b", "a", "a", "b", "b"]
+    assert [r[3] for r in rows(series.fill(d, ["k"], "t", {"c": ("cat", "zero", "locf")}, given), "k", "t")][:4] == ["0", "0", "0", "0"]
+    for kind, first, rest in (("num", "mode", "lin"), ("bin", "mean", "zero"), ("cat", "mean_k", "locf")):
+        with pytest.raises(ValueError):
+            series.fill(d, ["k"], "t", {"x": (kind, first, rest)}, given)
+
+
+def test_aggregates_in_groups_of_any_order(spark):
+    rng = random.Random(4)
+    data = [(g, t, None if rng.random() < 0.1 else float(rng.randrange(5)), None if rng.random() < 0.1 else float(rng.randrange(4))) for g in range(40) for t in range(rng.randrange(1, 15))]
+    d = spark.createDataFrame(data, "g int, t bigint, x double, w double")
+    x, t, w = F.col("x"), F.col("t"), F.col("w")
+    made = d.groupBy("g").agg(*(aggregates.aggregate(n)(x, t, w).alias(n) for n in ("mode", "mode_w", "median_w")))
+    for one, by in (("mode", stats.mode_last(d, ["g"], "x", "t")), ("mode_w", stats.mode_weighted(d, ["g"], "x", "w")), ("median_w", stats.median_weighted(d, ["g"], "x", "w"))):
+        want = dict(map(tuple, by.collect()))
+        assert {r.g: r[one] for r in made.collect()} == {g: want.get(g) for g in range(40)}, one
 
 
 @pytest.fixture()
@@ -158,7 +219,9 @@ def test_kidney_stages(spark):
 
 def test_liver_and_injury_and_points(spark):
     d = spark.createDataFrame([(1.0, x, 0) for x in (10.0, 35.5, 71.0, 106.0, 176.0, 701.0)] + [(1.0, 1.0, 1), (None, 1.0, 0)], "a double, b double, died int")
-    assert [r[0] for r in rows(d.select(labels.liver_grade(F.col("a"), F.col("b"), F.lit(35.0), F.col("died"))))] == [0, 1, 1, 2, 4, 4, 5, None]
+    assert [r[0] for r in rows(d.select(labels.liver_grade(F.col("a"), F.col("b"), F.lit(35.0), F.col("died"))))] == [0, 0, 1, 2, 4, 4, 5, None]
+    cuts = spark.createDataFrame([(x,) for x in (1.5, 2.0, 2.5, 3.0)], "x double")
+    assert [r[0] for r in rows(cuts.select(labels.liver_grade(F.lit(1.0), F.col("x"), F.lit(1.0), F.lit(0))))] == [0, 0, 1, 1]
     v = spark.createDataFrame([(1.0, 16.0), (18.0, 23.0), (None, 65.0), (None, 20.0), (1.0, None)], "a double, b double")
     assert rows(v.select(*labels.injury(F.col("a"), F.col("b")))) == [(1, 0), (0, 1), (None, 1), (None, 0), (None, None)]
     assert labels.overriding([(["a", "b"], 2), (["b"], 6)]) == {"a": 2, "b": 6}
@@ -199,7 +262,11 @@ def test_bootstrap_is_reproducible(spark):
     d = scored(spark, [i % 2 for i in range(60)], [i * 37 % 61 for i in range(60)]).withColumn("id", F.monotonically_increasing_id())
     one = rows(metrics.bootstrap(d, ["k"], "id", 20, 7), "metric")
     assert one == rows(metrics.bootstrap(d.repartition(5), ["k"], "id", 20, 7), "metric")
-    assert all(low <= point <= high for _, _, point, low, high, _ in one)
+    assert all(low <= point <= high for _, metric, point, low, high, _ in one if metric in ("auroc", "accuracy", "f1")) and len(one) == 7
+    point = rows(metrics.discrimination(d, ["k"]))[0]
+    best = metrics.best_threshold(d, ["k"])
+    sure = rows(metrics.confusion(d.join(best, "k"), ["k"], "threshold"))[0]
+    assert point[3:] == pytest.approx(sure[1:]) and point[1:3] == pytest.approx(rows(metrics.area(d, ["k"]))[0][1:])
     assert one != rows(metrics.bootstrap(d, ["k"], "id", 20, 8), "metric")
 
 
@@ -241,6 +308,8 @@ def test_class_weights(spark):
     d = spark.createDataFrame([(0,)] * 90 + [(1,)] * 10 + [(None,)], "y int")
     got = rows(cohort.class_weights(d, "y").select("y", "weight", "outputs"), "y")
     assert [(a, round(b, 6), c) for a, b, c in got] == [(0, 0.1, 1), (1, 0.9, 1)]
+    three = rows(cohort.class_weights(spark.createDataFrame([(0,)] * 5 + [(1,)] * 3 + [(2,)] * 2, "y int"), "y").select("weight", "outputs"), "y")
+    assert [(round(b, 4), c) for b, c in three] == [(0.1935, 3), (0.3226, 3), (0.4839, 3)]
 
 
 def test_renames_are_one_after_the_other(spark):
@@ -286,3 +355,28 @@ def test_totals_and_histogram(spark):
     d = spark.createDataFrame([("a", 1.0), ("b", 16.0), ("b", 95.0)], "g string, v double")
     assert rows(stats.with_total(d, "g", "overall", [F.count("*").alias("n")]).select("g", "n"), "g") == [("a", 1), ("b", 2), ("overall", 3)]
     assert rows(stats.histogram(d, "v", 15.0, 600.0), "bin") == [(0.0, 1), (15.0, 1), (90.0, 1)]
+    # Up to 200, so the last bin ends at 210 and is closed; up to 600, a whole number of bins.
+    wide = spark.createDataFrame([(v,) for v in (-1.0, 180.0, 195.0, 209.0)] * 2, "v double")
+    assert rows(stats.histogram(wide.filter("v < 181"), "v", 15.0, 600.0), "bin") == [(180.0, 2)]
+    top = spark.createDataFrame([(v,) for v in (599.0, 600.0, 601.0)], "v double")
+    assert rows(stats.histogram(top, "v", 15.0, 600.0), "bin") == [(585.0, 2)]
+
+
+def test_chained_imputation(spark):
+    rng = random.Random(3)
+    made = [(i, i % 2, a := rng.random() * 10, 2 * a + rng.random() * 0.01, 5 - a) for i in range(240)]
+    holes = [tuple(None if j >= 2 and (i * 7 + j) % 9 == 0 else v for j, v in enumerate(row)) for i, row in enumerate(made)]
+    d = spark.createDataFrame([(*h, None) for h in holes], "id bigint, part int, a double, b double, c double, none double")
+    got = {r.id: r for r in models.impute_chain(d, "id", ["a", "b", "c", "none"], "part", rounds=2).collect()}
+    gaps = [(i, c, made[i][j]) for i, h in enumerate(holes) for j, c in ((2, "a"), (3, "b"), (4, "c")) if h[j] is None]
+    assert len(got) == 240 and gaps and all(got[i][c] is not None for i, c, _ in gaps) and got[0]["none"] is None
+    assert sum(abs(got[i][c] - want) for i, c, want in gaps) / len(gaps) < 0.6
+    assert all(got[i][c] == h[j] for i, h in enumerate(holes) for j, c in ((2, "a"), (3, "b"), (4, "c")) if h[j] is not None)
+    donors = {p: {h[2] for h in holes if h[1] == p} for p in (0, 1)}
+    assert all(got[i]["a"] in donors[i % 2] for i, c, _ in gaps if c == "a")
+
+
+def test_names_are_matched_either_way(spark):
+    d = spark.createDataFrame([("Heart_and_Great_Vessels",), ("heart",), ("Other site",), (None,)], "x string")
+    got = [r[0] for r in d.select(project.match_names(F.col("x"), {"heart and": "A", "Great Vessels": "B", "site": "C"})).collect()]
+    assert got == ["A", "A", "C", None]
