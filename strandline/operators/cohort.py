@@ -26,7 +26,7 @@ def draw(salt: str, name: str) -> Column:
     return F.md5(F.concat(F.lit(salt), F.col(name).cast("string")).cast("binary"))
 
 
-def numbered(df: DataFrame, order: Sequence[Column], out: str, parts: int = 64) -> DataFrame:
+def numbered(df: DataFrame, order: Sequence[Column], out: str) -> DataFrame:
     """Rows numbered from 1 in a total order, without bringing them into one task.
 
     The first order column must be a hexadecimal string that is spread evenly: rows are

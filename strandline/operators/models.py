@@ -26,11 +26,14 @@ CLASSIFIERS = {
 }
 
 
-def classify(df: DataFrame, kind: str, features: Sequence[str], label: str, train: Column, keep: Sequence[str]) -> DataFrame:
-    """Fit on the training rows that have a label, and return `keep`, the label and the probability of 1 for all rows."""
+def classify(df: DataFrame, kind: str, features: Sequence[str], label: str, train: Column, keep: Sequence[str], **sizes) -> DataFrame:
+    """Fit on the training rows that have a label, and return `keep`, the label and the probability of 1 for all rows.
+
+    sizes: parameters of the estimator, such as numTrees=100, maxDepth=30 or layers=[n, 256, 128, 64, 2], in place of those of CLASSIFIERS.
+    """
     if kind not in CLASSIFIERS:
         raise ValueError(f"unknown model {kind!r}")
-    stages = [VectorAssembler(inputCols=list(features), outputCol="_raw", handleInvalid="skip"), StandardScaler(inputCol="_raw", outputCol="_scaled", withMean=True), CLASSIFIERS[kind](label, len(features))]
+    stages = [VectorAssembler(inputCols=list(features), outputCol="_raw", handleInvalid="skip"), StandardScaler(inputCol="_raw", outputCol="_scaled", withMean=True), CLASSIFIERS[kind](label, len(features)).setParams(**sizes)]
     rows = df.select(*keep, *(c for c in (*features, label) if c not in keep), train.alias("_train"))
     model = Pipeline(stages=stages).fit(rows.filter(F.col("_train") & F.col(label).isNotNull()).withColumn(label, F.col(label).cast("double")))
     scored = model.transform(rows.withColumn(label, F.col(label).cast("double")))

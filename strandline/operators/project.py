@@ -146,7 +146,3 @@ def transpose(df: DataFrame, key: str, columns: Sequence[str], groups: Sequence[
 
 def fill_zero(df: DataFrame, names: Sequence[str]) -> DataFrame:
     return df.fillna(0, subset=list(names))
-
-
-def apply(df: DataFrame, columns: Mapping[str, Column]) -> DataFrame:
-    return df.withColumns(dict(columns))
