@@ -31,8 +31,8 @@ def _spans(spark: SparkSession, d: str) -> DataFrame:
     e = events(spark, d)
     users = e.select("user_id").distinct().unionByName(spark.createDataFrame([(-1,)], "user_id bigint"))
     day = lambda x: (F.floor(x / F.lit(DAY)) * DAY).cast("bigint")
-    ends = e.agg(day(F.min("us")).alias("t0"), (day(F.max("us")) + DAY).alias("t1"))  # one row
-    return users.crossJoin(F.broadcast(ends))
+    t0, t1 = e.agg(day(F.min("us")), day(F.max("us")) + DAY).first()
+    return users.select("user_id", *(F.lit(t).cast("bigint").alias(n) for n, t in (("t0", t0), ("t1", t1))))
 
 
 SPANS = f"u AS (SELECT DISTINCT user_id FROM ev UNION ALL SELECT -1), ends AS (SELECT min(us) // {DAY} * {DAY} AS t0, max(us) // {DAY} * {DAY} + {DAY} AS t1 FROM ev), grid AS (SELECT user_id, unnest(generate_series(t0, t1, {DAY})) AS t FROM u, ends)"
