@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from strandline.shared import cut, remove_at_end, shared_dir
+
+__all__ = ["cut", "join_hot", "let", "lowest", "sha256", "shared_dir", "stored", "table"]
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -51,35 +54,6 @@ def join_hot(left: DataFrame, right: DataFrame, on: list[str], by: str, how: str
     return salted.join(salted.select(*on, "_salt").distinct().join(right, on), [*on, "_salt"], how).drop("_salt")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The checkpoint folder that the cluster names.  Without one, a session on one machine gets a folder of its own; a cluster, an error."""
-    sc = spark.sparkContext
-    held = sc._jsc.sc().getCheckpointDir()
-    if held.isEmpty():
-        named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
-        if not named:
-            if not sc.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-            named = tempfile.mkdtemp(prefix="checkpoints-")
-        sc.setCheckpointDir(named)
-        held = sc._jsc.sc().getCheckpointDir()
-        remove_at_end(spark, held.get())
-    return held.get()
-
-
-def remove_at_end(spark: SparkSession, path: str) -> None:
-    """Have the driver remove a folder of intermediate rows when it ends."""
-    sc = spark.sparkContext
-    place = sc._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(place)
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """The same rows, written to the shared folder, without their lineage."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def stored(df: DataFrame) -> DataFrame:
     """The same rows as a Parquet table in the shared folder: smaller than a checkpoint, for rows with texts."""
     spark = df.sparkSession

@@ -5,21 +5,21 @@ the one with the least hash is its anchor; equal windows have equal anchors, so
 window cannot repeat unless its anchor does (neighbouring windows mostly share an
 anchor, which leaves about a seventh as many things to count).
 
-Pass 1: each task counts its anchors in a sparse count-min sketch of one row, whose
-cells are dealt over shards.  The partition sketches are merged shard by shard in
-Spark; a cell that was hit at least twice in all marks its anchors.  Collisions only
-add hits, so counts are never too low.  With its cells a task sends where the anchor
-stands, so that the merged shard itself says which anchors of which documents are
-estimated repeated.  An anchor that a task has met twice needs no answer: its places
-go past the shard, over all tasks, and the shard gets the count alone.  So a passage
-that is in every document sends one entry per task to its shard.
+Pass 1: each task counts its anchors in a sparse count-min sketch of one row.  The
+partition sketches are merged in Spark, cell by cell; a cell that was hit at least
+twice in all marks its anchors.  Collisions only add hits, so counts are never too
+low.  With a cell a task sends where the anchor stands, so that the merged cell itself
+says which anchors of which documents are estimated repeated.  An anchor that a task
+has met twice needs no answer: its places go past the cell, over all tasks, and the
+cell gets the count alone.  So a passage that is in every document sends one row per
+task to its cell.
 Pass 2: windows whose anchor is estimated repeated are grouped exactly, by a 128-bit
 BLAKE2 digest of their words.  A task first settles what repeats within itself, so
 that a window of which there are many copies sends one row per task; what is left
 is ordered by (doc_id, start) within each digest, and all but the first are removed.
 
 The sketch has CELLS cells for each anchor expected, whatever the size of the input;
-no task holds more of it than a shard, and nothing is broadcast.  Texts are shuffled
+no task holds more of it than its own anchors, and nothing is broadcast.  Texts are shuffled
 once, by document; both passes' joins use that one exchange.
 """
 
@@ -37,12 +37,10 @@ from .text import SPACED, Words, find_package, mix, slices, words
 
 #: Words in a window and in an anchor.
 WINDOW, ANCHOR = 20, 8
-#: Cells of the sketch: for each anchor expected (at 42 characters an anchor), and in a shard, as a power of two.
-CELLS, SHARD_BITS = 64, 16
+#: Cells of the sketch for each anchor expected, at 42 characters an anchor.
+CELLS = 64
 #: Anchors or windows that a task holds before it hands them on.
 HELD = 1 << 21
-#: An anchor's entry in a shard: its cell, the document's key, the place in it (-1: met twice in the task, no answer wanted).
-ENTRY = np.dtype([("cell", "<u2"), ("key", "<i8"), ("place", "<i4")])
 
 
 def _least(values: np.ndarray, span: int) -> np.ndarray:
@@ -69,37 +67,29 @@ def _anchors(run: Words, window: int, anchor: int) -> tuple[np.ndarray, np.ndarr
     return shingles, chosen, least, inside
 
 
-def _packed(shards: np.ndarray, entries: np.ndarray) -> pa.RecordBatch:
-    """One row (shard, entries as bytes) for each run of equal shards."""
-    at = np.flatnonzero(np.diff(shards, prepend=shards[0] - 1)) if len(shards) else np.empty(0, np.int64)
-    ends = (np.append(at, len(shards)) * ENTRY.itemsize).astype(np.int32)
-    binary = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(ends), pa.py_buffer(entries.tobytes())])
-    return pa.RecordBatch.from_arrays([pa.array(shards[at], pa.int64()), binary], ["shard", "entries"])
-
-
 def _estimated(keyed: DataFrame, bits: int, window: int, anchor: int) -> DataFrame:
     """key, place (of anchors, by words): those that the merged sketch of 2**bits cells estimates to be repeated."""
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
 
-        def out() -> Iterator[pa.RecordBatch]:
+        def out() -> pa.RecordBatch:
             cells, keys, places = (np.concatenate(x) for x in zip(*held, strict=True))
             order = np.argsort(cells, kind="stable")
             cells, keys, places = cells[order], keys[order], places[order]
             first = np.ones(len(cells), bool)
             first[1:] = cells[1:] != cells[:-1]
-            at = np.flatnonzero(first)
-            many = np.repeat(np.diff(np.append(at, len(cells))) > 1, np.diff(np.append(at, len(cells))))
-            entries = np.empty(len(cells), ENTRY)
-            entries["cell"], entries["key"], entries["place"] = cells & np.uint64((1 << SHARD_BITS) - 1), keys, places
-            # Met twice here: the places need no answer, the shard gets the count.
-            known = entries[many]
-            entries["place"][many] = -1
-            yield _packed((cells[first] >> np.uint64(SHARD_BITS)).astype(np.int64), entries[first])
-            spread = -1 - (mix(known["key"].astype(np.int64).view(np.uint64)) >> np.uint64(48)).astype(np.int64)
-            order = np.argsort(spread, kind="stable")
-            yield _packed(spread[order], known[order])
+            hits = np.diff(np.append(np.flatnonzero(first), len(cells)))
+            many = np.repeat(hits > 1, hits)
+            # Met twice here: the cell gets the count alone; the places go by cells of their own, under 0, spread by document.
+            once, twice = first & ~many, first & many
+            spread = -1 - (mix(keys[many].view(np.uint64)) >> np.uint64(2)).astype(np.int64)
+            columns = (
+                np.concatenate([cells[once].view(np.int64), cells[twice].view(np.int64), spread]),
+                np.concatenate([keys[once], np.zeros(twice.sum(), np.int64), keys[many]]),
+                np.concatenate([places[once], np.full(twice.sum(), -1, np.int32), places[many]]),
+            )
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["cell", "key", "place"])
 
         for batch in slices(batches):
             keys = batch.column(0).to_numpy(zero_copy_only=False)
@@ -110,43 +100,14 @@ def _estimated(keyed: DataFrame, bits: int, window: int, anchor: int) -> DataFra
                     text = np.searchsorted(run.at, at, "right") - 1
                     held.append((mix(shingles[at]) >> np.uint64(64 - bits), keys[run.rows.start + text], (at - run.at[text] + run.base).astype(np.int32)))
             if sum(len(h[0]) for h in held) >= HELD:
-                yield from out()
+                yield out()
                 held.clear()
         if sum(len(h[0]) for h in held):
-            yield from out()
+            yield out()
 
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come ordered by shard; the last shard of a batch may go on in the next."""
-        kept: list[tuple[np.ndarray, np.ndarray]] = []
-
-        def answer(shards: np.ndarray, entries: np.ndarray) -> pa.RecordBatch:
-            cells = shards << SHARD_BITS | entries["cell"].astype(np.int64)
-            order = np.argsort(cells, kind="stable")
-            cells, entries = cells[order], entries[order]
-            at = np.flatnonzero(np.diff(cells, prepend=cells[0] - 1)) if len(cells) else np.empty(0, np.int64)
-            asked = entries["place"] >= 0
-            total = np.add.reduceat(np.where(asked, 1, 2), at) if len(at) else np.empty(0, np.int64)
-            hit = asked & ((np.repeat(total, np.diff(np.append(at, len(cells)))) > 1) | (cells < 0))
-            return pa.RecordBatch.from_arrays([pa.array(entries["key"][hit]), pa.array(entries["place"][hit])], ["key", "place"])
-
-        for batch in batches:
-            shards = batch.column(0).to_numpy(zero_copy_only=False)
-            blobs = batch.column(1)
-            ends = np.frombuffer(blobs.buffers()[1], np.int32)[blobs.offset : blobs.offset + len(blobs) + 1]
-            if not len(blobs) or ends[0] == ends[-1]:
-                continue
-            entries = np.frombuffer(blobs.buffers()[2], np.uint8)[ends[0] : ends[-1]].view(ENTRY)
-            kept.append((np.repeat(shards, np.diff(ends) // ENTRY.itemsize), entries.copy()))
-            if kept[0][0][0] != shards[-1]:
-                all_shards, all_entries = (np.concatenate(x) for x in zip(*kept, strict=True))
-                cut_at = int(np.searchsorted(all_shards, shards[-1]))
-                yield answer(all_shards[:cut_at], all_entries[:cut_at])
-                kept = [(all_shards[cut_at:], all_entries[cut_at:])]
-        if kept:
-            yield answer(*(np.concatenate(x) for x in zip(*kept, strict=True)))
-
-    sent = keyed.select("key", "text").mapInArrow(partial, "shard bigint, entries binary")
-    return sent.repartition("shard").sortWithinPartitions("shard").mapInArrow(merge, "key bigint, place int")
+    sent = keyed.select("key", "text").mapInArrow(partial, "cell bigint, key bigint, place int")
+    hits = F.sum(F.when(F.col("place") < 0, 2).otherwise(1)).over(Window.partitionBy("cell"))
+    return sent.withColumn("hits", hits).filter("place >= 0 AND (hits > 1 OR cell < 0)").select("key", "place")
 
 
 def _repeats(marked: DataFrame, window: int, anchor: int) -> DataFrame:
@@ -224,7 +185,7 @@ def remove_repeats(documents: DataFrame, window: int = WINDOW, anchor: int = ANC
         keyed = cut(ordered.select(F.monotonically_increasing_id().alias("key"), "doc_id", "text"))
     # About six characters to a word and seven words to an anchor.
     chars = keyed.agg(F.sum(F.length("text"))).first()[0] or 0
-    bits = max(SHARD_BITS, int(np.ceil(np.log2(max(chars / 42 * cells, 2)))))
+    bits = max(1, int(np.ceil(np.log2(max(chars / 42 * cells, 2)))))
     places = _estimated(keyed, min(bits, 62), window, anchor).groupBy("key").agg(F.collect_list("place").alias("places"))
     # Left joins on a key that cannot be null, so that both use one exchange of the texts.
     marked = keyed.join(places, "key", "left").filter("size(places) > 0")
