@@ -6,9 +6,9 @@ page's vote.  Spark counts the votes of each host; then the text of each page is
 taken again from its blocks, by those that lie in elements at the host's winning
 path.  A page that has no such element is read at its own best container.
 
-A page is parsed once, into its blocks of text, each with the paths around it; these
-are kept in the shared folder, and what follows is Spark expressions over them.  No
-html is shuffled.
+For the votes a page is parsed to its best path alone, then to its blocks of text, each
+with the paths around it; only these blocks meet the host's path, in Spark
+expressions.  No html is shuffled.
 
 Elements with a class, id or role that says nothing but `MARKS` and `FILLERS`, such as
 "sidebar-left" but not "related-work", are left out, elements of running text only by
@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .columns import join_hot, let, stored
+from .columns import let
 from .text import find_package, slices
 
 OPENING = re.compile(r"<(?:(!--)|(/?)([a-zA-Z][a-zA-Z0-9:-]*)|[!?/])")
@@ -276,27 +276,34 @@ def extract(pages: DataFrame) -> DataFrame:
     kind = pages.schema["page_id"].dataType.simpleString()
     block = pa.struct([("text", pa.string()), ("at", pa.list_(pa.int32()))])
 
+    def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 200):
+            read = [(of, Page(html or "")) for of, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+            found = [(of, path, int(max(page.score))) for of, page in read if (path := page.best())]
+            yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], t) for i, t in ((0, pa.string()), (1, pa.string()), (2, pa.int64()))], ["host", "path", "score"])
+
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 200):
-            read = [Page(html or "") for html in batch.column(3).to_pylist()]
-            best, scores, paths, blocks = [], [], [], []
-            for page in read:
+            best, paths, blocks = [], [], []
+            for html in batch.column(4).to_pylist():
+                page = Page(html or "")
                 places: dict[str, int] = {}
                 numbers = [places.setdefault(p, len(places)) for p in page.paths]
                 best.append(page.best())
-                scores.append(int(max(page.score)))
                 paths.append(list(places))
                 blocks.append([{"text": text, "at": sorted({numbers[i] for i in containers})} for containers, text in page.blocks])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), batch.column(2), pa.array(best, pa.string()), pa.array(scores, pa.int64()), pa.array(paths, pa.list_(pa.string())), pa.array(blocks, pa.list_(block))],
-                ["page_id", "url", "host", "best", "score", "paths", "blocks"],
-            )
-
-    source = pages.select("page_id", "url", host.alias("host"), "html")
-    parsed = stored(source.mapInArrow(parse, f"page_id {kind}, url string, host string, best string, score bigint, paths array<string>, blocks array<struct<text:string,at:array<int>>>"))
-    counted = parsed.filter("best <> ''").groupBy("host", F.col("best").alias("path")).agg(F.count("*").alias("n"), F.sum("score").alias("score"))
+            made = [pa.array(best, pa.string()), pa.array(paths, pa.list_(pa.string())), pa.array(blocks, pa.list_(block))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], *made], ["page_id", "url", "host", "salt", "best", "paths", "blocks"])
+
+    salt = F.when(F.col("page_id").isNull(), F.spark_partition_id()).otherwise(F.xxhash64("page_id"))
+    source = pages.select("page_id", "url", host.alias("host"), F.pmod(salt, F.lit(SALTS)).cast("int").alias("salt"), "html")
+    votes = source.select("host", "html").mapInArrow(vote, "host string, path string, score bigint")
+    counted = votes.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("score").alias("score"))
     won = counted.groupBy("host").agg(F.min(F.struct(-F.col("n"), -F.col("score"), F.col("path"))).alias("best")).select("host", F.col("best.path").alias("path"))
-    joined = join_hot(parsed, won, ["host"], "page_id", salts=SALTS)
+    # A host has as many rows as its pages fill salts.
+    spread = source.select("host", "salt").distinct().join(won, "host")
+    parsed = source.mapInArrow(parse, f"page_id {kind}, url string, host string, salt int, best string, paths array<string>, blocks array<struct<text:string,at:array<int>>>")
+    joined = parsed.join(spread, ["host", "salt"], "left")
 
     def at(path: str) -> Column:
         """The blocks in all elements at a path, one to a line."""
