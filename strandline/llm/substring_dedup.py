@@ -89,7 +89,8 @@ def _estimated(keyed: DataFrame, bits: int, window: int, anchor: int) -> DataFra
                 np.concatenate([keys[once], np.zeros(twice.sum(), np.int64), keys[many]]),
                 np.concatenate([places[once], np.full(twice.sum(), -1, np.int32), places[many]]),
             )
-            return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["cell", "key", "place"])
+            order = np.lexsort((columns[2], columns[1]))  # neighbours in a text stay together, which is smaller when compressed
+            return pa.RecordBatch.from_arrays([pa.array(c[order]) for c in columns], ["cell", "key", "place"])
 
         for batch in slices(batches):
             keys = batch.column(0).to_numpy(zero_copy_only=False)
@@ -132,7 +133,8 @@ def _repeats(marked: DataFrame, window: int, anchor: int) -> DataFrame:
         # A settled run has hashes of its own, which spread such runs over tasks.
         own = mix(gone_key[at].view(np.uint64) ^ gone[at].astype(np.uint64) << np.uint64(40))
         columns = (np.concatenate([h1[~again], own]), np.concatenate([h2[~again], own]), np.concatenate([key[~again], gone_key[at]]), np.concatenate([start[~again], gone[at]]), np.concatenate([np.zeros((~again).sum(), np.int32), n.astype(np.int32)]))
-        arrays = [pa.array(c.view(np.int64) if c.dtype == np.uint64 else c) for c in columns]
+        order = np.lexsort((columns[3], columns[2]))  # as above
+        arrays = [pa.array(c[order].view(np.int64) if c.dtype == np.uint64 else c[order]) for c in columns]
         return pa.RecordBatch.from_arrays(arrays, ["h1", "h2", "key", "start", "n"])
 
     def flagged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
