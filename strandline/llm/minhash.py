@@ -15,13 +15,13 @@ scheme); two documents share a sample with probability equal to their similarity
 `ROWS` samples make a band, and documents that share a band are candidates.
 Texts with the same words are one node from the start.  Within a band's bucket,
 up to `SMALL` nodes are paired with each other.  In a larger one all nodes are
-compared with one leader; then, for some rounds, those outside the bucket's
-largest component with another member of that component.  Nodes that are still
-outside are compared with every node of a large bucket that may be alike by two
+compared with one leader; then those outside the bucket's largest component with
+the node of that component that has most links, and with another of its members in
+the bucket.  Nodes that are still outside are compared with every node of a large bucket that may be alike by two
 bounds, both exact.  Alike texts share a shingle of their prefixes: shingles in
 order of rarity, as many as hold more weight than alike texts may differ in.  And
 what each of two texts has to itself, among all these nodes, can only be in one
-of them, which limits their similarity.  So no link between components is lost,
+of them, which limits both similarities, by weights and by counts.  So no link between components is lost,
 and variants of one text are not all compared in pairs.
 Every candidate is verified on its whole text.  Classes are the connected
 components of the links, found by alternating large and small stars.
@@ -33,7 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .columns import cut, join_hot, stored
@@ -47,7 +47,7 @@ RANGE = (5, 4)
 REACH = (SIMILARITY[0] * RANGE[1], SIMILARITY[0] * RANGE[1] + (SIMILARITY[1] - SIMILARITY[0]) * RANGE[0])
 BUCKETS, SHARD = 1 << 18, 1 << 12
 #: Buckets of up to so many nodes are paired in full; rounds of further leaders in larger ones.
-SMALL, LEADERS = 8, 1
+SMALL, LEADERS = 8, 2
 #: Links to a task in the steps that find components.
 PER_TASK = 200_000
 #: Parts in which the nodes of each bucket are joined to what is known of the bucket, and the pairs of a node to its text.
@@ -242,18 +242,28 @@ def _possible(texts: DataFrame, idf: np.ndarray, placed: DataFrame, outside: Dat
     own = Window.partitionBy("node")
     rarest_first = own.orderBy(F.desc("rare"), "shingle")
     upto = rarest_first.rowsBetween(Window.unboundedPreceding, 0)
-    common = F.when(F.col("n") > 1, F.col("weight")).otherwise(0)
-    rows = rows.join(shared, "shingle").select("node", "shingle", "rare", "n", F.sum("weight").over(own).alias("all"), F.sum(common).over(own).alias("rest"), (F.sum(common).over(own) - F.sum(common).over(upto) + common).alias("from_here"))
-    # Similarity is at most m / (m + what either has alone), m being the lesser of what the two do not have alone.
-    fits = lambda m, alone: m * REACH[1] >= (m + alone) * REACH[0]
+    common = lambda c: F.when(F.col("n") > 1, F.col(c)).otherwise(0)
+    rows = rows.withColumn("times", (F.col("weight") / F.col("rare")).cast("bigint")).join(shared, "shingle")
+    sums = [F.sum(f(c)).over(own).alias(f"{name}_{c}") for c in ("weight", "times") for name, f in (("all", F.col), ("rest", common))]
+    rows = rows.select("node", "shingle", "rare", "n", *sums, (F.sum(common("weight")).over(own) - F.sum(common("weight")).over(upto) + common("weight")).alias("from_here"))
     # A common shingle of alike texts is in both prefixes: from it on, what is not alone holds REACH of each text's weight.
-    prefix = (F.col("n") > 1) & (F.col("from_here") * REACH[1] >= F.col("all") * REACH[0])
-    rows = rows.withColumn("alone", F.col("all") - F.col("rest")).filter(prefix & fits(F.col("rest"), F.col("alone")))
+    prefix = (F.col("n") > 1) & (F.col("from_here") * REACH[1] >= F.col("all_weight") * REACH[0])
+
+    # What two texts share is at most the lesser of what they do not have alone; all else that either has is in one of them only.
+    def may_be_alike(shared: str, union) -> Column:
+        fits = [F.col(f"{shared}_{c}") * SIMILARITY[1] >= union(c) * SIMILARITY[0] for c in ("weight", "times")]
+        return fits[0] | fits[1]
+
+    rows = rows.filter(prefix & may_be_alike("rest", lambda c: F.col(f"all_{c}")))
     # A pair is wanted once: not again at a shingle when one of the few before it is common too.
     before = F.collect_list("shingle").over(rarest_first.rowsBetween(-BEFORE, -1))
-    marked = cut(rows.withColumn("before", before).join(named, "node").select("node", "shingle", "label", "rest", "alone", "before"))
-    mine = marked.join(outside.select("node").distinct(), "node", "left_semi").select("shingle", F.col("node").alias("x"), F.col("label").alias("own"), F.col("rest").alias("rest_x"), F.col("alone").alias("alone_x"), F.col("before").alias("before_x"))
-    met = marked.join(mine, "shingle").filter((F.col("label") != F.col("own")) & fits(F.least("rest", "rest_x"), F.col("alone") + F.col("alone_x")) & ~F.arrays_overlap("before", "before_x"))
+    held = ["node", "label", "before", *(f"{name}_{c}" for name in ("all", "rest") for c in ("weight", "times"))]
+    marked = cut(rows.withColumn("before", before).join(named, "node").select("shingle", *held))
+    mine = marked.join(outside.select("node").distinct(), "node", "left_semi").select("shingle", *(F.col(c).alias(f"x_{c}") for c in held)).withColumnRenamed("x_node", "x")
+    both = marked.join(mine, "shingle").filter((F.col("label") != F.col("x_label")) & ~F.arrays_overlap("before", "x_before"))
+    both = both.withColumns({f"least_{c}": F.least(f"rest_{c}", f"x_rest_{c}") for c in ("weight", "times")})
+    alone = lambda c: F.col(f"all_{c}") - F.col(f"rest_{c}") + F.col(f"x_all_{c}") - F.col(f"x_rest_{c}")
+    met = both.filter(may_be_alike("least", lambda c: F.greatest(f"rest_{c}", f"x_rest_{c}") + alone(c)))
     return met.select(F.least("node", "x").alias("a"), F.greatest("node", "x").alias("b"))
 
 
@@ -327,9 +337,14 @@ def near_duplicates(documents: DataFrame, bands: int = BANDS, rows: int = ROWS,
             placed = large.join(labels, "node", "left").select("band", "key", "node", F.coalesce("label", "node").alias("label"))
             parts = placed.groupBy("band", "key", "label").agg(F.count("*").alias("n"), F.min_by("node", F.xxhash64("node", F.lit(nth))).alias("leader"))
             top = parts.groupBy("band", "key").agg(F.max(F.struct("n", "label", "leader")).alias("top"), F.count("*").alias("parts")).filter("parts > 1")
-            outside = cut(_of_bucket(placed, top).filter("label != top.label").select("node", "label", F.col("top.leader").alias("leader")))
+            outside = cut(_of_bucket(placed, top).filter("label != top.label").select("node", "label", F.col("top.leader").alias("leader"), F.col("top.label").alias("into")))
             if not outside.limit(1).count():
                 break
+            if nth == 0:
+                # The component's node of most links so far, such as the text that its variants were made of.
+                degrees = weighed.filter("alike").select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").count()
+                hubs = labels.join(degrees, "node").groupBy(F.col("label").alias("into")).agg(F.max_by("node", F.struct("count", -F.col("node"))).alias("hub"))
+                outside = cut(join_hot(outside, hubs, ["into"], "node").withColumn("leader", F.coalesce("hub", "leader")).drop("hub"))
             if nth < LEADERS:
                 more = outside.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b"))
             else:
