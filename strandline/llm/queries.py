@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat_format, decontam, html_extract, lang_id, minhash, pii, quality_rules, substring_dedup, token_counts
+from . import bpe, chat_format, decontam, html_extract, importance, interaction, lang_id, license_scan, minhash, pii, quality_rules, substring_dedup, token_counts
 from .columns import table
 
 
@@ -58,9 +58,28 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.digest(substring_dedup.remove_repeats(table(spark, sf_dir, "documents")))
 
 
+def op11_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.digest(license_scan.scan(table(spark, sf_dir, "documents")))
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.digest(importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+
+
+def op13_filter_interaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return interaction.digest(interaction.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_format": chat_format.SQL, "op5_benchmark_decontamination": decontam.SQL, "op10_substring_dedup": substring_dedup.SQL}
+    return {
+        "op1_chat_format": chat_format.SQL,
+        "op5_benchmark_decontamination": decontam.SQL,
+        "op10_substring_dedup": substring_dedup.SQL,
+        "op11_license_scan": license_scan.sql(),
+        "op12_importance_resampling": importance.SQL,
+        "op13_filter_interaction": interaction.SQL,
+    }
