@@ -57,7 +57,8 @@ def _item(events: DataFrame, item: str, scale: float = 1.0) -> DataFrame:
 
 
 def _end(events: DataFrame, operations: DataFrame, low: str, high: str, first: bool, out: str) -> DataFrame:
-    met = joins.range_join(events, operations.select("op_id", "subject_id", low, high), "subject_id", "chart_time", low, high)
+    """op_id and the first or last known value between two times, for operations that have one."""
+    met = joins.range_join(events.filter("value IS NOT NULL"), operations.select("op_id", "subject_id", low, high), "subject_id", "chart_time", low, high)
     return met.groupBy("op_id").agg((F.min if first else F.max)(F.struct("chart_time", "value")).alias("x")).select("op_id", C("x.value").alias(out))
 
 
@@ -79,7 +80,11 @@ def _before_after(events: DataFrame, operations: DataFrame, before: str, after:
 
 def kidney(operations: DataFrame, labs: DataFrame, ward: DataFrame) -> DataFrame:
     """Stage by the last creatinine up to the operation and the first after it."""
-    found = _before_after(_item(labs, "creatinine"), operations, "orin_time", "orout_time")
+    creatinine = _item(labs, "creatinine")
+    found = _before_after(creatinine, operations, "orin_time", "orout_time").drop("_v1_time", "_v2_time")
+    # The time between the two is that of the measurements next to the operation, whether their values are known or not.
+    taken = _before_after(creatinine.withColumn("value", C("chart_time")), operations, "orin_time", "orout_time")
+    found = found.join(taken.select("op_id", "_v1_time", "_v2_time"), "op_id")
     replaced = devices(operations, ward, "orout_time", "discharge_time", {d: d for d in t.DEVICES}).select("op_id", "crrt")
     stage = labels.kidney_stage(C("_v1"), C("_v2"), (C("_v2_time") - C("_v1_time")) / F.lit(60.0), C("crrt"))
     staged = found.join(replaced, "op_id").select("op_id", stage.alias("postop_acute_kidney_injury"))

@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strandline.operators.quantiles import SMALL, quantiles
+
 #: Added to a standard deviation before dividing by it, and digits that are kept (fixed values).
 EPSILON, DIGITS = 1e-6, 10
 
@@ -93,7 +95,9 @@ def merge_features(base: DataFrame, parts: Mapping[str, DataFrame], on: str) ->
     return out.fillna(0, subset=added)
 
 
-def fill_median(df: DataFrame, names: Sequence[str], train: Column) -> DataFrame:
-    """Nulls become the median of the training rows."""
-    fitted = df.filter(train).agg(*(F.percentile(n, F.lit(0.5)).alias(f"_m_{n}") for n in names))
+def fill_median(df: DataFrame, names: Sequence[str], train: Column, small: int = SMALL) -> DataFrame:
+    """Nulls become the exact median of the training rows."""
+    long = df.filter(train).select(*(F.col(n).cast("double").alias(n) for n in names)).unpivot([], list(names), "_name", "_x")
+    medians = quantiles(long, ["_name"], "_x", [0.5], small)
+    fitted = medians.agg(*(F.max(F.when(F.col("_name") == n, F.col("quantiles")[0])).alias(f"_m_{n}") for n in names))
     return df.crossJoin(F.broadcast(fitted)).withColumns({n: F.coalesce(n, f"_m_{n}") for n in names}).drop(*(f"_m_{n}" for n in names))  # one row

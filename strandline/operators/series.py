@@ -10,6 +10,9 @@ from pyspark.sql.types import StringType
 
 from strandline.functions import aggregates as agg
 from strandline.operators.joins import interval_join, range_join
+from strandline.operators.quantiles import quantiles
+from strandline.operators.scans import State, scan, with_totals
+from strandline.operators.stats import mode_last
 
 #: A grid point's window, as multiples of its width before and after the point.
 SIDES = {"both": (0.5, 0.5), "left": (1.0, 0.0), "right": (0.0, 1.0)}
@@ -148,13 +151,30 @@ def nocb(x: Column, key: Sequence[str], time: str) -> Column:
     return F.coalesce(F.last(x, True).over(future(key, time)), F.last(x, True).over(past(key, time)))
 
 
+def _between(x: Column, time: Column, left: Column, right: Column) -> Column:
+    """On the line between two known points (structs of t and v, null beyond the ends); the nearest value beyond them."""
+    line = left.v + (right.v - left.v) * F.try_divide((time - left.t).cast("double"), (right.t - left.t).cast("double"))
+    return F.when(x.isNotNull(), x).when(left.v.isNull(), right.v).when(right.v.isNull(), left.v).otherwise(F.coalesce(line, left.v))
+
+
 def linear(x: Column, key: Sequence[str], time: str) -> Column:
     """Between neighbours by time; beyond the ends, the nearest value."""
-    t = F.when(x.isNotNull(), F.col(time))
-    xl, tl = F.last(x, True).over(past(key, time)), F.last(t, True).over(past(key, time))
-    xr, tr = F.last(x, True).over(future(key, time)), F.last(t, True).over(future(key, time))
-    between = xl + (xr - xl) * F.try_divide((F.col(time) - tl).cast("double"), (tr - tl).cast("double"))
-    return F.when(x.isNotNull(), x).when(xl.isNull(), xr).when(xr.isNull(), xl).otherwise(F.coalesce(between, xl))
+    point = F.when(x.isNotNull(), F.struct(F.col(time).alias("t"), x.alias("v")))
+    return _between(x, F.col(time), F.last(point, True).over(past(key, time)), F.last(point, True).over(future(key, time)))
+
+
+def carry(df: DataFrame, key: Sequence[str], time: str, rules: Mapping[str, str], bucket: float | None = None) -> DataFrame:
+    """The columns' gaps filled by locf, nocb or lin; with `bucket`, in units of time, a busy series is spread over tasks (see scans)."""
+    states = {}
+    for name in rules:
+        point = F.when(F.col(name).isNotNull(), F.struct(F.col(time).alias("t"), F.col(name).alias("v")))
+        states |= {f"_past_{name}": State(point), f"_next_{name}": State(point, ahead=True)}
+    out = scan(df, key, time, states, bucket)
+    made = {}
+    for name, how in rules.items():
+        x, left, right = F.col(name), F.col(f"_past_{name}"), F.col(f"_next_{name}")
+        made[name] = {"locf": F.coalesce(left.v, right.v), "nocb": F.coalesce(right.v, left.v), "lin": _between(x, F.col(time), left, right)}[how]
+    return out.withColumns(made).select(*df.columns)
 
 
 def own(f: Column, key: Sequence[str]) -> Column:
@@ -175,74 +195,94 @@ REST = {
 }
 
 
-def _filler(how: str, x: Column, key: Sequence[str], time: str, given: Mapping[str, object], first: bool) -> Column:
-    """What a cell is filled with.  A series without any value has no mean, median or mode of its own, and no next value for its first cell: `cont` then."""
+def _own_statistic(df: DataFrame, how: str, name: str, key: Sequence[str], time: str) -> DataFrame:
+    """key, _own: the mean, median or mode of a column in each series; of equally frequent values that which occurs last."""
+    if how == "median_k":
+        return quantiles(df, key, name, [0.5]).select(*key, F.col("quantiles")[0].alias("_own"))
+    if how == "mode_k":
+        return mode_last(df, key, name, time).withColumnRenamed("mode", "_own")
+    return df.groupBy(*key).agg(F.avg(name).alias("_own"))
+
+
+def _filled(df: DataFrame, how: str, name: str, cell: Column, key: Sequence[str], time: str, given: Mapping[str, object], first: bool, bucket: float | None) -> DataFrame:
+    """A column with its cells filled.  A series without any value has no mean, median or mode of its own, and no next value for its first cell: `cont` then."""
+    x, gone = F.col(name), []
     if how in ("mean", "median", "mode", "cont"):
-        return F.lit(given[how])  # an unknown one is an error
-    made = {
-        "zero": lambda: F.lit(0), "locf": lambda: locf(x, key, time), "nocb": lambda: nocb(x, key, time), "lin": lambda: linear(x, key, time),
-        "mean_k": lambda: own(F.avg(x), key), "median_k": lambda: own(agg.median(x), key), "mode_k": lambda: own(F.max(F.when(x.isNotNull(), F.struct("_count", "_last", x.alias("v")))), key)["v"],
-    }
-    fallback = how in ("mean_k", "median_k", "mode_k") or first and how == "nocb"
-    return F.coalesce(made[how](), F.lit(given.get("cont"))) if fallback else made[how]()
+        filler, out = F.lit(given[how]), df  # an unknown one is an error
+    elif how == "zero":
+        filler, out = F.lit(0), df
+    elif how in ("mean_k", "median_k", "mode_k"):
+        out, gone = with_totals(df, key, time, _own_statistic(df, how, name, key, time), bucket), ["_own"]
+        filler = F.coalesce("_own", F.lit(given.get("cont")))
+    else:
+        out, gone = carry(df.withColumn("_carried", x), key, time, {"_carried": how}, bucket), ["_carried"]
+        filler = F.coalesce("_carried", F.lit(given.get("cont"))) if first and how == "nocb" else F.col("_carried")
+    filler = filler.cast("string") if isinstance(df.schema[name].dataType, StringType) else filler
+    return out.withColumn(name, F.when(cell, filler).otherwise(x)).drop(*gone)
 
 
-def fill(df: DataFrame, key: Sequence[str], time: str, rules: Mapping[str, tuple[str, str, str]], stats: Mapping[str, Mapping[str, object]] | None = None) -> DataFrame:
+def fill(df: DataFrame, key: Sequence[str], time: str, rules: Mapping[str, tuple[str, str, str]], stats: Mapping[str, Mapping[str, object]] | None = None, bucket: float | None = None) -> DataFrame:
     """Fill the gaps of each series in two passes: its first cell, then the rest, which see the first.
 
     rules: column -> (kind, how to fill the first cell, how to fill the rest); stats:
     column -> values for mean, median, mode and cont, fitted elsewhere.  mode_k is the
-    series' most frequent value, of equally frequent ones that which occurs last.
+    series' most frequent value, of equally frequent ones that which occurs last.  Numbers
+    may take the next value in the second pass too, which stricter rules do not allow.
+    bucket, in units of time: spreads a busy series over tasks, see scans.
     """
-    nth = F.row_number().over(Window.partitionBy(*key).orderBy(time))
-    out = df.withColumn("_nth", nth)
     for name, (kind, first, rest) in rules.items():
         if first not in FIRST[kind] or rest not in REST[kind]:
             raise ValueError(f"cannot fill {kind} {name!r} by {first!r} and {rest!r}")
+    out = scan(df, key, time, {"_earlier": State(F.lit(True), beside=True)}, bucket)
+    for name, (_, first, rest) in rules.items():
         given = (stats or {}).get(name, {})
-        x = F.col(name)
-        for nth, (how, cell) in enumerate(((first, (F.col("_nth") == 1) & x.isNull()), (rest, x.isNull()))):
-            if how == "mode_k":
-                same = Window.partitionBy(*key, name)
-                out = out.withColumns({"_count": F.count("*").over(same), "_last": F.max(time).over(same)})
-            filler = _filler(how, x, key, time, given, first=nth == 0)
-            filler = filler.cast("string") if isinstance(df.schema[name].dataType, StringType) else filler
-            out = out.withColumn(name, F.when(cell, filler).otherwise(x)).drop("_count", "_last")
-    return out.drop("_nth")
-
-
-def fill_after_last(df: DataFrame, key: Sequence[str], time: str, column: str, mask: str, value: float) -> DataFrame:
+        out = _filled(out, first, name, F.col("_earlier").isNull() & F.col(name).isNull(), key, time, given, True, bucket)
+        out = _filled(out, rest, name, F.col(name).isNull(), key, time, given, False, bucket)
+    return out.drop("_earlier")
+
+
+def fill_after_last(df: DataFrame, key: Sequence[str], time: str, column: str, mask: str, value: float, bucket: float | None = None) -> DataFrame:
     """A constant after the last observed row of each series."""
-    last = own(F.max(F.when(F.col(mask) == 1, F.col(time))), key)
-    return df.withColumn(column, F.when(F.col(time) > last, F.lit(value)).otherwise(F.col(column)))
+    last = df.groupBy(*key).agg(F.max(F.when(F.col(mask) == 1, F.col(time))).alias("_last"))
+    filled = F.when(F.col(time) > F.col("_last"), F.lit(value)).otherwise(F.col(column))
+    return with_totals(df, key, time, last, bucket).withColumn(column, filled).drop("_last")
 
 
 def masks(df: DataFrame, names: Sequence[str]) -> DataFrame:
     return df.withColumns({f"{n}_mask": F.col(n).isNotNull().cast("int") for n in names})
 
 
-def delta(df: DataFrame, key: Sequence[str], time: str, mask: str, out: str) -> DataFrame:
+def delta(df: DataFrame, key: Sequence[str], time: str, mask: str, out: str, bucket: float | None = None) -> DataFrame:
     """Time since the observed row before, 0 at the first one; null where nothing was observed."""
-    before = F.lag(time).over(Window.partitionBy(*key, mask).orderBy(time))
-    return df.withColumn(out, F.when(F.col(mask) == 1, F.coalesce(F.col(time) - before, F.lit(0).cast("bigint"))))
+    seen = State(F.when(F.col(mask) == 1, F.col(time)), beside=True)
+    since = F.when(F.col(mask) == 1, F.coalesce(F.col(time) - F.col("_seen"), F.lit(0).cast("bigint")))
+    return scan(df, key, time, {"_seen": seen}, bucket).withColumn(out, since).drop("_seen")
 
 
-def steps(df: DataFrame, key: Sequence[str], time: str, out: str = "dt", unit: float = 60.0) -> DataFrame:
+def steps(df: DataFrame, key: Sequence[str], time: str, out: str = "dt", unit: float = 60.0, bucket: float | None = None) -> DataFrame:
     """Time since the row before, 0 at the first one, in units."""
-    before = F.lag(time).over(Window.partitionBy(*key).orderBy(time))
-    return df.withColumn(out, F.coalesce(F.col(time) - before, F.lit(0)) / F.lit(unit))
+    before = State(F.col(time), beside=True)
+    return scan(df, key, time, {"_seen": before}, bucket).withColumn(out, F.coalesce(F.col(time) - F.col("_seen"), F.lit(0)) / F.lit(unit)).drop("_seen")
 
 
-def first_rise(df: DataFrame, key: str, time: str, value: str) -> DataFrame:
+def first_rise(df: DataFrame, key: str, time: str, value: str, bucket: float | None = None) -> DataFrame:
     """key, time: when the value first grew by exactly 1 from one row to the next, for keys where it did."""
-    before = F.lag(value).over(Window.partitionBy(key).orderBy(time))
-    return df.withColumn("_step", F.col(value) - before).filter("_step = 1").groupBy(key).agg(F.min(time).alias(time))
+    before = State(F.struct(F.col(value).alias("v")), beside=True)  # of the row before, known or not
+    rises = scan(df, [key], time, {"_seen": before}, bucket).filter(F.col(value) - F.col("_seen.v") == 1)
+    return rises.groupBy(key).agg(F.min(time).alias(time))
 
 
-def first_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column]) -> DataFrame:
-    """One row per key, the first by an order that must be total for a fixed result."""
-    nth = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-    return df.withColumn("_nth", nth).filter("_nth = 1").drop("_nth")
+def first_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], salts: int = 1) -> DataFrame:
+    """One row per key, the first by an order that must be total for a fixed result.
+
+    salts: parts in which a busy key's rows are ordered before the first ones of these are.
+    """
+    nth = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy(*order))
+    rows = df
+    if salts > 1:
+        rows = df.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(salts)))
+        rows = rows.withColumn("_nth", nth(*keys, "_salt")).filter("_nth = 1").drop("_nth", "_salt")
+    return rows.withColumn("_nth", nth(*keys)).filter("_nth = 1").drop("_nth")
 
 
 def prefixes(df: DataFrame, key: Sequence[str], time: str, value: str, longest: int, out: str = "before") -> DataFrame:

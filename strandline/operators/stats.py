@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from strandline.dictionary import Variable
 from strandline.functions import aggregates as agg
+from strandline.operators.quantiles import SMALL, quantiles
+from strandline.shared import stored
 
 
 def mode_last(df: DataFrame, keys: Sequence[str], value: str, order: str) -> DataFrame:
@@ -47,29 +49,61 @@ def statistic(name: str, x: Column) -> Column:
     return known[name](x) if name in known else F.lit(None).cast("double")
 
 
-def entity_stats_wide(df: DataFrame, key: str, variables: Sequence[Variable]) -> DataFrame:
+def _entity_stats(df: DataFrame, key: str, variables: Sequence[Variable], of: Mapping[str, Column], small: int) -> DataFrame:
+    """variable_statistic columns per entity; of: the values of each variable.
+
+    Entities of up to `small` rows take one aggregation.  Of larger ones, medians and
+    quartiles are selected and modes counted by value, so that no task holds their values.
+    """
+    names = [(v, s, f"{v.name}_{s}") for v in variables for s in v.stats]
+    plain = [statistic(s, of[v.name]).alias(out) for v, s, out in names]
+    large = stored(df.groupBy(key).agg(F.count("*").alias("_n")).filter(F.col("_n") > small).select(key))
+    if not large.limit(1).count():
+        return df.groupBy(key).agg(*plain)
+    same = lambda how: df.alias("d").join(large.alias("l"), F.col(f"d.{key}").eqNullSafe(F.col(f"l.{key}")), how)
+    rest, many = same("left_anti").groupBy(key).agg(*plain), same("left_semi")
+    whole = many.groupBy(key).agg(*(statistic("sum" if s in ("median", "iqr", "mode") else s, of[v.name]).alias(out) for v, s, out in names))
+    for v, s, out in (x for x in names if x[1] in ("median", "iqr", "mode")):
+        values = many.select(key, of[v.name].alias("_v"))
+        if s == "mode":
+            counted = values.filter("_v IS NOT NULL").groupBy(key, "_v").count()
+            found = counted.groupBy(key).agg(F.min_by("_v", F.struct(-F.col("count"), F.col("_v"))).alias(out))
+        else:
+            q = quantiles(values, [key], "_v", [0.25, 0.5, 0.75], small)
+            found = q.select(key, (F.col("quantiles")[1] if s == "median" else F.col("quantiles")[2] - F.col("quantiles")[0]).alias(out))
+        whole = whole.drop(out).alias("w").join(found.alias("f"), F.col(f"w.{key}").eqNullSafe(F.col(f"f.{key}")), "left").select("w.*", f"f.{out}")
+    return rest.unionByName(whole.select(*rest.columns))
+
+
+def entity_stats_wide(df: DataFrame, key: str, variables: Sequence[Variable], small: int = SMALL) -> DataFrame:
     """variable_statistic columns per entity, from one column per variable; a variable without column gives nulls."""
-    columns = [(statistic(s, F.col(v.name)) if v.name in df.columns else F.lit(None).cast("double")).alias(f"{v.name}_{s}") for v in variables for s in v.stats]
-    return df.groupBy(key).agg(*columns)
+    there = [v for v in variables if v.name in df.columns]
+    found = _entity_stats(df, key, there, {v.name: F.col(v.name) for v in there}, small)
+    have = [f"{v.name}_{s}" for v in there for s in v.stats]
+    every = [f"{v.name}_{s}" for v in variables for s in v.stats]
+    return found.select(key, *(F.col(c) if c in have else F.lit(None).cast("double").alias(c) for c in every))
 
 
-def entity_stats_long(df: DataFrame, key: str, item: str, value: str, variables: Sequence[Variable]) -> DataFrame:
+def entity_stats_long(df: DataFrame, key: str, item: str, value: str, variables: Sequence[Variable], small: int = SMALL) -> DataFrame:
     """The same from rows of (entity, item, value)."""
-    columns = [statistic(s, F.when(F.col(item) == v.name, F.col(value))).alias(f"{v.name}_{s}") for v in variables for s in v.stats]
-    return df.groupBy(key).agg(*columns)
+    return _entity_stats(df, key, variables, {v.name: F.when(F.col(item) == v.name, F.col(value)) for v in variables}, small)
 
 
-def fit_long(df: DataFrame, item: str, value: str, variables: Sequence[Variable]) -> DataFrame:
+def fit_long(df: DataFrame, item: str, value: str, variables: Sequence[Variable], small: int = SMALL) -> DataFrame:
     """One row per variable: item, type, mean, median, sd, mode, unique_values, cont; defaults where there is no value.
 
     Numbers: mean 0, median 0, sd 1 without values; cont falls back to the mean.
     Categories: mode of the strings (of equal ones the least) and the valid values, or else those that occur, sorted.
+    Medians are exact, of items of any size (see quantiles).
     """
     rows = df.sparkSession.createDataFrame([(v.name, v.kind, None if v.const is None else str(v.const), list(v.valid) or None) for v in variables], "item string, type string, const string, valid array<string>")
-    numbers = df.groupBy(F.col(item).alias("item")).agg(F.avg(F.expr(f"try_cast(`{value}` AS DOUBLE)")).alias("mean"), agg.median(F.expr(f"try_cast(`{value}` AS DOUBLE)")).alias("median"), F.stddev_samp(F.expr(f"try_cast(`{value}` AS DOUBLE)")).alias("sd"))
-    texts = df.filter(F.col(value).isNotNull()).groupBy(F.col(item).alias("item"), F.col(value).cast("string").alias("v")).count()
+    number = df.select(F.col(item).alias("item"), F.expr(f"try_cast(`{value}` AS DOUBLE)").alias("x"))
+    moments = number.groupBy("item").agg(F.avg("x").alias("mean"), F.stddev_samp("x").alias("sd"))
+    medians = quantiles(number.filter(F.col("item").isin([v.name for v in variables if v.kind == "num"])), ["item"], "x", [0.5], small)
+    named = df.filter(F.col(value).isNotNull() & F.col(item).isin([v.name for v in variables if v.kind in ("cat", "ord")]))
+    texts = named.groupBy(F.col(item).alias("item"), F.col(value).cast("string").alias("v")).count()
     seen = texts.groupBy("item").agg(F.min_by("v", F.struct(-F.col("count"), F.col("v"))).alias("mode"), F.sort_array(F.collect_set("v")).alias("seen"))
-    joined = rows.join(numbers, "item", "left").join(seen, "item", "left")
+    joined = rows.join(moments, "item", "left").join(medians.select("item", F.col("quantiles")[0].alias("median")), "item", "left").join(seen, "item", "left")
     num, text = F.col("type") == "num", F.col("type").isin("cat", "ord")
     return joined.select(
         "item", "type",

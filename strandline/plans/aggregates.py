@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from strandline.dictionary import Variable
 from strandline.functions.aggregates import aggregate
 from strandline.operators import cohort, stats
+from strandline.operators.quantiles import quantiles
 from strandline.plans.catalogue import EV, GAPS, events, gaps, query, table
 
 C = F.col
@@ -169,3 +170,12 @@ def table1_long(spark: SparkSession, d: str) -> DataFrame:
 
     summed = stats.with_total(table(spark, d, "orders").select("o_orderstatus", "o_totalprice"), "o_orderstatus", "overall", [F.count("*").alias("n"), F.max("o_totalprice").alias("top")])
     return project.transpose(summed, "o_orderstatus", ["n", "top"], ["F", "O", "P", "overall"])
+
+
+@query("""SELECT l_returnflag, count(l_extendedprice) AS n, round(quantile_cont(l_extendedprice, 0.25), 6) AS q1, round(quantile_cont(l_extendedprice, 0.5), 6) AS q2, round(quantile_cont(l_extendedprice, 0.75), 6) AS q3 FROM lineitem GROUP BY l_returnflag
+UNION ALL SELECT 'discount', count(l_discount), round(quantile_cont(l_discount, 0.25), 6), round(quantile_cont(l_discount, 0.5), 6), round(quantile_cont(l_discount, 0.75), 6) FROM lineitem""")
+def quantiles_by_selection(spark: SparkSession, d: str) -> DataFrame:
+    """Exact quartiles of groups that no task holds: of prices, few of which are equal, and of discounts, of which there are few values."""
+    rows = table(spark, d, "lineitem").select("l_returnflag", F.col("l_extendedprice").cast("double").alias("x")).unionByName(table(spark, d, "lineitem").select(F.lit("discount").alias("l_returnflag"), F.col("l_discount").cast("double").alias("x")))
+    made = quantiles(rows, ["l_returnflag"], "x", [0.25, 0.5, 0.75], small=1000)
+    return made.select("l_returnflag", "n", *(F.round(F.col("quantiles")[i], 6).alias(f"q{i + 1}") for i in range(3)))

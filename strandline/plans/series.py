@@ -166,6 +166,19 @@ def fill_lin(spark: SparkSession, d: str) -> DataFrame:
     return gaps(spark, d).select("event_id", F.round(series.linear(C("x"), KEY, "us"), 9).alias("x"))
 
 
+@query(f"""WITH {GAPS}, n AS (SELECT *, last_value(x IGNORE NULLS) {PAST} AS xl, first_value(x IGNORE NULLS) {NEXT} AS xr, last_value(y IGNORE NULLS) {PAST} AS yl, first_value(y IGNORE NULLS) {NEXT} AS yr,
+  last_value(CASE WHEN y IS NOT NULL THEN us END IGNORE NULLS) {PAST} AS tl, first_value(CASE WHEN y IS NOT NULL THEN us END IGNORE NULLS) {NEXT} AS tr, coalesce(us - lag(us) OVER (PARTITION BY user_id ORDER BY us), 0) / 60000000e0 AS dt,
+  max(CASE WHEN x IS NOT NULL THEN us END) OVER (PARTITION BY user_id) AS last FROM g), m AS (SELECT event_id, us - lag(us) OVER (PARTITION BY user_id ORDER BY us) AS since FROM g WHERE x IS NOT NULL)
+SELECT n.event_id, CASE WHEN n.us > last THEN -1e0 ELSE coalesce(xl, xr) END AS x, round(CASE WHEN y IS NOT NULL THEN y WHEN yl IS NULL THEN yr WHEN yr IS NULL THEN yl ELSE yl + (yr - yl) * ((n.us - tl)::DOUBLE / (tr - tl)::DOUBLE) END, 9) AS y,
+  CASE WHEN m.event_id IS NOT NULL THEN coalesce(since, 0) END AS x_delta, dt FROM n LEFT JOIN m USING (event_id)""")
+def fill_spread(spark: SparkSession, d: str) -> DataFrame:
+    """Carried and interpolated values, gaps and steps of series that are scanned day by day, so that a busy one is many tasks."""
+    made = series.delta(series.masks(gaps(spark, d), ["x"]), KEY, "us", "x_mask", "x_delta", bucket=DAY)
+    made = series.steps(made, KEY, "us", unit=60_000_000.0, bucket=DAY)
+    made = series.fill_after_last(series.carry(made, KEY, "us", {"x": "locf", "y": "lin"}, DAY), KEY, "us", "x", "x_mask", -1.0, DAY)
+    return made.select("event_id", "x", F.round("y", 9).alias("y"), "x_delta", "dt")
+
+
 @query(f"WITH {GAPS} SELECT event_id, coalesce(x, 42.5e0) AS x FROM g")
 def fill_const(spark: SparkSession, d: str) -> DataFrame:
     return series.fill(gaps(spark, d), KEY, "us", {"x": ("num", "cont", "cont")}, {"x": {"cont": 42.5}}).select("event_id", "x")

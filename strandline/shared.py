@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -34,3 +35,12 @@ def cut(df: DataFrame) -> DataFrame:
     """The same rows, written to the shared folder, without their lineage."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """The same rows as a Parquet table in the shared folder, whose size Spark knows when it plans."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{uuid.uuid4()}"
+    df.write.parquet(path)
+    remove_at_end(spark, path)
+    return spark.read.schema(df.schema).parquet(path)

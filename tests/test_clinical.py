@@ -69,3 +69,23 @@ def test_scores(made):
 
 def test_tables():
     assert len(tables.COMORBIDITIES) == 23 and len(tables.COMPLICATIONS) == 37 and sum(map(len, tables.SITES.values())) == 34 and len(tables.SITES) == 13
+
+
+def test_injury_goes_by_known_values(spark):
+    """Of troponins before and after an operation the first and the last known one count, whatever stands beside them."""
+    o = spark.createDataFrame([(1, 1, 0.0, 100.0, 200.0, 300.0), (2, 2, 0.0, 100.0, 200.0, 300.0)], "op_id bigint, subject_id bigint, admission_time double, orin_time double, orout_time double, discharge_time double")
+    rows = [(1, 10.0, None), (1, 20.0, 0.01), (1, 90.0, 0.9), (1, 200.0, 0.05), (1, 300.0, None), (2, 250.0, None), (2, 50.0, 0.01)]
+    labs = spark.createDataFrame([(s, at, "troponin_t", v) for s, at, v in rows], "subject_id bigint, chart_time double, item_name string, value double")
+    assert [tuple(r) for r in cohort.myocardial(o, labs).collect()] == [(1, 1, 1)]
+
+
+def test_kidney_takes_the_times_of_measurements(spark):
+    """An unknown creatinine next to the operation has a time, though the value is that of the one before it."""
+    o = spark.createDataFrame([(1, 1, 1000.0, 1100.0, 90000.0)], "op_id bigint, subject_id bigint, orin_time double, orout_time double, discharge_time double")
+    labs = lambda *r: spark.createDataFrame([(1, at, "creatinine", v) for at, v in r], "subject_id bigint, chart_time double, item_name string, value double")
+    ward = spark.createDataFrame([], "subject_id bigint, chart_time double, item_name string, value double")
+    week = 168 * 60.0
+    near = labs((1000.0 - week, 1.0), (990.0, None), (1100.0, None), (1200.0, 1.6))
+    far = labs((1000.0 - week, 1.0), (1200.0, 1.6))
+    stage = lambda x: cohort.kidney(o, x, ward).first().postop_acute_kidney_injury
+    assert stage(near) == 1 and stage(far) == 0
