@@ -1,4 +1,4 @@
-"""Models on pyspark.ml, and imputation by predictive mean matching."""
+"""Models on pyspark.ml."""
 
 from __future__ import annotations
 
@@ -8,15 +8,10 @@ from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import LinearRegression
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandline.operators import metrics
-from strandline.shared import cut
-
-#: Donors that a row may take its value from in predictive mean matching; donors to a shard; parts in which rows of one prediction are joined.
-NEAREST, SHARD, SALTS = 5, 500_000, 16
 
 CLASSIFIERS = {
     "logit": lambda y, n: LogisticRegression(labelCol=y, featuresCol="_scaled", regParam=0.0, maxIter=50),
@@ -55,73 +50,3 @@ def univariate(df: DataFrame, outcomes: Sequence[str], predictors: Sequence[str]
             one = one.select(F.lit(y).alias("outcome"), F.lit(x).alias("predictor"), "part", "auroc", "auprc")
             made = one if made is None else made.unionByName(one)
     return made
-
-
-def impute_chain(df: DataFrame, key: str, columns: Sequence[str], part: str | None = None, seed: int = 123, rounds: int = 10) -> DataFrame:
-    """Chained imputation: in each round each column's nulls are matched anew on the current values of all others, by impute_pmm().
-
-    Nulls start as the column's mean.  part: a column whose values are imputed apart, such
-    as training and test rows; each has its own fits and donors.  A column without any
-    value keeps its nulls and predicts nothing.  Columns become doubles.
-    """
-    if part is not None:
-        made = None
-        for value in [r[0] for r in df.select(part).distinct().orderBy(part).collect()]:  # a few parts
-            own = impute_chain(df.filter(F.col(part).eqNullSafe(F.lit(value))), key, columns, None, seed, rounds)
-            made = own if made is None else made.unionByName(own)
-        return df if made is None else made
-    counts = df.agg(F.count("*").alias("_all"), *(F.count(c).alias(c) for c in columns), *(F.avg(c).alias(f"{c}_mean") for c in columns)).first()
-    known = [c for c in columns if counts[c]]
-    gaps = [c for c in known if counts[c] < counts["_all"]]
-    state = df.withColumns({c: F.col(c).cast("double") for c in columns} | {f"_gap_{c}": F.col(c).isNull() for c in gaps})
-    state = state.withColumns({c: F.coalesce(c, F.lit(counts[f"{c}_mean"])) for c in gaps})
-    for nth in range(rounds if len(known) > 1 else 0):
-        for c in gaps:
-            asked = state.withColumn(c, F.when(~F.col(f"_gap_{c}"), F.col(c)))
-            state = cut(impute_pmm(asked, key, c, [x for x in known if x != c], F.lit(True), seed + nth))
-    return state.select(*df.columns)
-
-
-def impute_pmm(df: DataFrame, key: str, target: str, predictors: Sequence[str], train: Column, seed: int = 123, shard: int = SHARD) -> DataFrame:
-    """Nulls of `target` become the value of one of the donors whose predictions are nearest.
-
-    A linear model is fitted on the training rows that have a value; all of these are
-    donors.  Which of the NEAREST donors is taken depends on the key and the seed alone,
-    and so does the order of donors of one prediction.  Rows without a predictor, and all
-    rows if there is no donor, keep their null.  Donors are numbered by their predictions
-    within shards of the prediction's range of about `shard` donors, after the totals of
-    the shards below; a missing row's donors are then known by their numbers.
-    """
-    observed = df.filter(train & F.col(target).isNotNull()).dropna(subset=list(predictors))
-    if not (n := observed.count()):
-        return df
-    assembler = VectorAssembler(inputCols=list(predictors), outputCol="_x", handleInvalid="keep")
-    model = LinearRegression(labelCol=target, featuresCol="_x", solver="normal").fit(assembler.transform(observed))
-    w, b = model.coefficients.toArray(), float(model.intercept)
-    predicted = sum((F.col(p) * float(c) for p, c in zip(predictors, w, strict=True)), F.lit(b))
-    salt = F.pmod(F.xxhash64(key), F.lit(SALTS)).cast("int")
-    # Of donors with one prediction, no row takes more than NEAREST: the first ones by salt hold the first ones of all.
-    donors = observed.select(predicted.alias("_p"), F.col(target).cast("double").alias("_v"), F.xxhash64(F.lit(seed), key).alias("_tie"), salt.alias("_salt"))
-    for by in (["_p", "_salt"], ["_p"]):
-        nth = F.row_number().over(Window.partitionBy(*by).orderBy("_tie", "_v"))
-        donors = donors.withColumn("_nth", nth).filter(F.col("_nth") <= NEAREST)
-    missing = F.col(target).isNull() & predicted.isNotNull() & ~F.isnan(predicted)
-    wanted = df.filter(missing).select(predicted.alias("_p")).distinct()
-    shards = -(-n // shard)
-    cuts = observed.agg(F.percentile_approx(predicted, [i / shards for i in range(1, shards)] or [0.5], max(1000, 10 * shards)).alias("_cuts"))  # one row
-    # The points of a shard in order; a wanted point stands before the donors of its own prediction.
-    points = donors.select("_p", "_v", "_tie", F.lit(1).cast("bigint").alias("_d")).unionByName(wanted.select("_p", F.lit(None).cast("double").alias("_v"), F.lit(None).cast("bigint").alias("_tie"), F.lit(0).cast("bigint").alias("_d")))
-    placed = points.crossJoin(F.broadcast(cuts)).withColumn("_shard", F.size(F.filter("_cuts", lambda c: c < F.col("_p")))).drop("_cuts")
-    below = Window.orderBy("_shard").rowsBetween(Window.unboundedPreceding, -1)
-    before = placed.groupBy("_shard").agg(F.sum("_d").alias("_n")).select("_shard", F.coalesce(F.sum("_n").over(below), F.lit(0)).alias("_before"))  # a row for each shard
-    upto = Window.partitionBy("_shard").orderBy("_p", "_d", "_tie", "_v").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = placed.join(before, "_shard").withColumn("_rank", F.col("_before") + F.sum("_d").over(upto))
-    around = ranked.filter("_d = 0").select(F.col("_p").alias("_own"), F.explode(F.sequence(F.col("_rank") - (NEAREST - 1), F.col("_rank") + NEAREST)).alias("_rank"))
-    met = around.join(ranked.filter("_d = 1").select("_rank", "_p", "_v"), "_rank")
-    nearest = met.groupBy("_own").agg(F.slice(F.sort_array(F.collect_list(F.struct(F.abs(F.col("_p") - F.col("_own")).alias("far"), "_rank", "_v"))), 1, NEAREST).alias("_near"))
-    salted = nearest.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    draw = F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(1 << 30)) % F.size("_near") + 1
-    columns = [key, *(c for c in df.columns if c not in (key, target))]
-    rest = df.filter(~F.coalesce(missing, F.lit(False))).select(*columns, F.col(target).cast("double").alias(target))
-    filled = df.filter(missing).withColumns({"_own": predicted, "_salt": salt}).join(salted, ["_own", "_salt"], "left")
-    return rest.unionByName(filled.select(*columns, F.element_at("_near", draw.cast("int"))["_v"].alias(target)))

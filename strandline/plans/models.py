@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.operators import metrics, models
+from strandline.operators import imputation, metrics, models
 from strandline.plans.catalogue import query, table
 
 C = F.col
@@ -41,7 +41,15 @@ def mlp_fit(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def impute_pmm(spark: SparkSession, d: str) -> DataFrame:
     p = table(spark, d, "part").select("p_partkey", C("p_size").cast("double").alias("p_size"), F.when(C("p_partkey") % 4 != 0, C("p_retailprice")).alias("price"))
-    return models.impute_pmm(p.withColumn("k", C("p_partkey") % 200 + 0.0), "p_partkey", "price", ["p_size", "k"], C("p_partkey") % 10 < 7)
+    return imputation.impute_pmm(p.withColumn("k", C("p_partkey") % 200 + 0.0), "p_partkey", "price", ["p_size", "k"], C("p_partkey") % 10 < 7)
+
+
+@query()
+def impute_chain(spark: SparkSession, d: str) -> DataFrame:
+    """Three columns with gaps, each from the other two and from one that is whole, apart for two parts."""
+    i, n = C("p_partkey"), lambda c, k: F.when(C("p_partkey") % k != 0, C(c).cast("double")).alias(c)
+    p = table(spark, d, "part").select("p_partkey", (i % 2).alias("part"), n("p_size", 5), n("p_retailprice", 4), (i % 200 + 0.0).alias("k"), F.when(i % 7 != 0, i % 30 + 0.0).alias("m"))
+    return imputation.impute_chain(p, "p_partkey", ["p_size", "p_retailprice", "k", "m"], "part", rounds=3)
 
 
 @query()

@@ -44,3 +44,14 @@ def stored(df: DataFrame) -> DataFrame:
     df.write.parquet(path)
     remove_at_end(spark, path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(df: DataFrame) -> None:
+    """Delete what stored() wrote for df, once nothing reads it any more."""
+    spark = df.sparkSession
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    held = path(shared_dir(spark)).toUri().getPath()
+    for folder in {name.rpartition("/")[0] for name in df.inputFiles()}:
+        at = path(folder)
+        if at.getParent().toUri().getPath() == held:
+            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from strandline.dictionary import Variable, check_against, from_rows, listed
 from strandline.functions import aggregates, cells
 from strandline.functions.aggregates import aggregate
-from strandline.operators import cohort, encode, joins, labels, metrics, models, project, series, stats
+from strandline.operators import cohort, encode, imputation, joins, labels, metrics, models, project, series, stats
 
 
 def rows(df, *order):
@@ -367,7 +367,7 @@ def test_chained_imputation(spark):
     made = [(i, i % 2, a := rng.random() * 10, 2 * a + rng.random() * 0.01, 5 - a) for i in range(240)]
     holes = [tuple(None if j >= 2 and (i * 7 + j) % 9 == 0 else v for j, v in enumerate(row)) for i, row in enumerate(made)]
     d = spark.createDataFrame([(*h, None) for h in holes], "id bigint, part int, a double, b double, c double, none double")
-    got = {r.id: r for r in models.impute_chain(d, "id", ["a", "b", "c", "none"], "part", rounds=2).collect()}
+    got = {r.id: r for r in imputation.impute_chain(d, "id", ["a", "b", "c", "none"], "part", rounds=2).collect()}
     gaps = [(i, c, made[i][j]) for i, h in enumerate(holes) for j, c in ((2, "a"), (3, "b"), (4, "c")) if h[j] is None]
     assert len(got) == 240 and gaps and all(got[i][c] is not None for i, c, _ in gaps) and got[0]["none"] is None
     assert sum(abs(got[i][c] - want) for i, c, want in gaps) / len(gaps) < 0.6

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strandline.dictionary import Variable
-from strandline.operators import models
+from strandline.operators import imputation, models
 from strandline.sources import files
 from strandline.streaming import windows
 
@@ -53,8 +53,8 @@ def test_models_learn_and_impute(spark):
         assert ((p["score"] > 0.5) == (p["y"] == 1)).mean() > 0.95
     with pytest.raises(ValueError):
         models.classify(d, "none", ["x"], "y", F.lit(True), ["id"])
-    one = {r.id: r.v for r in models.impute_pmm(d, "id", "v", ["x"], F.lit(True)).collect()}
-    assert one == {r.id: r.v for r in models.impute_pmm(d.repartition(7), "id", "v", ["x"], F.lit(True)).collect()}
+    one = {r.id: r.v for r in imputation.impute_pmm(d, "id", "v", ["x"], F.lit(True)).collect()}
+    assert one == {r.id: r.v for r in imputation.impute_pmm(d.repartition(7), "id", "v", ["x"], F.lit(True)).collect()}
     assert all(abs(one[i] - (i % 20) * 3) <= 6 for i in range(400)) and all(one[i] == (i % 20) * 3 for i in range(400) if i % 5)
 
 
@@ -80,7 +80,7 @@ def test_streams(spark, tmp_path):
 def test_pmm_matches_over_all_donors(spark):
     """Each missing row takes one of its five nearest of 12,000 donors, whatever the shards."""
     d = spark.range(24_000).select(F.col("id"), F.col("id").cast("double").alias("x"), F.when(F.col("id") % 2 == 0, 3.0 * F.col("id")).alias("v"))
-    got = {r.id: r.v for r in models.impute_pmm(d, "id", "v", ["x"], F.lit(True), shard=1000).collect()}
+    got = {r.id: r.v for r in imputation.impute_pmm(d, "id", "v", ["x"], F.lit(True), shard=1000).collect()}
     assert len(got) == 24_000 and all(got[i] == 3.0 * i for i in range(0, 24_000, 2))
     assert all(abs(got[i] - 3.0 * i) <= 3 * (5 if 5 < i < 23_990 else 10) for i in range(1, 24_000, 2))
-    assert got == {r.id: r.v for r in models.impute_pmm(d.repartition(3), "id", "v", ["x"], F.lit(True)).collect()}
+    assert got == {r.id: r.v for r in imputation.impute_pmm(d.repartition(3), "id", "v", ["x"], F.lit(True)).collect()}
