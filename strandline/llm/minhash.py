@@ -21,8 +21,11 @@ the bucket.  Nodes that are still outside are compared with every node of a larg
 bounds, both exact.  Alike texts share a shingle of their prefixes: shingles in
 order of rarity, as many as hold more weight than alike texts may differ in.  And
 what each of two texts has to itself, among all these nodes, can only be in one
-of them, which limits both similarities, by weights and by counts.  So no link between components is lost,
-and variants of one text are not all compared in pairs.
+of them, which limits both similarities, by weights and by counts; how many shingles
+they differ in at least is told by sketches of a fixed size (see _not_too_far()).  What
+may be alike is verified in waves, the nearest pair of each two components first, since
+one link between them is enough.  So no link between components is lost, and variants
+of one text are not all compared in pairs.
 Every candidate is verified on its whole text.  Classes are the connected
 components of the links, found by alternating large and small stars.
 """
@@ -48,12 +51,16 @@ REACH = (SIMILARITY[0] * RANGE[1], SIMILARITY[0] * RANGE[1] + (SIMILARITY[1] - S
 BUCKETS, SHARD = 1 << 18, 1 << 12
 #: Buckets of up to so many nodes are paired in full; rounds of further leaders in larger ones.
 SMALL, LEADERS = 8, 2
+#: How much more pairs of two components a wave verifies than the one before.
+WAVE = 4
 #: Links to a task in the steps that find components.
 PER_TASK = 200_000
 #: Parts in which the nodes of each bucket are joined to what is known of the bucket, and the pairs of a node to its text.
 SALTS = 16
 #: Shingles before one in a prefix that are looked at to tell whether a pair has met already.
 BEFORE = 16
+#: 64-bit words of a sketch of the shingles in a text.
+WORDS = 16
 #: Inverse document frequencies are whole multiples of 1 / UNIT.
 UNIT = 64
 
@@ -243,7 +250,8 @@ def _possible(texts: DataFrame, idf: np.ndarray, placed: DataFrame, outside: Dat
     rarest_first = own.orderBy(F.desc("rare"), "shingle")
     upto = rarest_first.rowsBetween(Window.unboundedPreceding, 0)
     common = lambda c: F.when(F.col("n") > 1, F.col(c)).otherwise(0)
-    rows = rows.withColumn("times", (F.col("weight") / F.col("rare")).cast("bigint")).join(shared, "shingle")
+    weighed = rows.withColumn("times", (F.col("weight") / F.col("rare")).cast("bigint"))
+    rows = weighed.join(shared, "shingle")
     sums = [F.sum(f(c)).over(own).alias(f"{name}_{c}") for c in ("weight", "times") for name, f in (("all", F.col), ("rest", common))]
     rows = rows.select("node", "shingle", "rare", "n", *sums, (F.sum(common("weight")).over(own) - F.sum(common("weight")).over(upto) + common("weight")).alias("from_here"))
     # A common shingle of alike texts is in both prefixes: from it on, what is not alone holds REACH of each text's weight.
@@ -264,7 +272,58 @@ def _possible(texts: DataFrame, idf: np.ndarray, placed: DataFrame, outside: Dat
     both = both.withColumns({f"least_{c}": F.least(f"rest_{c}", f"x_rest_{c}") for c in ("weight", "times")})
     alone = lambda c: F.col(f"all_{c}") - F.col(f"rest_{c}") + F.col(f"x_all_{c}") - F.col(f"x_rest_{c}")
     met = both.filter(may_be_alike("least", lambda c: F.greatest(f"rest_{c}", f"x_rest_{c}") + alone(c)))
-    return met.select(F.least("node", "x").alias("a"), F.greatest("node", "x").alias("b"))
+    met = met.select(F.least("node", "x").alias("a"), F.greatest("node", "x").alias("b")).distinct()
+    return _not_too_far(met, weighed, texts)
+
+
+def _not_too_far(pairs: DataFrame, weighed: DataFrame, texts: DataFrame) -> DataFrame:
+    """a, b, far: the pairs that may be alike by how many shingles they have not in common, at least.
+
+    weighed: node, shingle, weight, times.  A node's sketch has a bit for each of `64 * WORDS`
+    cells: whether the shingles in it are odd in number.  What two texts share cancels, so
+    they differ in as many shingles as their sketches in bits, or more.  A shingle weighs
+    UNIT or more.  A node of several texts has no sketch of its own and stays.
+    """
+    cell = F.pmod(F.col("shingle"), F.lit(64 * WORDS))
+    bit = F.expr(f"shiftleft(1L, cast(pmod(shingle, {64 * WORDS}) % 64 as int))")
+    odd = lambda k: (F.col("times") % 2 == 1) & (F.floor(cell / 64) == k)
+    sketch = F.array(*(F.coalesce(F.bit_xor(F.when(odd(k), bit)), F.lit(0).cast("bigint")) for k in range(WORDS)))
+    several = texts.groupBy(F.col("doc_id").alias("node")).agg((F.count("*") > 1).alias("several"))
+    known = stored(weighed.groupBy("node").agg(F.sum("weight").alias("weight"), F.sum("times").alias("times"), sketch.alias("sketch")).join(several, "node"))
+    of = lambda side: known.select(F.col("node").alias(side), *(F.col(c).alias(f"{c}_{side}") for c in ("weight", "times", "sketch", "several")))
+    both = join_hot(join_hot(pairs, of("a"), ["a"], "b", "inner", SALTS), of("b"), ["b"], "a", "inner", SALTS)
+    differ = F.aggregate(F.zip_with("sketch_a", "sketch_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+    both = both.withColumn("far", F.when(F.col("several_a") | F.col("several_b"), 0).otherwise(differ).cast("bigint"))
+
+    def fits(c: str, unit: int) -> Column:
+        total, least = F.col(f"{c}_a") + F.col(f"{c}_b"), F.col("far") * unit  # common is half of total less the difference, union half of both
+        return (total - least) * SIMILARITY[1] >= (total + least) * SIMILARITY[0]
+
+    return both.filter(fits("weight", UNIT) | fits("times", 1)).select("a", "b", "far")
+
+
+def _in_waves(pairs: DataFrame, weighed: DataFrame, labels: DataFrame, texts: DataFrame, idf: np.ndarray) -> DataFrame:
+    """`weighed` with all of the pairs that are needed to know the components; pairs: a, b, far.
+
+    Of two components one link is enough.  Each wave verifies, for every two components that
+    have pairs, the nearest ones, WAVE times as many as the wave before; then pairs whose
+    ends have come together are left out, and the rest waits for the next wave.
+    """
+    left, most = stored(pairs), 1
+    while left.limit(1).count():
+        ends = left
+        for side in ("a", "b"):
+            of = labels.select(F.col("node").alias(side), F.col("label").alias(f"label_{side}"))
+            ends = join_hot(ends, of, [side], "b" if side == "a" else "a", "left", SALTS).withColumn(f"label_{side}", F.coalesce(f"label_{side}", side))
+        two = [F.least("label_a", "label_b"), F.greatest("label_a", "label_b")]
+        nth = F.row_number().over(Window.partitionBy(*two).orderBy("far", "a", "b"))
+        apart = stored(ends.filter("label_a != label_b").withColumn("nth", nth).select("a", "b", "far", "nth"))
+        now = apart.filter(F.col("nth") <= most).select("a", "b", F.lit(True).alias("wide"))
+        if now.limit(1).count():
+            weighed = weighed.unionByName(cut(_verified(now, texts, idf)))
+            labels = cut(components(weighed.filter("alike").select("a", "b")))
+        left, most = apart.filter(F.col("nth") > most).select("a", "b", "far"), most * WAVE
+    return weighed
 
 
 def _of_bucket(nodes: DataFrame, buckets: DataFrame, how: str = "inner") -> DataFrame:
@@ -345,10 +404,11 @@ def near_duplicates(documents: DataFrame, bands: int = BANDS, rows: int = ROWS,
                 degrees = weighed.filter("alike").select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").count()
                 hubs = labels.join(degrees, "node").groupBy(F.col("label").alias("into")).agg(F.max_by("node", F.struct("count", -F.col("node"))).alias("hub"))
                 outside = cut(join_hot(outside, hubs, ["into"], "node").withColumn("leader", F.coalesce("hub", "leader")).drop("hub"))
-            if nth < LEADERS:
-                more = outside.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b"))
-            else:
-                more = _possible(texts, idf, _of_bucket(placed, top.select("band", "key"), "left_semi"), outside)
+            if nth == LEADERS:
+                possible = _possible(texts, idf, _of_bucket(placed, top.select("band", "key"), "left_semi"), outside)
+                weighed = _in_waves(possible.join(weighed.select("a", "b"), ["a", "b"], "left_anti"), weighed, labels, texts, idf)
+                break
+            more = outside.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b"))
             more = more.distinct().join(weighed.select("a", "b"), ["a", "b"], "left_anti").withColumn("wide", F.lit(True))
             weighed = weighed.unionByName(cut(_verified(more, texts, idf)))
     links = weighed.filter("alike").select("a", "b", "similarity")

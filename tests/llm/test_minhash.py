@@ -143,3 +143,61 @@ def test_odd_rows_and_empty_tables(spark):
     got = sorted((tuple(r)[:2] for r in mh.near_duplicates(df).collect()), key=str)
     assert got == sorted([(1, 1), (1, 1), (2, 1), (2, 1), (None, None)], key=str)
     assert mh.near_duplicates(df.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("n,length,edits", [(200, 150, 2), (300, 60, 1), (150, 120, 2)])
+def test_variants_of_one_text_lose_no_pair(spark, n, length, edits):
+    """Buckets of variants, whose alike pairs end in one class though few of them are verified."""
+    rng = random.Random(n)
+    words = [f"v{i}" for i in range(20_000)]
+    base, docs = rng.sample(words, length), []
+    for i in range(n):
+        own = list(base)
+        for _ in range(rng.randrange(1, edits + 1)):
+            own[rng.randrange(length)] = rng.choice(words)
+        docs.append((i, " ".join(own)))
+    want = weighted_pairs(docs)
+    got = {r[0]: r[1] for r in mh.near_duplicates(spark.createDataFrame(docs, "doc_id bigint, text string").repartition(4)).collect()}
+    assert want and all(got[a] == got[b] for a, b in want)
+
+
+def test_sketches_never_part_what_is_alike(spark):
+    """Of random pairs of weighted sets, none that is alike is left out, and few that are far apart are kept."""
+    rng, rows, sets = random.Random(8), [], {}
+    for i in range(60):
+        near = i % 2 and sets[i - 1]
+        own = {s: k for s, k in near.items() if rng.random() > i / 150} if near else {rng.randrange(-(2**62), 2**62): rng.choice([1, 1, 2, 3]) for _ in range(rng.randrange(20, 300))}
+        if near:
+            own |= {rng.randrange(-(2**62), 2**62): 1 for _ in range(int(len(near) * i / 300))}
+        sets[i] = own
+        rows += [(i, s, 64 * k, k) for s, k in own.items()]
+    weighed = spark.createDataFrame(rows, "node bigint, shingle bigint, weight bigint, times bigint")
+    texts = spark.createDataFrame([(i, "x") for i in range(60)] + [(58, "y")], "doc_id bigint, text string")
+    pairs = list(itertools.combinations(range(60), 2))
+    kept = {(r.a, r.b): r.far for r in mh._not_too_far(spark.createDataFrame(pairs, "a bigint, b bigint"), weighed, texts).collect()}
+    n_alike = 0
+    for a, b in pairs:
+        x, y = Counter(sets[a]), Counter(sets[b])
+        common, union = sum((x & y).values()), sum((x | y).values())
+        if 5 * common >= 4 * union:
+            n_alike += 1
+            assert (a, b) in kept and kept[a, b] <= union - common
+    assert n_alike > 5 and len(kept) < 100 + 59  # of the node with two texts all pairs are kept
+
+
+def test_waves_verify_what_is_needed(spark):
+    """Two sets of copies of a ring of neighbours: one link for each two components, not all pairs of them."""
+    words = [f"c{i}" for i in range(300)]
+    docs = {i: " ".join(words[2 * i : 2 * i + 120]) for i in range(30)}
+    texts = mh.stored(spark.createDataFrame(list(docs.items()), "doc_id bigint, text string"))
+    idf = mh._frequencies(texts)
+    pairs = spark.createDataFrame([(a, b, b - a) for a, b in itertools.combinations(docs, 2)], "a bigint, b bigint, far bigint")
+    none = spark.createDataFrame([], "a bigint, b bigint, similarity double, alike boolean")
+    seen = mh._in_waves(pairs, none, spark.createDataFrame([], "node bigint, label bigint"), texts, idf)
+    labels = dict(map(tuple, mh.components(seen.filter("alike")).collect()))
+    assert set(labels.values()) == {0} and len(labels) == 30
+    # A star of known links leaves one component and one node outside, of which the nearest pair is enough.
+    star = spark.createDataFrame([(0, i, 1.0, True) for i in range(1, 29)], none.schema)
+    known = spark.createDataFrame([(i, 0) for i in range(29)], "node bigint, label bigint")
+    seen = mh._in_waves(pairs.filter("b = 29"), star, known, texts, idf)
+    assert seen.count() == 28 + 1 and seen.filter("alike AND b = 29").collect()[0].a == 28
