@@ -12,8 +12,11 @@ expressions.  No html is shuffled.
 
 Elements with a class, id or role that says nothing but `MARKS` and `FILLERS`, such as
 "sidebar-left" but not "related-work", are left out, elements of running text only by
-the marks of adverts, unless the page itself says that they hold the article (see
-`Page.spared`); then it is read again with these elements as any other.
+the marks of adverts; so are forms, headers, asides and dialogs, and what is named for
+readers' comments among other words.  But all of these only unless the page itself says
+that they hold the article (see `Page.spared`): then it is read again with them as any
+other.  An article's own header is part of it.  Of several articles at one path those
+that are short beside the longest are others' teasers.
 """
 
 from __future__ import annotations
@@ -35,7 +38,12 @@ QUOTE_OR_END = re.compile("[>\"']")
 ATTRIBUTE = re.compile(r"\b(class|id|role|style|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 #: Tags whose content is not text, that are left out, that hold text, that end a block.
 RAW = frozenset("script style textarea title noscript template iframe svg math canvas object video audio".split())
-OUT = frozenset("head nav header footer aside form button select dialog menu".split())
+OUT = frozenset("head nav footer button select menu".split())
+#: Tags that are left out unless they hold the article; words for readers' comments, and words beside which these say nothing of an element.
+SOFT = frozenset("form header aside dialog".split())
+COMMENTS = frozenset("comment comments commentlist commenter disqus replies".split())
+NOT_OF = frozenset("no not has have with without hide hidden show open closed on off enabled disabled allow count counts number link links".split())
+CASED = re.compile("[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
 HOLDS = frozenset("body main article section div td".split())
 BREAKS = frozenset("address article aside blockquote body br center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead title tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -60,15 +68,25 @@ def left_out(tag: str, own: dict[str, str]) -> bool:
     return tag in OUT or "hidden" in own or own.get("aria-hidden") == "true" or "display:none" in own.get("style", "").replace(" ", "").lower()
 
 
-def marked(tag: str, own: dict[str, str]) -> bool:
-    marks = ADVERTS if tag in RUNNING else MARKS
-    for token in f"{own.get('class', '')} {own.get('id', '')} {own.get('role', '')}".split():
+def marked(tag: str, own: dict[str, str], inside: bool = False) -> bool:
+    """inside: whether an article is open, in which headers are its own and ids of sections are names of headings."""
+    marks = ADVERTS if tag in RUNNING or tag == "header" and inside else MARKS
+    named = "" if tag == "section" and inside else own.get("id", "")
+    for token in f"{own.get('class', '')} {named} {own.get('role', '')}".split():
         said = [w.lower() for w in WORD.findall(token)]
         if any(w in marks for w in said) and all(w in MARKS or w in FILLERS for w in said):
             return True
     return False
 
 
+def commented(tag: str, own: dict[str, str]) -> bool:
+    """Whether an element is named for readers' comments, whatever else it is named for."""
+    if tag in RUNNING:
+        return False
+    said = [{w.lower() for w in CASED.findall(token)} for token in f"{own.get('class', '')} {own.get('id', '')}".split()]
+    return any(words & COMMENTS and not words & NOT_OF for words in said)
+
+
 def tag_end(html: str, at: int) -> int:
     """Where the `>` of a tag is whose name ends at `at`: the first outside quotes, or if they do not close, the first."""
     j = at
@@ -96,19 +114,20 @@ class Page:
         self.tags: list[str] = ["body"]
         self.score: list[float] = [0.0]
         self.blocks: list[tuple[list[int], str]] = []  # the open containers, and a block's text
-        self.marks: list[list[int]] = []  # of each marked element: text outside links, titles, articles, whether it is in another
-        self.all, self.kept, self.articles = 0, 0, 0  # text outside links, that of it outside marked elements; articles
+        self.marks: list[list[int]] = []  # of each marked element: text outside links, titles, articles, whether it is in another, whether it is named for comments
+        self.all, self.kept, self.titles, self.articles = 0, 0, 0, 0  # text outside links, that of it outside marked elements; titles; articles
         self._read(html, frozenset())
         if spared := self.spared():
             self.paths, self.parents, self.tags, self.score, self.blocks = ["body"], [-1], ["body"], [0.0], []
             self._read(html, spared)
 
     def spared(self) -> frozenset[int]:
-        """Marked elements that hold the article: most of the text outside links, and either a title or article while no article is elsewhere, or nothing is outside of marked elements."""
+        """Marked elements that hold the article: most of the text outside links, while no article is elsewhere, and a title or article; or three quarters of it, but not readers' comments, while no title is elsewhere either; or nothing is outside of marked elements."""
         found = set()
-        for i, (text, titles, articles, inner) in enumerate(self.marks):
+        for i, (text, titles, articles, inner, talk) in enumerate(self.marks):
             leads = (titles or articles) and articles == self.articles
-            if 2 * text > self.all and (leads or not self.kept and not inner):
+            whole = 4 * text > 3 * self.all and not talk and (titles, articles) == (self.titles, self.articles)
+            if 2 * text > self.all and (leads or whole or not self.kept and not inner):
                 found.add(i)
         return frozenset(found)
 
@@ -117,7 +136,7 @@ class Page:
         open_: list[int] = [0]
         marks: list[int] = []  # the open marked elements
         skipped = links = nth = 0
-        self.marks, self.all, self.kept, self.articles = [], 0, 0, 0
+        self.marks, self.all, self.kept, self.titles, self.articles = [], 0, 0, 0, 0
         text: list[str] = []
         linked = 0
 
@@ -144,11 +163,14 @@ class Page:
                 n = len(piece.strip())
                 self.all += n
                 self.kept += 0 if marks else n
-                for i in marks:
-                    self.marks[i][0] += n
             if not skipped:
                 add(piece)
 
+        def turn(mark: int, sign: int) -> None:
+            """A mark's counts are what has been counted when it closes less what had been when it opened."""
+            for k, n in enumerate((self.all, self.titles, self.articles)):
+                self.marks[mark][k] += sign * n
+
         def push(item: tuple[str, int, bool]) -> None:
             stack.append(item)
             open_tags[item[0]] += 1
@@ -187,7 +209,7 @@ class Page:
                             if out:
                                 skipped -= 1
                                 if container == -2:
-                                    marks.pop()
+                                    turn(marks.pop(), 1)
                             elif container > 0 and not skipped:
                                 open_.pop()
                         del stack[k:]
@@ -207,17 +229,22 @@ class Page:
                 links += 1
                 continue
             own = attributes(rest) if rest else {}
+            inside = open_tags["article"] > 0
+            soft = tag in SOFT and not (tag == "header" and inside)
             out = tag in OUT if not own else left_out(tag, own)
-            mark = bool(own) and not out and len(marks) < DEPTH and marked(tag, own)
+            out = out or soft and len(marks) >= DEPTH
+            talk = bool(own) and commented(tag, own)
+            mark = not out and len(marks) < DEPTH and (soft or talk or bool(own) and marked(tag, own, inside))
             if not out and skipped == len(marks) and (tag in ("h1", "main") or tag == "article" and not mark):
+                self.titles += tag == "h1"
                 self.articles += tag != "h1"
-                for i in marks:
-                    self.marks[i][1] += tag == "h1"
-                    self.marks[i][2] += tag != "h1"
-            if mark and tag not in ("body", "html", "main", "article"):
+            if mark and tag not in ("body", "html", "main") and (talk or tag != "article"):
                 nth += 1
                 mark = nth - 1 not in spared
-                self.marks.append([0, 0, 0, len(marks)])
+                self.marks.append([0, 0, 0, len(marks), talk])
+                turn(nth - 1, -1)
+                if not mark:  # read as any other, and not counted again
+                    self.marks[nth - 1] = [0, 0, 0, 0, talk]
             else:
                 mark = False
             if out or mark:
@@ -240,6 +267,19 @@ class Page:
             elif own:
                 push((tag, -1, False))
         flush()
+        while marks:
+            turn(marks.pop(), 1)
+
+    def names(self) -> list[str | None]:
+        """The path of each container; none of an article that has less than a third of the text of another one at its path."""
+        held = [0] * len(self.paths)
+        for containers, block in self.blocks:
+            for i in containers:
+                held[i] += len(block)
+        most: dict[str, int] = {}
+        for path, n in zip(self.paths, held, strict=True):
+            most[path] = max(n, most.get(path, 0))
+        return [None if tag == "article" and 3 * n < most[path] else path for path, tag, n in zip(self.paths, self.tags, held, strict=True)]
 
     def best(self) -> str:
         """The path of the best container; an article or main element around it takes its place."""
@@ -255,7 +295,7 @@ class Page:
 
     def text(self, path: str) -> str | None:
         """The blocks in all elements at the path; None if there is no such element."""
-        wanted = {i for i, p in enumerate(self.paths) if p == path}
+        wanted = {i for i, p in enumerate(self.names()) if p == path}
         if not wanted:
             return None
         return "\n".join(block for containers, block in self.blocks if wanted.intersection(containers))
@@ -288,10 +328,10 @@ def extract(pages: DataFrame) -> DataFrame:
             for html in batch.column(4).to_pylist():
                 page = Page(html or "")
                 places: dict[str, int] = {}
-                numbers = [places.setdefault(p, len(places)) for p in page.paths]
+                numbers = [-1 if p is None else places.setdefault(p, len(places)) for p in page.names()]
                 best.append(page.best())
                 paths.append(list(places))
-                blocks.append([{"text": text, "at": sorted({numbers[i] for i in containers})} for containers, text in page.blocks])
+                blocks.append([{"text": text, "at": sorted({numbers[i] for i in containers} - {-1})} for containers, text in page.blocks])
             made = [pa.array(best, pa.string()), pa.array(paths, pa.list_(pa.string())), pa.array(blocks, pa.list_(block))]
             yield pa.RecordBatch.from_arrays([*batch.columns[:4], *made], ["page_id", "url", "host", "salt", "best", "paths", "blocks"])
 
