@@ -31,6 +31,8 @@ from .text import ALNUM, Words, find_package, slices, words
 WINDOW, SHINGLE = 13, 5
 #: Benchmark shingle hashes (8 bytes each) that go to every task at once.
 BLOCK = 2_000_000
+#: Finds of one shingle to a task, about, and the parts that they are dealt in at most.
+PER_TASK, SALTS = 50_000, 4096
 
 
 def _shingles(run: Words, sizes: list[int]) -> tuple[np.ndarray, np.ndarray]:
@@ -81,16 +83,18 @@ def _counts(documents: DataFrame, hashes: np.ndarray, sizes: list[int]) -> DataF
     return documents.select("text").mapInArrow(count, "shingle bigint, n bigint").groupBy("shingle").agg(F.sum("n").alias("count"))
 
 
-def _scan(documents: DataFrame, prefixes: np.ndarray, reach: int, sizes: list[int], marks: bool) -> DataFrame:
-    """A row for each find: doc_id, text_key, part, n_words, at, shingle, low and context (words around it and the first one's place).
+def _scan(documents: DataFrame, prefixes: np.ndarray, salts: np.ndarray, reach: int, sizes: list[int], marks: bool) -> DataFrame:
+    """A row for each find: doc_id, text_key, part, n_words, at, shingle, salt, low and context (words around it and the first one's place).
 
-    marks: with a row for each document too, whose `at` is -1 and whose shingle is its text's hash, so that rows without finds are spread.
+    salts: in how many parts the finds of each prefix are dealt.  marks: with a row for each
+    document too, whose `at` is -1 and whose shingle is a number of its row alone, so that
+    rows without finds are spread, equal and empty texts too.
     """
-    known = documents.sparkSession.sparkContext.broadcast(prefixes)
+    known = documents.sparkSession.sparkContext.broadcast((prefixes, salts))
     kind = documents.schema["doc_id"].dataType.simpleString()
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys = known.value
+        (keys, dealt), nth = known.value, 0
         for batch in slices(batches):
             n_words, rows = np.zeros(batch.num_rows, np.int64), []
             for whole in words(batch.column(2), ALNUM, lower=True):
@@ -99,28 +103,32 @@ def _scan(documents: DataFrame, prefixes: np.ndarray, reach: int, sizes: list[in
                     starts, found = _shingles(run, sizes)
                     place = np.minimum(np.searchsorted(keys, found), len(keys) - 1)
                     hits = np.flatnonzero(keys[place] == found)
-                    for w, h in zip((starts[hits] + run.base).tolist(), found[hits].view(np.int64).tolist(), strict=True):
+                    for w, h, n in zip((starts[hits] + run.base).tolist(), found[hits].view(np.int64).tolist(), dealt[place[hits]].tolist(), strict=True):
                         i = int(np.searchsorted(whole.at, w, "right")) - 1
                         low, high = max(int(whole.at[i]), w - reach), min(int(whole.at[i + 1]), w + reach)
-                        rows.append((whole.rows.start + i, w - int(whole.at[i]), h, low - int(whole.at[i]), [whole.word(j) for j in range(low, high)]))
+                        nth += 1
+                        rows.append((whole.rows.start + i, w - int(whole.at[i]), h, nth % n, low - int(whole.at[i]), [whole.word(j) for j in range(low, high)]))
             if marks:
-                rows += [(i, -1, h, 0, None) for i, h in enumerate(batch.column(1).to_pylist())]
+                rows += [(i, -1, h, 0, 0, None) for i, h in enumerate(batch.column(4).to_pylist())]
             if rows:
                 of = pa.array([r[0] for r in rows], pa.int64())
                 columns = [batch.column(0).take(of), batch.column(1).take(of), batch.column(3).take(of), pa.array(n_words).take(of)]
-                columns += [pa.array([r[i] for r in rows], t) for i, t in ((1, pa.int64()), (2, pa.int64()), (3, pa.int64()), (4, pa.list_(pa.string())))]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_key", "part", "n_words", "at", "shingle", "low", "context"])
+                columns += [pa.array([r[i] for r in rows], t) for i, t in ((1, pa.int64()), (2, pa.int64()), (3, pa.int64()), (4, pa.int64()), (5, pa.list_(pa.string())))]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_key", "part", "n_words", "at", "shingle", "salt", "low", "context"])
 
-    rows = documents.select("doc_id", F.xxhash64("text").alias("text_key"), "text", F.spark_partition_id().alias("part"))
-    return rows.mapInArrow(scan, f"doc_id {kind}, text_key bigint, part int, n_words bigint, at bigint, shingle bigint, low bigint, context array<string>")
+    own = F.xxhash64(F.monotonically_increasing_id())
+    rows = documents.select("doc_id", F.xxhash64("text").alias("text_key"), "text", F.spark_partition_id().alias("part"), own.alias("own"))
+    return rows.mapInArrow(scan, f"doc_id {kind}, text_key bigint, part int, n_words bigint, at bigint, shingle bigint, salt bigint, low bigint, context array<string>")
 
 
-def _hashes(column: DataFrame) -> np.ndarray:
-    """A column of at most `block` hashes, sorted."""
-    return np.sort(column.toArrow().column(0).to_numpy().view(np.uint64))
+def _hashes(rows: DataFrame) -> tuple[np.ndarray, ...]:
+    """The columns of at most `block` rows, in order of the first one, which is a hash."""
+    first, *rest = (c.to_numpy() for c in rows.toArrow().columns)
+    order = np.argsort(first.view(np.uint64))
+    return first.view(np.uint64)[order], *(c[order] for c in rest)
 
 
-def decontaminate(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, share: int = 20, block: int = BLOCK) -> DataFrame:
+def decontaminate(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, share: int = 20, block: int = BLOCK, per_task: int = PER_TASK) -> DataFrame:
     """Which words of each document lie in a window of a benchmark item.
 
     documents: doc_id, text (other columns are not read); benchmark: item_id, text.
@@ -144,7 +152,7 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, window: int = WIND
     prefixed, scans = None, []
     for b in range(blocks):
         mine = marks.filter(F.pmod(F.xxhash64("shingle"), F.lit(blocks)) == b)
-        hashes = _hashes(mine)
+        hashes = _hashes(mine)[0]
         counts = _counts(documents, hashes, sizes) if len(hashes) else spark.createDataFrame([], "shingle bigint, count bigint")
         prefixed = counts if prefixed is None else prefixed.unionByName(counts)
     rarity = prefixed
@@ -152,20 +160,22 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, window: int = WIND
     # Shingles that no document has need no join: a window with one occurs nowhere.
     ranked = places.join(rarity, "shingle", "left").withColumn("count", F.coalesce("count", F.lit(0)))
     chosen = ranked.groupBy("words", "items", "n").agg(F.min(F.struct("count", "shingle", "place")).alias("rarest"))
-    chosen = chosen.filter("rarest.count > 0").select("words", "items", "n", F.col("rarest.shingle").alias("shingle"), F.col("rarest.place").alias("place"))
+    # The finds of a passage that very many documents have are dealt to several tasks, as many as its count fills.
+    salts = F.least(F.lit(SALTS), 1 + F.floor(F.col("rarest.count") / per_task)).cast("bigint")
+    chosen = chosen.filter("rarest.count > 0").select("words", "items", "n", F.col("rarest.shingle").alias("shingle"), F.col("rarest.place").alias("place"), salts.alias("salts"))
     chosen = cut(chosen)
-    prefixes = chosen.select("shingle").distinct()
+    prefixes = chosen.select("shingle", "salts").distinct()  # a shingle has one count
     for b in range(blocks):
         mine = prefixes if blocks == 1 else prefixes.filter(F.pmod(F.xxhash64("shingle"), F.lit(blocks)) == b)
-        scans.append(_scan(documents, _hashes(mine), window, sizes, marks=b == 0))
+        scans.append(_scan(documents, *_hashes(mine), window, sizes, marks=b == 0))
     found = scans[0]
     for more in scans[1:]:
         found = found.unionByName(more)
     start = F.col("at") - F.col("place")
     fits = (start >= 0) & (start + F.col("n") <= F.col("n_words")) & (start >= F.col("low"))
     same = F.slice("context", F.when(fits, (start - F.col("low") + 1).cast("int")).otherwise(1), F.col("n")) == F.col("words")
-    candidates = chosen.select(F.col("shingle").alias("of"), "words", "items", "n", "place")
-    joined = found.join(candidates, (F.col("shingle") == F.col("of")) & (F.col("at") >= 0), "left").withColumn("hit", F.when(fits & same, F.struct(start.alias("start"), F.col("n").cast("bigint").alias("n"))))
+    candidates = chosen.select(F.col("shingle").alias("of"), "words", "items", "n", "place", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("salts") - 1)).alias("of_salt"))
+    joined = found.join(candidates, (F.col("shingle") == F.col("of")) & (F.col("salt") == F.col("of_salt")) & (F.col("at") >= 0), "left").withColumn("hit", F.when(fits & same, F.struct(start.alias("start"), F.col("n").cast("bigint").alias("n"))))
     per = joined.groupBy("doc_id", "text_key", "part").agg(
         F.max("n_words").alias("n_words"),
         F.count(F.when(F.col("at") < 0, 1)).alias("copies"),

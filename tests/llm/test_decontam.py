@@ -4,6 +4,7 @@ import hashlib
 import re
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from strandline.llm import decontam
@@ -69,7 +70,7 @@ def test_blocks_give_the_same(spark):
 
 def test_documents_without_finds_are_spread(spark):
     d = spark.range(4000).select(F.col("id").alias("doc_id"), F.concat(F.lit("plain "), "id").alias("text"))
-    rows = decontam._scan(d.repartition(4), np.zeros(0, np.uint64), 13, [5], True)
+    rows = decontam._scan(d.repartition(4), np.zeros(0, np.uint64), np.zeros(0, np.int64), 13, [5], True)
     assert rows.filter("shingle IS NULL").count() == 0 and rows.select("shingle").distinct().count() == 4000
 
 
@@ -85,3 +86,18 @@ def test_long_text_in_parts(spark):
     b = spark.createDataFrame(items, "item_id bigint, text string")
     got = {r[0]: tuple(r)[1:] for r in decontam.digest(decontam.decontaminate(d, b)).collect()}
     assert got == brute(docs, items) and got[1][1] == 2 * (30 + 1 + 3)
+
+
+def test_null_texts_and_a_passage_in_every_document_are_spread(spark):
+    """Half of the texts are null, the other half holds one passage: no key of the join has more than twice its share."""
+    passage = " ".join(f"w{i}" for i in range(20))
+    docs = [(i, None if i % 2 else passage + (f" own{i}" if i % 4 else "")) for i in range(4000)]
+    d = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(4)
+    shingle = np.sort(next(decontam.words(pa.array([passage]), decontam.ALNUM, lower=True)).windows(5)[:1])
+    rows = decontam._scan(d, shingle, np.array([40]), 13, [5], True)
+    keys = {tuple(r)[:3]: r.n for r in rows.groupBy(F.col("at") < 0, "shingle", "salt").agg(F.count("*").alias("n")).collect()}
+    assert max(keys.values()) <= 2 * 2000 / 40 and len(keys) == 4000 + 40
+    items = [(1, passage), (2, "w3 w4 w5")]
+    b = spark.createDataFrame(items, "item_id bigint, text string")
+    got = {r[0]: tuple(r)[1:] for r in decontam.digest(decontam.decontaminate(d, b, per_task=100)).collect()}
+    assert got == brute(docs, items)
