@@ -11,14 +11,22 @@ from strandline.functions import cells
 
 
 def funnel(df: DataFrame, steps: Sequence[tuple[str, Column]], subject: str) -> DataFrame:
-    """For each step: rows and subjects that are left after it and all before it.  One scan."""
-    passed, columns = F.lit(True), []
-    for i, (_, test) in enumerate(steps):
+    """For each step: rows and subjects that are left after it and all before it.
+
+    A row is known by how many steps it passes in turn, a subject by the most of any of its
+    rows, so rows are summed by subject once and nothing is expanded by step.
+    """
+    passed, far = F.lit(True), F.lit(0)
+    for _, test in steps:
         passed = passed & F.coalesce(test, F.lit(False))
-        columns += [F.count(F.when(passed, 1)).alias(f"r{i}"), F.countDistinct(F.when(passed, F.col(subject))).alias(f"s{i}")]
-    one = df.agg(*columns)
-    rows = [F.struct(F.lit(i).alias("step"), F.lit(name).alias("name"), F.col(f"r{i}").alias("n_rows"), F.col(f"s{i}").alias("n_subjects")) for i, (name, _) in enumerate(steps)]
-    return one.select(F.explode(F.array(*rows)).alias("x")).select("x.*")
+        far = far + F.when(passed, 1).otherwise(0)
+    reach = lambda c, i: F.when(F.col(c) > i, 1)
+    rows = df.select(F.col(subject).alias("_subject"), far.alias("_far"))
+    each = rows.groupBy("_subject").agg(F.max("_far").alias("_most"), *(F.count(reach("_far", i)).alias(f"r{i}") for i in range(len(steps))))
+    known = F.when(F.col("_subject").isNotNull(), F.col("_most"))
+    one = each.withColumn("_known", known).agg(*(c for i in range(len(steps)) for c in (F.coalesce(F.sum(f"r{i}"), F.lit(0)).alias(f"r{i}"), F.count(reach("_known", i)).alias(f"s{i}"))))
+    named = [F.struct(F.lit(i).alias("step"), F.lit(name).alias("name"), F.col(f"r{i}").alias("n_rows"), F.col(f"s{i}").alias("n_subjects")) for i, (name, _) in enumerate(steps)]
+    return one.select(F.explode(F.array(*named)).alias("x")).select("x.*")
 
 
 def draw(salt: str, name: str) -> Column:

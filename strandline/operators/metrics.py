@@ -12,18 +12,28 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandline.operators.quantiles import below, cuts_of
+
 SHARDS = 32
 #: The cumulative probabilities of a Poisson variable of mean 1, at 0, 1, ...
 POISSON = (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119, 0.9999897508033253)
 
 
-def running(df: DataFrame, keys: Sequence[str], score: str, label: str, weight: str | None = None) -> DataFrame:
-    """keys, score, pos, neg (weight at the score), tp, fp (at it or above), P, N (in all); labels 0/1, rows without label or score left out."""
+def score_cuts(df: DataFrame, score: str = "score") -> DataFrame:
+    """One row: where the scores' range is cut into shards."""
+    return df.agg(cuts_of(F.col(score), SHARDS, 1000).alias("_cuts"))
+
+
+def running(df: DataFrame, keys: Sequence[str], score: str, label: str, weight: str | None = None, cuts: DataFrame | None = None) -> DataFrame:
+    """keys, score, pos, neg (weight at the score), tp, fp (at it or above), P, N (in all); labels 0/1, rows without label or score left out.
+
+    cuts: score_cuts() of rows with about the same scores, where there are fewer of them.
+    """
     w = F.col(weight) if weight else F.lit(1).cast("bigint")
     rows = df.filter(F.col(label).isNotNull() & F.col(score).isNotNull())
     tied = rows.groupBy(*keys, score).agg(F.sum(F.when(F.col(label) == 1, w).otherwise(0)).alias("pos"), F.sum(F.when(F.col(label) == 1, 0).otherwise(w)).alias("neg"))
-    cuts = rows.agg(F.percentile_approx(score, [i / SHARDS for i in range(1, SHARDS)], 1000).alias("_cuts"))  # one row
-    placed = tied.crossJoin(F.broadcast(cuts)).withColumn("_shard", F.size(F.filter("_cuts", lambda c: c > F.col(score)))).drop("_cuts")
+    cuts = score_cuts(rows, score) if cuts is None else cuts  # one row
+    placed = tied.crossJoin(F.broadcast(cuts)).withColumn("_shard", -below(F.col("_cuts"), F.col(score), SHARDS)).drop("_cuts")
     totals = placed.groupBy(*keys, "_shard").agg(F.sum("pos").alias("_p"), F.sum("neg").alias("_n"))
     own = Window.partitionBy(*keys)
     above = own.orderBy("_shard").rowsBetween(Window.unboundedPreceding, -1)
@@ -47,13 +57,13 @@ def area(df: DataFrame, keys: Sequence[str], score: str = "score", label: str =
 METRICS = ("auroc", "auprc", "accuracy", "sensitivity", "specificity", "precision", "f1")
 
 
-def discrimination(df: DataFrame, keys: Sequence[str], score: str = "score", label: str = "y", weight: str | None = None) -> DataFrame:
+def discrimination(df: DataFrame, keys: Sequence[str], score: str = "score", label: str = "y", weight: str | None = None, cuts: DataFrame | None = None) -> DataFrame:
     """keys and METRICS; null where a class is missing, 0 for empty denominators.
 
     The threshold is chosen anew for each key, as best_threshold() does.  What lies over it
     is known from the running counts at its own row, so one pass gives all metrics.
     """
-    r = running(df, keys, score, label, weight)
+    r = running(df, keys, score, label, weight, cuts)
     d = lambda c: F.col(c).cast("double")
     f1 = F.when(F.col("tp") == 0, 0.0).otherwise(2.0 * F.col("tp") / (F.col("tp") + F.col("fp") + F.col("P")))
     best = F.max(F.struct(f1.alias("f1"), (-F.col(score)).alias("s"), (d("tp") - d("pos")).alias("tp"), (d("fp") - d("neg")).alias("fp")))
@@ -127,10 +137,12 @@ def _limits(point: DataFrame, each: DataFrame, on: Sequence[str]) -> DataFrame:
 def bootstrap(df: DataFrame, keys: Sequence[str], key: str, n: int = 50, seed: int = 123, score: str = "score", label: str = "y") -> DataFrame:
     """keys, metric (each of METRICS), point (all rows), low, high (2.5 and 97.5 percentiles of the replicates that have both classes), used.
 
-    A replicate has a threshold of its own.
+    A replicate has a threshold of its own.  Scores are cut into shards by the rows as they
+    are, not once more for all of their replicates.
     """
-    point = discrimination(df, keys, score, label).unpivot(list(keys), list(METRICS), "metric", "point")
-    each = discrimination(replicate(df, key, n, seed), [*keys, "rep"], score, label, "w").unpivot([*keys, "rep"], list(METRICS), "metric", "value")
+    cuts = score_cuts(df, score)
+    point = discrimination(df, keys, score, label, cuts=cuts).unpivot(list(keys), list(METRICS), "metric", "point")
+    each = discrimination(replicate(df, key, n, seed), [*keys, "rep"], score, label, "w", cuts).unpivot([*keys, "rep"], list(METRICS), "metric", "value")
     return _limits(point, each, [*keys, "metric"])
 
 
@@ -140,8 +152,10 @@ def bootstrap_classes(df: DataFrame, label: str, scores: Sequence[str], key: str
     A replicate is drawn once for all classes; one that lacks a class has no mean.
     """
 
+    cuts = score_cuts(one_vs_rest(df, label, scores))
+
     def by_class(rows: DataFrame, keep: Sequence[str], weight: str | None) -> DataFrame:
-        own = discrimination(one_vs_rest(rows, label, scores, [*keep, *([weight] if weight else [])]), [*keep, "class"], weight=weight)
+        own = discrimination(one_vs_rest(rows, label, scores, [*keep, *([weight] if weight else [])]), [*keep, "class"], weight=weight, cuts=cuts)
         long = own.unpivot([*keep, "class"], list(METRICS), "metric", "value").withColumn("class", F.col("class").cast("string"))
         mean = F.when(F.count("value") == len(scores), F.avg("value")).alias("value")
         return long.unionByName(long.groupBy(*keep, "metric").agg(mean).withColumn("class", F.lit("macro")))
