@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.operators import imputation, metrics, models
+from strandline.operators import boosting, imputation, metrics, models
 from strandline.plans.catalogue import query, table
 
 C = F.col
@@ -33,6 +33,16 @@ def tree_fit(spark: SparkSession, d: str) -> DataFrame:
     return _fit(spark, d, "forest").withColumn("model", F.lit("forest")).unionByName(_fit(spark, d, "boosted").withColumn("model", F.lit("boosted")))
 
 
+@query()
+def boost_fit(spark: SparkSession, d: str) -> DataFrame:
+    """Trees on histograms of features with nulls, which stop by the loss of a held part."""
+    share, third = C("o_custkey") % 10, F.when(C("n") > 3, C("discount"))
+    rows = _rows(spark, d).withColumn("discount", third)
+    model = boosting.fit(rows, ["o_totalprice", "n", "discount"], "y", share < 6, share == 6, rounds=4, depth=3)
+    scored = boosting.predict(rows, model).withColumn("part", F.when(share < 6, "train").when(share == 6, "held").otherwise("test"))
+    return metrics.area(scored, ["part"])
+
+
 @query()
 def mlp_fit(spark: SparkSession, d: str) -> DataFrame:
     return _fit(spark, d, "mlp")
