@@ -22,7 +22,7 @@ bounds, both exact.  Alike texts share a shingle of their prefixes: shingles in
 order of rarity, as many as hold more weight than alike texts may differ in.  And
 what each of two texts has to itself, among all these nodes, can only be in one
 of them, which limits both similarities, by weights and by counts; how many shingles
-they differ in at least is told by sketches of a fixed size (see _not_too_far()).  What
+they differ in at least is told by sketches of a fixed size (see _far()).  What
 may be alike is verified in waves, the nearest pair of each two components first, since
 one link between them is enough.  So no link between components is lost, and variants
 of one text are not all compared in pairs.
@@ -241,10 +241,10 @@ def _weighed_shingles(texts: DataFrame, idf: np.ndarray) -> DataFrame:
 
 
 def _possible(texts: DataFrame, idf: np.ndarray, placed: DataFrame, outside: DataFrame) -> DataFrame:
-    """a, b: pairs of a node in `outside` and a node in `placed` with another label that may be alike."""
+    """a, b, far: pairs of a node in `outside` and a node in `placed` with another label that may be alike, and how many shingles they differ in at least."""
     named = placed.select("node", "label").distinct()
     rows = _weighed_shingles(texts.join(named.select(F.col("node").alias("doc_id")), "doc_id", "left_semi"), idf)
-    rows = cut(rows.groupBy("node", "shingle").agg(F.max("rare").alias("rare"), F.max("weight").alias("weight")))  # a doc_id may have several texts
+    rows = stored(rows.groupBy("node", "shingle").agg(F.max("rare").alias("rare"), F.max("weight").alias("weight")))  # a doc_id may have several texts
     shared = rows.groupBy("shingle").agg(F.count("*").alias("n"))
     own = Window.partitionBy("node")
     rarest_first = own.orderBy(F.desc("rare"), "shingle")
@@ -265,41 +265,45 @@ def _possible(texts: DataFrame, idf: np.ndarray, placed: DataFrame, outside: Dat
     rows = rows.filter(prefix & may_be_alike("rest", lambda c: F.col(f"all_{c}")))
     # A pair is wanted once: not again at a shingle when one of the few before it is common too.
     before = F.collect_list("shingle").over(rarest_first.rowsBetween(-BEFORE, -1))
-    held = ["node", "label", "before", *(f"{name}_{c}" for name in ("all", "rest") for c in ("weight", "times"))]
-    marked = cut(rows.withColumn("before", before).join(named, "node").select("shingle", *held))
+    held = ["node", "label", "before", "sketch", *(f"{name}_{c}" for name in ("all", "rest") for c in ("weight", "times"))]
+    marked = stored(rows.withColumn("before", before).join(named.join(_sketches(weighed, texts), "node"), "node").select("shingle", *held))
     mine = marked.join(outside.select("node").distinct(), "node", "left_semi").select("shingle", *(F.col(c).alias(f"x_{c}") for c in held)).withColumnRenamed("x_node", "x")
     both = marked.join(mine, "shingle").filter((F.col("label") != F.col("x_label")) & ~F.arrays_overlap("before", "x_before"))
     both = both.withColumns({f"least_{c}": F.least(f"rest_{c}", f"x_rest_{c}") for c in ("weight", "times")})
     alone = lambda c: F.col(f"all_{c}") - F.col(f"rest_{c}") + F.col(f"x_all_{c}") - F.col(f"x_rest_{c}")
     met = both.filter(may_be_alike("least", lambda c: F.greatest(f"rest_{c}", f"x_rest_{c}") + alone(c)))
-    met = met.select(F.least("node", "x").alias("a"), F.greatest("node", "x").alias("b")).distinct()
-    return _not_too_far(met, weighed, texts)
+    total = lambda c: F.col(f"all_{c}") + F.col(f"x_all_{c}")
+    met = met.filter(_near(_far("sketch", "x_sketch"), total("weight"), total("times")))
+    return met.select(F.least("node", "x").alias("a"), F.greatest("node", "x").alias("b"), _far("sketch", "x_sketch").alias("far")).distinct()
 
 
-def _not_too_far(pairs: DataFrame, weighed: DataFrame, texts: DataFrame) -> DataFrame:
-    """a, b, far: the pairs that may be alike by how many shingles they have not in common, at least.
+def _sketches(weighed: DataFrame, texts: DataFrame) -> DataFrame:
+    """node, sketch: a bit for each of `64 * WORDS` cells, whether the shingles in it are odd in number; null for a node of several texts.
 
-    weighed: node, shingle, weight, times.  A node's sketch has a bit for each of `64 * WORDS`
-    cells: whether the shingles in it are odd in number.  What two texts share cancels, so
-    they differ in as many shingles as their sketches in bits, or more.  A shingle weighs
-    UNIT or more.  A node of several texts has no sketch of its own and stays.
+    weighed: node, shingle, times.
     """
-    cell = F.pmod(F.col("shingle"), F.lit(64 * WORDS))
-    bit = F.expr(f"shiftleft(1L, cast(pmod(shingle, {64 * WORDS}) % 64 as int))")
-    odd = lambda k: (F.col("times") % 2 == 1) & (F.floor(cell / 64) == k)
+    cells = 64 * WORDS
+    bit = F.expr(f"shiftleft(1L, cast(pmod(shingle, {cells}) % 64 as int))")
+    odd = lambda k: (F.col("times") % 2 == 1) & (F.floor(F.pmod(F.col("shingle"), F.lit(cells)) / 64) == k)
     sketch = F.array(*(F.coalesce(F.bit_xor(F.when(odd(k), bit)), F.lit(0).cast("bigint")) for k in range(WORDS)))
     several = texts.groupBy(F.col("doc_id").alias("node")).agg((F.count("*") > 1).alias("several"))
-    known = stored(weighed.groupBy("node").agg(F.sum("weight").alias("weight"), F.sum("times").alias("times"), sketch.alias("sketch")).join(several, "node"))
-    of = lambda side: known.select(F.col("node").alias(side), *(F.col(c).alias(f"{c}_{side}") for c in ("weight", "times", "sketch", "several")))
-    both = join_hot(join_hot(pairs, of("a"), ["a"], "b", "inner", SALTS), of("b"), ["b"], "a", "inner", SALTS)
-    differ = F.aggregate(F.zip_with("sketch_a", "sketch_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
-    both = both.withColumn("far", F.when(F.col("several_a") | F.col("several_b"), 0).otherwise(differ).cast("bigint"))
+    return weighed.groupBy("node").agg(sketch.alias("sketch")).join(several, "node").select("node", F.when(~F.col("several"), F.col("sketch")).alias("sketch"))
 
-    def fits(c: str, unit: int) -> Column:
-        total, least = F.col(f"{c}_a") + F.col(f"{c}_b"), F.col("far") * unit  # common is half of total less the difference, union half of both
-        return (total - least) * SIMILARITY[1] >= (total + least) * SIMILARITY[0]
 
-    return both.filter(fits("weight", UNIT) | fits("times", 1)).select("a", "b", "far")
+def _far(one: str, other: str) -> Column:
+    """How many shingles two texts have not in common, at least: what they share cancels, so they differ in as many as their sketches in bits, or more."""
+    differ = F.zip_with(one, other, lambda x, y: F.bit_count(x.bitwiseXOR(y)).cast("bigint"))
+    return F.coalesce(F.aggregate(differ, F.lit(0).cast("bigint"), lambda n, x: n + x), F.lit(0).cast("bigint"))
+
+
+def _near(far: Column, weight: Column, times: Column) -> Column:
+    """Whether texts may be alike that differ in so many shingles; weight, times: of both together.
+
+    What is common is half of the total less the difference, the union half of total and
+    difference.  A shingle weighs UNIT or more.
+    """
+    fits = [(total - far * unit) * SIMILARITY[1] >= (total + far * unit) * SIMILARITY[0] for total, unit in ((weight, UNIT), (times, 1))]
+    return fits[0] | fits[1]
 
 
 def _in_waves(pairs: DataFrame, weighed: DataFrame, labels: DataFrame, texts: DataFrame, idf: np.ndarray) -> DataFrame:

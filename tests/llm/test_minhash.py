@@ -7,6 +7,7 @@ import re
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from strandline.llm import minhash as mh
 
@@ -174,7 +175,11 @@ def test_sketches_never_part_what_is_alike(spark):
     weighed = spark.createDataFrame(rows, "node bigint, shingle bigint, weight bigint, times bigint")
     texts = spark.createDataFrame([(i, "x") for i in range(60)] + [(58, "y")], "doc_id bigint, text string")
     pairs = list(itertools.combinations(range(60), 2))
-    kept = {(r.a, r.b): r.far for r in mh._not_too_far(spark.createDataFrame(pairs, "a bigint, b bigint"), weighed, texts).collect()}
+    sums = weighed.groupBy("node").agg(F.sum("weight").alias("weight"), F.sum("times").alias("times")).join(mh._sketches(weighed, texts), "node")
+    other = sums.select(*(F.col(c).alias(f"x_{c}") for c in sums.columns))
+    both = sums.join(other, F.col("node") < F.col("x_node")).withColumn("far", mh._far("sketch", "x_sketch"))
+    near = both.filter(mh._near(F.col("far"), F.col("weight") + F.col("x_weight"), F.col("times") + F.col("x_times")))
+    kept = {(r.node, r.x_node): r.far for r in near.collect()}
     n_alike = 0
     for a, b in pairs:
         x, y = Counter(sets[a]), Counter(sets[b])
