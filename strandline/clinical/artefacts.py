@@ -11,8 +11,9 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandline.clinical.cohort import WEEK
 from strandline.dictionary import Variable
-from strandline.operators import encode, project, series, stats
+from strandline.operators import encode, imputation, joins, project, series, stats
 
 C = F.col
 STATIC_LABELS = ["death_30d", "have_icu", "have_aki", "have_ali", "postop_lung_complications", "postop_cardiac_complications", "postop_stroke"]
@@ -40,9 +41,9 @@ def _rules(variables: Sequence[Variable]) -> dict[str, tuple[str, str, str]]:
 
 def _own(events: DataFrame, cohort: DataFrame, reach: float) -> DataFrame:
     """op_id, chart_time, item_name, value of each operation's subject, from `reach` before admission to `reach` after the operation begins."""
-    c = cohort.select("op_id", "subject_id", "admission_time", "orin_time")
-    met = events.select("subject_id", "chart_time", "item_name", "value").join(c, "subject_id")
-    return met.filter((C("chart_time") >= C("admission_time") - reach) & (C("chart_time") <= C("orin_time") + reach)).select("op_id", "chart_time", "item_name", "value")
+    c = cohort.select("op_id", "subject_id", (C("admission_time") - reach).alias("_low"), (C("orin_time") + reach).alias("_high"))
+    met = joins.range_join(events.select("subject_id", "chart_time", "item_name", "value"), c, "subject_id", "chart_time", "_low", "_high", bucket=WEEK)
+    return met.select("op_id", "chart_time", "item_name", "value")
 
 
 def _before(events: DataFrame, cohort: DataFrame, variables: Sequence[Variable], width: float, direction: str, keep_first: bool) -> DataFrame:
@@ -103,13 +104,23 @@ def static_labels(cohort: DataFrame) -> DataFrame:
     return project.with_mask(cohort.select("op_id", *STATIC_LABELS), STATIC_LABELS)
 
 
-def build(cohort: DataFrame, lab: DataFrame, vital: DataFrame, ward_: DataFrame, d_lab: Sequence[Variable], d_vit: Sequence[Variable], d_ward: Sequence[Variable], static: Mapping[str, Sequence[str]] | None = None) -> dict[str, DataFrame]:
-    """All tables by name, and z-parameters of the three series; statistics come from training rows."""
+def statics(cohort: DataFrame, numbers: Sequence[str] = (), levels: Mapping[str, Sequence[str]] | None = None, rounds: int = 10) -> DataFrame:
+    """op_id, the numbers with their gaps imputed apart in each part of the split, and the categories one-hot."""
+    own = cohort.select("op_id", "dataset", *numbers, *(levels or {}))
+    filled = imputation.impute_chain(own, "op_id", numbers, "dataset", rounds=rounds) if numbers else own
+    return encode.one_hot(filled.drop("dataset"), levels or {})
+
+
+def build(cohort: DataFrame, lab: DataFrame, vital: DataFrame, ward_: DataFrame, d_lab: Sequence[Variable], d_vit: Sequence[Variable], d_ward: Sequence[Variable], static: Mapping[str, Sequence[str]] | None = None, numbers: Sequence[str] = ()) -> dict[str, DataFrame]:
+    """All tables by name, and z-parameters of the three series; statistics come from training rows.
+
+    static: levels of the categories that do not change, numbers: names of such numbers.
+    """
     fitted = {"lab": fit(lab, cohort, "subject_id", d_lab), "vit": fit(vital, cohort, "op_id", d_vit), "ward_vit": fit(ward_, cohort, "subject_id", d_ward)}
     levels = {r["item"]: r["unique_values"] for r in fitted["ward_vit"].filter("type IN ('cat', 'ord')").collect()}
     out = labs(lab, cohort, d_lab, given(fitted["lab"], d_lab)) | ward(ward_, cohort, d_ward, given(fitted["ward_vit"], d_ward), levels)
     out |= vitals(vital, cohort, d_vit, given(fitted["vit"], d_vit))
     out["y"] = dynamic_labels(out["observed"], out["ward_vit"])
     out["y_static"] = static_labels(cohort)
-    out["x_s"] = encode.one_hot(cohort.select("op_id", *(static or {})), static or {})
+    out["x_s"] = statics(cohort, numbers, static)
     return out | {f"z_param_{n}": encode.with_step(encode.z_parameters(s)) for n, s in fitted.items()}

@@ -15,6 +15,8 @@ from strandline.operators import cohort, joins, labels, project, series
 
 C = F.col
 THIRTY_DAYS = 30 * 24 * 60
+#: Minutes in the buckets of time that a subject's rows are joined by: one with very many rows is spread over tasks.
+WEEK = 7 * 24 * 60
 
 
 def _span(start: str, end: str, missing: float | None = None) -> Column:
@@ -48,7 +50,7 @@ def comorbidities(operations: DataFrame, diagnosis: DataFrame) -> DataFrame:
 
 def devices(operations: DataFrame, ward: DataFrame, low: str, high: str, names: dict[str, str]) -> DataFrame:
     """op_id and a 0/1 column per device in use between two times, ends included."""
-    found = joins.flags(ward, operations.select("op_id", "subject_id", low, high), "subject_id", "op_id", "chart_time", low, high, "item_name", t.DEVICES)
+    found = joins.flags(ward, operations.select("op_id", "subject_id", low, high), "subject_id", "op_id", "chart_time", low, high, "item_name", t.DEVICES, bucket=WEEK)
     return found.select("op_id", *(C(d).alias(names[d]) for d in t.DEVICES))
 
 
@@ -58,7 +60,7 @@ def _item(events: DataFrame, item: str, scale: float = 1.0) -> DataFrame:
 
 def _end(events: DataFrame, operations: DataFrame, low: str, high: str, first: bool, out: str) -> DataFrame:
     """op_id and the first or last known value between two times, for operations that have one."""
-    met = joins.range_join(events.filter("value IS NOT NULL"), operations.select("op_id", "subject_id", low, high), "subject_id", "chart_time", low, high)
+    met = joins.range_join(events.filter("value IS NOT NULL"), operations.select("op_id", "subject_id", low, high), "subject_id", "chart_time", low, high, bucket=WEEK)
     return met.groupBy("op_id").agg((F.min if first else F.max)(F.struct("chart_time", "value")).alias("x")).select("op_id", C("x.value").alias(out))
 
 
@@ -73,8 +75,8 @@ def myocardial(operations: DataFrame, labs: DataFrame) -> DataFrame:
 
 def _before_after(events: DataFrame, operations: DataFrame, before: str, after: str) -> DataFrame:
     """op_id, _v1, _v2 and their times: the last value up to one time and the first from another on."""
-    one = joins.asof(events, operations.select("op_id", "subject_id", before), "subject_id", "chart_time", before, "value", "op_id", "backward", "_v1")
-    two = joins.asof(events, operations.select("op_id", "subject_id", after), "subject_id", "chart_time", after, "value", "op_id", "forward", "_v2")
+    one = joins.asof(events, operations.select("op_id", "subject_id", before), "subject_id", "chart_time", before, "value", "op_id", "backward", "_v1", bucket=WEEK)
+    two = joins.asof(events, operations.select("op_id", "subject_id", after), "subject_id", "chart_time", after, "value", "op_id", "forward", "_v2", bucket=WEEK)
     return one.select("op_id", "_v1", "_v1_time").join(two.select("op_id", "_v2", "_v2_time"), "op_id")
 
 
@@ -104,13 +106,13 @@ def complications(operations: DataFrame, diagnosis: DataFrame) -> DataFrame:
     """op_id and a 0/1 column per complication, from exact codes after the operation's start and before discharge."""
     claims = [(code, name, rank) for rank, (name, own) in enumerate(t.COMPLICATIONS.items()) for code in own]
     which = joins.first_match(operations.sparkSession.createDataFrame(claims, "icd10_cm string, label string, rank int"), "icd10_cm")
-    met = joins.range_join(diagnosis.select("subject_id", "chart_time", "icd10_cm"), operations.select("op_id", "subject_id", "orin_time", "discharge_time"), "subject_id", "chart_time", "orin_time", "discharge_time", ("open", "open"))
+    met = joins.range_join(diagnosis.select("subject_id", "chart_time", "icd10_cm"), operations.select("op_id", "subject_id", "orin_time", "discharge_time"), "subject_id", "chart_time", "orin_time", "discharge_time", ("open", "open"), WEEK)
     return met.join(which, "icd10_cm").groupBy("op_id").agg(*(F.max((C("label") == n).cast("int")).alias(n) for n in t.COMPLICATIONS))
 
 
 def intubation(operations: DataFrame, ward: DataFrame) -> DataFrame:
     """op_id, when ventilation first went up by one step after the operation."""
-    met = joins.range_join(_item(ward, "vent"), operations.select("op_id", "subject_id", "orout_time", "discharge_time"), "subject_id", "chart_time", "orout_time", "discharge_time", ("open", "open"))
+    met = joins.range_join(_item(ward, "vent"), operations.select("op_id", "subject_id", "orout_time", "discharge_time"), "subject_id", "chart_time", "orout_time", "discharge_time", ("open", "open"), WEEK)
     return series.first_rise(met.select("op_id", "chart_time", "value"), "op_id", "chart_time", "value").withColumnRenamed("chart_time", "postop_first_intubation_time")
 
 
@@ -123,7 +125,7 @@ def risks(operations: DataFrame, diagnosis: DataFrame, labs: DataFrame) -> DataF
     found = before.groupBy("op_id").agg(F.max(code.rlike("^C[0-9]|^D[0-4][0-9]|^Z85").cast("int")).alias("_cancer"), F.sum(weight).alias("CCI_score"), *groups)
     high = _item(labs, "creatinine").filter("value > 2").withColumn("item_name", F.lit("_creatinine"))
     rows = operations.select("op_id", "subject_id", "admission_time", "orin_time")
-    flagged = joins.flags(high, rows, "subject_id", "op_id", "chart_time", "admission_time", "orin_time", "item_name", ["_creatinine"]).select("op_id", "_creatinine")
+    flagged = joins.flags(high, rows, "subject_id", "op_id", "chart_time", "admission_time", "orin_time", "item_name", ["_creatinine"], bucket=WEEK).select("op_id", "_creatinine")
     return flagged.join(found, "op_id", "left").fillna(0)
 
 

@@ -47,3 +47,24 @@ def test_static_and_parameters(made):
     assert rows(made["y_static"], "have_icu", "have_aki", "have_aki_mask") == [(1, 1, 0, 0), (2, 1, 0, 0)]
     assert rows(made["x_s"], "asa___1", "asa___2") == [(1, 0, 1), (2, 1, 0)]
     assert {r["var"] for r in made["z_param_lab"].collect()} == {"k", "na", "dt"}
+
+
+def test_statics_are_imputed_in_each_part(spark):
+    rng = [(i, 1 + i % 3, None if i % 5 == 0 else float(i), 2.0 * i, "a" if i % 2 else None) for i in range(90)]
+    cohort = spark.createDataFrame(rng, "op_id bigint, dataset int, age double, weight double, sex string")
+    found = artefacts.statics(cohort, ["age", "weight"], {"sex": ["a", "b"]}, rounds=2)
+    got = {r.op_id: r for r in found.collect()}
+    assert found.columns[:3] == ["op_id", "age", "weight"] and "dataset" not in found.columns and len(got) == 90
+    parts = {p: {float(i) for i in range(90) if i % 5 and 1 + i % 3 == p} for p in (1, 2, 3)}
+    assert all(got[i].age in parts[1 + i % 3] and abs(got[i].age - i) <= 30 for i in range(90)) and all(got[i].age == i for i in range(90) if i % 5)
+
+
+def test_a_busy_subject_is_joined_by_bucket(spark):
+    """Half of all rows are of one subject, whose rows meet their windows week by week."""
+    from strandline.clinical import cohort as c
+
+    ops = spark.createDataFrame([(i, 1 if i % 2 else i, 100.0 * i, 100.0 * i + 50, 100.0 * i + 60, 100.0 * i + 9000) for i in range(200)], "op_id bigint, subject_id bigint, admission_time double, orin_time double, orout_time double, discharge_time double")
+    ward = spark.createDataFrame([(1, 30.0 * i, "vent", 1.0) for i in range(1000)], "subject_id bigint, chart_time double, item_name string, value double")
+    found = c.devices(ops, ward, "orout_time", "discharge_time", {d: d for d in ("crrt", "ecmo", "vent")})
+    assert "_bucket" in found._jdf.queryExecution().optimizedPlan().toString()
+    assert {r.op_id for r in found.filter("vent = 1").collect()} == {i for i in range(200) if i % 2 and 100.0 * i + 60 <= 30.0 * 999}
