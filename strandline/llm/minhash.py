@@ -51,8 +51,9 @@ REACH = (SIMILARITY[0] * RANGE[1], SIMILARITY[0] * RANGE[1] + (SIMILARITY[1] - S
 BUCKETS, SHARD = 1 << 18, 1 << 12
 #: Buckets of up to so many nodes are paired in full; rounds of further leaders in larger ones.
 SMALL, LEADERS = 8, 2
-#: How much more pairs of two components a wave verifies than the one before.
-WAVE = 4
+#: Pairs of two components that the first wave verifies, and how many times more each wave does than the one before.
+NEAREST = 4
+WAVE = 16
 #: Links to a task in the steps that find components.
 PER_TASK = 200_000
 #: Parts in which the nodes of each bucket are joined to what is known of the bucket, and the pairs of a node to its text.
@@ -219,7 +220,8 @@ def _verified(pairs: DataFrame, texts: DataFrame, idf: np.ndarray) -> DataFrame:
                 similar.append(max(c / max(u, 1) for c, u in ratios))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(similar, pa.float64()), pa.array(alike, pa.bool_())], ["a", "b", "similarity", "alike"])
 
-    pairs = cut(pairs.groupBy("a", "b").agg(F.max("wide").alias("wide")))
+    # Written, so that Spark knows their size: texts are not shuffled for few pairs.
+    pairs = stored(pairs.groupBy("a", "b").agg(F.max("wide").alias("wide")))
     rows = _with_text(_with_text(pairs, texts, "a", "b", "text_a"), texts, "b", "a", "text_b").select("a", "b", "text_a", "text_b")
     return rows.mapInArrow(weigh, "a bigint, b bigint, similarity double, alike boolean").groupBy("a", "b").agg(F.max("similarity").alias("similarity"), F.max("alike").alias("alike"))
 
@@ -313,7 +315,7 @@ def _in_waves(pairs: DataFrame, weighed: DataFrame, labels: DataFrame, texts: Da
     have pairs, the nearest ones, WAVE times as many as the wave before; then pairs whose
     ends have come together are left out, and the rest waits for the next wave.
     """
-    left, most = stored(pairs), 1
+    left, most = stored(pairs), NEAREST
     while left.limit(1).count():
         ends = left
         for side in ("a", "b"):
