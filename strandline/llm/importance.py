@@ -191,7 +191,7 @@ def resample(documents: DataFrame, target: DataFrame, runs: int = RUNS, buckets:
 
 
 def drawn(documents: DataFrame, resampled: DataFrame) -> DataFrame:
-    """The documents that were drawn, with all their columns; rows that share a doc_id come as often as it was drawn or was given, whichever is more."""
+    """The rows of documents whose doc_id was drawn, with all their columns."""
     return documents.join(resampled.filter("rank IS NOT NULL").select("doc_id").distinct(), "doc_id", "left_semi")
 
 
