@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.operators import boosting, imputation, metrics, models
+from strandline.operators import boosting, imputation, metrics, models, networks
 from strandline.plans.catalogue import query, table
 
 C = F.col
@@ -66,3 +66,26 @@ def impute_chain(spark: SparkSession, d: str) -> DataFrame:
 def logit_grid(spark: SparkSession, d: str) -> DataFrame:
     rows = _rows(spark, d).withColumn("large", (C("o_totalprice") > 200_000).cast("int"))
     return models.univariate(rows, ["y", "large"], ["n", "discount"], C("o_custkey") % 10 < 7, "o_orderkey")
+
+
+def _network(spark: SparkSession, d: str, **sizes) -> tuple[DataFrame, networks.Network]:
+    share = C("o_custkey") % 10
+    rows = _rows(spark, d).withColumn("discount", F.when(C("n") > 3, C("discount")))
+    fitted = networks.fit(rows, "o_orderkey", ["o_totalprice", "n", "discount"], "y", share < 6, share == 6, rate=0.02, **sizes)
+    return rows.withColumn("part", F.when(share < 6, "train").when(share == 6, "held").otherwise("test")), fitted
+
+
+@query()
+def network_fit(spark: SparkSession, d: str) -> DataFrame:
+    """A network with one hidden layer, on batches that hold each class evenly, which stops by the loss of a held part."""
+    rows, fitted = _network(spark, d, hidden=(8,), epochs=4, batches=4)
+    return metrics.area(networks.predict(rows, fitted), ["part"])
+
+
+@query()
+def network_attributions(spark: SparkSession, d: str) -> DataFrame:
+    """Mean score and mean and mean absolute integrated gradients of all rows, by part and feature."""
+    rows, fitted = _network(spark, d, hidden=(), epochs=3, batches=4)
+    told = networks.attribute(networks.predict(rows, fitted), fitted)
+    each = told.select("part", "score", F.explode(F.array(*(F.struct(F.lit(n).alias("feature"), C(f"ig_{n}").alias("ig")) for n in fitted.features))).alias("x"))
+    return each.groupBy("part", "x.feature").agg(F.avg("score").alias("score"), F.avg("x.ig").alias("ig"), F.avg(F.abs("x.ig")).alias("ig_abs"))
