@@ -128,13 +128,15 @@ def with_total(df: DataFrame, group: str, total: str, aggregates: Sequence[Colum
     return out.withColumn(group, F.when(F.col("_all") == 1, F.lit(total)).otherwise(F.col(group).cast("string"))).drop("_all")
 
 
-def histogram(df: DataFrame, value: str, width: float, cap: float, groups: Sequence[str] = ()) -> DataFrame:
+def histogram(df: DataFrame, value: str, width: float, cap: float, groups: Sequence[str] = (), tops: Sequence[str] = ()) -> DataFrame:
     """Counts in bins of a fixed width from 0 on, named by their lower edges.
 
     The bins reach the maximum and a tenth, up to the next hundred and at most `cap`, the
     last one as far as its width says; it is closed, all others are open above.
+    tops: columns whose greatest value sets the maximum, for histograms on one scale; else it is the value's own.
     """
-    top = df.agg(F.max(value).alias("_max")).select(F.least(F.ceil(F.col("_max") * 1.1 / 100) * 100, F.lit(cap)).cast("double").alias("_top"))
+    most = F.array_max(F.array(*(F.max(F.col(c).cast("double")) for c in tops or (value,))))
+    top = df.agg(most.alias("_max")).select(F.least(F.ceil(F.col("_max") * 1.1 / 100) * 100, F.lit(cap)).cast("double").alias("_top"))
     top = top.select(((F.ceil((F.col("_top") + width) / width) - 1) * width).alias("_edge"))
     below = df.filter(F.col(value) >= 0).join(F.broadcast(top), F.col(value) <= F.col("_edge"))  # one row
     return below.groupBy(*groups, F.least(F.floor(F.col(value) / width) * width, F.col("_edge") - width).cast("double").alias("bin")).agg(F.count("*").alias("n"))
