@@ -1,9 +1,10 @@
 """Byte-pair encoding and decoding with a public vocabulary.
 
-A word's symbols form a doubly linked list; a priority queue holds the ranks of
-the merges that neighbouring symbols allow, leftmost first among equals, and an
-entry whose symbols have changed since is skipped.  Decoding joins vocabulary
-strings.  Words are encoded once per task while they stay in a bounded store.
+The merge of least rank that neighbouring symbols of a word allow comes first,
+leftmost among equals.  A short word's ranks are a list; a longer word's symbols form
+a doubly linked list with a priority queue of ranks, in which an entry whose symbols
+have changed since is skipped.  Decoding joins vocabulary strings.  Words are encoded
+once per task while they stay in a bounded store, where what is in use stays longer.
 """
 
 from __future__ import annotations
@@ -12,10 +13,10 @@ import json
 import re
 import sys
 import unicodedata
-from collections.abc import Iterator
+from array import array
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,8 +26,10 @@ from pyspark.sql import functions as F
 from .columns import sha256
 from .text import find_package, slices
 
-#: Words that a task remembers.
-STORE = 200_000
+#: Words that a task remembers in each of two halves of its store.
+STORE = 60_000
+#: Symbols up to which ranks are a list, characters up to which a word is remembered, and what leaves the id of a merge's rank and id.
+SHORT, LONGEST, ID = 32, 64, (1 << 20) - 1
 #: White space beyond ASCII, as Unicode has it.
 SPACES = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
@@ -45,6 +48,23 @@ def category_class(first: str) -> str:
     return "".join(f"\\U{a:08x}-\\U{b - 1:08x}" for a, b in edges.reshape(-1, 2))
 
 
+class Known(dict):
+    """What `make` gives for each word, remembered for the words met last: a word that is met again in the older half moves to the newer."""
+
+    def __init__(self, make: Callable[[str], tuple[bytes, str]]):
+        self.make = make
+        self.older: dict[str, tuple[bytes, str]] = {}
+
+    def __missing__(self, word: str) -> tuple[bytes, str]:
+        have = self.older.get(word) or self.make(word)
+        if len(word) <= LONGEST:
+            if len(self) >= STORE:
+                self.older = dict(self)
+                self.clear()
+            self[word] = have
+        return have
+
+
 class Bpe:
     """A lower-casing word-level BPE vocabulary, read from a tokenizer file."""
 
@@ -55,7 +75,7 @@ class Bpe:
         self.suffix = model.get("end_of_word_suffix") or ""
         self.ids: dict[str, int] = dict(model["vocab"])
         pairs = [x.split(" ") if isinstance(x, str) else x for x in model["merges"]]
-        self.merges = {(self.ids[a], self.ids[b]): (rank, self.ids[a + b]) for rank, (a, b) in enumerate(pairs)}
+        self.merges = {(self.ids[a], self.ids[b]): rank << 20 | self.ids[a + b] for rank, (a, b) in enumerate(pairs)}
         self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
         self.strings = {i: s for s, i in self.ids.items()} | {i: s for s, i in self.special.items()}
         self.first = [self.ids[c] for c in byte_symbols()]
@@ -65,32 +85,53 @@ class Bpe:
         self.split = re.compile(f"{short}|[{letter}]+|[{number}]|[^{SPACES}{letter}{number}]+")
         self.split_ascii = re.compile(f"{short}|[a-z]+|[0-9]|[^\t-\r a-z0-9]+")
         self.parts = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.store: dict[str, tuple[tuple[int, ...], str]] = {}
+        self.store = Known(self._encoded)
 
-    def encode_word(self, word: str) -> tuple[int, ...]:
+    def encode_word(self, word: str) -> list[int]:
         data = word.encode()
         ids = [self.first[b] for b in data]
         ids[-1] = self.last[data[-1]]
+        return self._merged(ids) if len(ids) <= SHORT else self._merged_long(ids)
+
+    def _merged(self, ids: list[int]) -> list[int]:
+        of, none = self.merges.get, sys.maxsize
+        ranks = [of(pair, none) for pair in zip(ids, ids[1:], strict=False)]
+        while ranks and (best := min(ranks)) < none:
+            i = ranks.index(best)
+            ids[i] = new = best & ID
+            del ids[i + 1], ranks[i]
+            if i:
+                ranks[i - 1] = of((ids[i - 1], new), none)
+            if i < len(ranks):
+                ranks[i] = of((new, ids[i + 1]), none)
+        return ids
+
+    def _merged_long(self, ids: list[int]) -> list[int]:
         n, merges = len(ids), self.merges
         before, after = list(range(-1, n - 1)), [*range(1, n), -1]
-        queue = [(m[0], i, pair) for i, pair in enumerate(zip(ids, ids[1:], strict=False)) if (m := merges.get(pair))]
+        queue = [(m, i, pair) for i, pair in enumerate(zip(ids, ids[1:], strict=False)) if (m := merges.get(pair))]
         heapify(queue)
         while queue:
             _, i, pair = heappop(queue)
             j = after[i]
             if j < 0 or ids[i] != pair[0] or ids[j] != pair[1]:
                 continue  # stale: one of the symbols is gone or has grown
-            ids[i] = new = merges[pair][1]
+            ids[i] = new = merges[pair] & ID
             ids[j] = -1
             after[i] = k = after[j]
             after[j] = -1
             if k >= 0:
                 before[k] = i
                 if m := merges.get((new, ids[k])):
-                    heappush(queue, (m[0], i, (new, ids[k])))
+                    heappush(queue, (m, i, (new, ids[k])))
             if (h := before[i]) >= 0 and (m := merges.get((ids[h], new))):
-                heappush(queue, (m[0], h, (ids[h], new)))
-        return tuple(x for x in ids if x >= 0)
+                heappush(queue, (m, h, (ids[h], new)))
+        return [x for x in ids if x >= 0]
+
+    def _encoded(self, word: str) -> tuple[bytes, str]:
+        """The ids as 32-bit numbers, and the string they decode to."""
+        own = self.encode_word(word)
+        return array("i", own).tobytes(), " ".join([self.strings[i] for i in own])
 
     def _words(self, text: str) -> list[str]:
         if text.isascii():
@@ -98,29 +139,16 @@ class Bpe:
         # Character by character, so a final sigma is an ordinary one.
         return self.split.findall(unicodedata.normalize("NFC", text).replace("Σ", "σ").lower())
 
-    def encode(self, text: str) -> tuple[list[int], str]:
-        """The ids, and the string they decode to."""
-        ids: list[tuple[int, ...]] = []
-        strings: list[str] = []
-        store = self.store
+    def encode(self, text: str) -> tuple[bytes, str]:
+        """The ids as 32-bit numbers, and the string they decode to."""
+        found: list[tuple[bytes, str]] = []
         pieces = self.parts.split(text) if self.parts and "<|" in text else [text]
         for place, piece in enumerate(pieces):
             if place % 2:
-                ids.append((self.special[piece],))
-                strings.append(piece)
-                continue
-            for word in self._words(piece):
-                have = store.get(word)
-                if have is None:
-                    if len(store) >= STORE:
-                        store.clear()
-                    own = self.encode_word(word)
-                    have = own, " ".join([self.strings[i] for i in own])
-                    if len(word) <= 64:
-                        store[word] = have
-                ids.append(have[0])
-                strings.append(have[1])
-        return list(chain.from_iterable(ids)), " ".join(strings)
+                found.append((array("i", [self.special[piece]]).tobytes(), piece))
+            else:
+                found += map(self.store.__getitem__, self._words(piece))
+        return b"".join([ids for ids, _ in found]), " ".join([s for _, s in found])
 
 
 @lru_cache(2)
@@ -144,8 +172,8 @@ def encode(documents: DataFrame, path: str) -> DataFrame:
         bpe = load(path)
         for batch in slices(batches):
             done = [bpe.encode(text or "") for text in batch.column(1).to_pylist()]
-            ends = np.cumsum([0, *(len(ids) for ids, _ in done)])
-            flat = np.fromiter(chain.from_iterable(ids for ids, _ in done), np.int32, ends[-1])
+            ends = np.cumsum([0, *(len(ids) // 4 for ids, _ in done)])
+            flat = np.frombuffer(b"".join([ids for ids, _ in done]), np.int32)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat)), pa.array([s for _, s in done], pa.string())], ["doc_id", "ids", "decoded"])
 
     kind = documents.schema["doc_id"].dataType.simpleString()

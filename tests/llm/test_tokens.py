@@ -53,3 +53,21 @@ def test_ids_and_decoding_as_the_library(frame):
 def test_empty_table(frame):
     assert bpe.encode(frame.limit(0), P.path("word_bpe_49k.json")).collect() == []
     assert token_counts.count_tokens(frame.limit(0), P.path("piece_bpe_32k.model")).collect() == []
+
+
+def test_words_in_use_stay_in_the_store(monkeypatch):
+    monkeypatch.setattr(bpe, "STORE", 10)
+    model, asked = bpe.Bpe(P.path("word_bpe_49k.json")), []
+    monkeypatch.setattr(model, "encode_word", lambda word, own=model.encode_word: asked.append(word) or own(word))
+    for i in range(100):
+        model.encode("often " + "q" * (i % 50 + 1) + chr(97 + i // 50))
+    assert asked.count("often") == 1
+    assert len(asked) == 101
+    assert len(model.store) + len(model.store.older) <= 20
+
+
+def test_short_and_long_words_merge_alike():
+    rng, model = random.Random(3), bpe.Bpe(P.path("word_bpe_49k.json"))
+    for _ in range(500):
+        ids = [rng.choice(model.first) if rng.random() < 0.2 else model.first[b] for b in "".join(rng.choice("aeinrstlo") for _ in range(rng.randrange(1, 60))).encode()]
+        assert model._merged(list(ids)) == model._merged_long(list(ids))
