@@ -27,7 +27,8 @@ may be alike is verified in waves, the nearest pair of each two components first
 one link between them is enough.  So no link between components is lost, and variants
 of one text are not all compared in pairs.
 Every candidate is verified on its whole text.  Classes are the connected
-components of the links, found by alternating large and small stars.
+components of the links: tasks join what links they have, and where many are left,
+large and small stars alternate.
 """
 
 from __future__ import annotations
@@ -339,29 +340,75 @@ def _of_bucket(nodes: DataFrame, buckets: DataFrame, how: str = "inner") -> Data
     return own.join(salted, ["band", "key", "_salt"], how).drop("_salt")
 
 
+def _joined(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links from each node of these links that is not the least of its component to the one that is."""
+    nodes, places = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = places[: len(a)], places[len(a) :]
+    top, before = np.arange(len(nodes)), None
+    while before is None or (top != before).any():
+        before = top.copy()
+        low = np.minimum(top[x], top[y])
+        np.minimum.at(top, before[x], low)
+        np.minimum.at(top, before[y], low)
+        while (top[top] != top).any():
+            top = top[top]
+    own = top != np.arange(len(nodes))
+    return nodes[own], nodes[top[own]]
+
+
+def _stars(edges: DataFrame) -> DataFrame:
+    """Links with the same components, after each PER_TASK of a task's links were made stars."""
+    most = PER_TASK
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+
+        def told() -> pa.RecordBatch:
+            u, v = _joined(*(np.concatenate([x.column(c).to_numpy() for x in held]) for c in (0, 1)))
+            return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
+
+        for batch in batches:
+            for low in range(0, batch.num_rows, most):
+                held.append(piece := batch.slice(low, most))
+                n += piece.num_rows
+                if n >= most:
+                    yield told()
+                    held, n = [], 0
+        if held:
+            yield told()
+
+    return edges.mapInArrow(join, "u bigint, v bigint")
+
+
 def components(links: DataFrame) -> DataFrame:
     """node, label (the component's least node) of every node with a link; links: a, b.
 
-    Each step runs in as many tasks as its links fill, PER_TASK to each: there are far
-    fewer links than documents, and a step of many empty tasks costs more than its work.
+    Each task first joins what it has of the links, PER_TASK at once, so that fewer
+    are left.  Up to PER_TASK links need one such step more.  Of more than that, large
+    and small stars find the components, in as many tasks as these links fill.
     """
-    edges = cut(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v").distinct())
+    edges = cut(_stars(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v")))
     state = lambda e: e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
-    before = state(edges)
-    while before[0]:
-        tasks = 1 + before[0] // PER_TASK
-        # Large star: greater neighbours of each node go to the least of its neighbourhood.
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).coalesce(tasks)
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).coalesce(tasks).distinct()
-        # Small star: lesser neighbours of each node, and the node, go to the least of them.
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = cut(small.unionByName(low.select("u", F.col("m").alias("v"))).coalesce(tasks).distinct().coalesce(tasks))
-        now = state(edges)
-        if now == before:
-            break
-        before = now
+    n = edges.count()
+    if n <= PER_TASK:
+        edges = cut(_stars(edges.coalesce(1)))
+    else:
+        edges = cut(edges.distinct())
+        before = state(edges)
+        while True:
+            tasks = 1 + before[0] // PER_TASK
+            # Large star: greater neighbours of each node go to the least of its neighbourhood.
+            both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).coalesce(tasks)
+            least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+            large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).coalesce(tasks).distinct()
+            # Small star: lesser neighbours of each node, and the node, go to the least of them.
+            low = large.groupBy("u").agg(F.min("v").alias("m"))
+            small = large.join(low, "u").filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+            edges = cut(small.unionByName(low.select("u", F.col("m").alias("v"))).coalesce(tasks).distinct().coalesce(tasks))
+            now = state(edges)
+            if now == before:
+                break
+            before = now
     return edges.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
 
 

@@ -139,6 +139,30 @@ def test_components(spark):
     assert got == {1: 1, 2: 1, 3: 1, 7: 7, 8: 7, 9: 7} | {i: 100 for i in range(100, 161)}
 
 
+@pytest.mark.parametrize("most", [4, 10_000])
+def test_components_of_few_and_of_many_links(spark, monkeypatch, most):
+    """As by breadth-first search, with more links than one step takes and with fewer; few links take few jobs."""
+    monkeypatch.setattr(mh, "PER_TASK", most)
+    rng = random.Random(most)
+    links = [(rng.randrange(300), rng.randrange(300)) for _ in range(170)] + [(i, i - 1) for i in range(401, 440)] + [(500, i) for i in range(501, 540)]
+    near = {x: {x} for link in links for x in link}
+    for a, b in links:
+        near[a].add(b)
+        near[b].add(a)
+    want = {}
+    for x in sorted(x for x in near if near[x] != {x}):
+        todo = [] if x in want else [x]
+        while todo:
+            if (y := todo.pop()) not in want:
+                want[y] = x
+                todo += near[y]
+    spark.sparkContext.setJobGroup(f"components {most}", "")
+    found = mh.components(spark.createDataFrame(links, "a bigint, b bigint").repartition(3))
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"components {most}"))
+    assert dict(map(tuple, found.collect())) == want
+    assert most < 10_000 or jobs <= 8
+
+
 def test_odd_rows_and_empty_tables(spark):
     df = spark.createDataFrame([(1, "a b c d e f"), (1, "q r s t u v"), (2, "q r s t u v"), (None, "q r s t u v"), (2, "q r s t u v")], "doc_id bigint, text string")
     got = sorted((tuple(r)[:2] for r in mh.near_duplicates(df).collect()), key=str)
