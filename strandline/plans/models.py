@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from strandline.operators import boosting, imputation, metrics, models, networks
 from strandline.plans.catalogue import query, table
+from strandline.shared import stored
 
 C = F.col
 
@@ -14,23 +15,24 @@ C = F.col
 def _rows(spark: SparkSession, d: str) -> DataFrame:
     o = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_totalprice", (C("o_orderstatus") == "F").cast("int").alias("y"))
     n = table(spark, d, "lineitem").groupBy(C("l_orderkey").alias("o_orderkey")).agg(F.count("*").cast("double").alias("n"), F.avg("l_discount").alias("discount"))
-    return o.join(n, "o_orderkey", "left").fillna(0.0, ["n", "discount"])
+    return models.held(o.join(n, "o_orderkey", "left").fillna(0.0, ["n", "discount"]), "o_orderkey")
 
 
-def _fit(spark: SparkSession, d: str, kind: str) -> DataFrame:
-    scored = models.classify(_rows(spark, d), kind, ["o_totalprice", "n", "discount"], "y", C("o_custkey") % 10 < 7, ["o_orderkey", "o_custkey"])
-    held = scored.withColumn("part", F.when(C("o_custkey") % 10 < 7, "train").otherwise("test"))
-    return metrics.area(held, ["part"])
+def _fit(rows: DataFrame, kind: str) -> DataFrame:
+    scored = models.classify(rows, kind, ["o_totalprice", "n", "discount"], "y", C("o_custkey") % 10 < 7, ["o_orderkey", "o_custkey"])
+    parts = scored.select("y", "score", F.when(C("o_custkey") % 10 < 7, "train").otherwise("test").alias("part"))
+    return metrics.area(stored(parts), ["part"])
 
 
 @query()
 def logit_fit(spark: SparkSession, d: str) -> DataFrame:
-    return _fit(spark, d, "logit")
+    return _fit(_rows(spark, d), "logit")
 
 
 @query()
 def tree_fit(spark: SparkSession, d: str) -> DataFrame:
-    return _fit(spark, d, "forest").withColumn("model", F.lit("forest")).unionByName(_fit(spark, d, "boosted").withColumn("model", F.lit("boosted")))
+    rows = _rows(spark, d)
+    return _fit(rows, "forest").withColumn("model", F.lit("forest")).unionByName(_fit(rows, "boosted").withColumn("model", F.lit("boosted")))
 
 
 @query()
@@ -45,7 +47,7 @@ def boost_fit(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def mlp_fit(spark: SparkSession, d: str) -> DataFrame:
-    return _fit(spark, d, "mlp")
+    return _fit(_rows(spark, d), "mlp")
 
 
 @query()
