@@ -4,6 +4,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from strandline.operators import metrics, models
+from strandline.plans.models import _rows
+
+SMALL = "/root/testdata/sf0.001"
 
 
 def test_univariate_reads_its_rows_once(spark):
@@ -23,3 +26,12 @@ def test_univariate_reads_its_rows_once(spark):
     scored = models.classify(rows, "logit", ["x"], "y", F.col("_part"), ["id", "_part"])
     for r in metrics.area(scored, ["_part"]).collect():
         assert got["y", "z", "train" if r["_part"] else "test"] == pytest.approx((r.auroc, r.auprc), abs=1e-9)
+
+
+def test_rows_of_fits_are_held_in_even_parts(spark):
+    rows = _rows(spark, SMALL)
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and len(rows.inputFiles()) > 1
+    sizes = [r[0] for r in rows.groupBy(F.input_file_name()).count().select("count").collect()]
+    assert max(sizes) < 3 * sum(sizes) / len(sizes)
+    assert rows.count() == spark.read.parquet(f"{SMALL}/orders.parquet").count()
