@@ -333,11 +333,11 @@ def _in_waves(pairs: DataFrame, weighed: DataFrame, labels: DataFrame, texts: Da
     return weighed
 
 
-def _of_bucket(nodes: DataFrame, buckets: DataFrame, how: str = "inner") -> DataFrame:
+def _of_bucket(nodes: DataFrame, buckets: DataFrame) -> DataFrame:
     """Nodes joined to one row of their bucket, by band, key and salt, so that a large bucket is spread over tasks."""
     salted = buckets.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     own = nodes.withColumn("_salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int"))
-    return own.join(salted, ["band", "key", "_salt"], how).drop("_salt")
+    return own.join(salted, ["band", "key", "_salt"]).drop("_salt")
 
 
 def _joined(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -442,14 +442,17 @@ def near_duplicates(documents: DataFrame, bands: int = BANDS, rows: int = ROWS,
     paired = mine.join(other, ["band", "key"]).filter("node < b").select(F.col("node").alias("a"), "b", F.lit(False).alias("wide"))
     starred = members.filter((F.col("size") > small) & (F.col("leader") != F.col("node"))).select(F.col("leader").alias("a"), F.col("node").alias("b"), F.lit(True).alias("wide"))
     weighed = cut(_verified(paired.unionByName(starred), texts, idf))
-    large = members.filter(F.col("size") > small).select("band", "key", "node")
+    # One row of each node, whose label is looked up once, however many buckets it is in.
+    in_buckets = lambda rows: rows.groupBy("node").agg(F.collect_list(F.struct("band", "key")).alias("places"))
+    large = in_buckets(members.filter(F.col("size") > small))
     if large.limit(1).count():
         for nth in range(LEADERS + 1):
             labels = cut(components(weighed.filter("alike").select("a", "b")))
-            placed = large.join(labels, "node", "left").select("band", "key", "node", F.coalesce("label", "node").alias("label"))
+            placed = cut(large.join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"), F.explode("places").alias("place")).select("place.band", "place.key", "node", "label"))
             parts = placed.groupBy("band", "key", "label").agg(F.count("*").alias("n"), F.min_by("node", F.xxhash64("node", F.lit(nth))).alias("leader"))
             top = parts.groupBy("band", "key").agg(F.max(F.struct("n", "label", "leader")).alias("top"), F.count("*").alias("parts")).filter("parts > 1")
-            outside = cut(_of_bucket(placed, top).filter("label != top.label").select("node", "label", F.col("top.leader").alias("leader"), F.col("top.label").alias("into")))
+            mixed = cut(_of_bucket(placed, top))
+            outside = cut(mixed.filter("label != top.label").select("node", "label", F.col("top.leader").alias("leader"), F.col("top.label").alias("into")))
             if not outside.limit(1).count():
                 break
             if nth == 0:
@@ -458,12 +461,13 @@ def near_duplicates(documents: DataFrame, bands: int = BANDS, rows: int = ROWS,
                 hubs = labels.join(degrees, "node").groupBy(F.col("label").alias("into")).agg(F.max_by("node", F.struct("count", -F.col("node"))).alias("hub"))
                 outside = cut(join_hot(outside, hubs, ["into"], "node").withColumn("leader", F.coalesce("hub", "leader")).drop("hub"))
             if nth == LEADERS:
-                possible = _possible(texts, idf, _of_bucket(placed, top.select("band", "key"), "left_semi"), outside)
+                possible = _possible(texts, idf, mixed, outside)
                 weighed = _in_waves(possible.join(weighed.select("a", "b"), ["a", "b"], "left_anti"), weighed, labels, texts, idf)
                 break
             more = outside.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b"))
             more = more.distinct().join(weighed.select("a", "b"), ["a", "b"], "left_anti").withColumn("wide", F.lit(True))
             weighed = weighed.unionByName(cut(_verified(more, texts, idf)))
+            large = in_buckets(mixed)  # the nodes of any other bucket are in one component, and stay there
     links = weighed.filter("alike").select("a", "b", "similarity")
     # A doc_id that has several texts ties their nodes together.
     named = nodes.select("same1", "same2", "node")

@@ -230,3 +230,34 @@ def test_waves_verify_what_is_needed(spark):
     known = spark.createDataFrame([(i, 0) for i in range(29)], "node bigint, label bigint")
     seen = mh._in_waves(pairs.filter("b = 29"), star, known, texts, idf)
     assert seen.count() == 28 + mh.NEAREST and seen.filter("b = 29").agg(F.min("a")).first()[0] == 29 - mh.NEAREST
+
+
+def joined_rows(spark, since, what):
+    """Rows that joins of this description have made in executions after `since`, and the last execution."""
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    store = spark._jsparkSession.sharedState().statusStore()
+    each = lambda it: iter(lambda: it.next() if it.hasNext() else None, None)
+    n, last = 0, since
+    for run in each(store.executionsList().iterator()):
+        if run.executionId() > since:
+            last, values = max(last, run.executionId()), store.executionMetrics(run.executionId())
+            for node in each(store.planGraph(run.executionId()).allNodes().iterator()):
+                if "Join" in node.name() and re.search(what, re.sub(r"#\d+L?", "", node.desc())):
+                    n += sum(int(values.apply(x.accumulatorId()).replace(",", "")) for x in each(node.metrics().iterator()) if x.name() == "number of output rows" and values.contains(x.accumulatorId()))
+    return n, last
+
+
+def test_labels_meet_each_node_once_a_round(spark):
+    """Nodes are in up to BANDS large buckets each, and still look up their label once in each round."""
+    rng = random.Random(5)
+    words = [f"v{i}" for i in range(20_000)]
+    base, docs = rng.sample(words, 150), []
+    for i in range(200):
+        own = list(base)
+        for _ in range(rng.randrange(1, 8)):
+            own[rng.randrange(150)] = rng.choice(words)
+        docs.append((i, " ".join(own)))
+    _, since = joined_rows(spark, -1, "^$")
+    mh.near_duplicates(spark.createDataFrame(docs, "doc_id bigint, text string").repartition(4)).collect()
+    made, _ = joined_rows(spark, since, r"\[node\], \[node\], LeftOuter")
+    assert 0 < made <= (mh.LEADERS + 2) * len(docs)
